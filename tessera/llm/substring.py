@@ -11,7 +11,7 @@ the corpus proves that none of its windows repeats, and is done.
 
 Extension.  Around each repeated seed lie at most 12 words before and 12 behind
 that a window of 20 words can take in.  Every window that picked the seed is an
-extension of it to the left and right; its 128-bit hash is posted and the earliest
+extension of it to the left and right; its 96-bit hash is posted and the earliest
 start of each hash found.  The windows that start later join to maximal repeats:
 runs of consecutive starts, each a repeat of 20 words or more.
 
@@ -144,30 +144,35 @@ def _places(batch: pa.RecordBatch, at: int, to: int, doc: np.ndarray, offsets: n
     return ids[doc], np.arange(len(doc)) - first[doc]
 
 
-def _send(h1, h2, doc, at, length, kind) -> pa.RecordBatch:
-    columns = [pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (h1, h2, doc)] + [pa.array(np.asarray(x, np.int32)) for x in (at, length, kind)]
-    return pa.RecordBatch.from_arrays(columns, names=["h1", "h2", "doc_id", "at", "len", "kind"])
+def _send(h1, h2, doc, at, length) -> pa.RecordBatch:
+    columns = [pa.array(np.ascontiguousarray(h1).view(np.int64)), pa.array(np.ascontiguousarray(h2).view(np.int32)), pa.array(np.ascontiguousarray(doc).view(np.int64))]
+    columns += [pa.array(np.asarray(x, np.int32)) for x in (at, length)]
+    return pa.RecordBatch.from_arrays(columns, names=["h1", "h2", "doc_id", "at", "len"])
 
 
-_SCHEMA = "h1 long, h2 long, doc_id long, at int, len int, kind int"
+#: len is 0 for a hash that is to be decided elsewhere, else the length of a run that is settled.
+_SCHEMA = "h1 long, h2 int, doc_id long, at int, len int"
 
 
 def _settle(h1: np.ndarray, h2: np.ndarray, doc: np.ndarray, at: np.ndarray, all_of_repeated: bool) -> Iterator[pa.RecordBatch]:
-    """Send on (kind 0) the earliest of equal hashes; of the others, report the place (kind 1).
+    """Send on the earliest of equal hashes; of the others, report the places, which are settled.
 
-    ``all_of_repeated``: report also the earliest of those that repeat here.
+    ``all_of_repeated``: report also the earliest of those that repeat here.  Rows are
+    sent in the order of their places, which the shuffle compresses better than hashes.
     """
     if not len(h1):
         return
     order = np.lexsort((at, doc, h2, h1))
-    h1, h2, doc, at = h1[order], h2[order], doc[order], at[order]
-    new = np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
+    s1, s2 = h1[order], h2[order]
+    new = np.concatenate([[True], (s1[1:] != s1[:-1]) | (s2[1:] != s2[:-1])])
+    ahead = np.sort(order[new])
+    yield _send(h1[ahead], h2[ahead], doc[ahead], at[ahead], np.zeros(len(ahead)))
+    doc, at = doc[order], at[order]
     group = np.flatnonzero(new)[np.cumsum(new) - 1]
     later = (doc != doc[group]) | (at != at[group])
-    yield _send(h1[new], h2[new], doc[new], at[new], np.ones(new.sum()), np.zeros(new.sum()))
     told = later
     if all_of_repeated:
-        repeated = np.zeros(len(h1), bool)
+        repeated = np.zeros(len(order), bool)
         repeated[group[later]] = True
         told = repeated[group]
     doc, at = doc[told], at[told]
@@ -179,7 +184,7 @@ def _settle(h1: np.ndarray, h2: np.ndarray, doc: np.ndarray, at: np.ndarray, all
             gap[:] = True
         first = np.flatnonzero(gap)
         last = np.concatenate([first[1:], [len(doc)]]) - 1
-        yield _send(doc[first], at[first].astype(np.int64), doc[first], at[first], at[last] - at[first] + 1, np.ones(len(first)))
+        yield _send(doc[first].astype(np.int64), at[first].astype(np.int32), doc[first], at[first], at[last] - at[first] + 1)
 
 
 def _gather(parts: list, rows: tuple[np.ndarray, ...], all_of_repeated: bool, end: bool = False) -> Iterator[pa.RecordBatch]:
@@ -212,13 +217,13 @@ def repeated_seeds(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
                     grams = gram_hashes(word_hashes(data, starts, ends, 0), gram, 0)
                     seeds = np.unique(picks(grams, width)[doc[: len(doc) - length + 1] == doc[length - 1 :]])
                     ids, place = _places(batch, at, to, doc, offsets)
-                    yield from _gather(parts, (grams[seeds], np.zeros(len(seeds), np.uint64), ids[seeds], place[seeds]), True)
+                    yield from _gather(parts, (grams[seeds], np.zeros(len(seeds), np.uint32), ids[seeds], place[seeds]), True)
             yield from _gather(parts, (), True, end=True)
 
-    sent = docs.mapInArrow(run, _SCHEMA)
-    alike = Window.partitionBy("h1", "h2", "kind")
+    sent = docs.mapInArrow(run, _SCHEMA).withColumn("settled", F.col("len") > 0)
+    alike = Window.partitionBy("h1", "h2", "settled")
     # The earliest one of each task's blocks comes here; a seed that repeats within a block has been told already.
-    return sent.withColumn("n", F.count("*").over(alike)).filter("kind = 1 or n > 1").groupBy("doc_id").agg(F.collect_set("at").alias("seeds"))
+    return sent.withColumn("n", F.count("*").over(alike)).filter("settled or n > 1").groupBy("doc_id").agg(F.collect_set("at").alias("seeds"))
 
 
 def later_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -248,13 +253,13 @@ def later_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
                     if not len(windows):
                         continue
                     second = word_hashes(data, starts, ends, 1)
-                    h1, h2 = gram_hashes(first, length, 0)[windows], gram_hashes(second, length, 1)[windows]
+                    h1, h2 = gram_hashes(first, length, 0)[windows], (gram_hashes(second, length, 1)[windows] >> np.uint64(32)).astype(np.uint32)
                     yield from _gather(parts, (h1, h2, ids[windows], place[windows]), False)
             yield from _gather(parts, (), False, end=True)
 
-    sent = docs.mapInArrow(run, _SCHEMA)
-    order = Window.partitionBy("h1", "h2", "kind").orderBy("doc_id", "at")
-    return sent.withColumn("nth", F.rank().over(order)).filter("kind = 1 or nth > 1").select("doc_id", "at", "len")
+    sent = docs.mapInArrow(run, _SCHEMA).withColumn("settled", F.col("len") > 0)
+    order = Window.partitionBy("h1", "h2", "settled").orderBy("doc_id", "at")
+    return sent.withColumn("nth", F.rank().over(order)).filter("settled or nth > 1").withColumn("len", F.greatest("len", F.lit(1))).select("doc_id", "at", "len")
 
 
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
