@@ -24,6 +24,7 @@ the added ones are replaced.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from zlib import crc32
@@ -102,15 +103,18 @@ class _Trainer:
     def __init__(self, texts: list[str | None], seed: int = 7):
         rng = np.random.default_rng(seed)
         number: dict[str, int] = {}
-        words, self.start = [], [0]
+        words, rows, length, self.start = array("i"), array("i"), array("i"), [0]
         for t in texts:
-            words += [number.setdefault(w, len(number)) for w in split_words(t)]
+            words.extend([number.setdefault(w, len(number)) for w in split_words(t)])
             self.start.append(len(words))
-        bags = [features(w) for w in number]
-        self.words = np.array(words, np.int64)
-        self.length = np.array([len(b) for b in bags], np.int64)
+        for w in number:
+            bag = features(w)
+            rows.extend(bag)
+            length.append(len(bag))
+        del number
+        self.words, self.rows = np.frombuffer(words, np.int32), np.frombuffer(rows, np.int32)
+        self.length = np.array(length, np.int64)
         self.offset = np.concatenate([[0], np.cumsum(self.length)])
-        self.rows = np.concatenate([np.array(b, np.int64) for b in bags]) if bags else np.zeros(0, np.int64)
         self.table = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
         self.softmax = rng.normal(0, 0.1, (DIM, 2)).astype(np.float32)
         self.bias = np.zeros(2, np.float32)
