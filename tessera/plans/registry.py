@@ -24,7 +24,7 @@ simple("f11_code_hints", "documents", {"hinted": (lambda: (F.length(T.strip(F.co
 simple("f13_language", "documents", {"fits": (lambda: (F.col("lang") == "") | F.lower("lang").contains("e"), "(lang = '' OR lower(lang) LIKE '%e%')")})
 simple("f15_length_between", "documents", {"n": (lambda: F.length("text").cast("long"), "length(text)")}, (lambda: F.length("text").between(80, 6000), "length(text) BETWEEN 80 AND 6000"))
 simple("f16_numeric_answer", "events", {"n": (lambda: F.get_json_object("props", "$.k").try_cast("double"), "TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE)")}, (lambda: F.get_json_object("props", "$.k").try_cast("double").isNotNull(), "TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) IS NOT NULL"), "event_id")
-simple("f26_title_like", "pages", {"url": (lambda: F.col("url"), "url")}, (lambda: F.contains(F.lower("url"), F.lit("a1")), "contains(lower(url), 'a1')"), "page_id")
+simple("f26_title_like", "pages", {"url": (lambda: F.col("url"), "url")}, (lambda: F.contains(F.lower("url"), F.lit("org/e")), "contains(lower(url), 'org/e')"), "page_id")
 simple("t02_page_url", "documents", {"url": (lambda: T.page_url(F.lit("https://x.org/wiki/"), F.substring("text", 1, 40)), "'https://x.org/wiki/' || replace(substr(text, 1, 40), ' ', '_')")})
 simple("t08_strip_tags", "pages", {"plain": (lambda: F.regexp_replace("html", r"(?s)<[^>]+>", " "), r"regexp_replace(html, '<[^>]+>', ' ', 'gs')")}, None, "page_id")
 simple("t11_strip_quotes", "documents", {"plain": (lambda: F.regexp_replace(F.concat(F.lit("'''"), F.substring("text", 1, 50), F.lit("''")), "'{2,}", ""), "regexp_replace('''''''' || substr(text, 1, 50) || '''''', '''{2,}', '', 'g')")})

@@ -7,7 +7,7 @@ SCHEMA = "doc_id long, project string, title string, text string, url string"
 
 
 def pool(spark, project, texts):
-    return spark.createDataFrame([(i, project, f"title {t.split()[0]}", t, f"http://x/{t.split()[0]}{i}") for i, t in enumerate(texts)], SCHEMA)
+    return spark.createDataFrame([(i, project, f"title {t.split()[0]}", t, f"http://{project}/{t.split()[0]}{i}") for i, t in enumerate(texts)], SCHEMA)
 
 
 def test_kinds_stand_in_order_and_urls_once(spark):
