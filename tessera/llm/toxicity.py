@@ -176,7 +176,7 @@ class _Trainer:
             self.step(first[c], last[c], label[c], weight[c], rate)
 
 
-def train(texts: list[str | None], labels: list[int], rounds: int = 12) -> Model | None:
+def train(texts: list[str | None], labels: list[int], rounds: int = 40) -> Model | None:
     """The model of labelled texts; None without both classes."""
     y = np.array(labels, np.int64)
     t = _Trainer(texts)
