@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import re
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -11,7 +12,9 @@ from pyspark.sql import types as T
 #: What a package must not import or call.
 BANNED_IMPORTS = ("os", "sys", "subprocess", "shutil", "socket", "ctypes", "pickle", "multiprocessing")
 BANNED_CALLS = ("eval", "exec", "compile", "__import__", "open")
-FUNCTIONS = T.ArrayType(T.StructType([T.StructField(n, k) for n, k in (("name", T.StringType()), ("qualname", T.StringType()), ("start_line", T.IntegerType()), ("end_line", T.IntegerType()), ("body_lines", T.IntegerType()), ("docstring", T.StringType()))]))
+FUNCTIONS = T.ArrayType(T.StructType([T.StructField(n, k) for n, k in (("name", T.StringType()), ("qualname", T.StringType()), ("class_name", T.StringType()), ("start_line", T.IntegerType()), ("body_line", T.IntegerType()), ("end_line", T.IntegerType()), ("body_lines", T.IntegerType()), ("docstring", T.StringType()), ("doc_end", T.IntegerType()))]))
+#: The lines of a function at which a completion may begin.
+CUTS = T.ArrayType(T.StructType([T.StructField("start_line", T.IntegerType()), T.StructField("lines", T.ArrayType(T.IntegerType()))]))
 
 
 def violations_of(source: str) -> list[str]:
@@ -31,7 +34,10 @@ def violations_of(source: str) -> list[str]:
 
 
 def functions_of(source: str, least: int = 5) -> list[dict]:
-    """Functions and methods with ``least`` body lines or more, methods under their class's name."""
+    """Functions and methods with ``least`` body lines or more, methods under their class's name.
+
+    body_line and doc_end are the first line of the body and the last of the docstring, which is the body's first.
+    """
     try:
         tree = ast.parse(source)
     except (SyntaxError, ValueError, RecursionError):
@@ -42,10 +48,98 @@ def functions_of(source: str, least: int = 5) -> list[dict]:
         if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
             lines = node.end_lineno - node.body[0].lineno + 1
             if lines >= least:
-                out.append({"name": node.name, "qualname": f"{owner}.{node.name}" if owner else node.name, "start_line": min([node.lineno, *(d.lineno for d in node.decorator_list)]), "end_line": node.end_lineno, "body_lines": lines, "docstring": ast.get_docstring(node)})
+                doc = ast.get_docstring(node)
+                out.append({"name": node.name, "qualname": f"{owner}.{node.name}" if owner else node.name, "class_name": owner, "start_line": min([node.lineno, *(d.lineno for d in node.decorator_list)]), "body_line": node.body[0].lineno, "end_line": node.end_lineno, "body_lines": lines, "docstring": doc, "doc_end": None if doc is None else node.body[0].end_lineno})
+    return out
+
+
+def cuts_of(source: str, least: int = 12) -> list[dict]:
+    """For functions of ``least`` lines and two statements or more, where the statements from 30 to 80 % begin."""
+    try:
+        tree = ast.parse(source)
+    except (SyntaxError, ValueError, RecursionError):
+        return []
+    out = []
+    for node in ast.walk(tree):
+        if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)) and len(node.body) > 1 and node.end_lineno - node.lineno + 1 >= least:
+            first = max(1, int(len(node.body) * 0.3))
+            last = max(first + 1, int(len(node.body) * 0.8))
+            out.append({"start_line": node.lineno, "lines": [x.lineno for x in node.body[first:last]]})
     return out
 
 
+def main_lines_of(source: str) -> list[int] | None:
+    """First and last line of the block that runs when the file is the program."""
+    try:
+        tree = ast.parse(source)
+    except (SyntaxError, ValueError, RecursionError):
+        return None
+    for node in tree.body:
+        if isinstance(node, ast.If) and "__name__" in (test := ast.unparse(node.test)) and "__main__" in test:
+            return [node.lineno, node.end_lineno]
+    return None
+
+
+def outline_of(source: str) -> str:
+    """Top-level functions and classes with their methods, each with the names of its positional arguments."""
+    try:
+        tree = ast.parse(source)
+    except (SyntaxError, ValueError, RecursionError) as e:
+        return f"# cannot be outlined: {e}"
+
+    def line(node, indent: str) -> str:
+        return f"{indent}def {node.name}({', '.join(a.arg for a in node.args.args)}): ..."
+
+    out = []
+    for node in tree.body:
+        if isinstance(node, ast.FunctionDef):
+            out.append(line(node, ""))
+        elif isinstance(node, ast.ClassDef):
+            out.append(f"class {node.name}:")
+            out += [line(n, "    ") for n in node.body if isinstance(n, ast.FunctionDef)]
+    return "\n".join(out) or "# No top-level classes or functions found."
+
+
+def snippets_of(source: str, marked: list[int], window: int = 5) -> str:
+    """Numbered lines up to ``window`` from a marked one; ranges that meet are one, others stand apart."""
+    lines = source.split("\n")
+    shown = sorted({i for m in marked for i in range(max(1, m - window), min(len(lines), m + window) + 1)})
+    out = []
+    for before, i in zip([None, *shown], shown):
+        if before is not None and i > before + 1:
+            out.append("...")
+        out.append(f"{'>>' if i in marked else '  '} {i:4d} | {lines[i - 1]}")
+    return "\n".join(out)
+
+
+def error_context_of(source: str, message: str = "", window: int = 5) -> str:
+    """The lines that a message names or where the source fails to parse, with those around them."""
+    marked = {int(n) for n in re.findall(r"line (\d+)", message)}
+    try:
+        ast.parse(source)
+    except SyntaxError as e:
+        if e.lineno:
+            marked.add(e.lineno)
+            message = message or f"SyntaxError: {e.msg} at line {e.lineno}"
+    except (ValueError, RecursionError):
+        pass
+    if not marked:
+        return f"Error: {message}\n(No specific line numbers found in traceback)" if message else "No syntax errors detected."
+    return f"Error Information:\n{message}\n\nCode Context:\n{snippets_of(source, sorted(marked), window)}"
+
+
+def debug_prompt_of(trace: str, files: dict[str, str], window: int = 15) -> str:
+    """A traceback, then an outline and the marked lines of each file in it that is one of ``files``."""
+    places: dict[str, list[int]] = {}
+    for path, n in re.findall(r'File "([^"]+)", line (\d+)', trace):
+        if path in files:
+            places.setdefault(path, []).append(int(n))
+    parts = [f"Traceback:\n{trace.strip()}"]
+    for path, marked in places.items():
+        parts.append(f"File: {path}\n\nOutline:\n{outline_of(files[path])}\n\nLines:\n{snippets_of(files[path], marked, window)}")
+    return "\n\n".join(parts)
+
+
 @F.pandas_udf(T.BooleanType())
 def parses(source: pd.Series) -> pd.Series:
     def fine(x):
@@ -66,3 +160,23 @@ def violations(source: pd.Series) -> pd.Series:
 @F.pandas_udf(FUNCTIONS)
 def functions(source: pd.Series) -> pd.Series:
     return source.map(lambda x: functions_of(x or ""))
+
+
+@F.pandas_udf(CUTS)
+def cuts(source: pd.Series) -> pd.Series:
+    return source.map(lambda x: cuts_of(x or ""))
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def main_lines(source: pd.Series) -> pd.Series:
+    return source.map(lambda x: main_lines_of(x or ""))
+
+
+@F.pandas_udf(T.StringType())
+def outline(source: pd.Series) -> pd.Series:
+    return source.map(lambda x: outline_of(x or ""))
+
+
+@F.pandas_udf(T.StringType())
+def error_context(source: pd.Series, message: pd.Series) -> pd.Series:
+    return pd.Series([error_context_of(s or "", m or "") for s, m in zip(source, message, strict=True)])

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +42,14 @@ class Phrase:
     prefix: bool = False
 
 
+@dataclass(frozen=True)
+class Near:
+    """Phrases with at most ``distance`` words between the end of each and the start of the last."""
+
+    phrases: tuple[Phrase, ...]
+    distance: int = 10
+
+
 @dataclass(frozen=True)
 class Op:
     kind: str
@@ -51,12 +61,21 @@ class SyntaxProblem(ValueError):
     pass
 
 
+def _near(item: str, field: str | None) -> Near:
+    inside, distance = re.fullmatch(r"NEAR\s*\((.*?)(?:,\s*(\d+)\s*)?\)", item, re.S).groups()
+    words = re.findall(r'"[^"]*"|\w+\*?', inside)
+    phrases = tuple(Phrase(tuple(re.findall(r"[^\W_]+", w.lower())), field, w.endswith("*")) for w in words)
+    if not phrases:
+        raise SyntaxProblem("NEAR of nothing")
+    return Near(phrases, int(distance or 10))
+
+
 def parse(query: str) -> object:
-    """AND (or nothing between), OR, binary NOT, parentheses, "phrases", prefix*, field:phrase.
+    """AND (or nothing between), OR, binary NOT, parentheses, "phrases", prefix*, field:phrase, NEAR(a b, n).
 
     NOT binds closest, then AND, then OR.
     """
-    items = re.findall(r'"[^"]*"|[()]|\w+:|\w+\*|\w+', query)
+    items = re.findall(r'"[^"]*"|NEAR\s*\((?:"[^"]*"|[^")])*\)|[()]|\w+:|\w+\*|\w+', query)
     at = 0
 
     def peek() -> str | None:
@@ -82,6 +101,8 @@ def parse(query: str) -> object:
         if item.endswith(":"):
             field = item[:-1]
             item = take() if peek() else ""
+        if item.startswith("NEAR") and item.endswith(")"):
+            return _near(item, field)
         if item.startswith('"'):
             return Phrase(tuple(re.findall(r"[^\W_]+", item.lower())), field)
         if item.endswith("*"):
@@ -111,30 +132,68 @@ def parse(query: str) -> object:
     return tree
 
 
-def phrase_counts(index: DataFrame, key: str, phrase: Phrase) -> DataFrame:
-    """(key, tf): how often a phrase occurs; one scan of its terms, joined by position."""
+def phrase_starts(index: DataFrame, key: str, phrase: Phrase) -> DataFrame:
+    """(key, field, start) of each occurrence; one scan of its terms, joined by position."""
     held = index if phrase.field is None else index.filter(F.col("field") == phrase.field)
     if phrase.prefix:
-        return held.filter(F.col("term").startswith(phrase.words[0])).groupBy(key).agg(F.count("*").alias("tf"))
+        return held.filter(F.col("term").startswith(phrase.words[0])).select(key, "field", F.col("pos").alias("start"))
     starts = [held.filter(F.col("term") == w).select(key, "field", (F.col("pos") - i).alias("start"), F.lit(i).alias("i")) for i, w in enumerate(phrase.words)]
     if len(starts) == 1:
-        return starts[0].groupBy(key).agg(F.count("*").alias("tf"))
+        return starts[0].drop("i")
     every = starts[0]
     for s in starts[1:]:
         every = every.unionByName(s)
-    whole = every.groupBy(key, "field", "start").agg(F.count("*").alias("n")).filter(F.col("n") == len(starts))
-    return whole.groupBy(key).agg(F.count("*").alias("tf"))
+    whole = every.groupBy(key, "field", "start").agg(F.count("*").alias("n"))
+    return whole.filter(F.col("n") == len(starts)).drop("n")
+
+
+def phrase_counts(index: DataFrame, key: str, phrase: Phrase) -> DataFrame:
+    """(key, tf): how often a phrase occurs."""
+    return phrase_starts(index, key, phrase).groupBy(key).agg(F.count("*").alias("tf"))
+
+
+def near_counts(index: DataFrame, key: str, near: Near) -> DataFrame:
+    """(key, i, tf): how often the i-th phrase occurs near all others; keys without a match have no row.
+
+    The starts of one text are gathered in arrays, no longer than the text.
+    """
+    every = None
+    for i, p in enumerate(near.phrases):
+        part = phrase_starts(index, key, p).withColumn("i", F.lit(i))
+        every = part if every is None else every.unionByName(part)
+    kinds = range(len(near.phrases))
+    held = every.groupBy(key, "field").agg(F.array_sort(F.collect_set("start")).alias("all"), *[F.collect_list(F.when(F.col("i") == i, F.col("start"))).alias(f"s{i}") for i in kinds])
+
+    def reaches(i: int, start: Column, last: Column) -> Column:
+        return start.between(last - len(near.phrases[i].words) - near.distance, last)
+
+    def one_reaches(i: int, last: Column) -> Column:
+        return F.exists(f"s{i}", lambda start: reaches(i, start, last))
+
+    def n_reaching(i: int) -> Column:
+        return F.size(F.filter(f"s{i}", lambda start: F.exists("last", lambda last: reaches(i, start, last))))
+
+    def complete(last: Column) -> Column:
+        return reduce(and_, [one_reaches(i, last) for i in kinds])
+
+    held = held.withColumn("last", F.filter("all", complete)).filter(F.size("last") > 0)
+    counts = F.array(*[n_reaching(i) for i in kinds])
+    return held.select(key, F.posexplode(counts).alias("i", "n")).groupBy(key, "i").agg(F.sum("n").alias("tf"))
 
 
-def _phrases(tree) -> list[Phrase]:
+def _phrases(tree) -> list[tuple[Phrase, Near | None]]:
     if isinstance(tree, Phrase):
-        return [tree]
+        return [(tree, None)]
+    if isinstance(tree, Near):
+        return [(p, tree) for p in tree.phrases]
     return _phrases(tree.left) + ([] if tree.kind == "NOT" else _phrases(tree.right))
 
 
 def _matching(index: DataFrame, key: str, tree) -> DataFrame:
     if isinstance(tree, Phrase):
         return phrase_counts(index, key, tree).select(key)
+    if isinstance(tree, Near):
+        return near_counts(index, key, tree).select(key).distinct()
     left, right = _matching(index, key, tree.left), _matching(index, key, tree.right)
     if tree.kind == "OR":
         return left.unionByName(right).distinct()
@@ -147,9 +206,11 @@ def search(docs: DataFrame, query: str, k: int = 10, key: str = "doc_id", fields
     index, size = postings(docs, key, *fields), lengths(docs, key, *fields)
     stats = size.agg(F.count("*").cast("double").alias("n_docs"), F.avg("dl").alias("avgdl"))
     parts = None
-    for p in dict.fromkeys(_phrases(tree)):
+    for p, near in dict.fromkeys(_phrases(tree)):
         tf = phrase_counts(index, key, p)
-        df = tf.agg(F.count("*").cast("double").alias("df"))
+        df = tf.agg(F.count("*").cast("double").alias("df"))  # a phrase is as rare as it is anywhere
+        if near:
+            tf = near_counts(index, key, near).filter(F.col("i") == near.phrases.index(p)).select(key, "tf")
         scored = tf.crossJoin(F.broadcast(df)).select(key, "tf", "df")  # one row
         parts = scored if parts is None else parts.unionByName(scored)
     idf = F.ln((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))

@@ -7,7 +7,7 @@ from tessera.operators import search as S
 DOCS = [(1, "the quick brown fox"), (2, "the quick dog sleeps; the fox too"), (3, "brown bear brown fox brown"), (4, "nothing here"), (5, "quick quick quick"), (6, "zebra and fox quick brown")]
 
 
-@pytest.mark.parametrize("query", ["quick", "quick fox", "quick AND brown", "fox OR bear", "quick NOT fox", '"brown fox"', "bro*", "(bear OR dog) AND fox", "text:zebra"])
+@pytest.mark.parametrize("query", ["quick", "quick fox", "quick AND brown", "fox OR bear", "quick NOT fox", '"brown fox"', "bro*", "(bear OR dog) AND fox", "text:zebra", "NEAR(quick fox, 1)", "NEAR(quick fox, 0)", 'NEAR("brown fox" bear)', "NEAR(fox bro* quick, 2) OR nothing", "fox NOT NEAR(the fox, 0)"])
 def test_ranks_like_the_embedded_engine(spark, query):
     con = sqlite3.connect(":memory:")
     con.execute("CREATE VIRTUAL TABLE t USING fts5(text)")
@@ -17,7 +17,7 @@ def test_ranks_like_the_embedded_engine(spark, query):
     assert {r.doc_id: round(r.score, 5) for r in got} == {i: round(s, 5) for i, s in want}
 
 
-@pytest.mark.parametrize("query", ["AND", "a AND", "(a", "NOT a", ""])
+@pytest.mark.parametrize("query", ["AND", "a AND", "(a", "NOT a", "", "NEAR()"])
 def test_bad_queries_are_refused(query):
     with pytest.raises(S.SyntaxProblem):
         S.parse(query)
