@@ -10,7 +10,7 @@ import re
 
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, MapType, StringType
+from pyspark.sql.types import ArrayType, IntegerType, MapType, StringType, StructType
 
 #: Fixed value: what stands where a message was cut.
 CUT = "\n...[TRUNCATED TO FIT CONTEXT]...\n"
@@ -105,6 +105,52 @@ def tidy_diff(text: str | None) -> str:
     return body + "\n" if body else ""
 
 
+def hunks_of(diff: str | None) -> list[tuple[list[str], list[str]]]:
+    """The lines that each hunk expects and those that it leaves in their place."""
+    out: list[tuple[list[str], list[str]]] = []
+    for part in re.split(r"(?m)^@@[^\n]*\n", diff or "")[1:]:
+        body = re.split(r"(?m)^(?:diff --git |--- )", part)[0].removesuffix("\n").split("\n")
+        body = [x for x in body if not x.startswith("\\")]
+        out.append(([x[1:] for x in body if not x.startswith("+")], [x[1:] for x in body if not x.startswith("-")]))
+    return out
+
+
+def placed(lines: list[str], old: list[str], least: float = 0.5) -> tuple[int, int] | None:
+    """Where the lines that a hunk expects stand: first line and number of lines.
+
+    White space at the ends of lines doesn't count.  If they stand nowhere, the range between their
+    first and last line (each found once) is taken, of at most twice their number; else the place where the
+    largest share of them agrees, if that is ``least`` or more; of equals, the first.
+    """
+    have, want = [x.strip() for x in lines], [x.strip() for x in old]
+    n = len(want)
+    if not n:
+        return (0, 0)
+    last = len(have) - n
+    for i in range(last + 1):
+        if have[i : i + n] == want:
+            return (i, n)
+    if want[0] and want[-1] and have.count(want[0]) == 1 == have.count(want[-1]):
+        i, k = have.index(want[0]), have.index(want[-1]) + 1
+        if 0 < k - i <= 2 * n:
+            return (i, k - i)
+    agree = [sum(map(str.__eq__, have[i : i + n], want)) / n for i in range(last + 1)]
+    best = max(agree, default=0.0)
+    return (agree.index(best), n) if agree and best >= least else None
+
+
+def patched(source: str | None, diff: str | None) -> tuple[str, int]:
+    """The text with a diff's hunks put in, and the number of hunks that fit nowhere."""
+    lines, lost = (source or "").split("\n"), 0
+    for old, new in hunks_of(diff):
+        at = placed(lines, old)
+        if at is None:
+            lost += 1
+        else:
+            lines[at[0] : at[0] + at[1]] = new
+    return "\n".join(lines), lost
+
+
 def new_files_of(diff: str | None) -> dict[str, str]:
     """Contents of the files that a diff creates."""
     out: dict[str, str] = {}
@@ -173,3 +219,8 @@ def compressed_column(tokens: int):
         return contents.map(lambda x: None if x is None else compressed([c or "" for c in x], tokens))
 
     return made
+
+
+@F.pandas_udf(StructType().add("text", StringType()).add("lost", IntegerType()))
+def patched_column(sources: pd.Series, diffs: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([patched(s, d) for s, d in zip(sources, diffs, strict=True)], columns=["text", "lost"])

@@ -172,3 +172,10 @@ def answer_reward(guess: Column, answer: Column) -> Column:
         F.when(guess.isNull(), -2.0).when(guess == answer, 5.0).when(strip(guess) == strip(answer), 3.5)
         .when(ratio.isNull(), -4.5).when(ratio.between(0.9, 1.1), 2.0).when(ratio.between(0.8, 1.2), 1.5).otherwise(-2.5)
     )
+
+
+def cosine(a: Column, b: Column) -> Column:
+    """Cosine of two array columns in double; 0 if a norm is 0."""
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+    norms = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
+    return F.when(norms == 0, 0.0).otherwise(dot(a, b) / norms)

@@ -145,7 +145,7 @@ def t81_resolved_paths(spark, sf_dir):
 SELECT CAST(label AS BIGINT) AS label, CAST(rn AS BIGINT) AS rank, CAST(other AS BIGINT) AS other, round(s, 6) AS score FROM (SELECT a.label, b.label AS other, list_cosine_similarity(a.v, b.v) AS s, row_number() OVER (PARTITION BY a.label ORDER BY list_cosine_similarity(a.v, b.v) DESC, b.label) AS rn FROM v a JOIN v b ON a.label <> b.label) WHERE rn <= 2""")
 def j07_nearest_labels(spark, sf_dir):
     """The two nearest other labels of each label, by mean vector; labels are few, vectors of pairs stay a small table."""
-    from tessera.plans.registry import cosine
+    from tessera.functions.text import cosine
 
     e = read(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("label"), F.posexplode("embedding").alias("i", "x"))
     mean = e.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))

@@ -9,6 +9,7 @@ from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.functions.text import cosine
 from tessera.operators import order as O
 from tessera.operators import search as S
 from tessera.plans import mixes, parsing, reports  # noqa: F401  (they register their queries)
@@ -125,13 +126,6 @@ def j05_base_against_tuned(spark, sf_dir):
     return top.select("event_type", F.round("m", 6).alias("base"), F.round("t", 6).alias("tuned"))
 
 
-def cosine(a, b):
-    """Cosine of two array columns in double; 0 if a norm is 0."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    norms = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(norms == 0, 0.0).otherwise(dot(a, b) / norms)
-
-
 _COS = "list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))"
 
 

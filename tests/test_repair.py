@@ -51,3 +51,23 @@ def test_columns(spark):
     frame = spark.createDataFrame([("FILE: a\nx",), (None,)], "t string")
     rows = frame.select(R.files_column("t"), R.json_column("t"), R.diffs_column("t"), R.new_files_column("t")).collect()
     assert rows[0][0] == {"a": "x\n"} and rows[1][1] is None
+
+
+TEXT = "a\n  b\nc\nd\ne\n"
+
+
+@pytest.mark.parametrize("diff, want, lost", [
+    ("--- a/x\n+++ b/x\n@@ -1,3 +1,3 @@\n a\n-b\n+B\n c\n", "a\nB\nc\nd\ne\n", 0),
+    ("@@ -9 +9 @@\n-c\n+C\n@@ -1 +1 @@\n-e\n+E\n", "a\n  b\nC\nd\nE\n", 0),
+    ("@@\n a\n-x\n-y\n+n\n d\n", "a\nn\nd\ne\n", 0),  # by its ends
+    ("@@\n-q\n-c\n-d\n+n\n", "a\nn\ne\n", 0),  # two of three lines agree
+    ("@@\n-q\n-r\n-s\n+n\n", TEXT, 1),
+    ("", TEXT, 0), (None, TEXT, 0),
+])
+def test_patches_find_their_place(diff, want, lost):
+    assert R.patched(TEXT, diff) == (want, lost)
+
+
+def test_patched_column(spark):
+    df = spark.createDataFrame([("a\nb", "@@\n-b\n+c\n"), (None, "@@\n-b\n+c\n")], "s string, d string")
+    assert [tuple(r[0]) for r in df.select(R.patched_column("s", "d")).collect()] == [("a\nc", 0), ("", 1)]
