@@ -12,7 +12,7 @@ from tessera.functions import text as T
 from tessera.functions.text import cosine
 from tessera.operators import order as O
 from tessera.operators import search as S
-from tessera.plans import mixes, parsing, reports  # noqa: F401  (they register their queries)
+from tessera.plans import mixes, parsing, registers, reports  # noqa: F401  (they register their queries)
 from tessera.plans.base import QUERIES, SQL, U01, query, read, simple
 
 # --- projections, filters, scalars -------------------------------------------------------------
@@ -87,8 +87,8 @@ _searched("q02_and", "licensed AND under", _bm25(_TWO, "SELECT doc_id FROM tf GR
 _searched("q02_not", "licensed NOT mit", _bm25("SELECT doc_id, term AS ph, count(*) AS tf FROM p WHERE term = 'licensed' GROUP BY ALL", "SELECT doc_id FROM tf EXCEPT SELECT doc_id FROM p WHERE term = 'mit'"))
 _searched("q02_phrase", '"licensed under"', _bm25("SELECT a.doc_id, 'x' AS ph, count(*) AS tf FROM p a JOIN p b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 WHERE a.term = 'licensed' AND b.term = 'under' GROUP BY ALL", "SELECT doc_id FROM tf"))
 _searched("q02_prefix", "licens*", _bm25("SELECT doc_id, 'x' AS ph, count(*) AS tf FROM p WHERE starts_with(term, 'licens') GROUP BY ALL", "SELECT doc_id FROM tf"))
-_searched("q02_near", "NEAR(licensed mit, 5)", f"""{_POST}, q AS (SELECT * FROM p WHERE term IN ('licensed', 'mit')),
-tf AS (SELECT doc_id, term AS ph, count(*) AS tf FROM q WHERE EXISTS (SELECT 1 FROM q o WHERE o.doc_id = q.doc_id AND o.term <> q.term AND abs(o.pos - q.pos) <= 6) GROUP BY ALL),
+_searched("q02_near", "NEAR(under the, 2)", f"""{_POST}, q AS (SELECT * FROM p WHERE term IN ('under', 'the')),
+tf AS (SELECT doc_id, term AS ph, count(*) AS tf FROM q WHERE EXISTS (SELECT 1 FROM q o WHERE o.doc_id = q.doc_id AND o.term <> q.term AND abs(o.pos - q.pos) <= 3) GROUP BY ALL),
 df AS (SELECT term AS ph, count(DISTINCT doc_id)::DOUBLE AS df FROM q GROUP BY 1)
 SELECT doc_id, round(-{_RANK}, 6) AS score FROM tf JOIN df USING (ph) JOIN len USING (doc_id), st GROUP BY doc_id ORDER BY -{_RANK}, doc_id LIMIT 10""")
 
