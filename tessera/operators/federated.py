@@ -57,7 +57,7 @@ def snippet(words: list[str], n: int = 12) -> object:
 
 
 def query_words(query: str) -> list[str]:
-    return [w for p in S._phrases(S.parse(query)) for w in p.words]
+    return [w for p, _ in S._phrases(S.parse(query)) for w in p.words]
 
 
 def hits(docs: DataFrame, query: str, k: int = 10, with_text: bool = False, tokens: int = 24, most_text: int = 4000) -> DataFrame:
