@@ -9,7 +9,8 @@ State is a folder of Parquet tables, one folder per version:
 
 ``insert`` and ``delete`` write the next version from the last one and the changed
 documents: counts of touched keys are taken anew, and keys that cross the threshold
-are put into or taken out of their shard's filter, which cuckoo filters allow.
+are put into or taken out of their shard's filter, which cuckoo filters allow.  A
+filter that is full is made anew, with more room, from the counts.
 ``clean`` asks the filters first: a line that none holds stays without a join.  The
 rest is decided by the exact counts, so false positives cost time only.  Filters
 are sent to the workers only while they are small; else all lines go to the join.
@@ -192,7 +193,10 @@ class LineIndex:
         changes = after.join(before, keys, "left_anti").select("shard", "k1", F.lit(1).alias("what")) if self.version else after.select("shard", "k1", F.lit(1).alias("what"))
         if self.version:
             changes = changes.unionByName(before.join(after, keys, "left_anti").select("shard", "k1", F.lit(-1).alias("what")))
-        self._filters(changes).write.parquet(f"{to}/filters")
+        filters = self._filters(changes)
+        if self.version:
+            filters = self._rebuilt(stored(filters, "filters"), after)
+        filters.write.parquet(f"{to}/filters")
         self.version += 1
         return self
 
@@ -204,7 +208,7 @@ class LineIndex:
     def _filters(self, changes: DataFrame) -> DataFrame:
         """The last filters with ``changes`` (shard, k1, what) put in (1) or taken out (-1).
 
-        A shard holds about as many keys as any other, since k1 is a hash.
+        A filter that is too small for that comes without cells and -1 items.  A shard holds about as many keys as any other, since k1 is a hash.
         """
 
         def merge(key: tuple, filters: pd.DataFrame, moves: pd.DataFrame) -> pd.DataFrame:
@@ -216,15 +220,27 @@ class LineIndex:
                 try:
                     cuckoo.insert(put)
                 except OverflowError:
-                    # Fingerprints alone can't be dealt to more buckets; an all-passing filter is still right.
-                    cuckoo = Cuckoo(1)
-                    cuckoo.items = -1
+                    # Fingerprints alone can't be dealt to more buckets.
+                    return pd.DataFrame({"shard": [key[0]], "items": [-1], "cells": [b""]})
             else:
                 cuckoo = built(put, 2 * len(put))
             return pd.DataFrame({"shard": [key[0]], "items": [cuckoo.items], "cells": [cuckoo.bytes()]})
 
         return self._read("filters").groupBy("shard").cogroup(changes.groupBy("shard")).applyInPandas(merge, "shard int, items long, cells binary")
 
+    def _rebuilt(self, filters: DataFrame, blocked: DataFrame) -> DataFrame:
+        """``filters`` with those that were too small made anew from all blocked keys of their shard."""
+        small = [r.shard for r in filters.filter("items < 0").select("shard").collect()]  # at most one a shard
+        if not small:
+            return filters
+
+        def build(key: tuple, keys: pd.DataFrame) -> pd.DataFrame:
+            cuckoo = built(keys.k1.to_numpy(np.int64), 2 * len(keys))
+            return pd.DataFrame({"shard": [key[0]], "items": [cuckoo.items], "cells": [cuckoo.bytes()]})
+
+        anew = blocked.filter(F.col("shard").isin(small)).select("shard", "k1").groupBy("shard").applyInPandas(build, "shard int, items long, cells binary")
+        return filters.filter("items >= 0").unionByName(anew)
+
     def _maybe(self, lines: DataFrame) -> DataFrame:
         """The lines whose key some filter may hold."""
         filters = self._read("filters")
@@ -242,7 +258,7 @@ class LineIndex:
                 shard = k1 % shards  # numpy's remainder has the divisor's sign, as pmod
                 for s, c in cuckoos.items():
                     at = np.flatnonzero(shard == s)
-                    keep[at] = True if c.items < 0 else c.contains(k1[at])
+                    keep[at] = c.contains(k1[at])
                 yield batch.filter(pa.array(keep))
 
         return lines.mapInArrow(run, "doc_id long, at int, k1 long, k2 long")

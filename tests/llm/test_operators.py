@@ -186,6 +186,19 @@ def test_line_index_is_reversible(spark):
     assert result(frame.filter("doc_id < 20")) == brute_lines({d: t for d, t in texts.items() if d < 20})
 
 
+def test_line_index_of_growing_arrivals(spark):
+    """The second arrival overfills the one filter; the third brings a few more blocked keys."""
+    lines, texts, index = [f"Repeated line number {i} of the page" for i in range(40)], {}, LineIndex(spark, shards=1)
+    for known, n in ((1, 3), (37, 4), (39, 5)):
+        added = {len(texts) + i: "\n".join(lines[:known]) for i in range(n)}
+        texts |= added
+        index.insert(spark.createDataFrame([(d, t) for d, t in added.items()], "doc_id long, text string"))
+        (held,) = index._read("filters").collect()
+        assert held["items"] == known and Cuckoo.of(held["items"], held.cells).contains(np.array([r.k1 for r in index._blocked("counts", index.version).collect()])).all()
+        frame = spark.createDataFrame([(d, t) for d, t in texts.items()], "doc_id long, text string")
+        assert {r.doc_id: r.text for r in index.clean(frame).collect()} == brute_lines(texts)
+
+
 def test_cuckoo_filter():
     rng = np.random.default_rng(9)
     items = rng.integers(-(1 << 63), (1 << 63) - 1, 5000)
