@@ -139,7 +139,8 @@ def _blocks(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, np.n
 
 def _places(batch: pa.RecordBatch, at: int, to: int, doc: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """doc_id and number within its document of each word."""
-    ids = batch.column(0).slice(at, to - at).to_numpy(zero_copy_only=False)
+    # A null id would make all of them floats; such rows have no seeds, so any number will do.
+    ids = batch.column(0).slice(at, to - at).fill_null(0).to_numpy(zero_copy_only=False)
     first = np.searchsorted(doc, np.arange(to - at))
     return ids[doc], np.arange(len(doc)) - first[doc]
 

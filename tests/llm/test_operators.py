@@ -68,6 +68,17 @@ def test_substring_equals_brute_force(spark, seed, monkeypatch):
     assert got == brute_substring(texts)
 
 
+def test_substring_with_a_null_id_in_the_task(spark):
+    texts = corpus(3)
+    frame = docs(spark, texts).unionByName(docs(spark, [texts[0]]).withColumn("doc_id", F.lit(None).cast("long"))).coalesce(1)
+    for one in (frame, frame.orderBy(F.desc_nulls_first("doc_id")).coalesce(1)):
+        rows = substring.deduplicate(one, digests=True).collect()
+        got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in rows if r.doc_id is not None}
+        assert got == brute_substring(texts)
+        kept = hashlib.sha256(b" ".join(words(texts[0]))).hexdigest()
+        assert [(r.n_removed, r.kept_sha256) for r in rows if r.doc_id is None] == [(0, kept)]
+
+
 def test_substring_settles_in_small_blocks():
     """Rows that a task settles itself and those it sends decide alike, whatever the block."""
     h = np.array([5, 5, 7, 5, 9], np.uint64)
