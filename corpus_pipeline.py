@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tessera.llm import bpe, mixing, simhash, toxicity
 from tessera.llm.lines import LineIndex
 from tessera.llm.queries import toxicity_model
-from tessera.llm.shared import stored, table
+from tessera.llm.shared import ROW, keyed, one_of_equal, stored, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,16 +29,16 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each component stays; documents without words, which all share
-    the fingerprint zero, are one such component."""
-    kept = simhash.near_duplicates(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """One row of each component stays, that of the smallest doc_id, a null one last; documents
+    without words, which all share the fingerprint zero, are one such component."""
+    return simhash.one_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document stands as often as the mix has copies of it."""
-    copies = mixing.mix(docs).filter("copies > 0").select("doc_id", "copies")
-    return docs.join(copies, "doc_id").withColumn("copy", F.explode(F.expr("sequence(1L, copies)"))).select(*docs.columns)
+    """Each row stands as often as the mix has copies of it; equal rows as often as of all of them."""
+    rows = keyed(docs)
+    copies = mixing.mix(rows, also=ROW).groupBy(*ROW).agg(F.sum("copies").alias("copies")).filter("copies > 0")
+    return one_of_equal(rows).join(copies, list(ROW)).withColumn("copy", F.explode(F.expr("sequence(1L, copies)"))).select(*docs.columns)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

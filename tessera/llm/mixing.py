@@ -85,9 +85,9 @@ def carried(sizes: np.ndarray, rate: float) -> np.ndarray:
     return out
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """(doc_id, source, size, source_size, target, rate, copies, taken), a row per document."""
-    sizes = stored(docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{source}`").cast("string").alias("source"), words_count(text).alias("size")), "sizes")
+def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST, also: tuple = ()) -> DataFrame:
+    """(doc_id, source, size, source_size, target, rate, copies, taken), a row per document, and the long columns ``also`` of it."""
+    sizes = stored(docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{source}`").cast("string").alias("source"), words_count(text).alias("size"), *also), "sizes")
     per = stored(tilt(targets(sizes, weights, share, most)), "targets")
     # Few rows, one for each source; whether they are broadcast is left to their size.
     both = sizes.join(per, sizes.source.eqNullSafe(per.source)).drop(per.source)
@@ -95,9 +95,9 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     both = both.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), buckets))
 
     def round_off(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["size", "doc_id"], ascending=[False, True], kind="stable")
+        rows = rows.sort_values(["size", "doc_id", *also], ascending=[False, *[True] * (1 + len(also))], kind="stable")
         rows["copies"] = carried(rows["size"].to_numpy(), float(rows["rate"].iloc[0]))
         rows["taken"] = rows["copies"] * rows["size"]
-        return rows[["doc_id", "source", "size", "source_size", "target", "rate", "copies", "taken"]]
+        return rows[["doc_id", "source", "size", "source_size", "target", "rate", "copies", "taken", *also]]
 
-    return both.groupBy("source", "bucket").applyInPandas(round_off, "doc_id long, source string, size long, source_size long, target double, rate double, copies long, taken long")
+    return both.groupBy("source", "bucket").applyInPandas(round_off, "doc_id long, source string, size long, source_size long, target double, rate double, copies long, taken long" + "".join(f", {c} long" for c in also))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The ASCII white space that separates words: space and \t \n \v \f \r.
@@ -46,6 +46,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Columns of ``keyed``.
+ROW = ("__k1", "__k2")
+
+
+def keyed(df: DataFrame) -> DataFrame:
+    """``df`` with 128 bits of hash of all its columns, equal for equal rows only."""
+    columns = [x for c in df.columns for x in (F.col(f"`{c}`"), F.isnull(F.col(f"`{c}`")))]
+    return df.withColumns({ROW[0]: F.xxhash64(*columns), ROW[1]: F.xxhash64(F.lit("second"), *columns)})
+
+
+def one_of_equal(df: DataFrame) -> DataFrame:
+    """``df``, which ``keyed`` made, with one of equal rows."""
+    return df.withColumn("__nth", F.row_number().over(Window.partitionBy(*ROW).orderBy(*ROW))).filter("__nth = 1").drop("__nth")
+
+
 def words_count(text: str = "text"):
     """Number of runs of non-white characters; 0 for null."""
     return F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")

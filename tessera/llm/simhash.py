@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import ROW, keyed, one_of_equal, stored
 
 RADIUS, SEGMENTS, CHAIN = 2, 8, 3
 PAIRS_UP_TO = 16
@@ -66,16 +66,16 @@ def fingerprint(text: bytes | None, width: int = 3) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp) of every row."""
-    frame = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").cast("binary").alias("text"))
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", also: tuple = ()) -> DataFrame:
+    """(doc_id, fp) of every row, and the long columns ``also`` of it."""
+    frame = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").cast("binary").alias("text"), *also)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = [fingerprint(x.as_py()) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.int64()), *batch.columns[2:]], names=["doc_id", "fp", *also])
 
-    return frame.mapInArrow(run, "doc_id long, fp long")
+    return frame.mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", "fp", *also)))
 
 
 def _segment(fp: Column, i: int) -> Column:
@@ -167,12 +167,27 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("v").alias("node"), F.col("u").alias("root")).unionByName(e.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct())
 
 
+def _rooted(prints: DataFrame, name: Column, pairs_up_to: int) -> DataFrame:
+    """(fp, root, low): the component of each fingerprint, and the least ``name`` of its rows."""
+    classes = stored(prints.groupBy("fp").agg(F.min(name).alias("low")), "classes")
+    roots = components(links(classes.select("fp"), pairs_up_to))
+    return classes.join(roots, classes.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "low")
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pairs_up_to: int = PAIRS_UP_TO) -> DataFrame:
+    """One row of each component, as it is: that of the smallest doc_id, a null one last;
+    among different rows of that id, that of the least hash."""
+    rows = keyed(docs)
+    prints = stored(fingerprints(rows, doc_id, text, ROW), "fingerprints")
+    name = F.struct(F.isnull("doc_id").alias("unnamed"), "doc_id", *ROW)
+    kept = _rooted(prints, name, pairs_up_to).groupBy("root").agg(F.min("low").alias("low")).select(*[F.col(f"low.{c}").alias(c) for c in ROW])
+    return one_of_equal(rows.join(kept, list(ROW), "left_semi")).select(*docs.columns)
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pairs_up_to: int = PAIRS_UP_TO) -> DataFrame:
     """One row per document: doc_id, fp (signed), component_id."""
     prints = stored(fingerprints(docs, doc_id, text), "fingerprints")
-    classes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "classes")
-    roots = components(links(classes.select("fp"), pairs_up_to))
-    joined = classes.join(roots, classes.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "low")
+    joined = _rooted(prints, F.col("doc_id"), pairs_up_to)
     named = joined.groupBy("root").agg(F.min("low").alias("component_id"))
     told = stored(joined.join(named, "root").select("fp", "component_id"), "components")
     return prints.join(told, "fp").select("doc_id", "fp", "component_id")

@@ -12,6 +12,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tessera.llm import ann, bpe, mixing, quality, sharding, simhash, substring, toolcalls, toxicity
 from tessera.llm.lines import Cuckoo, LineIndex
 
@@ -337,3 +338,22 @@ def test_null_and_repeated_ids(spark):
     frame = docs(spark, ["a line that is long enough to count"] * 4).withColumn("doc_id", F.when(F.col("doc_id") < 2, 1).when(F.col("doc_id") == 2, 2))
     for run in (lambda d: substring.deduplicate(d), lambda d: LineIndex(spark).insert(d).clean(d), lambda d: mixing.mix(d), lambda d: simhash.near_duplicates(d)):
         assert run(frame).count() == 4
+
+
+def test_pipeline_keeps_one_row_of_each_component(spark):
+    own, other, third = (" ".join(f"{w}{i}" for i in range(30)) for w in "abc")
+    rows = [(7, own), (7, own), (3, own), (None, own), (None, other), (None, other), (5, third), (5, "quite another text under the same id"), (None, None), (9, "")]
+    frame = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], SCHEMA)
+    got = corpus_pipeline.keep_one_of_near_duplicates(spark, frame, "")
+    assert got.columns == frame.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(3, own), (None, other), (5, third), (5, rows[7][1]), (9, "")], key=str)
+
+
+def test_pipeline_mix_of_repeated_and_null_ids(spark):
+    frame = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in [(1, "a b c"), (1, "a b c"), (1, "d e f"), (None, "g h i"), (None, "g h i"), (2, "k l m")] * 5], SCHEMA)
+    want = Counter()
+    for r in mixing.mix(frame).collect():
+        want[r.doc_id] += r.copies
+    got = corpus_pipeline.mix_sources(spark, frame, "").collect()
+    assert Counter(r.doc_id for r in got) == want and len(got) == sum(want.values())
+    assert {r.text for r in got} == {"a b c", "d e f", "g h i", "k l m"}
