@@ -5,6 +5,7 @@ import json
 import random
 from collections import Counter
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -13,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import ann, bpe, mixing, quality, sharding, simhash, substring, toolcalls, toxicity
+from tessera.llm import ann, bpe, mixing, quality, queries, sharding, simhash, substring, toolcalls, toxicity
 from tessera.llm.lines import Cuckoo, LineIndex
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -357,3 +358,16 @@ def test_pipeline_mix_of_repeated_and_null_ids(spark):
     got = corpus_pipeline.mix_sources(spark, frame, "").collect()
     assert Counter(r.doc_id for r in got) == want and len(got) == sum(want.values())
     assert {r.text for r in got} == {"a b c", "d e f", "g h i", "k l m"}
+
+
+def test_chained_calls_have_an_order(spark, tmp_path):
+    roles = ["system", "user", "assistant", "user", "assistant", "user", "assistant", "user"]
+    rows = [(c, t, r, f'text "{t}"\n') for c in range(3) for t, r in enumerate(roles[c:])]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = queries.op6_chained_calls(spark, str(tmp_path))
+    assert sorted((r.conv_id, r.turn, r.depth) for r in got.collect()) == [(0, 1, 0), (0, 3, 1), (0, 5, 2), (0, 7, 3), (1, 0, 0), (1, 2, 1), (1, 4, 2), (1, 6, 3), (2, 1, 0), (2, 3, 1), (2, 5, 2)]
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = con.sql(queries.SQL["op6_chained_calls"])
+    assert got.columns == want.columns
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want.fetchall()))
