@@ -10,7 +10,7 @@ from . import ann, bpe, mixing, quality, sharding, simhash, substring, toolcalls
 from .lines import LineIndex
 from .shared import table
 
-#: Documents of an arrival, in order of their ids.
+#: Documents of an arrival, on average, in order of their ids.
 ARRIVAL = 512
 #: The one tool of the conversations' derived calls.
 REPLY = {"reply": {"type": "object", "required": ["text", "turn"], "additionalProperties": False, "properties": {"text": {"type": "string"}, "turn": {"type": "integer", "minimum": 0}}}}
@@ -73,7 +73,10 @@ def op7_size_tiered_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Arrivals of ``ARRIVAL`` documents become shards, then full tiers are merged; returns where each document lies."""
     docs = table(spark, sf_dir, "documents")
     store = sharding.ShardStore(spark)
-    store.append(docs, F.floor(F.col("doc_id") / ARRIVAL))
+    # As many arrivals as ARRIVAL documents each make, over the range of the ids: sparse ids don't make more of them.
+    n, low, high = docs.agg(F.count("doc_id"), F.min("doc_id"), F.max("doc_id")).first()
+    width = max(1, (high - low + 1) * ARRIVAL // max(1, n)) if n else 1
+    store.append(docs, F.floor((F.col("doc_id") - F.lit(low or 0)) / width))
     store.compact(docs.schema)
     rows = store.read(docs.schema)
     return rows.select("doc_id", F.col("gen").cast("long").alias("gen"), "shard", "n_rows", "n_bytes", F.col("tier").cast("long").alias("tier"))
@@ -81,7 +84,7 @@ def op7_size_tiered_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return LineIndex(spark).insert(docs).clean(docs, digests=True)
+    return LineIndex(spark).deduplicate(docs, digests=True)
 
 
 def op9_entropy_balancing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,7 +133,9 @@ FROM told c LEFT JOIN ordered o ON o.conv_id = c.conv_id AND o.turn = c.turn LEF
 """
 
 _OP7 = f"""
-WITH arrivals AS (SELECT coalesce(CAST(floor(doc_id / {ARRIVAL}) AS BIGINT), -1) AS shard, count(*) AS n_rows, CAST(sum(coalesce(strlen(text), 0)) AS BIGINT) AS n_bytes FROM documents GROUP BY 1),
+WITH width AS (SELECT min(doc_id) AS low, greatest(1, (max(doc_id) - min(doc_id) + 1) * {ARRIVAL} // greatest(1, count(doc_id))) AS w FROM documents),
+dealt AS (SELECT d.doc_id, d.text, coalesce((d.doc_id - w.low) // w.w, -1) AS shard FROM documents d, width w),
+arrivals AS (SELECT shard, count(*) AS n_rows, CAST(sum(coalesce(strlen(text), 0)) AS BIGINT) AS n_bytes FROM dealt GROUP BY 1),
 tiers AS (SELECT *, CAST(greatest(0, ceil(ln(greatest(n_bytes, 1) / {sharding.SMALL}) / ln({sharding.FANOUT}.0))) AS BIGINT) AS tier FROM arrivals),
 full_tiers AS (SELECT *, sum(n_bytes) OVER (PARTITION BY tier ORDER BY shard ROWS UNBOUNDED PRECEDING) - n_bytes AS before
   FROM (SELECT *, count(*) OVER (PARTITION BY tier) AS n FROM tiers WHERE n_bytes < {sharding.TARGET}) WHERE n >= {sharding.FANOUT}),
@@ -139,7 +144,7 @@ placed AS (SELECT a.*, CASE WHEN p.moved IS NULL THEN 1 ELSE 2 END AS gen, coale
 sized AS (SELECT gen, final, CAST(sum(n_rows) AS BIGINT) AS n_rows, CAST(sum(n_bytes) AS BIGINT) AS n_bytes FROM placed GROUP BY 1, 2)
 SELECT d.doc_id, CAST(p.gen AS BIGINT) AS gen, p.final AS shard, s.n_rows, s.n_bytes,
   CAST(greatest(0, ceil(ln(greatest(s.n_bytes, 1) / {sharding.SMALL}) / ln({sharding.FANOUT}.0))) AS BIGINT) AS tier
-FROM documents d JOIN placed p ON p.shard = coalesce(CAST(floor(d.doc_id / {ARRIVAL}) AS BIGINT), -1) JOIN sized s ON s.gen = p.gen AND s.final = p.final
+FROM dealt d JOIN placed p ON p.shard = d.shard JOIN sized s ON s.gen = p.gen AND s.final = p.final
 """
 
 _OP8 = r"""

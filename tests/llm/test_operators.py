@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import ann, bpe, mixing, quality, queries, sharding, simhash, substring, toolcalls, toxicity
+from tessera.llm import ann, bpe, lines, mixing, quality, queries, sharding, simhash, substring, toolcalls, toxicity
 from tessera.llm.lines import Cuckoo, LineIndex
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -206,12 +206,64 @@ def test_line_index_of_growing_arrivals(spark):
         added = {len(texts) + i: "\n".join(lines[:known]) for i in range(n)}
         texts |= added
         index.insert(spark.createDataFrame([(d, t) for d, t in added.items()], "doc_id long, text string"))
-        (held,) = index._read("filters").collect()
-        assert held["items"] == known and Cuckoo.of(held["items"], held.cells).contains(np.array([r.k1 for r in index._blocked("counts", index.version).collect()])).all()
+        (held,) = index._all("filters").collect()
+        assert held["items"] == known and Cuckoo.of(held["items"], held.cells).contains(np.array([r.k2 for r in index.blocked().collect()])).all()
         frame = spark.createDataFrame([(d, t) for d, t in texts.items()], "doc_id long, text string")
         assert {r.doc_id: r.text for r in index.clean(frame).collect()} == brute_lines(texts)
 
 
+@pytest.mark.parametrize("shard_keys", [4, 1 << 14])
+def test_line_index_opened_again_changed_often_and_resharded(spark, monkeypatch, shard_keys):
+    """Each change is made on the index opened anew by its path; contents equal brute force throughout."""
+    monkeypatch.setattr(lines, "SHARD_KEYS", shard_keys)
+    monkeypatch.setattr(lines, "MERGE", 3)
+    monkeypatch.setattr(lines, "PROBED", 7)
+    rng = random.Random(21)
+    pool = [f"Shared line number {i} of the whole" for i in range(30)]
+    texts, path = {}, LineIndex(spark).path
+    table = lambda part: spark.createDataFrame(list(part.items()), "doc_id long, text string")
+    for step in range(7):
+        index = LineIndex(spark, path, shards=2)
+        assert index.version == step
+        if step in (3, 5):
+            gone = rng.sample(sorted(texts), 6)
+            index.delete(spark.createDataFrame([(d,) for d in [*gone, 9999]], "doc_id long"))
+            texts = {d: t for d, t in texts.items() if d not in gone}
+        else:
+            added = {100 * step + i: "\n".join(rng.choices(pool, k=rng.randint(0, 6))) for i in range(12)}
+            if step == 6:
+                added[gone[0]] = "\n".join(pool[:3])  # deleted before
+            again = {d: texts[d] for d in list(texts)[:3]}  # held already: nothing counts twice
+            index.insert(table(added | again))
+            texts |= added
+        assert {r.doc_id: r.text for r in LineIndex(spark, path).clean(table(texts)).collect()} == brute_lines(texts)
+    assert index.shards == (2 if shard_keys > 4 else index.shards) and index.vacuum() > 0
+    assert {r.doc_id: r.text for r in LineIndex(spark, path).clean(table(texts)).collect()} == brute_lines(texts)
+
+
+def test_line_index_failed_and_second_writers(spark, monkeypatch):
+    texts = {d: "one line that all of them share" for d in range(4)}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    index = LineIndex(spark)
+    monkeypatch.setattr(LineIndex, "_built", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        index.insert(frame)
+    monkeypatch.undo()
+    assert index.version == 0 and index.tables == []
+    other = LineIndex(spark, index.path)
+    index.insert(frame)
+    with pytest.raises(sharding.Conflict):
+        other.insert(frame)
+    assert other.version == 1 and {r.doc_id: r.text for r in other.clean(frame).collect()} == brute_lines(texts)
+
+
+def test_rows_that_share_an_id_lose_only_their_own(spark):
+    line = "a line that stands in three documents"
+    frame = spark.createDataFrame([(1, f"own first line of the text here\n{line}"), (1, f"{line}\nkeep this unique line, please"), (2, line), (3, line), (None, line), (None, line)], "doc_id long, text string")
+    got = LineIndex(spark).deduplicate(frame).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, "own first line of the text here"), (1, "keep this unique line, please"), (2, ""), (3, line), (None, line), (None, line)], key=str)
+
+
 def test_cuckoo_filter():
     rng = np.random.default_rng(9)
     items = rng.integers(-(1 << 63), (1 << 63) - 1, 5000)
@@ -320,11 +372,34 @@ def test_shard_store(spark):
         assert store.read(frame.schema, v).select("doc_id").distinct().count() == n
     assert store.manifest(3).count() < store.manifest(2).count()
     with pytest.raises(sharding.Conflict):
-        store._commit(3, store.manifest(3))
-    assert store.vacuum() >= 1 and store.read(frame.schema).count() == 401
+        store.log.commit(3, store.manifest(3))
+    assert store.vacuum() == 0 and store.vacuum(older_than_s=0) >= 1 and store.read(frame.schema).count() == 401
     assert store.append(frame.limit(0), F.col("doc_id")) == 4 and store.read(frame.schema).count() == 401
 
 
+def test_shard_store_after_a_crash_and_with_two_writers(spark, monkeypatch):
+    frame = docs(spark, [f"text {i}" for i in range(40)])
+    one = sharding.ShardStore(spark)
+    one.append(frame, F.floor(F.col("doc_id") / 10))
+    with monkeypatch.context() as m:
+        m.setattr(one.log, "commit", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            one.append(frame, F.lit(0))
+    assert one.version() == 1 and one.read(frame.schema).count() == 40
+    two = sharding.ShardStore(spark, one.path)
+    with monkeypatch.context() as m:  # both start from version 1
+        m.setattr(two, "version", lambda: 1)
+        assert one.append(frame, F.lit(1)) == 2
+        with pytest.raises(sharding.Conflict):
+            two.append(frame.limit(7), F.lit(1))
+    got = two.read(frame.schema)
+    assert got.count() == 80 and got.agg(F.sum(F.when(F.col("gen") == 2, 1))).first()[0] == 40 and {r.n_rows for r in got.filter("gen = 2").collect()} == {40}
+    assert two.append(frame, F.lit(2)) == 3
+    for name in ("gen", "shard", "tier"):
+        with pytest.raises(ValueError):
+            one.append(frame.withColumn(name, F.lit(1)), F.lit(1))
+
+
 @pytest.mark.parametrize("run", [
     lambda d: substring.deduplicate(d), lambda d: quality.assess(d), lambda d: bpe.encode(d, VOCABULARY, public_tokenizers.PATTERN), lambda d: toxicity.score(d, None),
     lambda d: LineIndex(d.sparkSession).insert(d).clean(d), lambda d: mixing.mix(d), lambda d: simhash.near_duplicates(d),
