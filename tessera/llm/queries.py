@@ -12,11 +12,8 @@ from .shared import table
 
 #: Documents of an arrival, on average, in order of their ids.
 ARRIVAL = 512
-#: The one tool of the conversations' derived calls.
-REPLY = {"reply": {"type": "object", "required": ["text", "turn"], "additionalProperties": False, "properties": {"text": {"type": "string"}, "turn": {"type": "integer", "minimum": 0}}}}
-
-#: The same with the call that it comes after, if there is one.
-CHAINED = {"reply": REPLY["reply"] | {"properties": REPLY["reply"]["properties"] | {"after": {"type": ["string", "null"]}}}}
+#: The one tool of the conversations' derived calls; ``after``: the call that it comes after, if there is one.
+REPLY = {"reply": {"type": "object", "required": ["text", "turn"], "additionalProperties": False, "properties": {"text": {"type": "string"}, "turn": {"type": "integer", "minimum": 0}, "after": {"type": ["string", "null"]}}}}
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,25 +45,16 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The conversations hold no tool calls of their own, so each is read as calls of one tool:
-    a user's turn t calls ``reply`` as ``call_t``, and the assistant's turn t answers ``call_(t-1)``."""
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    arguments = F.to_json(F.struct("text", "turn"), {"ignoreNullFields": "false"})
-    calls = turns.filter("role = 'user'").select("conv_id", "turn", F.concat(F.lit("call_"), "turn").alias("call_id"), F.lit("reply").alias("name"), arguments.alias("arguments"))
-    results = turns.filter("role = 'assistant'").select("conv_id", "turn", F.concat(F.lit("call_"), F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
-    return toolcalls.link(calls, results, REPLY).drop("problem")
-
-
-def op6_chained_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``op6_tool_call_linking``, but a call also refers to the call two turns before it, if
-    there is one, so that calls have an order."""
+    """The conversations hold no tool calls of their own, so each is read as calls of one tool: a
+    user's turn t calls ``reply`` as ``call_t``, refers to the user's call two turns before, if there
+    is one, so that calls have an order, and is answered as ``call_t`` by the assistant's turn t + 1."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     users = turns.filter("role = 'user'")
     before = users.select("conv_id", (F.col("turn") + 2).alias("turn"), F.struct(F.concat(F.lit("call_"), "turn").alias("$ref")).alias("after")).distinct()
     arguments = F.to_json(F.struct("after", "text", "turn"), {"ignoreNullFields": "false"})
     calls = users.join(before, ["conv_id", "turn"], "left").select("conv_id", "turn", F.concat(F.lit("call_"), "turn").alias("call_id"), F.lit("reply").alias("name"), arguments.alias("arguments"))
     results = turns.filter("role = 'assistant'").select("conv_id", "turn", F.concat(F.lit("call_"), F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
-    return toolcalls.link(calls, results, CHAINED).drop("problem")
+    return toolcalls.link(calls, results, REPLY).drop("problem")
 
 
 def op7_size_tiered_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,7 +84,7 @@ def op10_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_compression_bands, op3_permutation_index, op4_byte_bpe, op5_toxicity, op6_tool_call_linking, op6_chained_calls, op7_size_tiered_compaction, op8_line_dedup, op9_entropy_balancing, op10_simhash_pigeonring)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_compression_bands, op3_permutation_index, op4_byte_bpe, op5_toxicity, op6_tool_call_linking, op7_size_tiered_compaction, op8_line_dedup, op9_entropy_balancing, op10_simhash_pigeonring)}
 
 _OP1 = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
@@ -112,15 +100,6 @@ FROM w LEFT JOIN told t ON t.doc_id = w.doc_id
 """
 
 _OP6 = r"""
-WITH calls AS (SELECT conv_id, turn, 'call_' || turn AS call_id, text FROM conversations WHERE role = 'user'),
-results AS (SELECT conv_id, turn, 'call_' || (turn - 1) AS call_id, text FROM conversations WHERE role = 'assistant'),
-first AS (SELECT conv_id, call_id, count(*) AS n_results, min(struct_pack(turn := turn, content := text)) AS f FROM results GROUP BY ALL)
-SELECT c.conv_id, c.turn, c.call_id, 'reply' AS name, c.text IS NOT NULL AS valid, 0 AS depth, coalesce(f.n_results, 0) AS n_results, f.f.turn AS result_turn,
-  '{"arguments":{"text":' || coalesce(CAST(to_json(c.text) AS VARCHAR), 'null') || ',"turn":' || c.turn || '},"id":"' || c.call_id || '","name":"reply","result":' || coalesce(CAST(to_json(f.f.content) AS VARCHAR), 'null') || '}' AS canonical
-FROM calls c LEFT JOIN first f ON f.conv_id = c.conv_id AND f.call_id = c.call_id
-"""
-
-_OP6_CHAINED = r"""
 WITH RECURSIVE calls AS (SELECT conv_id, turn, 'call_' || turn AS call_id, text FROM conversations WHERE role = 'user'),
 told AS (SELECT c.*, b.call_id AS after FROM calls c LEFT JOIN (SELECT DISTINCT conv_id, turn, call_id FROM calls) b ON b.conv_id = c.conv_id AND b.turn = c.turn - 2),
 ordered AS (SELECT conv_id, turn, 0 AS depth FROM told WHERE after IS NULL
@@ -156,4 +135,4 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, s
 FROM told GROUP BY doc_id
 """
 
-SQL = {"op1_substring_dedup": _OP1, "op6_tool_call_linking": _OP6, "op6_chained_calls": _OP6_CHAINED, "op7_size_tiered_compaction": _OP7, "op8_line_dedup": _OP8}
+SQL = {"op1_substring_dedup": _OP1, "op6_tool_call_linking": _OP6, "op7_size_tiered_compaction": _OP7, "op8_line_dedup": _OP8}

@@ -8,10 +8,12 @@ fingerprints are posted under each chain of three whole segments (24 bits), and
 pair that shares such a posting must pass the budgets of the longer chains before
 its full Hamming distance is taken.
 
-Postings with more than ``PAIRS_UP_TO`` members aren't paired.  Their members are
-linked exactly and in linear work instead: each is posted under itself and its 64
-one-bit neighbours; two fingerprints share such a posting if and only if they
-differ in at most two bits, and no posting can have more than 65 members.
+A posting with more than ``PAIRS_UP_TO`` members is split by the segments that follow its
+chain: the next four (32 bits) have a budget of one, so of the two halves of that window at
+least one is whole too, and each member is posted again under both halves.  What is left
+open halves each time, 16, 8, 4, 2 and 1 bits, until postings are small; the last ones
+leave 9 bits free, which no more than 512 different fingerprints can share.  So every link
+is found through the ring, at any number of fingerprints.
 
 Copies are one fingerprint from the start.  Classes are found among distinct
 fingerprints by alternating large and small stars over stored tables.
@@ -25,10 +27,11 @@ table gives an empty table.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import ROW, keyed, one_of_equal, stored
@@ -78,10 +81,6 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", al
     return frame.mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", "fp", *also)))
 
 
-def _segment(fp: Column, i: int) -> Column:
-    return F.shiftrightunsigned(fp, i * 64 // SEGMENTS).bitwiseAND(F.lit((1 << 64 // SEGMENTS) - 1))
-
-
 def _differing(x: Column, start: int, length: int) -> Column:
     """Bits that a chain of ``length`` segments from ``start`` has set in ``x``."""
     width = 64 // SEGMENTS
@@ -103,41 +102,55 @@ def within_budgets(x: Column, start: Column) -> Column:
     return fine
 
 
-def links(prints: DataFrame, pairs_up_to: int = PAIRS_UP_TO) -> DataFrame:
-    """Edges (u, v), u < v, whose components are those of the links among ``prints.fp``.
+def _masks() -> list[int]:
+    """The bits that must agree, by number start * 64 + node: node 1 is the chain of whole segments
+    alone; 2n and 2n + 1 halve what node n leaves open of the window behind the chain (node 1: all of it)."""
+    width = 64 // SEGMENTS
+    window = max(n for n in range(CHAIN, SEGMENTS) if n * RADIUS // SEGMENTS <= 1) * width - CHAIN * width
+    out = []
+    for number in range(SEGMENTS * 64):
+        start, node = divmod(number, 64)
+        level = max(0, node.bit_length() - 1)
+        open_ = window >> level
+        free = range((node - (1 << level)) * open_, (node - (1 << level) + 1) * open_)
+        fixed = [*range(CHAIN * width), *(CHAIN * width + i for i in range(window) if level and i not in free)]
+        mask = sum(1 << (start * width + i) % 64 for i in fixed)
+        out.append(mask - (1 << 64) if mask >> 63 else mask)
+    return out
 
-    ``prints`` holds distinct fingerprints.  Pairs from small postings are all the
-    links they hold; large postings give a star for each one-bit neighbour.
-    """
-    chains = F.array(*[
-        F.struct(
-            F.lit(s).alias("start"),
-            (_segment(F.col("fp"), s) + F.shiftleft(_segment(F.col("fp"), (s + 1) % SEGMENTS), 8) + F.shiftleft(_segment(F.col("fp"), (s + 2) % SEGMENTS), 16)).alias("key"),
+
+def _posted(rows: DataFrame) -> DataFrame:
+    """(fp, number, bits) of (fp, numbers)."""
+    out = rows.select("fp", F.explode("numbers").alias("number"))
+    return out.withColumn("bits", F.col("fp").bitwiseAND(F.element_at(F.lit(_masks()), F.col("number") + 1)))
+
+
+def links(prints: DataFrame, pairs_up_to: int = PAIRS_UP_TO) -> DataFrame:
+    """The links (u, v), u < v, among ``prints.fp``, which are distinct fingerprints."""
+    found = []
+    posted = _posted(prints.select("fp", F.array(*[F.lit(s * 64 + 1) for s in range(SEGMENTS)]).alias("numbers")))
+    for level in range(6):
+        post = ["number", "bits"]
+        shared = posted.groupBy(*post).agg(F.count("*").alias("n")).filter("n > 1")
+        members = stored(posted.join(shared, post), "postings")
+        last = level == 5
+        few = members if last else members.filter(F.col("n") <= pairs_up_to)
+        pairs = few.groupBy(*post).agg(F.sort_array(F.collect_list("fp")).alias("fps"))
+        found.append(
+            pairs.select("number", "fps", F.posexplode("fps").alias("at", "u"))
+            .select("number", "u", F.explode(F.expr("slice(fps, at + 2, size(fps))")).alias("v"))
+            .withColumn("x", F.col("u").bitwiseXOR(F.col("v")))
+            .filter(within_budgets(F.col("x"), F.floor(F.col("number") / 64)))
+            .filter(F.bit_count("x") <= RADIUS)
+            .select("u", "v")
         )
-        for s in range(SEGMENTS)
-    ])
-    posted = prints.select("fp", F.explode(chains).alias("c")).select("fp", (F.col("c.key") * SEGMENTS + F.col("c.start")).alias("post"))
-    shared = posted.groupBy("post").agg(F.count("*").alias("n"), F.min("fp").alias("low"), F.max("fp").alias("high")).filter("n > 1")
-    members = stored(posted.join(shared.select("post", "n"), "post"), "postings")
-    few = members.filter(F.col("n") <= pairs_up_to).groupBy("post").agg(F.sort_array(F.collect_list("fp")).alias("fps"))
-    pairs = (
-        few.select("post", "fps", F.posexplode("fps").alias("at", "u"))
-        .select("post", "u", F.explode(F.expr("slice(fps, at + 2, size(fps))")).alias("v"))
-        .withColumn("x", F.col("u").bitwiseXOR(F.col("v")))
-        .filter(within_budgets(F.col("x"), F.pmod(F.col("post"), F.lit(SEGMENTS))))
-        .filter(F.bit_count("x") <= RADIUS)
-        .select("u", "v")
-    )
-    many = members.filter(F.col("n") > pairs_up_to).select("fp").distinct()
-    around = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit((1 << i) - (1 << 64 if i == 63 else 0) if i < 63 else -(1 << 63))) for i in range(64)])
-    stars = (
-        many.select("fp", F.explode(around).alias("z"))
-        .groupBy("z")
-        .agg(F.sort_array(F.collect_list("fp")).alias("fps"))
-        .filter(F.size("fps") > 1)
-        .select(F.col("fps")[0].alias("u"), F.explode(F.expr("slice(fps, 2, size(fps))")).alias("v"))
-    )
-    return pairs.unionByName(stars).distinct()
+        many = members.filter(F.col("n") > pairs_up_to)
+        if last or many.isEmpty():
+            break
+        node, start = F.pmod(F.col("number"), F.lit(64)), F.floor(F.col("number") / 64) * 64
+        halves = F.array(*[(start + 2 * node + i).cast("int") for i in (0, 1)])
+        posted = _posted(many.select("fp", halves.alias("numbers")).distinct())
+    return reduce(DataFrame.unionByName, found).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -12,9 +12,13 @@ Defined results of odd input: a call without result has null result columns; of
 results the one of the earliest turn, then smallest content, counts and ``n_results``
 tells how many there are; a repeated identifier keeps all its calls, each linked.  Calls
 in a cycle, or behind one or behind an unknown identifier, have null depth.  Null or
-malformed arguments are invalid and serialised as null.  A null identifier links to
-nothing.  Empty tables give empty tables.  Rows are per call, so a conversation of any
-length is never gathered in one task.
+malformed arguments are invalid and serialised as null.  A null identifier or conversation
+links to nothing and has null depth.  Empty tables give empty tables; columns other than the
+named ones are left out.  A schema with an unknown type is refused before anything runs.
+Rows are per call, so a conversation of any length is never gathered in one task.
+
+Calls that need one other call form chains; a chain of n calls is ordered in log2(n) rounds of
+pointer jumping.  Only calls that need several take a round for each level of such calls.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import scratch, stored
 
 _TYPES = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "object": dict, "array": list, "null": type(None)}
 
@@ -46,7 +50,7 @@ def problem(value, schema: dict, at: str = "$") -> str | None:
         kinds = kind if isinstance(kind, list) else [kind]
         if not any(isinstance(value, _TYPES[k]) and not (isinstance(value, bool) and k in ("integer", "number")) for k in kinds):
             return f"{at}: not {'/'.join(kinds)}"
-    if "enum" in schema and value not in schema["enum"]:
+    if "enum" in schema and canonical(value) not in map(canonical, schema["enum"]):
         return f"{at}: not in enum"
     if isinstance(value, (int, float)) and not isinstance(value, bool):
         if value < schema.get("minimum", value):
@@ -73,6 +77,15 @@ def problem(value, schema: dict, at: str = "$") -> str | None:
     return None
 
 
+def _check_schema(schema: dict) -> None:
+    kind = schema.get("type", [])
+    unknown = set(kind if isinstance(kind, list) else [kind]) - set(_TYPES)
+    if unknown:
+        raise ValueError(f"unknown type {', '.join(map(str, unknown))} in a schema")
+    for inner in [*schema.get("properties", {}).values(), *([schema["items"]] if "items" in schema else [])]:
+        _check_schema(inner)
+
+
 def references(value) -> set[str]:
     """Identifiers that a value refers to."""
     if isinstance(value, dict):
@@ -91,6 +104,8 @@ def _parse(text: str | None):
 
 def check_calls(calls: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     """``calls`` with valid, problem, needs (identifiers) and arguments made canonical (null if malformed)."""
+    for known in schemas.values():
+        _check_schema(known)
     keep = ["conv_id", "turn", "call_id", "name"]
     frame = calls.select(*keep, F.col("arguments").cast("string").alias("arguments"))
     schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in frame.schema] + ["valid boolean", "problem string", "needs array<string>"])
@@ -114,34 +129,57 @@ def check_calls(calls: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     return frame.mapInArrow(run, schema)
 
 
+def _jumped(single: DataFrame) -> DataFrame:
+    """(conv_id, call_id, to, dist) of calls with one need each, (conv_id, call_id, to): the first
+    call on the way back that is not one of them, and how far it is; calls of cycles are left out."""
+    far = single.select("conv_id", F.col("call_id").alias("to"), F.lit(True).alias("open"))
+    pointers = stored(single.join(far, ["conv_id", "to"], "left").select("conv_id", "call_id", "to", F.lit(1).alias("dist"), F.coalesce("open", F.lit(False)).alias("open")), "pointers")
+    left = pointers.filter("open").count()
+    while left:
+        ahead = pointers.select("conv_id", F.col("call_id").alias("to"), F.col("to").alias("next"), F.col("dist").alias("more"), F.col("open").alias("still"))
+        moved = pointers.filter("open").join(ahead, ["conv_id", "to"]).select("conv_id", "call_id", F.col("next").alias("to"), (F.col("dist") + F.col("more")).alias("dist"), F.col("still").alias("open"))
+        pointers = stored(pointers.filter("not open").unionByName(moved), "pointers")
+        now = pointers.filter("open").count()
+        if now == left:  # a call nearest to its chain's end always gets there, so these go round
+            break
+        left = now
+    return pointers.filter("not open").drop("open")
+
+
 def depths(calls: DataFrame) -> DataFrame:
-    """(conv_id, call_id, depth) of the calls of (conv_id, call_id, needs) that can be ordered.
-
-    Each round settles the calls all of whose needs are settled, so there are as many
-    rounds as the longest chain of references.
-    """
-    nodes = calls.filter(F.col("call_id").isNotNull()).groupBy("conv_id", "call_id").agg(F.array_distinct(F.flatten(F.collect_list("needs"))).alias("needs"))
-    edges = stored(nodes.select("conv_id", "call_id", F.explode("needs").alias("need")), "needs")
-    done = stored(nodes.filter(F.size("needs") == 0).select("conv_id", "call_id", F.lit(0).alias("depth")), "depths")
-    if edges.isEmpty():
-        return done
-    left = edges.count()
-    while True:
-        met = edges.join(done.select("conv_id", F.col("call_id").alias("need"), "depth"), ["conv_id", "need"], "left")
-        ready = met.groupBy("conv_id", "call_id").agg(F.count_if(F.col("depth").isNull()).alias("open"), F.max("depth").alias("deepest")).filter("open = 0")
-        fresh = stored(ready.join(done, ["conv_id", "call_id"], "left_anti").select("conv_id", "call_id", (F.col("deepest") + 1).alias("depth")), "depths")
+    """(conv_id, call_id, depth) of the calls of (conv_id, call_id, needs) that can be ordered."""
+    spark, key = calls.sparkSession, ["conv_id", "call_id"]
+    known = calls.filter(F.col("call_id").isNotNull() & F.col("conv_id").isNotNull())
+    edges = stored(known.select(*key, F.explode("needs").alias("need")).distinct(), "needs")
+    n_needs = stored(edges.groupBy(*key).agg(F.count("*").alias("n"), F.min("need").alias("to")), "n-needs")
+    base = scratch(spark, "depths")
+    known.select(*key).distinct().join(n_needs, key, "left_anti").select(*key, F.lit(0).alias("depth")).write.parquet(f"{base}/round=0")
+    schema = f"conv_id {known.schema['conv_id'].dataType.simpleString()}, call_id string, depth int"
+    fresh = spark.read.schema(schema).parquet(f"{base}/round=0")
+    pointers = _jumped(n_needs.filter("n = 1").select(*key, "to"))
+    several = edges.join(n_needs.filter("n > 1").select(*key), key, "left_semi")
+    via = pointers.select("conv_id", F.col("call_id").alias("need"), "to", "dist")
+    state = stored(several.join(via, ["conv_id", "need"], "left").select(*key, F.coalesce("to", "need").alias("anchor"), F.coalesce("dist", F.lit(0)).alias("add"), F.lit(None).cast("int").alias("depth")), "several")
+    n = 0
+    while not state.isEmpty():
+        met = fresh.select("conv_id", F.col("call_id").alias("anchor"), F.col("depth").alias("found"))
+        state = stored(state.join(met, ["conv_id", "anchor"], "left").select(*key, "anchor", "add", F.coalesce("depth", F.col("found") + F.col("add")).alias("depth")), "several")
+        ready = state.groupBy(*key).agg(F.count_if(F.col("depth").isNull()).alias("open"), F.max("depth").alias("deepest")).filter("open = 0")
+        n += 1
+        ready.select(*key, (F.col("deepest") + 1).alias("depth")).write.parquet(f"{base}/round={n}")
+        fresh = spark.read.schema(schema).parquet(f"{base}/round={n}")
         if fresh.isEmpty():
-            return done
-        done = done.unionByName(fresh)
-        left -= 1
-        if not left:
-            return done
+            break
+        state = state.join(fresh.select(*key), key, "left_anti")
+    done = spark.read.schema(schema).parquet(*[f"{base}/round={i}" for i in range(n + 1)])
+    ends = done.select("conv_id", F.col("call_id").alias("to"), "depth")
+    return done.unionByName(pointers.join(ends, ["conv_id", "to"]).select(*key, (F.col("depth") + F.col("dist")).alias("depth")))
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     """One row per call: conv_id, turn, call_id, name, valid, problem, depth, n_results,
     result_turn, canonical (JSON of arguments, id, name and result)."""
-    checked = check_calls(calls, schemas)
+    checked = stored(check_calls(calls, schemas), "checked")
     first = results.filter(F.col("call_id").isNotNull()).groupBy("conv_id", "call_id").agg(F.count("*").alias("n_results"), F.min(F.struct("turn", "content")).alias("first"))
     order = depths(checked.select("conv_id", "call_id", "needs"))
     linked = checked.join(order, ["conv_id", "call_id"], "left").join(first, ["conv_id", "call_id"], "left")

@@ -137,12 +137,16 @@ def test_fingerprints_equal_brute_force():
 
 @pytest.mark.parametrize("pairs_up_to", [0, 3, 16])
 def test_links_lose_nothing(spark, pairs_up_to):
+    """All links, and the components, equal brute force, for postings that are paired at once and ones split to the last."""
     rng = random.Random(6)
     prints = {0, (1 << 64) - 1}
     for _ in range(12):
         base = rng.getrandbits(64)
         for _ in range(25):
             prints.add(base ^ sum({1 << rng.randrange(64) for _ in range(rng.randint(0, 3))}))
+    for start in (0, 24, 60):  # many that differ close together only
+        base = rng.getrandbits(64)
+        prints |= {base ^ sum({1 << (start + rng.randrange(10)) % 64 for _ in range(3)}) for _ in range(60)}
     prints = sorted(prints)
     root = {p: p for p in prints}
 
@@ -157,6 +161,8 @@ def test_links_lose_nothing(spark, pairs_up_to):
                 root[find(a)] = find(b)
     signed = lambda p: p - (1 << 64) if p >> 63 else p
     frame = spark.createDataFrame([(signed(p),) for p in prints], "fp long")
+    linked = {tuple(sorted((signed(a), signed(b)))) for i, a in enumerate(prints) for b in prints[:i] if (a ^ b).bit_count() <= 2}
+    assert sorted(map(tuple, simhash.links(frame, pairs_up_to).collect())) == sorted(linked)
     got = {r.node: r.root for r in simhash.components(simhash.links(frame, pairs_up_to)).collect()}
     classes = {}
     for p in prints:
@@ -361,6 +367,36 @@ def test_tool_calls(spark):
     assert toolcalls.link(c.limit(0), r.limit(0), schemas).count() == 0
 
 
+def test_depths_equal_brute_force(spark):
+    """Chains, joins of several, cycles and unknown needs; the longest path back, where there is an end."""
+    rng = random.Random(17)
+    needs = {}
+    for conv in range(4):
+        for i in range(60):
+            back = [(conv, str(j)) for j in rng.sample(range(max(0, i - 6), i), min(i, rng.choice([0, 1, 1, 1, 1, 2, 3])))]
+            needs[conv, str(i)] = back
+        needs[conv, "20"] = [(conv, "25")]  # may close a cycle
+        needs[conv, "40"] = [(conv, "nowhere")]
+        for i in range(100, 233):
+            needs[conv, str(i)] = [(conv, str(i - 1))] if i > 100 else []
+
+    def depth(node, path=()):
+        if node in path or node not in needs:
+            return None
+        below = [depth(n, (*path, node)) for n in needs[node]]
+        return None if None in below else 1 + max(below, default=-1)
+
+    frame = spark.createDataFrame([(c, i, [n for _, n in needs[c, i]]) for c, i in needs] + [(None, "x", []), (1, None, [])], "conv_id long, call_id string, needs array<string>")
+    got = {(r.conv_id, r.call_id): r.depth for r in toolcalls.depths(frame.unionByName(frame)).collect()}
+    assert got == {n: d for n in needs if (d := depth(n)) is not None} and max(got.values()) == 132 and len(got) < len(needs)
+
+
+def test_schemas_are_strict(spark):
+    assert toolcalls.problem(True, {"enum": [1]}) and toolcalls.problem(1, {"enum": [1, "a"]}) is None
+    with pytest.raises(ValueError):
+        toolcalls.check_calls(spark.createDataFrame([], "conv_id long, turn long, call_id string, name string, arguments string"), {"t": {"properties": {"a": {"type": "colour"}}}})
+
+
 def test_shard_store(spark):
     frame = docs(spark, [f"text {1000 + i} " * 20 for i in range(400)] + [None])
     store = sharding.ShardStore(spark, small=500, target=20_000, fanout=3)
@@ -439,10 +475,10 @@ def test_chained_calls_have_an_order(spark, tmp_path):
     roles = ["system", "user", "assistant", "user", "assistant", "user", "assistant", "user"]
     rows = [(c, t, r, f'text "{t}"\n') for c in range(3) for t, r in enumerate(roles[c:])]
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
-    got = queries.op6_chained_calls(spark, str(tmp_path))
+    got = queries.op6_tool_call_linking(spark, str(tmp_path))
     assert sorted((r.conv_id, r.turn, r.depth) for r in got.collect()) == [(0, 1, 0), (0, 3, 1), (0, 5, 2), (0, 7, 3), (1, 0, 0), (1, 2, 1), (1, 4, 2), (1, 6, 3), (2, 1, 0), (2, 3, 1), (2, 5, 2)]
     con = duckdb.connect()
     con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
-    want = con.sql(queries.SQL["op6_chained_calls"])
+    want = con.sql(queries.SQL["op6_tool_call_linking"])
     assert got.columns == want.columns
     assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want.fetchall()))
