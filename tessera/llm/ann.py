@@ -2,29 +2,29 @@
 
 ``PIVOTS`` vectors, drawn in the order of a hash of their ids, are the pivots; they
 fit the driver and the tasks.  Each vector is represented by the order of its
-``PREFIX`` nearest pivots.  The index is cut into parts of about ``PART`` vectors; in a
-part, each pivot's inverted file lists the vectors that have it in their prefix, and at
+``PREFIX`` nearest pivots.  The index is written in parts of about ``PART`` vectors; a
+part holds for each pivot an inverted file of the vectors that have it in their prefix, and at
 which place.  A query reads the files of its own prefix only and adds up the footrule
 distance to each vector (displacements of the pivots in both prefixes, a missing pivot
-standing behind the last).  The nearest ``RERANK`` share of the part by footrule is
-scored by exact cosine in double precision, and each part gives its best.
+standing behind the last).  The nearest ``RERANK`` vectors of the part by footrule, ties to
+the smaller id, are scored by exact cosine in double precision, and each part gives its best.
 
 Every row is indexed.  The given queries go to all parts in blocks, so a task holds
 one block and one part.  Equal vectors are one entry, which carries the smallest ids of
 its copies, as many as a query may need; thousands of copies cost one candidate.
-What the footrule ranks behind the share is given up; that is what the index
-approximates.  Recall depends on the share and the pivots, not on the number of
-rows; the tests measure it against brute force (``exact``).
+What the footrule ranks behind the reranked ones is given up; that is what the index
+approximates.  Recall depends on ``RERANK`` over ``PART``, the prefix and the pivots, not on
+the number of rows; the tests measure it against brute force (``exact``).
 
 Null, zero and non-finite vectors and vectors of another length than most pivots take
-no part; nor do rows with a null id.  Repeated rows count once.  An empty table gives
-an empty table.
+no part; nor do rows with a null id.  Repeated rows count once; rows of one id with different
+vectors are each an entry, and a query's own id is never found.  Vectors may be of any length
+that a part of them fits a task.  Other columns are not looked at, so their names don't
+matter.  An empty table gives an empty table.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -32,11 +32,13 @@ from pyspark.sql import functions as F
 
 from .shared import stored
 
-PIVOTS, PREFIX, RERANK, PART = 256, 64, 0.35, 4096
+PIVOTS, PREFIX, RERANK, PART = 512, 64, 256, 4096
 #: Queries of a block.
-BLOCK = 2048
+BLOCK = 4096
 
-_POSTING = "id long, copies array<long>, vector array<double>, prefix array<int>"
+#: A packed part or block: ids of its rows (copies' ids of each), vectors over their norms, and the
+#: files (of a part: by pivot, their ends, rows and places) or the prefixes (of a block).
+_PACKED = "number int, copies array<array<long>>, unit binary, start binary, row binary, place binary"
 
 
 def usable(vectors: DataFrame, vec_id: str, vector: str) -> DataFrame:
@@ -64,12 +66,15 @@ def prefixes(m: np.ndarray, pivots: np.ndarray, length: int) -> np.ndarray:
 class Files:
     """The inverted files of a part: per pivot, the vectors that have it in their prefix."""
 
-    def __init__(self, prefix: np.ndarray, pivots: int):
-        self.n, self.length = prefix.shape
+    def __init__(self, n: int, length: int, start: np.ndarray, row: np.ndarray, place: np.ndarray):
+        self.n, self.length, self.start, self.row, self.place = n, length, start, row, place
+
+    @classmethod
+    def of(cls, prefix: np.ndarray, pivots: int) -> Files:
         flat = prefix.ravel()
         order = np.argsort(flat, kind="stable")
-        self.start = np.searchsorted(flat[order], np.arange(pivots + 1))
-        self.row, self.place = order // self.length, order % self.length
+        row, place = np.divmod(order, prefix.shape[1])
+        return cls(*prefix.shape, np.searchsorted(flat[order], np.arange(pivots + 1)), row.astype(np.int32), place.astype(np.int32))
 
     def footrule(self, query: np.ndarray) -> np.ndarray:
         """Distance of each vector's prefix from the query's.
@@ -86,76 +91,70 @@ class Files:
 
 
 class PermutationIndex:
-    def __init__(self, vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", k: int = 5, pivots: int = PIVOTS, prefix: int = PREFIX, rerank: float = RERANK):
+    """``index``, the stored parts, and what a search needs besides."""
+
+    def __init__(self, vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", k: int = 5, pivots: int = PIVOTS, prefix: int = PREFIX, rerank: int = RERANK):
         spark = vectors.sparkSession
-        rows = usable(vectors, vec_id, vector)
         self.spark, self.k = spark, k
-        self.classes = stored(_classes(rows, k + 1), "vectors")
-        self.n = self.classes.count()
-        chosen = self.classes.orderBy(F.xxhash64("id"), "id").limit(pivots).select("id", "vector").collect() if self.n else []
+        classes = stored(_classes(usable(vectors, vec_id, vector), k + 1), "vectors")
+        n = classes.count()
+        chosen = classes.orderBy(F.xxhash64("id"), "id").limit(pivots).select("id", "vector").collect() if n else []
         self.dim = max((len(r.vector) for r in chosen), key=[len(r.vector) for r in chosen].count, default=0)
         self.pivot = _unit(np.array([r.vector for r in chosen if len(r.vector) == self.dim])) if chosen else np.zeros((0, 1))
-        self.pivots = len(self.pivot) if self.n else 0
+        self.pivots = len(self.pivot)
         self.prefix, self.rerank = min(prefix, self.pivots), rerank
-        self.index = stored(self._permuted(self.classes, self.prefix), "index") if self.pivots else None
-
-    def _permuted(self, classes: DataFrame, length: int) -> DataFrame:
-        pivot = self.pivot
-
-        def run(batches):
-            for pdf in batches:
-                if len(pdf):
-                    pdf["prefix"] = list(prefixes(np.stack(pdf.vector.to_list()), pivot, length))
-                    yield pdf[["id", "copies", "vector", "prefix"]]
-
-        return classes.filter(F.size("vector") == self.dim).select("id", "copies", "vector").mapInPandas(run, _POSTING)
-
-    def search(self, queries: DataFrame, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-        """(query_id, rank, vec_id, score) of the k nearest found of each query, itself left out by id."""
-        schema = "query_id long, rank int, vec_id long, score double"
+        self.parts = n // PART + 1
+        self.index = stored(self._packed(classes, self.parts, True), "index") if n else None
+
+    def _packed(self, rows: DataFrame, number: int, files: bool) -> DataFrame:
+        """(id, copies, vector) dealt by hash into ``number`` parts or blocks, each packed into a row."""
+        pivot, length, pivots = self.pivot, self.prefix, self.pivots
+
+        def pack(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+            part = part.sort_values("id", kind="stable")
+            unit = _unit(np.stack(part.vector.to_list()))
+            prefix = prefixes(unit, pivot, length)
+            held = Files.of(prefix, pivots) if files else Files(len(unit), length, np.zeros(0, np.int64), prefix, np.zeros(0, np.int32))
+            return pd.DataFrame({"number": [key[0]], "copies": [part.copies.to_list()], "unit": [unit.tobytes()], "start": [held.start.tobytes()], "row": [held.row.tobytes()], "place": [held.place.tobytes()]})
+
+        dealt = rows.filter(F.size("vector") == self.dim).select("id", "copies", "vector", F.pmod(F.xxhash64("id"), F.lit(number)).cast("int").alias("number"))
+        return dealt.groupBy("number").applyInPandas(pack, _PACKED)
+
+    def search(self, queries: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", exact: bool = False) -> DataFrame:
+        """(query_id, rank, vec_id, score) of the k nearest found of each query, itself left out by id;
+        with ``exact``, all vectors are scored: what the index approximates."""
         if not self.pivots:
-            return self.spark.createDataFrame([], schema)
-        n_pivots, share, k = self.pivots, self.rerank, self.k
+            return self.spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        k, dim, length, rerank = self.k, self.dim, self.prefix, max(self.rerank, self.k + 1)
 
-        def scan(key: tuple, part: pd.DataFrame, query: pd.DataFrame) -> pd.DataFrame:
+        def scan(key: tuple, part: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
             out = []
-            if len(part) and len(query):
-                unit, files = _unit(np.stack(part.vector.to_list())), Files(np.stack(part.prefix.to_list()), n_pivots)
-                many = max(k + 1, math.ceil(share * len(part)))
-                for q, own, prefix in zip(query.id, _unit(np.stack(query.vector.to_list())), query.prefix, strict=True):
-                    near = files.footrule(np.asarray(prefix))
-                    here = np.argpartition(near, many - 1)[:many] if many < len(near) else np.arange(len(near))
-                    out += _best(q, here, (unit[here] * own).sum(1), part.copies, k)
+            for p, b in [(p, b) for p in part.itertuples() for b in block.itertuples()]:  # one of each
+                unit, own = (np.frombuffer(x.unit).reshape(-1, dim) for x in (p, b))
+                files = Files(len(unit), length, np.frombuffer(p.start, np.int64), np.frombuffer(p.row, np.int32), np.frombuffer(p.place, np.int32))
+                asked = np.frombuffer(b.row, np.int32).reshape(-1, length)
+                everyone = np.arange(len(unit))
+                for i, (q,) in enumerate(b.copies):
+                    here = everyone
+                    if not exact and rerank < len(unit):
+                        # Rows are in order of ids, so equal distances go to the smaller.
+                        here = np.sort(np.argpartition(files.footrule(asked[i]) * len(unit) + everyone, rerank - 1)[:rerank])
+                    out += _best(q, here, (unit[here] * own[i]).sum(1), p.copies, k)
             return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
-        return _top(self._scanned(self._asked(queries, vec_id, vector), scan), k)
+        asked = usable(queries, vec_id, vector).select("id", "vector").distinct().withColumn("copies", F.array("id"))
+        blocks = asked.count() // BLOCK + 1
+        sent = stored(self._packed(asked, blocks, False), "queries").withColumnRenamed("number", "block").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(self.parts - 1))))
+        held = self.index.withColumnRenamed("number", "part").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        found = held.groupBy("part", "block").cogroup(sent.groupBy("part", "block")).applyInPandas(scan, "query_id long, vec_id long, score double")
+        return _top(found, k)
 
-    def _asked(self, queries: DataFrame, vec_id: str, vector: str) -> DataFrame:
-        asked = usable(queries, vec_id, vector).groupBy("id", "vector").agg(F.array(F.lit(0).cast("long")).alias("copies"))
-        return stored(self._permuted(asked, self.prefix), "queries")
-
-    def _scanned(self, asked: DataFrame, scan) -> DataFrame:
-        """``scan`` of each part of the index with each block of queries."""
-        parts, blocks = self.n // PART + 1, asked.count() // BLOCK + 1
-        sent = asked.select("id", "vector", "prefix", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), F.explode(F.expr(f"sequence(0L, {parts - 1}L)")).alias("part"))
-        held = self.index.select("copies", "vector", "prefix", F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part"), F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")).alias("block"))
-        return held.groupBy("part", "block").cogroup(sent.groupBy("part", "block")).applyInPandas(scan, "query_id long, vec_id long, score double")
-
-    def exact(self, queries: DataFrame, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-        """What ``search`` approximates: all vectors scored for each query, in the same blocks."""
-        k = self.k
-        if not self.pivots:
-            return self.search(queries, vec_id, vector)
-
-        def scan(key: tuple, part: pd.DataFrame, query: pd.DataFrame) -> pd.DataFrame:
-            out = []
-            if len(part) and len(query):
-                unit = _unit(np.stack(part.vector.to_list()))
-                for q, own in zip(query.id, _unit(np.stack(query.vector.to_list())), strict=True):
-                    out += _best(q, np.arange(len(unit)), (unit * own).sum(1), part.copies, k)
-            return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
-        return _top(self._scanned(self._asked(queries, vec_id, vector), scan), k)
+def recall(found: DataFrame, exact: DataFrame) -> float:
+    """The share of the exact neighbours that were found."""
+    pairs = exact.select("query_id", "vec_id")
+    n = pairs.count()
+    return pairs.join(found.select("query_id", "vec_id"), ["query_id", "vec_id"], "left_semi").count() / n if n else 1.0
 
 
 def _classes(rows: DataFrame, n: int) -> DataFrame:
@@ -168,13 +167,13 @@ def _classes(rows: DataFrame, n: int) -> DataFrame:
     return first.groupBy("vector").agg(F.expr(f"slice(array_sort(array_distinct(flatten(collect_list(ids)))), 1, {n})").alias("copies")).select("vector", F.col("copies")[0].alias("id"), "copies")
 
 
-def _best(query: int, rows: np.ndarray, score: np.ndarray, copies: pd.Series, k: int) -> list[tuple]:
+def _best(query: int, rows: np.ndarray, score: np.ndarray, copies: list, k: int) -> list[tuple]:
     """The k best of a part for a query: best score first, ties to the smaller id."""
     if len(rows) > 4 * k:  # all rows that could be among the first k classes but the query's own
         cut = np.partition(score, len(score) - k - 1)[len(score) - k - 1]
         keep = score >= cut
         rows, score = rows[keep], score[keep]
-    pairs = [(-s, i) for r, s in zip(rows.tolist(), score.tolist(), strict=True) for i in copies.iat[r] if i != query]
+    pairs = [(-s, i) for r, s in zip(rows.tolist(), score.tolist(), strict=True) for i in copies[r] if i != query]
     return [(query, i, -s) for s, i in sorted(pairs)[:k]]
 
 

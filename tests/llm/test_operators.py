@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import os
 import random
 from collections import Counter
 
@@ -310,17 +311,62 @@ def test_mix_meets_targets(spark):
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix(docs(spark, texts, sources)).collect()))
 
 
+def brute_rates(rows, target, most=2.0, ridge=0.01):
+    """Rates that minimise the dual, by plain descent on all multipliers at once with halved steps."""
+    sources = sorted({s for s, _ in rows}, key=str)
+    at = np.array([sources.index(s) for s, _ in rows])
+    w = np.array([n for _, n in rows], float)
+    x = np.log1p(w)
+    mean = (w * x).sum() / w.sum()
+    z = (x - mean) / np.sqrt((w * x * x).sum() / w.sum() - mean**2)
+    t = np.array([target[s] for s in sources])
+    full = np.array([t[i] >= most * w[at == i].sum() * (1 - 1e-9) for i in range(len(t))])
+    lam, mu = np.zeros(len(t)), 0.0
+    for _ in range(4000):  # alternate: each lambda by bisection, then one damped step of mu
+        for i in range(len(t)):
+            lo, hi = -20.0, 20.0
+            if full[i]:
+                lam[i] = np.inf
+                continue
+            for _ in range(60):
+                lam[i] = (lo + hi) / 2
+                over = (w * np.minimum(most, np.exp(lam[i] + mu * z)))[at == i].sum() > t[i]
+                lo, hi = (lo, lam[i]) if over else (lam[i], hi)
+        rate = np.minimum(most, np.exp(lam[at] + mu * z))
+        off = (w * rate * z).sum() / (w * rate).sum() + ridge * mu
+        if abs(off) < 1e-9:
+            break
+        mu -= 0.5 * off
+    return rate
+
+
+def test_rates_equal_brute_force_and_hold_the_feature(spark):
+    rng = random.Random(14)
+    rows = [(s, n) for s, many, low in (("a", 150, 1), ("b", 60, 20), (None, 40, 5), ("tiny", 5, 3)) for n in (rng.randint(low, 4 * low + 20) for _ in range(many))]
+    got = mixing.mix(docs(spark, ["w " * n for _, n in rows], [s for s, _ in rows])).orderBy("doc_id").collect()
+    want = brute_rates(rows, {r.source: r.target for r in got})
+    assert np.allclose([r.rate for r in got], want, rtol=2e-3)
+    w, x = np.array([n for _, n in rows], float), np.log1p([n for _, n in rows])
+    rate = np.array([r.rate for r in got])
+    plain = np.array([r.target / r.source_size for r in got])
+    shift = lambda r: abs((w * r * x).sum() / (w * r).sum() - (w * x).sum() / w.sum())
+    assert shift(rate) < 0.5 * shift(plain) and len({round(r.rate, 6) for r in got}) > 10
+    for s in {s for s, _ in rows}:
+        of = [r for r in got if r.source == s]
+        assert sum(r.rate * r.size for r in of) == pytest.approx(of[0].target, rel=1e-5)
+        assert all(r.copies in (int(r.rate), int(r.rate) + 1, round(r.rate)) and r.copies <= 2 for r in of)
+
+
 def test_permutation_index_recall_and_odd_vectors(spark):
     rng = np.random.default_rng(12)
     m = rng.normal(size=(1500, 32)).round(4)
     m[100:160] = m[7]
     rows = [(i, v.tolist()) for i, v in enumerate(m)] + [(2000, None), (2001, [0.0] * 32), (2002, [float("nan")] + [1.0] * 31), (2003, [None] + [1.0] * 31), (None, [1.0] * 32), (0, m[0].tolist())]
-    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit(1) for c in ("id", "copies", "vector", "number", "unit", "score")})
     index = ann.PermutationIndex(frame)
     queries = frame.filter("vec_id % 50 = 0")
-    got, want = index.search(queries).collect(), index.exact(queries).collect()
-    ids = lambda rs: {(r.query_id, r.vec_id) for r in rs}
-    assert len(ids(got) & ids(want)) >= 0.9 * len(want) and len(want) == 5 * 30
+    found, want = index.search(queries), index.search(queries, exact=True).collect()
+    assert ann.recall(found, index.search(queries, exact=True)) >= 0.9 and len(want) == 5 * 30 == found.count()
     unit = m / np.linalg.norm(m, axis=1, keepdims=True)
     for q in (0, 100, 150):
         score = unit @ unit[q]
@@ -331,6 +377,34 @@ def test_permutation_index_recall_and_odd_vectors(spark):
     assert ann.PermutationIndex(few.limit(0)).search(few).collect() == []
 
 
+@pytest.mark.parametrize("n, dim, part, block", [(9000, 64, 4096, 64), (3000, 300, 1000, 4096)])
+def test_permutation_index_of_several_parts_and_blocks(spark, monkeypatch, n, dim, part, block):
+    monkeypatch.setattr(ann, "PART", part)
+    monkeypatch.setattr(ann, "BLOCK", block)
+    rng = np.random.default_rng(15)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(n, dim)).astype(np.float32))], "vec_id long, embedding array<double>")
+    index, queries = ann.PermutationIndex(frame, rerank=256 * part // 4096), frame.filter("vec_id % 50 = 0")
+    assert index.index.count() == n // part + 1
+    again = ann.PermutationIndex(frame.repartition(7), rerank=256 * part // 4096).search(queries)
+    found = index.search(queries)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, again.collect())) and found.count() == 5 * n // 50
+    got = ann.recall(found, index.search(queries, exact=True))
+    print("recall at 5", got)
+    assert got >= (0.9 if dim == 64 else 0.6)  # 300 independent dimensions are beyond what an index can find
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_permutation_index_recall_on_the_embeddings(spark, sf):
+    path = f"/root/testdata/{sf}/embeddings.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test data")
+    vectors = spark.read.parquet(path)
+    index, queries = ann.PermutationIndex(vectors), vectors.filter("vec_id % 50 = 0")
+    got = ann.recall(index.search(queries), index.search(queries, exact=True))
+    print("recall at 5", sf, got)
+    assert got >= 0.9
+
+
 def test_toxicity_generalises(spark):
     rng = random.Random(13)
     bad, fine = ["stupid", "idiot", "worthless", "pathetic"], [f"{a}{b}{c}" for a in "bdfgk" for b in "aeo" for c in ("nder", "lling", "mes", "rton")]
