@@ -21,6 +21,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -163,7 +164,10 @@ def decode(docs: DataFrame, vocabulary: str, ids: str = "ids", to: str = "decode
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = sorted(ranks, key=ranks.__getitem__)
         for batch in batches:
-            values = [None if x is None else b"".join(tokens[i] for i in x) for x in batch.column(at).to_pylist()]
+            ids = batch.column(at)
+            if (least := pc.min(ids.flatten()).as_py()) is not None and least < 0:
+                raise IndexError(f"no token has the id {least}")
+            values = [None if x is None else b"".join(tokens[i] for i in x) for x in ids.to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.binary())], names=[*kept, to])
 
     return docs.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, schema)

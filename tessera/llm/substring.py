@@ -20,8 +20,11 @@ a task sends on only the earliest of equal seeds or windows per ``HELD`` rows; t
 others are settled where they are.  So the rows of one hash in a task are bounded by
 the number of such blocks, however hot a passage is.
 
-Null text has no words.  Empty tables are fine.  Rows with a null doc_id keep all
-their words.  Repeated rows of a doc_id stand at the same place: neither is earlier.
+Null text has no words.  Texts of any length are read whole.  Empty tables are fine, and
+columns other than id and text are not looked at.  Rows with a null doc_id keep all
+their words.  Equal rows of a doc_id stand at the same place: neither is earlier.  Different
+texts of a doc_id count as one document in which they follow each other, in the order of a
+hash (2^31 words at most); no window runs from one into the next.
 """
 
 from __future__ import annotations
@@ -34,6 +37,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import stored, words_count
+
 LENGTH, GRAM = 20, 5
 #: Bytes of text hashed at once (a longer text is taken whole), and rows held before they are sent on.
 BLOCK_BYTES, HELD = 1 << 21, 1 << 20
@@ -137,12 +142,11 @@ def _blocks(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, np.n
         at = to
 
 
-def _places(batch: pa.RecordBatch, at: int, to: int, doc: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """doc_id and number within its document of each word."""
-    # A null id would make all of them floats; such rows have no seeds, so any number will do.
-    ids = batch.column(0).slice(at, to - at).fill_null(0).to_numpy(zero_copy_only=False)
+def _places(batch: pa.RecordBatch, at: int, to: int, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """doc_id and number within its document of each word; columns 0 and 2 are doc_id and base."""
+    ids, base = (batch.column(i).slice(at, to - at).to_numpy(zero_copy_only=False) for i in (0, 2))
     first = np.searchsorted(doc, np.arange(to - at))
-    return ids[doc], np.arange(len(doc)) - first[doc]
+    return ids[doc], np.arange(len(doc)) - first[doc] + base[doc]
 
 
 def _send(h1, h2, doc, at, length) -> pa.RecordBatch:
@@ -197,13 +201,23 @@ def _gather(parts: list, rows: tuple[np.ndarray, ...], all_of_repeated: bool, en
 
 
 def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").cast("binary").alias("text"))
+    """(doc_id, text as binary, base): base is the number of words of the same id's other texts that stand before."""
+    raw = F.col(f"`{text}`").cast("string")
+    texts = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), raw.cast("binary").alias("text"))
+    again = texts.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
+    if again.isEmpty():
+        return texts.withColumn("base", F.lit(0))
+    hashed = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), raw.cast("binary").alias("text"), F.xxhash64(raw.cast("binary")).alias("hash"), words_count(text).cast("int").alias("words"))
+    order = Window.partitionBy("doc_id").orderBy("hash").rowsBetween(Window.unboundedPreceding, -1)
+    bases = hashed.join(again, "doc_id", "left_semi").select("doc_id", "hash", "words").distinct().withColumn("base", F.sum("words").over(order).cast("int"))
+    bases = stored(bases.select("doc_id", "hash", "base"), "bases")
+    return hashed.join(bases, ["doc_id", "hash"], "left").select("doc_id", "text", F.coalesce("base", F.lit(0)).alias("base"))
 
 
 def repeated_seeds(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(doc_id, seeds): word numbers at which a seed starts that occurs elsewhere too.
 
-    ``docs`` has (doc_id, text as binary), no null doc_id.
+    ``docs`` has (doc_id, text as binary, base), no null doc_id.
     """
     width = length - gram + 1
 
@@ -217,7 +231,7 @@ def repeated_seeds(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
                         continue
                     grams = gram_hashes(word_hashes(data, starts, ends, 0), gram, 0)
                     seeds = np.unique(picks(grams, width)[doc[: len(doc) - length + 1] == doc[length - 1 :]])
-                    ids, place = _places(batch, at, to, doc, offsets)
+                    ids, place = _places(batch, at, to, doc)
                     yield from _gather(parts, (grams[seeds], np.zeros(len(seeds), np.uint32), ids[seeds], place[seeds]), True)
             yield from _gather(parts, (), True, end=True)
 
@@ -230,7 +244,7 @@ def repeated_seeds(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
 def later_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(doc_id, at, len): runs of window starts whose windows also start earlier.
 
-    ``docs`` has (doc_id, text as binary, seeds).
+    ``docs`` has (doc_id, text as binary, base, seeds), no null doc_id.
     """
     width = length - gram + 1
 
@@ -243,12 +257,14 @@ def later_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
                     if len(starts) < length:
                         continue
                     first = word_hashes(data, starts, ends, 0)
-                    ids, place = _places(batch, at, to, doc, offsets)
+                    ids, place = _places(batch, at, to, doc)
                     chosen = np.zeros(len(starts), bool)
                     begin = np.searchsorted(doc, np.arange(to - at))
-                    column = batch.column(2).slice(at, to - at)
-                    lists, counts = column.flatten().to_numpy(zero_copy_only=False), column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-                    chosen[lists.astype(np.int64) + np.repeat(begin, counts.astype(np.int64))] = True
+                    column, base = batch.column(3).slice(at, to - at), batch.column(2).slice(at, to - at).to_numpy()
+                    row = np.repeat(np.arange(to - at), column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+                    seed = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64) - base[row]
+                    own = (seed >= 0) & (seed < np.diff(np.append(begin, len(doc)))[row])  # not those of another text of the id
+                    chosen[(seed + begin[row])[own]] = True
                     picked = picks(gram_hashes(first, gram, 0), width)
                     windows = np.flatnonzero((doc[: len(doc) - length + 1] == doc[length - 1 :]) & chosen[picked])
                     if not len(windows):
@@ -263,24 +279,29 @@ def later_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
     return sent.withColumn("nth", F.rank().over(order)).filter("settled or nth > 1").withColumn("len", F.greatest("len", F.lit(1))).select("doc_id", "at", "len")
 
 
-def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
-    """The texts, dealt by doc_id, and (doc_id, runs) of the documents with later windows.
+def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The texts (doc_id, text, base) with a doc_id, dealt by it; those without; and (doc_id,
+    runs) of the documents with later windows.
 
     The texts are dealt once; both joins below use that exchange again, for which
     both must be left joins: an inner one would filter its side before the exchange.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    texts = _texts(docs, doc_id, text).repartition(parts, "doc_id")
-    seeds = repeated_seeds(_texts(docs, doc_id, text).filter("doc_id is not null"), length, gram)
-    runs = later_windows(texts.join(seeds, "doc_id", "left").select("doc_id", "text", "seeds"), length, gram)
-    return texts, runs.groupBy("doc_id").agg(F.collect_list(F.struct("at", "len")).alias("runs"))
+    every = _texts(docs, doc_id, text)
+    known = every.filter("doc_id is not null")
+    texts = known.repartition(parts, "doc_id")
+    seeds = repeated_seeds(known, length, gram)
+    runs = later_windows(texts.join(seeds, "doc_id", "left").select("doc_id", "text", "base", "seeds"), length, gram)
+    return texts, every.filter("doc_id is null"), runs.groupBy("doc_id").agg(F.collect_list(F.struct("at", "len")).alias("runs"))
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, digests: bool = False) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): the words that stay, joined by single spaces;
     with ``digests``, kept_sha256 in place of kept."""
-    texts, runs = repeats(docs, doc_id, text, length, gram)
-    frame = texts.join(runs, "doc_id", "left").select("doc_id", "text", F.col("runs.at").alias("at"), F.col("runs.len").alias("len"))
+    texts, unnamed, runs = repeats(docs, doc_id, text, length, gram)
+    frame = texts.join(runs, "doc_id", "left").select("doc_id", "text", "base", F.col("runs.at").alias("at"), F.col("runs.len").alias("len"))
+    none = F.lit(None).cast("array<int>")
+    frame = frame.unionByName(unnamed.select("doc_id", "text", "base", none.alias("at"), none.alias("len")))
     last = "kept_sha256" if digests else "kept"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,14 +309,15 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", len
             for start in range(0, max(batch.num_rows, 1), 512):
                 part = batch.slice(start, 512)
                 n_words, n_removed, kept = [], [], []
-                for raw, at, run_len in zip(*(part.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                for raw, base, at, run_len in zip(*(part.column(i).to_pylist() for i in (1, 2, 3, 4)), strict=True):
                     words = (raw or b"").split()
                     n_words.append(len(words))
                     if at:
+                        at, long_ = np.array(at) - base, np.array(run_len)
+                        own = (at >= 0) & (at < len(words))
                         step = np.zeros(len(words) + 1, np.int64)
-                        at = np.array(at)
-                        np.add.at(step, at, 1)
-                        np.add.at(step, at + np.array(run_len) + length - 1, -1)
+                        np.add.at(step, at[own], 1)
+                        np.add.at(step, (at + long_ + length - 1)[own], -1)
                         stay = np.cumsum(step)[:-1] == 0
                         words = [words[i] for i in np.flatnonzero(stay)]
                     n_removed.append(n_words[-1] - len(words))

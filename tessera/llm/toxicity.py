@@ -27,6 +27,7 @@ from __future__ import annotations
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -36,9 +37,10 @@ from pyspark.sql import functions as F
 
 FIT_TEXTS, PASSAGE, DIM, BUCKETS = 1500, 3, 8, 1 << 17
 GRAMS = (3, 4, 5)
-#: Passages that the first phase of training goes through, about.
-WARM_PASSAGES = 600_000
-REMEMBERED = 200_000
+#: Epochs of the first phase of training, and rounds of the second.
+WARM, ROUNDS = 8, 40
+#: Words whose weights a worker remembers, and characters scored at once.
+REMEMBERED, CHUNK = 200_000, 1 << 20
 STRIPPED = ".,;:!?\"'()[]{}<>|*#-_"
 
 
@@ -68,32 +70,52 @@ class Model:
 
 
 class Scorer:
+    """Scores texts; each word's part of the logit is worked out once and remembered by number."""
+
     def __init__(self, model: Model):
-        self.model, self.weights = model, model.weight.tolist()
-        self.known: dict[str, tuple[float, int]] = _Known(self.weights)
+        self.model = model
+        self.known = _Known(model.weight.tolist())
 
     def logit(self, text: str | None) -> float:
-        """The highest logit of a passage."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        words = split_words(text)
-        if not words:
-            return self.model.bias
-        pairs = np.array(list(map(self.known.__getitem__, words)))
-        at = np.arange(0, len(words), PASSAGE)
-        total, n = np.add.reduceat(pairs[:, 0], at), np.add.reduceat(pairs[:, 1], at)
-        return float((total / n).max()) + self.model.bias
+        return float(self.logits([text])[0])
+
+    def logits(self, texts: list[str | None]) -> np.ndarray:
+        """The highest logit of a passage of each text."""
+        known = self.known
+        if len(known) > REMEMBERED:
+            known.forget()
+        split = [split_words(t) for t in texts]
+        count = np.fromiter(map(len, split), np.int64, len(split))
+        out = np.full(len(split), self.model.bias)
+        full = np.flatnonzero(count)
+        if len(full):
+            word = np.fromiter(map(known.__getitem__, chain.from_iterable(split)), np.int64, int(count.sum()))
+            passages = -(-count[full] // PASSAGE)
+            begin = np.cumsum(count[full]) - count[full]
+            first = np.cumsum(passages) - passages
+            at = np.repeat(begin - first * PASSAGE, passages) + np.arange(passages.sum()) * PASSAGE
+            total, n = (np.add.reduceat(np.frombuffer(x)[word], at) for x in (known.total, known.rows))
+            out[full] += np.maximum.reduceat(total / n, first)
+        return out
 
 
 class _Known(dict):
+    """Number of each word; ``total`` and ``rows`` hold the sum of its table rows' weights and how many they are."""
+
     def __init__(self, weights: list[float]):
         super().__init__()
-        self.weights = weights
+        self.weights, self.total, self.rows = weights, array("d"), array("d")
+
+    def forget(self) -> None:
+        self.clear()
+        self.total, self.rows = array("d"), array("d")
 
-    def __missing__(self, word: str) -> tuple[float, int]:
+    def __missing__(self, word: str) -> int:
         rows = features(word)
         weights = self.weights
-        got = self[word] = (sum([weights[i] for i in rows]), len(rows))
+        self.total.append(sum([weights[i] for i in rows]))
+        self.rows.append(len(rows))
+        got = self[word] = len(self)
         return got
 
 
@@ -176,7 +198,7 @@ class _Trainer:
             self.step(first[c], last[c], label[c], weight[c], rate)
 
 
-def train(texts: list[str | None], labels: list[int], rounds: int = 40) -> Model | None:
+def train(texts: list[str | None], labels: list[int], rounds: int = ROUNDS, warm: int = WARM) -> Model | None:
     """The model of labelled texts; None without both classes."""
     y = np.array(labels, np.int64)
     t = _Trainer(texts)
@@ -185,10 +207,10 @@ def train(texts: list[str | None], labels: list[int], rounds: int = 40) -> Model
         return None
     label = y[text]
     rng = np.random.default_rng(11)
-    for rate in (0.1,) * max(2, min(12, WARM_PASSAGES // max(1, 3 * int((label == 1).sum())))):
+    for _ in range(warm):
         pos, neg = np.flatnonzero(label == 1), np.flatnonzero(label == 0)
         neg = rng.choice(neg, min(len(neg), 2 * len(pos)), replace=False)
-        t.epoch(np.concatenate([pos, neg]), label, first, last, rate)
+        t.epoch(np.concatenate([pos, neg]), label, first, last, 0.1)
     ends = np.flatnonzero(np.concatenate([text[1:] != text[:-1], [True]]))
 
     def nth_highest(n: int) -> np.ndarray:
@@ -232,6 +254,20 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     return train([r["__text"] for r in rows], [r["__toxic"] for r in rows])
 
 
+def _chunks(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """The texts in runs of about ``CHUNK`` characters; a longer text is a run of its own."""
+    run, size = [], 0
+    for t in texts:
+        n = len(t or "")
+        if run and size + n > CHUNK:
+            yield run
+            run, size = [], 0
+        run.append(t)
+        size += n
+    if run:
+        yield run
+
+
 def score(docs: DataFrame, model: Model | None, text: str = "text", to: str = "score", predicted: str = "predicted") -> DataFrame:
     """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 from 0.5 on)."""
     kept = [c for c in docs.columns if c not in (to, predicted)]
@@ -244,7 +280,7 @@ def score(docs: DataFrame, model: Model | None, text: str = "text", to: str = "s
             for at in range(0, max(batch.num_rows, 1), 512):
                 part = batch.slice(at, 512)
                 texts = part.column(len(kept)).to_pylist()
-                scores = [model.score(scorer.logit(x)) if x and x.strip() else min(0.49, model.score(model.bias)) for x in texts] if model else [0.0] * len(texts)
+                scores = [model.score(x) if t and t.strip() else min(0.49, model.score(model.bias)) for t, x in zip(texts, chain.from_iterable(map(scorer.logits, _chunks(texts))), strict=True)] if model else [0.0] * len(texts)
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())], names=[*kept, to, predicted])
 
     return frame.mapInArrow(run, schema)

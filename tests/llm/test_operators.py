@@ -12,6 +12,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -82,6 +83,27 @@ def test_substring_with_a_null_id_in_the_task(spark):
         assert [(r.n_removed, r.kept_sha256) for r in rows if r.doc_id is None] == [(0, kept)]
 
 
+def test_substring_of_repeated_ids(spark):
+    """Equal rows are one place; different texts of an id follow each other in the order of their hash."""
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    p, u, v, x = ([word() for _ in range(n)] for n in (30, 25, 60, 40))
+    rows = [(0, p), (1, p + u), (1, v), (1, v), (1, x + p), (2, v[:40] + u), (2, x), (7, x)]
+    frame = spark.createDataFrame([(d, " ".join(t)) for d, t in rows] + [(None, " ".join(p))] * 2, "doc_id long, text string")
+    signed = lambda t: (h := xxhash.xxh64_intdigest(t.encode(), 42)) - (h >> 63 << 64)
+    seen, want = {}, []
+    for d, t in sorted({(d, " ".join(t)) for d, t in rows}, key=lambda r: (r[0], signed(r[1]))):
+        w = t.split()
+        gone = [False] * len(w)
+        for i in range(len(w) - 19):
+            if seen.setdefault(tuple(w[i : i + 20]), (d, t, i)) != (d, t, i):
+                gone[i : i + 20] = [True] * 20
+        n = sum((a, " ".join(b)) == (d, t) for a, b in rows)
+        want += [(d, len(w), sum(gone), " ".join(a for a, g in zip(w, gone, strict=True) if not g))] * n
+    want += [(None, 30, 0, " ".join(p))] * 2
+    assert sorted(map(tuple, substring.deduplicate(frame).collect()), key=str) == sorted(want, key=str)
+
+
 def test_substring_settles_in_small_blocks():
     """Rows that a task settles itself and those it sends decide alike, whatever the block."""
     h = np.array([5, 5, 7, 5, 9], np.uint64)
@@ -94,7 +116,7 @@ def test_substring_settles_in_small_blocks():
 def test_quality_counts_and_verdicts(spark):
     rng = random.Random(3)
     prose = " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9))) for _ in range(400))
-    texts = [*ODD, prose, "same words again " * 100, "a b c\na b c\nd # $ |\n\n", "one two three one two three"]
+    texts = [*ODD, prose, "same words again " * 100, prose * 9 + "".join(chr(rng.randrange(33, 0x3000)) for _ in range(6000)), "a b c\na b c\nd # $ |\n\n", "one two three one two three"]
     got = {r.doc_id: r for r in quality.assess(docs(spark, texts)).collect()}
     for i, t in enumerate(texts):
         w = words(t)
@@ -106,7 +128,17 @@ def test_quality_counts_and_verdicts(spark):
         r = got[i]
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want
         assert r.base_failed == (len(w) < 50 or 100 * len(covered) > 50 * len(w))
-        assert not (r.base_failed and r.kept)
+        raw, z = (t or "").encode(), zstandard.ZstdCompressor(level=3, write_content_size=False)
+        ratio = lambda b: len(z.compress(b)) / len(b)
+        band = lambda bands, n: min(x for x in bands if n <= x[0])[1:]
+        inside = lambda b, bands: band(bands, len(b))[0] <= ratio(b) <= band(bands, len(b))[1]
+        pieces = [raw[j : j + 4096] for j in range(0, len(raw), 4096)]
+        if not raw:
+            assert (r.ratio, r.chunk_low, r.chunk_high, r.bad_chunks, r.kept) == (None, None, None, None, False)
+            continue
+        bad = [not inside(x, quality.CHUNK) for x in pieces]
+        assert (r.ratio, r.chunk_low, r.chunk_high) == (ratio(raw), min(map(ratio, pieces)), max(map(ratio, pieces)))
+        assert r.bad_chunks == sum(bad) / len(bad) and r.kept == (not r.base_failed and inside(raw, quality.WHOLE) and sum(bad) <= 0.34 * len(bad))
     assert got[len(ODD)].kept and not got[len(ODD) + 1].kept
 
 
@@ -118,6 +150,8 @@ def test_bpe_equals_tiktoken_and_round_trips(spark):
     for r in bpe.encode(docs(spark, texts), VOCABULARY, public_tokenizers.PATTERN, decoded="decoded").collect():
         assert r.ids == reference.encode_ordinary(r.text or "")
         assert bytes(r.decoded) == (r.text or "").encode()
+    with pytest.raises(Exception, match="no token has the id -1"):
+        bpe.decode(spark.createDataFrame([([5, -1],)], "ids array<int>"), VOCABULARY).collect()
     again = bpe.decode(bpe.encode(docs(spark, ODD), VOCABULARY, public_tokenizers.PATTERN), VOCABULARY)
     assert [bytes(r.decoded).decode() for r in again.orderBy("doc_id").collect()] == [t or "" for t in ODD]
 
@@ -516,14 +550,23 @@ def test_shard_store_after_a_crash_and_with_two_writers(spark, monkeypatch):
 ])
 def test_empty_tables_and_clashing_names(spark, run):
     assert run(docs(spark, []).limit(0)).count() == 0
-    extra = docs(spark, ODD).withColumns({c: F.lit(1) for c in ("ids", "score", "kept", "size", "runs", "drop", "part", "fp", "at", "ratio")})
-    assert run(extra).count() == len(ODD)
+    extra = docs(spark, ODD).withColumns({c: F.lit(1) for c in ("ids", "score", "kept", "size", "runs", "drop", "part", "fp", "at", "ratio", "base", "z", "x", "rate", "lambda", "bucket", "hash")})
+    plain, got = run(docs(spark, ODD)), run(extra)
+    columns = [c for c in plain.columns if c != "n_chars"]
+    rows = lambda d: sorted((tuple(str(r[c]) for c in columns) for r in d.collect()))
+    assert rows(got) == rows(plain) and len(rows(got)) == len(ODD)
 
 
 def test_null_and_repeated_ids(spark):
-    frame = docs(spark, ["a line that is long enough to count"] * 4).withColumn("doc_id", F.when(F.col("doc_id") < 2, 1).when(F.col("doc_id") == 2, 2))
-    for run in (lambda d: substring.deduplicate(d), lambda d: LineIndex(spark).insert(d).clean(d), lambda d: mixing.mix(d), lambda d: simhash.near_duplicates(d)):
-        assert run(frame).count() == 4
+    line = "a line that is long enough to count"
+    frame = docs(spark, [line] * 5).withColumn("doc_id", F.when(F.col("doc_id") < 2, 1).when(F.col("doc_id") < 4, F.col("doc_id")))
+    got = lambda d, *c: sorted([tuple(r[x] for x in c) for r in d.collect()], key=str)
+    assert got(substring.deduplicate(frame), "doc_id", "kept") == [(1, line), (1, line), (2, line), (3, line), (None, line)]
+    assert got(LineIndex(spark).deduplicate(frame), "doc_id", "text") == [(1, ""), (1, ""), (2, ""), (3, line), (None, line)]
+    assert got(simhash.near_duplicates(frame), "doc_id", "component_id") == [(1, 1), (1, 1), (2, 1), (3, 1), (None, 1)]
+    mixed = mixing.mix(frame)
+    assert got(mixed, "doc_id", "size") == [(1, 8), (1, 8), (2, 8), (3, 8), (None, 8)] and abs(mixed.agg(F.sum("taken")).first()[0] - 60) <= 8
+    assert got(bpe.encode(frame, VOCABULARY, public_tokenizers.PATTERN, decoded="back"), "doc_id", "back") == [(1, line.encode())] * 2 + [(2, line.encode()), (3, line.encode()), (None, line.encode())]
 
 
 def test_pipeline_keeps_one_row_of_each_component(spark):
