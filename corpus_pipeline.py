@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet
 and read again as the next stage's docs.  All stages but the last return the columns of
-``documents``.
+``documents``, and any others that are there.  Stages work on rows, not on ids: null and repeated
+doc_ids, equal rows, null and empty texts and empty tables pass through as each stage says.
 """
 
 from __future__ import annotations
@@ -19,12 +20,13 @@ from tessera.llm.shared import ROW, keyed, one_of_equal, stored, table
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents predicted toxic go; the model never sees held-out labels."""
-    return toxicity.score(docs, toxicity_model(spark, sf_dir)).filter("predicted = 0").select(*docs.columns)
+    scored = toxicity.score(docs, toxicity_model(spark, sf_dir), to="__score", predicted="__predicted")
+    return scored.filter("__predicted = 0").select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go; n_chars follows the text."""
-    cleaned = LineIndex(spark).insert(docs).clean(docs)
+    cleaned = LineIndex(spark).deduplicate(docs)
     return cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
@@ -37,8 +39,8 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row stands as often as the mix has copies of it; equal rows as often as of all of them."""
     rows = keyed(docs)
-    copies = mixing.mix(rows, also=ROW).groupBy(*ROW).agg(F.sum("copies").alias("copies")).filter("copies > 0")
-    return one_of_equal(rows).join(copies, list(ROW)).withColumn("copy", F.explode(F.expr("sequence(1L, copies)"))).select(*docs.columns)
+    copies = mixing.mix(rows, also=ROW).groupBy(*ROW).agg(F.sum("copies").alias("__copies")).filter("__copies > 0")
+    return one_of_equal(rows).join(copies, list(ROW)).withColumn("__copy", F.explode(F.expr("sequence(1L, __copies)"))).select(*docs.columns)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
