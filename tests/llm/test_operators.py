@@ -599,3 +599,79 @@ def test_chained_calls_have_an_order(spark, tmp_path):
     want = con.sql(queries.SQL["op6_tool_call_linking"])
     assert got.columns == want.columns
     assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want.fetchall()))
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path, monkeypatch):
+    """All stages, each against its own input, with null, repeated and clashing ids, equal rows and odd texts."""
+    rng = random.Random(31)
+    fine, bad = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeo" for c in ("nder", "lling", "mes", "rton")], ["stupid", "idiot", "worthless"]
+    line = "A line that stands in very many documents"
+    rows = []
+    for i in range(160):
+        text = " ".join(rng.choice(fine) for _ in range(rng.randint(5, 60)))
+        text += " " + " ".join(rng.choices(bad, k=6)) if i % 4 == 0 else ""
+        rows.append((i, f"{text}\n{line if i % 2 else 'An own line of document number ' + str(i)}", "en", rng.choice(["a", "a", "b", None])))
+    rows += [rows[1], (1, "other words under the first id again", "en", "b"), (None, rows[3][1], "en", "a"), (None, "nobody knows whose words these are", "xx", "b")]
+    rows += [(1000 + i, t, "en", "a") for i, t in enumerate(ODD)] + [(2000, "a line by itself\n" + rows[5][1], None, None)]
+    frame = spark.createDataFrame([(*r, len(r[1] or ""), "extra", "more") for r in rows], SCHEMA + ", score string, copies string")
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(160)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    seen = []
+
+    def kept(df, tag):
+        seen.append(stored_(df, tag))
+        return seen[-1]
+
+    stored_ = corpus_pipeline.stored
+    monkeypatch.setattr(corpus_pipeline, "stored", lambda df, tag: kept(df, tag))
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    whole = lambda d: Counter(tuple(r) for r in d.collect())
+    toxic, lined, near, mixed = map(whole, seen[:4])
+    assert all(d.columns == frame.columns for d in seen[:4])
+    # Toxicity: decided by the text alone, most of the planted ones go, the others stay.
+    start = whole(frame)
+    went = {r[1] for r in start} - {r[1] for r in toxic}
+    assert toxic == Counter({r: n for r, n in start.items() if r[1] not in went})
+    planted = {r[1] for r in start if r[1] and any(b in r[1].split() for b in bad)}
+    assert len(went & planted) >= 0.9 * len(planted) and len(went - planted) <= 3
+    # Lines: a document is an id; rows without one stay as they are.
+    key = lambda x: "".join(c.lower() if "A" <= c <= "Z" else c for c in x.strip(" \t\n\x0b\x0c\r"))
+    held = {}
+    for r in toxic:
+        for x in (r[1] or "").split("\n") if r[0] is not None else ():
+            if len(key(x)) >= 20:
+                held.setdefault(key(x), set()).add(r[0])
+    want = Counter()
+    for r, n in toxic.items():
+        text = r[1] if r[0] is None or r[1] is None else "\n".join(x for x in r[1].split("\n") if len(held.get(key(x), ())) < 3 or max(held[key(x)]) == r[0])
+        want[r[0], text, r[2], r[3], None if text is None else len(text), *r[5:]] += n
+    assert lined == want and lined != toxic
+    # Near duplicates: one row of each component, that of the smallest id.
+    prints = {r: brute_fingerprint(r[1]) for r in lined}
+    groups = []
+    for r in lined:
+        near_ones = [g for g in groups if any((prints[r] ^ prints[x]).bit_count() <= 2 for x in g)]
+        groups = [g for g in groups if g not in near_ones] + [sum(near_ones, [r])]
+    assert sum(near.values()) == len(near) == len(groups)
+    for g in groups:
+        (stays,) = [r for r in g if r in near]
+        assert stays[0] == min((x[0] for x in g if x[0] is not None), default=None)
+    # Mix: whole rows, as often as their copies; the sources' words come near the targets.
+    copies = mixing.mix(seen[2])
+    assert set(mixed) <= set(near) and sum(mixed.values()) == copies.agg(F.sum("copies")).first()[0]
+    target = {r.source: r.target for r in copies.select("source", "target").distinct().collect()}
+    for s, t in target.items():
+        assert abs(sum(len(words(r[1])) * n for r, n in mixed.items() if r[3] == s) - t) <= 60
+    # Tokens of every row.
+    reference = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(VOCABULARY), special_tokens={})
+    ids = lambda t: reference.encode_ordinary(t or "")
+    want = Counter()
+    for r, n in mixed.items():
+        want[r[0], len(ids(r[1])), hashlib.sha256(np.array(ids(r[1]), "<u4").tobytes()).hexdigest()] += n
+    assert Counter((r.doc_id, r.n_tokens, r.ids_sha256) for r in out) == want
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
