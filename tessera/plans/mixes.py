@@ -82,24 +82,11 @@ def m17_rotated_templates(spark, sf_dir):
     return M.rotated(docs(spark, sf_dir), ["Complete:", "Continue:", "Fill in:"], "17", "doc_id")
 
 
-@query(f"SELECT doc_id, coalesce(nullif(substr(text, 1, doc_id % 2 * 20), ''), source) AS value FROM documents {_ORDER.format(18)} LIMIT 40")
-def m18_sampled_texts(spark, sf_dir):
-    value = T.first_not_blank(F.substring(F.col("text"), F.lit(1), (F.col("doc_id") % 2 * 20).cast("int")), F.col("source"))
-    return O.sample_n(docs(spark, sf_dir, value.alias("value")), 40, "18", "doc_id")
-
-
 @query("SELECT DISTINCT regexp_extract(url, '^https?://([^/?#:]+)', 1) AS host FROM pages ORDER BY 1 LIMIT 200")
 def m20_top_level(spark, sf_dir):
     return read(spark, sf_dir, "pages").select(F.parse_url(F.col("url"), F.lit("HOST")).alias("host")).distinct().orderBy("host").limit(200)
 
 
-_LEX = "5 * contains('how to query a web page under the licensed terms', lower(source))::INT + least(5, len(list_filter(list_distinct(regexp_extract_all(lower(substr(text, 1, 400)), '[a-zA-Z0-9_]{3,}')), lambda w: contains('how to query a web page under the licensed terms', w))))"
-
-
-@query(f"SELECT doc_id, CAST({_LEX} AS BIGINT) AS score FROM documents WHERE {_LEX} >= 2 ORDER BY 2 DESC, 1 LIMIT 6")
-def m02_lexical_top_k(spark, sf_dir):
-    score = P.lexical_score(F.col("source"), F.substring("text", 1, 400), "how to query a web page under the licensed terms")
-    return docs(spark, sf_dir, score.cast("long").alias("score")).filter("score >= 2").orderBy(F.desc("score"), "doc_id").limit(6)
 
 
 # --- joins -------------------------------------------------------------------------------------

@@ -15,10 +15,6 @@ def cat(*parts):
     return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 
 
-def head(n):
-    return F.substring("text", 1, n)
-
-
 def pick(n, *cs):
     """The doc_id modulo n chooses."""
     out = F.when(F.col("doc_id") % n == 0, cs[0])
@@ -34,19 +30,17 @@ def sql_pick(n, *cs):
 NL, WHITE = "chr(10)", "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 # --- generated code ----------------------------------------------------------------------------
-_reply = lambda: pick(4, cat("Sure\n```python\n", head(60), "\n```"), cat("```\n", head(60), "\n```"), cat("Well.\ndef f():\n", head(60)), head(60))
-_REPLY = sql_pick(4, "'Sure' || chr(10) || '```python' || chr(10) || substr(text, 1, 60) || chr(10) || '```'", "'```' || chr(10) || substr(text, 1, 60) || chr(10) || '```'", "'Well.' || chr(10) || 'def f():' || chr(10) || substr(text, 1, 60)", "substr(text, 1, 60)")
-simple("t19_generated_code", "documents", {"code": (lambda: P.generated_code(_reply()), rf"coalesce(nullif(regexp_extract({_REPLY}, '(?s)```(?:python|py)[ \t]*\n(.*?)```', 1), ''), nullif(regexp_extract({_REPLY}, '(?s)```[^\n]*\n(.*?)```', 1), ''), nullif(regexp_extract({_REPLY}, '(?ms)^((?:def |class |import |from |@).*)\z', 1), ''), {_REPLY})")})
-simple("t20_after_fence", "documents", {"code": (lambda: P.after_fence(_reply()), rf"trim(CASE WHEN contains({_REPLY}, '```') THEN regexp_replace(string_split({_REPLY}, '```')[2], '^(?:python|py)\n', '') ELSE {_REPLY} END, {WHITE})")})
 simple("t21_trimmed_code", "documents", {"code": (lambda: P.trimmed_code(F.col("text"), 90), f"rtrim(substr(text, 1, 90), {WHITE}) || chr(10)")})
 simple("t32_repo_slug", "pages", {"slug": (lambda: P.repo_slug(F.col("url")), r"CASE WHEN regexp_extract(url, '^https?://[^/]+/([^/?#]+)/([^/?#]+)', 1) <> '' THEN regexp_extract(url, '^https?://[^/]+/([^/?#]+)/([^/?#]+)', 1) || '__' || regexp_replace(regexp_extract(url, '^https?://[^/]+/([^/?#]+)/([^/?#]+)', 2), '\.git$', '') ELSE left(sha1(url), 12) END")}, None, "page_id")
-_tests, _problem = lambda: pick(2, cat("assert f", F.col("doc_id").cast("string"), "(1) == 2"), L("")), lambda: pick(4, L(""), L("Write a function add_up to sum"), L(""), L("one named mul"))
-simple("t38_entry_point", "documents", {"name": (lambda: P.entry_point(_tests(), _problem()), "CASE WHEN doc_id % 2 = 0 THEN 'f' || doc_id WHEN doc_id % 4 = 1 THEN 'add_up' ELSE 'mul' END")})
+_tests = lambda: pick(3, cat("assert f", F.col("doc_id").cast("string"), "(1) == 2"), cat("x = 1\nassert  ", F.col("lang"), "_run(", F.col("source"), ")"), L(""))
+_TESTS = sql_pick(3, "'assert f' || doc_id || '(1) == 2'", "'x = 1' || chr(10) || 'assert  ' || lang || '_run(' || source || ')'", "''")
+_problem = lambda: pick(2, cat("Write a function add_", F.col("lang"), " to sum ", F.col("text")), cat("one named ", F.col("source"), "_x ", F.col("text")))
+_PROBLEM = sql_pick(2, "'Write a function add_' || lang || ' to sum ' || text", "'one named ' || source || '_x ' || text")
+simple("t38_entry_point", "documents", {"name": (lambda: P.entry_point(_tests(), _problem()), rf"coalesce(nullif(regexp_extract({_TESTS}, 'assert\s+(\w+)\s*\(', 1), ''), nullif(regexp_extract({_PROBLEM}, 'function\s+(\w+)', 1), ''), nullif(regexp_extract({_PROBLEM}, 'named\s+(\w+)', 1), ''))")})
 simple("t85_model_spec", "documents", {"kind": (lambda: P.model_spec(pick(3, cat("openai:m", F.col("lang")), cat("/models/", F.col("lang"), "/"), cat("org/", F.col("lang"))))[0], sql_pick(3, "'openai'", "'local'", "'hub'")), "name": (lambda: P.model_spec(pick(3, cat("openai:m", F.col("lang")), cat("/models/", F.col("lang"), "/"), cat("org/", F.col("lang"))))[1], sql_pick(3, "'m' || lang", "lang", "lang"))})
-_diff = lambda: cat("--- a/x.py\n+++ b/x", (F.col("doc_id") % 3).cast("string"), ".py\n@@ -1 +1 @@\n-", F.regexp_replace(head(20), "\n", " "), "\n+new\n+++ b/a.py\n+more\n+++ b/a.py")
-simple("a24_diff_paths", "documents", {"paths": (lambda: F.array_join(P.diff_paths(_diff()), ","), "'a.py,x' || doc_id % 3 || '.py'"), "changed": (lambda: P.changed_lines(_diff()), "CAST(3 AS BIGINT)")})
-simple("d09_import_lines", "documents", {"imports": (lambda: F.array_join(P.import_lines(cat("import b\nfrom a import c\n", head(50), "\n  import b\nimport z", F.col("lang"))), ";"), r"array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split('import b' || chr(10) || 'from a import c' || chr(10) || substr(text, 1, 50) || chr(10) || '  import b' || chr(10) || 'import z' || lang, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: starts_with(x, 'import ') OR starts_with(x, 'from ')))), ';')")})
-simple("f14_patch", "documents", {"patch": (lambda: F.contains(pick(3, cat("diff --git a b", head(9)), cat("--- a", head(9)), head(9)), L("diff --git")) | pick(3, cat("diff --git a b", head(9)), cat("--- a", head(9)), head(9)).startswith("---"), "(doc_id % 3 < 2 OR starts_with(substr(text, 1, 9), '---'))")})
+_patch = lambda: pick(3, cat("diff --git a b", F.col("text")), cat("--- a", F.col("text")), F.col("text"))
+_PATCH = sql_pick(3, "'diff --git a b' || text", "'--- a' || text", "text")
+simple("f14_patch", "documents", {"patch": (lambda: F.contains(_patch(), L("diff --git")) | _patch().startswith("---"), f"(contains({_PATCH}, 'diff --git') OR starts_with({_PATCH}, '---'))")})
 simple("f23_line_range", "documents", {"shown": (lambda: P.line_range(F.col("text"), 2, 4), r"array_to_string(list_transform(range(2, least(4, len(string_split(text, chr(10)))) + 1), lambda i: lpad(CAST(i AS VARCHAR), 4, ' ') || ' | ' || string_split(text, chr(10))[i]), chr(10))")})
 _LOW, _HIGH, _N = "greatest(1, CAST(floor(n * 0.2::DOUBLE) AS BIGINT))", "greatest(1, CAST(floor(n * 0.8::DOUBLE) AS BIGINT))", "len(string_split(text, chr(10)))"
 
@@ -60,14 +54,6 @@ def u11_line_completion(spark, sf_dir):
 
 
 # --- chats -------------------------------------------------------------------------------------
-_chat = lambda: cat("USER: ", head(30), " ASSISTANT: <functioncall> {\"a\": 1} FUNCTION RESPONSE: {\"b\": 2} ASSISTANT: ", F.substring("text", 31, 30))
-
-
-@query(rf"""SELECT doc_id, role, content FROM (SELECT doc_id, CASE WHEN starts_with(p, 'USER:') THEN 'user' WHEN starts_with(p, 'ASSISTANT:') THEN 'assistant' WHEN starts_with(p, 'FUNCTION RESPONSE:') THEN 'tool' END AS role,
-trim(regexp_replace(regexp_replace(p, '^(USER:|ASSISTANT:|FUNCTION RESPONSE:)', ''), '(?s)<functioncall>\s*(\{{.*?\}})\s*', '<tool_call>\1</tool_call>'), {WHITE}) AS content FROM
-(SELECT doc_id, unnest(string_split(regexp_replace('USER: ' || substr(text, 1, 30) || ' ASSISTANT: <functioncall> {{"a": 1}} FUNCTION RESPONSE: {{"b": 2}} ASSISTANT: ' || substr(text, 31, 30), '(USER:|ASSISTANT:|FUNCTION RESPONSE:)', chr(1) || '\1', 'g'), chr(1))) AS p FROM documents)) WHERE role IS NOT NULL AND content <> ''""")
-def t44_chat_turns(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", F.inline(P.chat_turns(_chat())))
 
 
 @query("SELECT conv_id, string_agg('<|im_start|>' || role || chr(10) || left(text, 200) || '<|im_end|>', chr(10) ORDER BY turn) AS chat FROM conversations GROUP BY conv_id")
@@ -91,7 +77,6 @@ def _answer():
 
 _completion = lambda: F.when(F.col("event_id") % 7 == 0, cat("no marks ", _answer())).otherwise(cat("w", P.THOUGHT_END, "\n", P.SOLUTION, _answer(), P.SOLUTION_END))
 _MARKED = "event_id % 7 <> 0"
-simple("t52_reasoning_row", "documents", {"row": (lambda: P.reasoning_row(cat("<think> ", head(30), "</think>\n"), F.col("lang")), f"'{P.THOUGHT}' || trim(' ' || substr(text, 1, 30) || chr(10), {WHITE}) || '{P.THOUGHT_END}{P.SOLUTION}' || lang || '{P.SOLUTION_END}'")})
 simple("t53_format_reward", "events", {"reward": (lambda: P.format_reward(_completion()), f"CASE WHEN {_MARKED} THEN 3.0::DOUBLE ELSE 0.0::DOUBLE END")}, None, "event_id")
 simple("t54_marks_reward", "events", {"reward": (lambda: P.marks_reward(_completion()), f"CASE WHEN {_MARKED} THEN 1.5::DOUBLE ELSE -3.0::DOUBLE END")}, None, "event_id")
 simple("t55_answer_reward", "events", {"reward": (lambda: P.solution_reward(_completion(), L("42")), f"CASE WHEN NOT ({_MARKED}) THEN -2.0::DOUBLE WHEN event_id % 6 = 0 THEN 5.0::DOUBLE WHEN event_id % 6 = 1 THEN 3.5::DOUBLE WHEN event_id % 6 = 2 THEN 2.0::DOUBLE WHEN event_id % 6 = 3 THEN 1.5::DOUBLE ELSE -4.5::DOUBLE END")}, None, "event_id")
@@ -105,30 +90,42 @@ simple("t59_prefill", "events", {"n": (lambda: F.length(P.repeated_to("Some word
 _log = lambda: cat("base pass@1: 0.", F.lpad((F.col("event_id") % 100).cast("string"), 2, "0"), "\nplus pass@1:  ", (F.col("event_id") % 97).cast("string"))
 simple("t60_pass_scores", "events", {"base": (lambda: F.round(P.pass_score(_log(), 1), 4), "round((event_id % 100)::DOUBLE, 4)"), "plus": (lambda: P.pass_score(_log(), 2), "CASE WHEN event_id % 97 <= 1 THEN (event_id % 97) * 100.0::DOUBLE ELSE (event_id % 97)::DOUBLE END")}, None, "event_id")
 simple("t61_positive_ints", "events", {"n": (lambda: F.size(P.positive_ints(F.concat_ws(",", F.col("user_id") - 5, L("x"), L(" 7"), F.col("event_id") % 7 - 3))).cast("long"), "CAST(1 + (user_id > 5)::INT + (event_id % 7 > 3)::INT AS BIGINT)")}, None, "event_id")
-simple("t62_assignments", "events", {"name": (lambda: P.assignments(cat("name=", F.col("event_type"), ",prefill=9"))["name"], "event_type"), "model": (lambda: F.coalesce(P.assignments(cat("name=", F.col("event_type"), ",prefill=9"))["model"], L("base")), "'base'")}, None, "event_id")
+_spec = lambda: F.concat_ws(",", cat("name=", F.col("event_type")), F.when(F.col("event_id") % 3 > 0, cat("prefill=", F.col("user_id").cast("string"))), F.when(F.col("event_id") % 2 > 0, cat("model=m", (F.col("event_id") % 7).cast("string"))))
+_SPEC = "concat_ws(',', 'name=' || event_type, CASE WHEN event_id % 3 > 0 THEN 'prefill=' || user_id END, CASE WHEN event_id % 2 > 0 THEN 'model=m' || event_id % 7 END)"
+simple("t62_assignments", "events", {k: ((lambda k=k: P.assignments(_spec())[k]), f"nullif(regexp_extract({_SPEC}, '(?:^|,){k}=([^,]*)', 1), '')") for k in ("name", "prefill", "model")}, None, "event_id")
 _CAP = {}
 for _mark, _tag in P.CAPABILITIES.items():
     _CAP.setdefault(_tag, []).append(f"contains(lower(text), '{_mark}')")
 _TAGS = ", ".join(f"CASE WHEN {' OR '.join(m)} THEN '{t}' END" for t, m in _CAP.items()) + ", CASE WHEN doc_id % 2 = 0 THEN 'script_execution' END"
 simple("t64_capabilities", "documents", {"tags": (lambda: F.array_join(P.capabilities(F.col("text"), F.when(F.col("doc_id") % 2 == 0, "main.py").otherwise("")), ","), f"coalesce(nullif(array_to_string(list_filter([{_TAGS}], lambda x: x IS NOT NULL)[1:8], ','), ''), 'general_automation')")})
-simple("t65_failure_modes", "documents", {"modes": (lambda: F.array_join(P.failure_modes(pick(4, L(""), L("Run timed out; execution failed"), L("Security block: os"), L("odd"))), ","), sql_pick(4, "''", "'runtime_error,timeout'", "'security_restriction'", "'sandbox_issue'"))})
+_words = [*P.FAILURES, "odd", "Execution FAILED"]
+_said = lambda: F.concat_ws("; ", *[F.when(F.shiftright("doc_id", i) % 2 == 1, w) for i, w in enumerate(_words)])
+_SAID = "concat_ws('; ', " + ", ".join(f"CASE WHEN (doc_id >> {i}) % 2 = 1 THEN '{w}' END" for i, w in enumerate(_words)) + ")"
+_MODES = ", ".join(f"CASE WHEN contains(lower({_SAID}), '{w}') THEN '{t}' END" for w, t in P.FAILURES.items())
+simple("t65_failure_modes", "documents", {"modes": (lambda: F.array_join(F.array_sort(P.failure_modes(_said())), ","), f"CASE WHEN {_SAID} = '' THEN '' ELSE coalesce(nullif(array_to_string(list_sort(list_filter([{_MODES}], lambda x: x IS NOT NULL)), ','), ''), 'sandbox_issue') END")})
+
+
+_TRACE = "'Traceback' || chr(10) || array_to_string(list_transform(range(1, CAST(doc_id % 5 + 2 AS BIGINT)), lambda i: '  File \"' || lang || i || '.py\", line ' || doc_id * i || ', in f' || chr(10) || '    ' || source || i || '()' || chr(10)), '') || text"
 
 
-@query("SELECT doc_id, unnest(['a' || doc_id || '.py', 'b.py']) AS file, unnest([3, doc_id]) AS line FROM documents")
+@query(rf"""SELECT doc_id, unnest(regexp_extract_all(trace, 'File "([^"]+)", line (\d+)', 1)) AS file, CAST(unnest(regexp_extract_all(trace, 'File "([^"]+)", line (\d+)', 2)) AS BIGINT) AS line FROM (SELECT doc_id, {_TRACE} AS trace FROM documents)""")
 def t74_trace_places(spark, sf_dir):
-    trace = cat("Traceback\n  File \"a", F.col("doc_id").cast("string"), ".py\", line 3, in f\n    x\n  File \"b.py\", line ", F.col("doc_id").cast("string"), "\n")
-    return read(spark, sf_dir, "documents").select("doc_id", F.inline(P.trace_places(trace)))
+    frames = F.transform(F.sequence(L(1).cast("long"), F.col("doc_id") % 5 + 1), lambda i: cat('  File "', F.col("lang"), i.cast("string"), '.py", line ', (F.col("doc_id") * i).cast("string"), ", in f\n    ", F.col("source"), i.cast("string"), "()\n"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.inline(P.trace_places(cat("Traceback\n", F.array_join(frames, ""), F.col("text")))))
 
 
 simple("t75_missing_package", "documents", {"package": (lambda: P.missing_package(pick(3, L("x\nModuleNotFoundError: No module named 'cv2'"), cat("ImportError: No module named '", F.col("lang"), "'"), L("fine"))), sql_pick(3, "'opencv-python'", "lang", "NULL"))})
 simple("t82_key_path", "events", {"v": (lambda: F.get_json_object(cat('{"a": {"b": ', F.when(F.col("event_id") % 2 == 0, F.col("event_id").cast("string")).otherwise('"x"'), "}}"), "$.a.b").try_cast("double"), "CASE WHEN event_id % 2 = 0 THEN event_id::DOUBLE END")}, None, "event_id")
-simple("t84_renamed_keys", "events", {"k": (lambda: F.array_join(F.map_keys(F.transform_keys(F.create_map(cat("module.head.", F.col("event_type")), L(1)), lambda k, v: F.regexp_replace(F.regexp_replace(k, r"^module\.", ""), r"^head\.", "heads.0."))), ","), "'heads.0.' || event_type")}, None, "event_id")
+_key = lambda: cat(F.when(F.col("event_id") % 2 == 0, "module.").otherwise(""), F.when(F.col("event_id") % 3 == 0, "head.").otherwise("body.head."), F.col("event_type"))
+_KEY = "(CASE WHEN event_id % 2 = 0 THEN 'module.' ELSE '' END || CASE WHEN event_id % 3 = 0 THEN 'head.' ELSE 'body.head.' END || event_type)"
+simple("t84_renamed_keys", "events", {"k": (lambda: F.array_join(F.map_keys(F.transform_keys(F.create_map(_key(), L(1)), lambda k, v: F.regexp_replace(F.regexp_replace(k, r"^module\.", ""), r"^head\.", "heads.0."))), ","), rf"regexp_replace(regexp_replace({_KEY}, '^module\.', ''), '^head\.', 'heads.0.')")}, None, "event_id")
 simple("t86_busy", "events", {"busy": (lambda: P.busy(cat("# help\nrunning{m=\"a\"} ", (F.col("event_id") % 3).cast("string"), "\nother 99\nwaiting 0.0"), ("running", "waiting"), 2), "event_id % 3 >= 2")}, None, "event_id")
 
 # --- predicates, token arrays ------------------------------------------------------------------
 simple("f04_extension", "pages", {"kept": (lambda: F.regexp_extract(F.col("url"), r"\.[^./?]+(?=\?|$)", 0).isin("", ".html") & ~F.arrays_overlap(F.split("url", "/", -1), F.array(L("fr"), L("es"))), r"(NOT (contains(url || '/', '/fr/') OR contains(url || '/', '/es/')) AND regexp_extract(url, '(\.[^./?]+)(\?|$)', 1) IN ('', '.html'))")}, None, "page_id")
 simple("f05_byte_size", "documents", {"n": (lambda: F.octet_length("text").cast("long"), "strlen(text)")}, (lambda: F.octet_length("text").between(200, 4000), "strlen(text) BETWEEN 200 AND 4000"))
-simple("f06_readable", "documents", {"fine": (lambda: F.is_valid_utf8(head(512)), "true")})
+_bytes = lambda: F.concat(F.encode("text", "UTF-8"), F.unhex(pick(4, L("C3"), L(""), L("E282"), L("C3A9"))))
+simple("f06_readable", "documents", {"fine": (lambda: F.is_valid_utf8(_bytes().cast("string")), "doc_id % 4 IN (1, 3)")})
 simple("f07_no_nul", "pages", {"text_like": (lambda: ~F.contains(F.col("html"), L("\x00")), "NOT contains(html, chr(0))")}, None, "page_id")
 simple("f17_token_cap", "documents", {"n": (lambda: F.size(F.split("text", " ", -1)).cast("long"), "CAST(len(string_split(text, ' ')) AS BIGINT)")}, (lambda: F.size(F.split("text", " ", -1)) <= 100, "len(string_split(text, ' ')) <= 100"))
 simple("f19_exact_length", "documents", {"last": (lambda: F.element_at(F.slice(F.split("text", " ", -1), 1, 64), -1), "string_split(text, ' ')[64]")}, (lambda: F.size(F.slice(F.split("text", " ", -1), 1, 64)) == 64, "len(string_split(text, ' ')) >= 64"))

@@ -26,9 +26,7 @@ simple("f13_language", "documents", {"fits": (lambda: (F.col("lang") == "") | F.
 simple("f15_length_between", "documents", {"n": (lambda: F.length("text").cast("long"), "length(text)")}, (lambda: F.length("text").between(80, 6000), "length(text) BETWEEN 80 AND 6000"))
 simple("f16_numeric_answer", "events", {"n": (lambda: F.get_json_object("props", "$.k").try_cast("double"), "TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE)")}, (lambda: F.get_json_object("props", "$.k").try_cast("double").isNotNull(), "TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) IS NOT NULL"), "event_id")
 simple("f26_title_like", "pages", {"url": (lambda: F.col("url"), "url")}, (lambda: F.contains(F.lower("url"), F.lit("org/e")), "contains(lower(url), 'org/e')"), "page_id")
-simple("t02_page_url", "documents", {"url": (lambda: T.page_url(F.lit("https://x.org/wiki/"), F.substring("text", 1, 40)), "'https://x.org/wiki/' || replace(substr(text, 1, 40), ' ', '_')")})
 simple("t08_strip_tags", "pages", {"plain": (lambda: F.regexp_replace("html", r"(?s)<[^>]+>", " "), r"regexp_replace(html, '<[^>]+>', ' ', 'gs')")}, None, "page_id")
-simple("t11_strip_quotes", "documents", {"plain": (lambda: F.regexp_replace(F.concat(F.lit("'''"), F.substring("text", 1, 50), F.lit("''")), "'{2,}", ""), "regexp_replace('''''''' || substr(text, 1, 50) || '''''', '''{2,}', '', 'g')")})
 simple("t13_newlines", "documents", {"plain": (lambda: T.newlines(F.replace(F.col("text"), F.lit("\n"), F.lit("\r\n"))), "regexp_replace(replace(text, chr(10), chr(13) || chr(10)), chr(13) || chr(10) || '?', chr(10), 'g')")})
 simple("t14_collapse", "documents", {"plain": (lambda: F.regexp_replace(F.regexp_replace("text", r"[ \t]+", " "), r"\n{3,}", "\n\n"), r"regexp_replace(regexp_replace(text, '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g')")})
 simple("t15_strip", "documents", {"plain": (lambda: T.strip(F.col("text")), "trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")})
@@ -42,21 +40,17 @@ simple("t29_safe_budget", "documents", {"budget": (lambda: F.greatest(F.lit(1024
 simple("t31_url_parts", "pages", {"host": (lambda: F.parse_url(F.col("url"), F.lit("HOST")), r"regexp_extract(url, '^https?://([^/?#:]+)', 1)"), "depth": (lambda: F.size(F.split(F.parse_url(F.col("url"), F.lit("PATH")), "/", -1)).cast("long"), r"CAST(len(string_split(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '/')) AS BIGINT)")}, None, "page_id")
 simple("t33_extension_language", "documents", {"language": (lambda: T.language_of(F.concat(F.lit("."), "lang")), "CASE lang WHEN 'py' THEN 'python' ELSE lang END")})
 simple("t34_path_depth", "pages", {"depth": (lambda: T.path_depth(F.col("url")), "CAST(len(string_split(url, '/')) AS BIGINT)")}, None, "page_id")
-simple("t35_file_header", "documents", {"cpt": (lambda: F.concat(F.lit("# File: "), "source", F.lit("\n# Language: "), "lang", F.lit("\n\n"), F.substring("text", 1, 80)), "'# File: ' || source || chr(10) || '# Language: ' || lang || chr(10) || chr(10) || substr(text, 1, 80)")})
-simple("t36_completion_prompt", "documents", {"prompt": (lambda: F.concat(F.lit("Complete the following code:\n\n"), F.substring("text", 1, 100)), "'Complete the following code:' || chr(10) || chr(10) || substr(text, 1, 100)")})
 simple("t39_first_present", "documents", {"value": (lambda: T.first_present(F.nullif(F.col("lang"), F.lit("en")), F.col("source")), "coalesce(nullif(lang, 'en'), source)")})
-simple("t40_first_not_blank", "documents", {"value": (lambda: T.first_not_blank(F.substring("text", 1, 0), F.col("text")), "text")}, (lambda: F.length(T.strip(F.col("text"))) > 0, "length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) > 0"))
+simple("t40_first_not_blank", "documents", {"value": (lambda: T.first_not_blank(F.when(F.col("doc_id") % 3 == 0, " \n").when(F.col("doc_id") % 3 == 1, F.lit(None)).otherwise(F.col("source")), F.col("text")), "CASE WHEN doc_id % 3 = 2 AND length(trim(source)) > 0 THEN source ELSE text END")}, (lambda: F.length(T.strip(F.col("text"))) > 0, "length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) > 0"))
 _MID = "greatest(1, least(CAST(floor(length(text) * (0.1::DOUBLE + 0.2::DOUBLE * " + U01.format("'7m:' || doc_id") + ")) AS BIGINT), length(text) - 1))"
 _START = f"CAST(floor({U01.format(chr(39) + '7s:' + chr(39) + ' || doc_id')} * (length(text) - {_MID} + 1)) AS BIGINT)"
 simple("t42_fill_in_middle", "documents", {"fim": (lambda: T.fill_in_middle(F.col("text"), "7", F.col("doc_id")), f"CASE WHEN {U01.format(chr(39) + '7r:' + chr(39) + ' || doc_id')} < 0.5 AND length(text) >= 32 THEN '<|fim_prefix|>' || substr(text, 1, {_START}) || '<|fim_suffix|>' || substr(text, {_START} + {_MID} + 1) || '<|fim_middle|>' || substr(text, {_START} + 1, {_MID}) ELSE text END")})
-simple("t46_final_answer_cut", "documents", {"body": (lambda: T.gsm_answer(F.concat(F.substring("text", 1, 60), F.lit("\n#### 42"))), r"regexp_replace(substr(text, 1, 60) || chr(10) || '#### 42', '(?m)\s*####.*$', '', 'g')")})
 simple("t54_tag_counts", "pages", {"n_p": (lambda: F.regexp_count("html", F.lit("<p>")).cast("long"), "CAST(len(string_split(html, '<p>')) - 1 AS BIGINT)"), "n_a": (lambda: F.regexp_count("html", F.lit("<a ")).cast("long"), "CAST(len(string_split(html, '<a ')) - 1 AS BIGINT)")}, None, "page_id")
 simple("t57_digits", "pages", {"digits": (lambda: T.digits(F.col("url")), "regexp_replace(url, '[^0-9]', '', 'g')")}, None, "page_id")
 simple("t63_payload_key", "events", {"k": (lambda: F.get_json_object("props", "$.k").try_cast("long"), "TRY_CAST(json_extract_string(props, '$.k') AS BIGINT)")}, None, "event_id")
 simple("t68_sentences", "documents", {"n": (lambda: F.size(T.sentences(F.col("text"))).cast("long"), r"CAST(len(list_filter(string_split_regex(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '')) AS BIGINT)")})
 simple("t69_batches", "embeddings", {"n": (lambda: F.size(F.transform(F.sequence(F.lit(0), F.size("embedding") - 1, F.lit(10)), lambda i: F.slice("embedding", i + 1, 10))).cast("long"), "CAST(ceil(len(embedding) / 10.0) AS BIGINT)")}, None, "vec_id")
 simple("t77_speed", "events", {"tps": (lambda: F.round(100.0 / F.greatest(F.col("value") - F.col("value") * 0.1, F.lit(0.001)), 6), "round(100.0::DOUBLE / greatest(value - value * 0.1::DOUBLE, 0.001::DOUBLE), 6)")}, None, "event_id")
-simple("t79_file_name", "documents", {"name": (lambda: F.regexp_replace(F.substring("text", 1, 30), r"[^A-Za-z0-9._-]+", "_"), "regexp_replace(substr(text, 1, 30), '[^A-Za-z0-9._-]+', '_', 'g')")})
 simple("t80_last_segment", "documents", {"tail": (lambda: F.when(F.contains(F.col("text"), F.lit("the ")), F.substring_index("text", "the ", -1)).otherwise(F.col("text")), "CASE WHEN contains(text, 'the ') THEN list_extract(string_split(text, 'the '), -1) ELSE text END")})
 simple("t83_learning_rate", "events", {"lr": (lambda: F.round(F.when(F.col("event_id") < 100, 0.001 * F.col("event_id") / 100).otherwise(0.0005 * (1 + F.cos(F.pi() * F.least(F.lit(1.0), (F.col("event_id") - 100) / 9900.0)))), 9), "round(CASE WHEN event_id < 100 THEN 0.001::DOUBLE * event_id / 100 ELSE 0.0005::DOUBLE * (1 + cos(pi() * least(1.0::DOUBLE, (event_id - 100) / 9900.0::DOUBLE))) END, 9)")}, None, "event_id")
 simple("t87_tail", "documents", {"tail": (lambda: F.right(F.col("text"), F.lit(500)), "right(text, 500)")})
@@ -321,9 +315,9 @@ def u16_packing(spark, sf_dir):
     return read(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("long").alias("label"), F.floor((F.sum(F.size("embedding")).over(w) - F.size("embedding")) / 512).alias("bin"))
 
 
-@query("SELECT conv_id, turn, role, left(text, 200) AS text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations) WHERE rn <= 2")
+@query("SELECT conv_id, turn, role, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations) WHERE rn <= 2")
 def u26_first_turns(spark, sf_dir):
-    return O.first_n_per_group(read(spark, sf_dir, "conversations"), ["conv_id"], 2, ["turn"]).select("conv_id", "turn", "role", F.left(F.col("text"), F.lit(200)).alias("text"))
+    return O.first_n_per_group(read(spark, sf_dir, "conversations"), ["conv_id"], 2, ["turn"]).select("conv_id", "turn", "role", "text")
 
 
 @query("SELECT vec_id, CAST(len(embedding) - 1 AS BIGINT) AS n, round(sum_x, 4) AS sum_x, round(sum_y, 4) AS sum_y FROM (SELECT vec_id, embedding, list_sum(CAST(embedding[1:63] AS DOUBLE[])) AS sum_x, list_sum(CAST(embedding[2:64] AS DOUBLE[])) AS sum_y FROM embeddings)")

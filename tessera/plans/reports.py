@@ -117,6 +117,6 @@ def a27_summary_comparison(spark, sf_dir):
 @query()
 def q09_federated_search(spark, sf_dir):
     d = read(spark, sf_dir, "documents")
-    pool = d.select("doc_id", F.col("lang").alias("project"), F.substring("text", 1, 60).alias("title"), "text", F.lit("").alias("url"))
+    pool = d.select("doc_id", F.col("lang").alias("project"), F.substring_index("text", "\n", 1).alias("title"), "text", F.lit("").alias("url"))
     part = {lang: pool.filter(F.col("project") == lang) for lang in ("en", "de", "fr")}
     return federated.search({"enwiki": part["en"], "dewiki": part["de"]}, {"frsource": part["fr"]}, "licensed OR der OR les")
