@@ -24,38 +24,47 @@ def page_url(base: Column, title: Column) -> Column:
     return F.concat(base, F.replace(title, F.lit(" "), F.lit("_")))
 
 
-#: (pattern, replacement) in the order they are applied, before templates are removed.
-MARKUP = (
+#: (pattern, replacement) in the order they are applied.
+NOTES = (
     (r"(?s)<!--.*?-->", " "),
     (r"(?is)<ref[^>/]*>.*?</ref>", " "),
     (r"(?is)<ref[^>]*/>", " "),
     (r"(?s)\{\|.*?\|\}", " "),
+)
+FILES = (
     (r"(?iu)\[\[(?:file|image|文件|图像|圖像):[^\]]*\]\]", " "),
     (r"(?iu)\[\[(?:category|分类|分類):[^\]]*\]\]", " "),
 )
-TEMPLATE, PASSES = r"\{\{[^{}]*\}\}", 8
-#: The rest, applied after the templates.
-PLAIN = (
-    (r"(?m)^=+[ \t]*([^=\n]+?)[ \t]*=+[ \t]*$", "\n$1\n"),
-    (r"(?is)<[^>]+>", " "),
+#: Templates from the inside out; at most eight deep.
+TEMPLATES = ((r"\{\{[^{}]*\}\}", " "),) * 8
+HEADINGS = ((r"(?dm)^=+[ \t]*([^=\n]+?)[ \t]*=+[ \t]*$", "\n$1\n"),)
+TAGS = ((r"(?is)<[^>]+>", " "),)
+OUTER_LINKS = (
     (r"\[https?://[^\s\]]+[ \t]+([^\]]+)\]", "$1"),
     (r"\[(https?://[^\s\]]+)[ \t]*\]", "$1"),
+)
+LINKS = (
     (r"\[\[[^\]|]*\|[ \t]*([^\]]*?)[ \t]*\]\]", "$1"),
     (r"\[\[[ \t]*([^\]|#]*)(?:#[^\]|]*)?\]\]", "$1"),
-    (r"'{2,}", ""),
-    (r"(?m)^[ \t]*[*#:;]+[ \t]*", ""),
+)
+QUOTES = ((r"'{2,}", ""),)
+LISTS = ((r"(?dm)^[ \t]*[*#:;]+[ \t]*", ""),)
+SPACES = (
     (r"\r\n?", "\n"),
     (r"[ \t]+", " "),
     (r"\n{3,}", "\n\n"),
 )
 
 
+def replaced(c: Column, steps: tuple[tuple[str, str], ...]) -> Column:
+    for pattern, to in steps:
+        c = F.regexp_replace(c, pattern, to)
+    return c
+
+
 def clean_wikitext(c: Column, drop_trailing: bool = True) -> Column:
     """Readable text of wiki markup."""
-    c = F.substring(c, 1, MAX_WIKITEXT)
-    for pattern, to in MARKUP + ((TEMPLATE, " "),) * PASSES + PLAIN:
-        c = F.regexp_replace(c, pattern, to)
-    c = strip(c)
+    c = strip(replaced(F.substring(c, 1, MAX_WIKITEXT), NOTES + FILES + TEMPLATES + HEADINGS + TAGS + OUTER_LINKS + LINKS + QUOTES + LISTS + SPACES))
     return cut_trailing(c) if drop_trailing else c
 
 
