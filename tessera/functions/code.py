@@ -9,28 +9,57 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: What a package must not import or call.
-BANNED_IMPORTS = ("os", "sys", "subprocess", "shutil", "socket", "ctypes", "pickle", "multiprocessing")
-BANNED_CALLS = ("eval", "exec", "compile", "__import__", "open")
+from tessera.functions.formats import CODE_LEAST, CODE_MARKS
+
+#: What a package must not import, call or reach for.
+BANNED_IMPORTS = ("pty", "subprocess", "shlex", "socket")
+BANNED_CALLS = ("eval", "exec", "__import__", "open")
+BANNED_ATTRIBUTES = ("system", "popen", "remove", "rmdir", "chmod", "chown", "fork", "rmtree")
 FUNCTIONS = T.ArrayType(T.StructType([T.StructField(n, k) for n, k in (("name", T.StringType()), ("qualname", T.StringType()), ("class_name", T.StringType()), ("start_line", T.IntegerType()), ("body_line", T.IntegerType()), ("end_line", T.IntegerType()), ("body_lines", T.IntegerType()), ("docstring", T.StringType()), ("doc_end", T.IntegerType()))]))
 #: The lines of a function at which a completion may begin.
 CUTS = T.ArrayType(T.StructType([T.StructField("start_line", T.IntegerType()), T.StructField("lines", T.ArrayType(T.IntegerType()))]))
 
 
 def violations_of(source: str) -> list[str]:
+    """What in a file is banned, each once, sorted; source that doesn't parse is a violation."""
     try:
         tree = ast.parse(source)
     except (SyntaxError, ValueError, RecursionError):
         return ["syntax error"]
-    found = []
+    found = set()
     for node in ast.walk(tree):
-        if isinstance(node, ast.Import):
-            found += [f"import {a.name}" for a in node.names if a.name.split(".")[0] in BANNED_IMPORTS]
-        elif isinstance(node, ast.ImportFrom) and (node.module or "").split(".")[0] in BANNED_IMPORTS:
-            found.append(f"import {node.module}")
-        elif isinstance(node, ast.Call) and isinstance(node.func, ast.Name) and node.func.id in BANNED_CALLS:
-            found.append(f"call {node.func.id}")
-    return sorted(set(found))
+        if isinstance(node, ast.Attribute):
+            found |= {f"attribute {node.attr}"} if node.attr in BANNED_ATTRIBUTES else set()
+        elif isinstance(node, ast.Call):
+            name = node.func.id if isinstance(node.func, ast.Name) else None
+            found |= {f"call {name}"} if name in BANNED_CALLS else set()
+        elif isinstance(node, (ast.Import, ast.ImportFrom)):
+            names = [node.module or ""] if isinstance(node, ast.ImportFrom) else [a.name for a in node.names]
+            found |= {f"import {n}" for n in names if n.split(".")[0] in BANNED_IMPORTS}
+    return sorted(found)
+
+
+def valid_code_text_of(text: str | None, least: int = 32, block: int = 20) -> bool:
+    """Whether a text has ``least`` characters and its fenced blocks of ``block`` or more parse; without
+    fences, whether it parses if it passes for code."""
+    if text is None or len(text) < least:
+        return False
+    blocks = re.findall(r"(?si)```(?:python)?\s*(.*?)```", text)
+    if not blocks:
+        return not passes_for_code_of(text) or parses_of(text)
+    return all(parses_of(b.strip()) for b in blocks if len(b.strip()) >= block)
+
+
+def passes_for_code_of(text: str) -> bool:
+    return len(text.strip()) >= CODE_LEAST and any(m in text for m in CODE_MARKS)
+
+
+def parses_of(source: str | None) -> bool:
+    try:
+        ast.parse(source)
+        return True
+    except (SyntaxError, ValueError, TypeError, RecursionError):
+        return False
 
 
 def functions_of(source: str, least: int = 5) -> list[dict]:
@@ -97,7 +126,7 @@ def outline_of(source: str) -> str:
         elif isinstance(node, ast.ClassDef):
             out.append(f"class {node.name}:")
             out += [line(n, "    ") for n in node.body if isinstance(n, ast.FunctionDef)]
-    return "\n".join(out) or "# No top-level classes or functions found."
+    return "\n".join(out) or "# nothing to outline"
 
 
 def snippets_of(source: str, marked: list[int], window: int = 5) -> str:
@@ -124,8 +153,8 @@ def error_context_of(source: str, message: str = "", window: int = 5) -> str:
     except (ValueError, RecursionError):
         pass
     if not marked:
-        return f"Error: {message}\n(No specific line numbers found in traceback)" if message else "No syntax errors detected."
-    return f"Error Information:\n{message}\n\nCode Context:\n{snippets_of(source, sorted(marked), window)}"
+        return f"{message}\n(it names no line)" if message else "The source parses."
+    return f"{message}\n\nLines:\n{snippets_of(source, sorted(marked), window)}"
 
 
 def debug_prompt_of(trace: str, files: dict[str, str], window: int = 15) -> str:
@@ -142,14 +171,12 @@ def debug_prompt_of(trace: str, files: dict[str, str], window: int = 15) -> str:
 
 @F.pandas_udf(T.BooleanType())
 def parses(source: pd.Series) -> pd.Series:
-    def fine(x):
-        try:
-            ast.parse(x)
-            return True
-        except (SyntaxError, ValueError, TypeError, RecursionError):
-            return False
-
-    return source.map(fine)
+    return source.map(parses_of)
+
+
+@F.pandas_udf(T.BooleanType())
+def valid_code_text(text: pd.Series) -> pd.Series:
+    return text.map(valid_code_text_of)
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))

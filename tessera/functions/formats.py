@@ -19,8 +19,8 @@ INSTRUCTION, OUTPUT = ("instruction", "problem", "prompt"), ("output", "solution
 RAW_CODE = ("text", "code", "content", "body")
 MESSAGE = ("message", "commit_message", "subject", "instruction", "prompt", "issue", "title")
 DIFF = ("diff", "patch", "changes", "git_diff")
-#: What a text that passes for Python code holds, and how long it is at least.
-CODE_MARKS, CODE_LEAST = ("def ", "class ", "import ", "from ", "return ", "print("), 20
+#: What a text that passes for Python code holds, and how long it is at least.
+CODE_MARKS, CODE_LEAST = ("def ", "class ", "import ", "from ", "return ", "if __name__ ==", "try:", "except ", "lambda "), 20
 
 #: Prompts of this engine; {task}, {tests}, {code} and {entry} stand for the row's own.
 TO_CODE = "Solve this task in Python. Answer with code alone.\n\n{task}\n"
@@ -51,6 +51,10 @@ def passes_for_code(c: Column) -> Column:
     return (F.length(T.strip(c)) >= CODE_LEAST) & marks
 
 
+def python_or_unnamed(lang: Column) -> Column:
+    return (F.coalesce(lang, F.lit("")) == "") | F.contains(F.lower(lang), F.lit("python"))
+
+
 def code_of(c: Column, most: int) -> Column:
     """The code of an answer, at most so many characters."""
     return P.trimmed_code(T.code_only(c), most)
@@ -64,7 +68,7 @@ def problems(df: DataFrame, most: int = 6000, prompt: str = TO_CODE) -> DataFram
     """Problem and solution, of Python or of no named language."""
     task, answer, lang = (first_of(df, n) for n in (PROBLEM, SOLUTION, LANGUAGE))
     code = code_of(answer, most)
-    fits = (task != "") & (answer != "") & ((lang == "") | F.contains(F.lower(lang), F.lit("python"))) & passes_for_code(code)
+    fits = (task != "") & (answer != "") & python_or_unnamed(lang) & passes_for_code(code)
     return _chats(df, filled(prompt, task=task), code, fits)
 
 

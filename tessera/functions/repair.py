@@ -106,15 +106,20 @@ def tidy_diff(text: str | None) -> str:
 
 
 def hunks_of(diff: str | None) -> list[tuple[list[str], list[str]]]:
-    """The lines that each hunk expects and those that it leaves in their place."""
+    """The lines that each hunk expects and those that it leaves in their place; a line without a mark is context."""
     out: list[tuple[list[str], list[str]]] = []
     for part in re.split(r"(?m)^@@[^\n]*\n", diff or "")[1:]:
         body = re.split(r"(?m)^(?:diff --git |--- )", part)[0].removesuffix("\n").split("\n")
-        body = [x for x in body if not x.startswith("\\")]
-        out.append(([x[1:] for x in body if not x.startswith("+")], [x[1:] for x in body if not x.startswith("-")]))
+        marked = [(x[:1], x[1:]) if x[:1] in (" ", "+", "-") else (" ", x) for x in body if not x.startswith("\\")]
+        out.append(([x for m, x in marked if m != "+"], [x for m, x in marked if m != "-"]))
     return out
 
 
+def _stands(lines: list[str], block: list[str]) -> bool:
+    have, want = [x.strip() for x in lines], [x.strip() for x in block]
+    return any(have[i : i + len(want)] == want for i in range(len(have) - len(want) + 1))
+
+
 def placed(lines: list[str], old: list[str], least: float = 0.5) -> tuple[int, int] | None:
     """Where the lines that a hunk expects stand: first line and number of lines.
 
@@ -140,9 +145,14 @@ def placed(lines: list[str], old: list[str], least: float = 0.5) -> tuple[int, i
 
 
 def patched(source: str | None, diff: str | None) -> tuple[str, int]:
-    """The text with a diff's hunks put in, and the number of hunks that fit nowhere."""
+    """The text with a diff's hunks put in, and the number of hunks that fit nowhere.
+
+    A hunk whose outcome stands there already is left out.
+    """
     lines, lost = (source or "").split("\n"), 0
     for old, new in hunks_of(diff):
+        if old and new and _stands(lines, new):
+            continue
         at = placed(lines, old)
         if at is None:
             lost += 1
@@ -173,6 +183,25 @@ def files_of(text: str | None) -> dict[str, str]:
     return out
 
 
+#: What ends a block besides its own mark: the next block, a diff, a heading, a fence.
+_NEXT = r"\n[^\n]*WRITE_FILE:|\ndiff --git|\n##\s|\n```"
+
+
+def written_files_of(text: str | None, least: int = 15) -> list[tuple[str, str]]:
+    """(path, content) of the blocks below ``WRITE_FILE: path`` and ``<<<CONTENT``, in order.
+
+    A block ends at ``CONTENT>>`` or ``CONTENT>>>``, before what cannot be part of it, or with the text.  Closing tags of a
+    tool's template at its end are left out, and blocks of removed lines, of diff paths and of fewer
+    than ``least`` characters.
+    """
+    out = []
+    for m in re.finditer(rf"(?s)(?:^|\n)(?!-)[^\n]*?WRITE_FILE:[ \t]*(\S+)[^\n]*\n\s*<<<CONTENT\n(.*?)(?:CONTENT>>>?|<<<CONTENT\s*\Z|(?={_NEXT})|\Z)", text or ""):
+        path, body = m.group(1), re.sub(r"(?:\s*</\w+>)+\s*\Z", "", m.group(2).replace("CONTENT>>>", "").replace("<<<CONTENT", ""))
+        if not path.startswith(("a/", "b/")) and path != "/dev/null" and len(body.strip()) >= least:
+            out.append((path, body.rstrip() + "\n"))
+    return out
+
+
 def compressed(contents: list[str], tokens: int) -> list[str]:
     """Messages cut in the middle, the longest first, until four characters a token fit.
 
@@ -196,6 +225,16 @@ def json_column(texts: pd.Series) -> pd.Series:
     return texts.map(json_of)
 
 
+def arguments_column(tool: str):
+    """Column function on the arguments of one tool."""
+
+    @F.pandas_udf(StringType())
+    def made(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: arguments_of(x, tool))
+
+    return made
+
+
 @F.pandas_udf(ArrayType(StringType()))
 def diffs_column(texts: pd.Series) -> pd.Series:
     return texts.map(diffs_of)
@@ -206,6 +245,16 @@ def files_column(texts: pd.Series) -> pd.Series:
     return texts.map(files_of)
 
 
+@F.pandas_udf(ArrayType(StructType().add("path", StringType()).add("content", StringType())))
+def written_files_column(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda x: [{"path": p, "content": c} for p, c in written_files_of(x)])
+
+
+@F.pandas_udf(StringType())
+def tidy_diff_column(texts: pd.Series) -> pd.Series:
+    return texts.map(tidy_diff)
+
+
 @F.pandas_udf(MapType(StringType(), StringType()))
 def new_files_column(texts: pd.Series) -> pd.Series:
     return texts.map(new_files_of)

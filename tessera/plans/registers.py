@@ -1,12 +1,10 @@
-"""Queries of the skill register and of the tasks made of Python files."""
+"""Queries of the skill register."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.functions import code as C
 from tessera.operators import skills as K
-from tessera.operators import tasks
 from tessera.plans.base import query, read
 
 _AT = "lpad(CAST(event_id AS VARCHAR), 12, '0')"
@@ -56,54 +54,3 @@ def u13_behaviours(spark, sf_dir):
     cards = by_lang.select("skill_name", F.concat(F.lit("texts in "), "skill_name").alias("summary"), F.lit("run.py").alias("entrypoint"), none.alias("capabilities"), F.array(F.lit("text")).alias("required_inputs"), none.alias("failure_modes"), "n_files")
     near = by_lang.select("skill_name", F.when(F.col("skill_name") == "en", F.array(F.lit("de"), F.lit("fr"))).alias("neighbors"))
     return K.behaviours(cards, near)
-
-
-#: Each document becomes a small Python file, since the tables hold no source code.
-_FILE = ("import json\nimport re\n\n\nclass C", ":\n    def put(self, x):\n        a = 1\n        b = 2\n        c = 3\n        d = 4\n        return x\n\n\nif __name__ == \"__main__\":\n    print(", ")\n")
-
-
-def _sql(text: str) -> str:
-    return "'" + text.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
-
-
-_CONTENT = f"{_sql(_FILE[0])} || doc_id || {_sql(_FILE[1])} || n_chars || {_sql(_FILE[2])}"
-_PATH = "'m' || doc_id || '.py'"
-
-
-def _files(spark, sf_dir):
-    content = F.concat(F.lit(_FILE[0]), "doc_id", F.lit(_FILE[1]), "n_chars", F.lit(_FILE[2]))
-    return read(spark, sf_dir, "documents").select(F.concat(F.lit("m"), "doc_id", F.lit(".py")).alias("path"), "source", content.alias("content"))
-
-
-def _task(kind: str, user: str, assistant: str) -> str:
-    return f"SELECT {_PATH} AS path, source, '{kind}' AS type, {user} AS user, {assistant} AS assistant FROM documents"
-
-
-_OPEN, _CLOSE = _sql("```python\n"), _sql("\n```")
-_STUB = _sql("    def put(self, x):\n        raise NotImplementedError")
-_BODY = _sql("    def put(self, x):\n        a = 1\n        b = 2\n        c = 3\n        d = 4\n        return x")
-
-
-@query(_task("skeleton_to_impl", f"{_sql('Implement the body of `put`.' + chr(10) * 2)} || {_OPEN} || '# File: ' || {_PATH} || {_sql(chr(10) * 2 + 'import json' + chr(10) + 'import re' + chr(10) * 2 + 'class C')} || doc_id || {_sql(':' + chr(10) + '    ...' + chr(10) * 2)} || {_STUB} || {_CLOSE}", f"{_OPEN} || {_BODY} || {_CLOSE}"))
-def u03_skeletons(spark, sf_dir):
-    return tasks.skeletons(_files(spark, sf_dir))
-
-
-@query(_task("partial_nav", f"'File: `' || {_PATH} || {_sql('`' + chr(10) * 2)} || {_OPEN} || replace({_CONTENT}, {_BODY}, {_STUB}) || {_CLOSE} || {_sql(chr(10) * 2 + 'Implement `put` in this file.')}", f"{_OPEN} || {_BODY} || {_CLOSE}"))
-def u04_partial_files(spark, sf_dir):
-    return tasks.partial_files(_files(spark, sf_dir))
-
-
-@query(_task("import_resolution", f"{_sql('Write the imports that this code lacks.' + chr(10) * 2)} || {_OPEN} || substr({_CONTENT}, {len('import json' + chr(10) + 'import re' + chr(10)) + 1}) || {_CLOSE}", f"{_OPEN} || {_sql('import json' + chr(10) + 'import re')} || {_CLOSE}"))
-def u07_imports(spark, sf_dir):
-    return tasks.imports(_files(spark, sf_dir))
-
-
-@query(_task("generate_main", f"'File: `' || {_PATH} || {_sql('`' + chr(10) * 2)} || {_OPEN} || string_split({_CONTENT}, {_sql(chr(10) + 'if __name')})[1] || {_CLOSE} || {_sql(chr(10) * 2 + 'Write the block that runs this file as a program.')}", f"{_OPEN} || {_sql('if __name__ == ' + chr(34) + '__main__' + chr(34) + ':' + chr(10) + '    print(')} || n_chars || ')' || {_CLOSE}"))
-def u08_mains(spark, sf_dir):
-    return tasks.mains(_files(spark, sf_dir))
-
-
-@query(f"SELECT {_PATH} AS path, 'class C' || doc_id || {_sql(':' + chr(10) + '    def put(self, x): ...')} AS outline FROM documents")
-def u19_outline(spark, sf_dir):
-    return _files(spark, sf_dir).select("path", C.outline("content").alias("outline"))

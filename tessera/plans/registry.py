@@ -8,11 +8,12 @@ from __future__ import annotations
 from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import formats as X
 from tessera.functions import text as T
 from tessera.functions.text import cosine
 from tessera.operators import order as O
 from tessera.operators import search as S
-from tessera.plans import cleaning, formatting, mixes, parsing, registers, reports, whole  # noqa: F401  (they register their queries)
+from tessera.plans import cleaning, coding, formatting, mixes, parsing, registers, reports, whole  # noqa: F401  (they register their queries)
 from tessera.plans.base import QUERIES, SQL, U01, query, read, simple
 
 # --- projections, filters, scalars -------------------------------------------------------------
@@ -21,8 +22,10 @@ simple("f02_minimum_length", "documents", {"n": (lambda: F.length("text").cast("
 simple("f03_snippet", "documents", {"snippet": (lambda: T.snippet(F.col("text")), r"trim(replace(substr(text, 1, 260), chr(10), ' '), ' ' || chr(9) || chr(13))")})
 simple("f08_minified", "documents", {"minified": (lambda: T.minified(F.col("text"), F.lit("js")), "((len(string_split(text, chr(10))) <= 2 AND length(text) > 2000) OR length(text) / len(string_split(text, chr(10))) > 500)")})
 simple("f09_not_empty", "documents", {"n": (lambda: F.length("text").cast("long"), "length(text)")}, (lambda: F.length(T.strip(F.col("text"))) >= 32, r"length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) >= 32"))
-simple("f11_code_hints", "documents", {"hinted": (lambda: (F.length(T.strip(F.col("text"))) >= 20) & (F.contains(F.col("text"), F.lit("def ")) | F.contains(F.col("text"), F.lit("import ")) | F.contains(F.col("text"), F.lit("the "))), "(length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) >= 20 AND (contains(text, 'def ') OR contains(text, 'import ') OR contains(text, 'the ')))")})
-simple("f13_language", "documents", {"fits": (lambda: (F.col("lang") == "") | F.lower("lang").contains("e"), "(lang = '' OR lower(lang) LIKE '%e%')")})
+_hinted = " OR ".join(f"contains(text, '{m}')" for m in X.CODE_MARKS)
+simple("f11_code_hints", "documents", {"hinted": (lambda: X.passes_for_code(F.col("text")), f"(length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) >= 20 AND ({_hinted}))")})
+_tongue = lambda: parsing.pick(4, F.lit(""), F.lit("Python3"), F.concat("lang", F.lit(" PYTHON ")), F.col("lang"))
+simple("f13_language", "documents", {"fits": (lambda: X.python_or_unnamed(_tongue()), "doc_id % 4 < 3")})
 simple("f15_length_between", "documents", {"n": (lambda: F.length("text").cast("long"), "length(text)")}, (lambda: F.length("text").between(80, 6000), "length(text) BETWEEN 80 AND 6000"))
 simple("f16_numeric_answer", "events", {"n": (lambda: F.get_json_object("props", "$.k").try_cast("double"), "TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE)")}, (lambda: F.get_json_object("props", "$.k").try_cast("double").isNotNull(), "TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) IS NOT NULL"), "event_id")
 simple("f26_title_like", "pages", {"url": (lambda: F.col("url"), "url")}, (lambda: F.contains(F.lower("url"), F.lit("org/e")), "contains(lower(url), 'org/e')"), "page_id")
