@@ -144,7 +144,8 @@ def _blocks(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, np.n
 
 def _places(batch: pa.RecordBatch, at: int, to: int, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """doc_id and number within its document of each word; columns 0 and 2 are doc_id and base."""
-    ids, base = (batch.column(i).slice(at, to - at).to_numpy(zero_copy_only=False) for i in (0, 2))
+    # A null id would make all of them floats; such rows have no seeds, so any number will do.
+    ids, base = (batch.column(i).slice(at, to - at).fill_null(0).to_numpy(zero_copy_only=False) for i in (0, 2))
     first = np.searchsorted(doc, np.arange(to - at))
     return ids[doc], np.arange(len(doc)) - first[doc] + base[doc]
 
@@ -244,7 +245,7 @@ def repeated_seeds(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
 def later_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(doc_id, at, len): runs of window starts whose windows also start earlier.
 
-    ``docs`` has (doc_id, text as binary, base, seeds), no null doc_id.
+    ``docs`` has (doc_id, text as binary, base, seeds); rows without a doc_id have no seeds.
     """
     width = length - gram + 1
 
@@ -279,29 +280,27 @@ def later_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
     return sent.withColumn("nth", F.rank().over(order)).filter("settled or nth > 1").withColumn("len", F.greatest("len", F.lit(1))).select("doc_id", "at", "len")
 
 
-def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The texts (doc_id, text, base) with a doc_id, dealt by it; those without; and (doc_id,
-    runs) of the documents with later windows.
+def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
+    """The texts (doc_id, text, base, deal), dealt by ``deal``, and (deal, runs) of the documents with later windows.
 
+    ``deal`` is the doc_id, or, so that rows without one don't meet in one task, a hash of the text.
     The texts are dealt once; both joins below use that exchange again, for which
     both must be left joins: an inner one would filter its side before the exchange.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     every = _texts(docs, doc_id, text)
-    known = every.filter("doc_id is not null")
-    texts = known.repartition(parts, "doc_id")
-    seeds = repeated_seeds(known, length, gram)
-    runs = later_windows(texts.join(seeds, "doc_id", "left").select("doc_id", "text", "base", "seeds"), length, gram)
-    return texts, every.filter("doc_id is null"), runs.groupBy("doc_id").agg(F.collect_list(F.struct("at", "len")).alias("runs"))
+    texts = every.withColumn("deal", F.coalesce("doc_id", F.xxhash64("text"))).repartition(parts, "deal")
+    seeds = repeated_seeds(every.filter("doc_id is not null"), length, gram).withColumnRenamed("doc_id", "deal")
+    seeded = texts.join(seeds, "deal", "left").select("doc_id", "text", "base", F.when(F.col("doc_id").isNotNull(), F.col("seeds")).alias("seeds"))
+    runs = later_windows(seeded, length, gram)
+    return texts, runs.groupBy(F.col("doc_id").alias("deal")).agg(F.collect_list(F.struct("at", "len")).alias("runs"))
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, digests: bool = False) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): the words that stay, joined by single spaces;
     with ``digests``, kept_sha256 in place of kept."""
-    texts, unnamed, runs = repeats(docs, doc_id, text, length, gram)
-    frame = texts.join(runs, "doc_id", "left").select("doc_id", "text", "base", F.col("runs.at").alias("at"), F.col("runs.len").alias("len"))
-    none = F.lit(None).cast("array<int>")
-    frame = frame.unionByName(unnamed.select("doc_id", "text", "base", none.alias("at"), none.alias("len")))
+    texts, runs = repeats(docs, doc_id, text, length, gram)
+    frame = texts.join(runs, "deal", "left").select("doc_id", "text", "base", F.col("runs.at").alias("at"), F.col("runs.len").alias("len"))
     last = "kept_sha256" if digests else "kept"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,10 +308,10 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", len
             for start in range(0, max(batch.num_rows, 1), 512):
                 part = batch.slice(start, 512)
                 n_words, n_removed, kept = [], [], []
-                for raw, base, at, run_len in zip(*(part.column(i).to_pylist() for i in (1, 2, 3, 4)), strict=True):
+                for named, raw, base, at, run_len in zip(*(part.column(i).to_pylist() for i in range(5)), strict=True):
                     words = (raw or b"").split()
                     n_words.append(len(words))
-                    if at:
+                    if at and named is not None:
                         at, long_ = np.array(at) - base, np.array(run_len)
                         own = (at >= 0) & (at < len(words))
                         step = np.zeros(len(words) + 1, np.int64)
