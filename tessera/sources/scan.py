@@ -1,12 +1,17 @@
-"""Sources: wiki dumps, source trees, JSON lines."""
+"""Sources: wiki dumps, source trees, JSON lines, results."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.text import LANGUAGES, minified, newlines, strip
+from tessera.sources.scratch import exists
+
 #: What a source-tree scan takes and leaves out.
-EXTENSIONS = ("py", "js", "ts", "java", "go", "rs", "c", "cpp", "cc", "h", "hpp", "cs", "php", "rb", "swift", "kt", "scala", "sh", "sql", "html", "css", "json", "yaml", "yml", "md")
+EXTENSIONS = tuple(LANGUAGES)
 IGNORED = (".git", "node_modules", "__pycache__", "venv", ".venv", "dist", "build", "target")
 DUMP = "title STRING, ns STRING, revision ARRAY<STRUCT<timestamp: STRING, text: STRUCT<_VALUE: STRING, `_xml:space`: STRING>>>"
 
@@ -18,16 +23,167 @@ def wiki_pages(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.trim("title").alias("title"), F.coalesce(F.trim("ns").try_cast("int"), F.lit(-1)).alias("ns"), F.trim(last["timestamp"]).alias("ts"), F.coalesce(last["text"]["_VALUE"], F.lit("")).alias("wikitext"))
 
 
-def source_tree(spark: SparkSession, root: str, least: int = 100, most: int = 512 * 1024) -> DataFrame:
-    """(path, language, content) of readable text files; sizes are pushed into the listing."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).filter(F.col("length").between(least, most))
+@dataclass(frozen=True)
+class Project:
+    """A dump to index; ``namespaces`` None: all."""
+
+    project: str
+    dump: str
+    index: str
+    base_url: str
+    namespaces: tuple[int, ...] | None
+    mode: str
+
+
+def project_of(item: dict, base_urls: dict[str, str]) -> Project:
+    """A project of a configuration: namespaces are {0} unless given, an empty list being all; the mode goes by the name's end."""
+    name = item["project"]
+    url = item.get("base_url") or base_urls.get(name)
+    if not url:
+        raise ValueError(f"project {name} has no base_url")
+    spaces = item.get("namespaces")
+    chosen = (0,) if spaces is None else tuple(sorted({int(x) for x in spaces})) or None
+    return Project(name, item["dump_path"], item["db_path"], url, chosen, item.get("mode") or ("wiki" if name.endswith("wiki") else "wikisource"))
+
+
+def projects_of(names: list[str], dumps: str, indexes: str, base_urls: dict[str, str], main_only: bool = True) -> list[Project]:
+    """Projects by name alone, their dumps where a mirror puts them."""
+    spaces = None if main_only else []
+    return [project_of({"project": n, "dump_path": f"{dumps}/{n}/{n}-latest-pages-articles.xml.bz2", "db_path": f"{indexes}/{n}_fts", "namespaces": spaces}, base_urls) for n in names]
+
+
+def configured(spark: SparkSession, path: str) -> DataFrame:
+    """The projects of JSON files, as they are given: (project, dump_path, db_path, base_url, namespaces, mode)."""
+    item = "struct<project: string, dump_path: string, db_path: string, base_url: string, namespaces: array<int>, mode: string>"
+    rows = spark.read.schema(f"projects array<{item}>").json(path, multiLine=True)
+    return rows.select(F.inline("projects"))
+
+
+def source_tree(spark: SparkSession, root: str, least: int = 100, most: int = 512 * 1024, per_root: int | None = None, lenient: bool = False, tidy: bool = False) -> DataFrame:
+    """(path, language, content) of text files below a root.
+
+    Names and sizes are settled by the listing, before a file is read.  ``per_root``: the first so many paths;
+    ``lenient``: bytes that are no UTF-8 are left out, else their file is; ``tidy``: line ends made
+    one, minified files left out.
+    """
+    suffixes = "*.{" + ",".join(x for e in EXTENSIONS for x in dict.fromkeys((e, e.upper()))) + "}"
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", suffixes).load(root).filter(F.col("length").between(least, most))
+    below = F.split(F.regexp_replace("path", r"^[a-z]+:/*", ""), "/")
+    files = files.filter(~F.arrays_overlap(F.slice(below, 1, F.size(below) - 1), F.array(*map(F.lit, IGNORED))))
     ext = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    fine = ext.isin(*EXTENSIONS) & ~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, IGNORED))) & F.is_valid_utf8(F.col("content").cast("string"))
     text = F.col("content").cast("string")
-    return files.filter(fine).select("path", ext.alias("language"), text.alias("content")).filter(F.length(F.btrim("content", F.lit(" \t\r\n"))) > 0)
+    if lenient:
+        text = F.replace(F.make_valid_utf8(text), F.lit("�"), F.lit(""))
+    else:
+        files = files.filter(F.is_valid_utf8(text))
+    rows = files.select("path", ext.alias("language"), (newlines(text) if tidy else text).alias("content")).filter(F.length(strip(F.col("content"))) > 0)
+    if tidy:
+        rows = rows.filter(~minified(F.col("content"), F.col("language")))
+    if per_root is not None:
+        rows = rows.orderBy("path").limit(per_root)
+    return rows
+
+
+def item_kind(item: Column) -> Column:
+    """What an input is: blob, tree, raw (any other address) or path."""
+    kind = F.regexp_extract(item, r"^https?://(?:www\.)?github\.com/[^/]+/[^/]+/(blob|tree)/", 1)
+    return F.when(kind != "", kind).when(item.rlike("^https?://"), "raw").otherwise("path")
 
 
-def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Rows of JSON lines; blank and malformed ones are left out."""
+def repositories(spark: SparkSession, path: str) -> DataFrame:
+    """(item, remote) of a list, a line each; blank lines and those with # are left out."""
+    lines = spark.read.text(path).select(F.trim("value").alias("item")).filter(~F.col("item").startswith("#") & (F.col("item") != ""))
+    return lines.select("item", (F.col("item").startswith("https://") | F.col("item").startswith("git@")).alias("remote"))
+
+
+def json_lines(spark: SparkSession, path: str, schema: str, objects: bool = False) -> DataFrame:
+    """Rows of JSON lines; blank and malformed ones are left out, with ``objects`` also those that are no objects."""
     lines = spark.read.text(path).filter(F.length(F.trim("value")) > 0)
+    if objects:
+        lines = lines.filter(F.schema_of_variant(F.try_parse_json("value")).startswith("OBJECT"))
     return lines.select(F.from_json("value", f"{schema}, _bad STRING", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r")).select("r.*").filter("_bad is null").drop("_bad")
+
+
+def json_line_faults(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, text) of the malformed lines, numbered from 1; a file must fit a task."""
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n", -1)).alias("at", "text"))
+    return files.filter((F.trim("text") != "") & F.try_parse_json("text").isNull()).select("file", (F.col("at") + 1).alias("line"), "text")
+
+
+def dataset(spark: SparkSession, root: str, name: str, splits: tuple[str, ...] = ("train",), first: int | None = None, order: tuple[str, ...] = ()) -> DataFrame:
+    """Parquet or JSON lines of ``repo[:subset]`` below a root, a folder for each split; at most ``first`` rows of each."""
+    repo, _, subset = name.partition(":")
+    out = None
+    for split in splits:
+        path = "/".join([root, repo, *([subset] if subset else []), split])
+        if not exists(spark, path):
+            raise FileNotFoundError(path)
+        # A folder holds one format; the first file tells.
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        names = [s.getPath().getName() for s in at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)]
+        rows = spark.read.parquet(path) if any(n.endswith(".parquet") for n in names) else spark.read.json(path)
+        if first is not None:
+            rows = (rows.orderBy(*order) if order else rows).limit(first)
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    return out
+
+
+def first_that_loads(spark: SparkSession, root: str, names: list[str], **options) -> tuple[str, DataFrame] | None:
+    """The first of several datasets that is there, and its name."""
+    for name in names:
+        try:
+            return name, dataset(spark, root, name, **options)
+        except FileNotFoundError:
+            continue
+    return None
+
+
+def kept_or_built(spark: SparkSession, path: str, build) -> DataFrame:
+    """The table at a path; ``build()`` is written there if there is none that was finished."""
+    if not exists(spark, f"{path}/_SUCCESS"):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def results(spark: SparkSession, root: str, schema: str, name: str = "*.json") -> DataFrame:
+    """(file, and the schema's columns) of all JSON files of that name below a root; each is one value."""
+    rows = spark.read.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", name).json(root, multiLine=True)
+    return rows.withColumn("file", F.input_file_name())
+
+
+def summaries(spark: SparkSession, folders: list[str], schema: str) -> tuple[DataFrame, list[str]]:
+    """summary.json of each folder, and the folders without one."""
+    there = [f for f in folders if exists(spark, f"{f}/summary.json")]
+    rows = spark.read.schema(schema).json([f"{f}/summary.json" for f in there], multiLine=True) if there else spark.createDataFrame([], schema)
+    return rows, [f for f in folders if f not in there]
+
+
+def skills(spark: SparkSession, folder: str) -> DataFrame:
+    """(category, pattern, insight, evidence, count, created_at) of a folder's JSON lines; rows of the old shape (tag, kind, text) are turned into the new one."""
+    names = "category pattern insight evidence created_at tag kind text".split()
+    rows = json_lines(spark, f"{folder}/*.jsonl", ", ".join(f"{n} string" for n in names) + ", count long", objects=True)
+    old = F.col("insight").isNull()
+    text = lambda name, other="": F.coalesce(F.col(name), F.lit(other))
+    migrated = F.concat(F.lit("Legacy "), text("kind", "unknown"), F.lit(": "), F.substring(text("text"), 1, 100), F.lit("..."))
+    return rows.select(
+        F.when(old, "Legacy").otherwise(text("category", "Uncategorized")).alias("category"), F.when(old, text("pattern", "general")).otherwise(text("pattern")).alias("pattern"),
+        F.when(old, migrated).otherwise(F.col("insight")).alias("insight"), F.when(old, F.substring(text("evidence"), 1, 200)).otherwise(text("evidence")).alias("evidence"),
+        F.when(old, 1).otherwise(F.coalesce("count", F.lit(1))).cast("long").alias("count"), text("created_at").alias("created_at"),
+    )
+
+
+def schema_report(tables: dict[str, DataFrame], expected: tuple[str, ...] = ()) -> tuple[list[tuple], list[str]]:
+    """(table, position, column, type) of each column, and the expected tables that are missing."""
+    rows = [(t, i, f.name, f.dataType.simpleString()) for t, df in sorted(tables.items()) for i, f in enumerate(df.schema)]
+    return rows, [t for t in expected if t not in tables]
+
+
+def report_lines(df: DataFrame, most: int = 400) -> DataFrame:
+    """A line for each row of (table, column, type), types cut at ``most`` characters."""
+    kind = F.when(F.length("type") > most, F.concat(F.substring("type", 1, most), F.lit("..."))).otherwise(F.col("type"))
+    return df.select(F.concat("table", F.lit("."), "column", F.lit(": "), kind).alias("line"))
+
+
+def numbered_in_root(df: DataFrame, root: str, path: str, n: int) -> DataFrame:
+    """The first ``n`` rows of each root, by path."""
+    return df.withColumn("__rn", F.row_number().over(Window.partitionBy(root).orderBy(path))).filter(F.col("__rn") <= n).drop("__rn")

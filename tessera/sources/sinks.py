@@ -1,18 +1,102 @@
-"""Sinks: JSON lines by type, reports, manifests, anti-join appends."""
+"""Sinks: JSON lines by type, tables with a header, reports, manifests, appends of what is new."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.text import shuffle_key
+from tessera.operators.order import first_per_key
+from tessera.sources.scratch import exists
+
+#: The columns of a table of buckets.
+BUCKETS = ("bucket", "raw_count", "dedup_count", "dedup_ratio", "parse_rate", *[f"{u}_{m}" for u in ("chars", "tokens") for m in ("mean", "p50", "p90", "p95", "max")])
+
+
+def write_json(df: DataFrame, path: str) -> int:
+    """JSON lines, nothing escaped that needn't be; returns how many there are."""
+    df.write.json(path)
+    return df.sparkSession.read.text(path).count()
+
 
 def write_by_type(df: DataFrame, path: str, column: str = "type") -> None:
     df.write.partitionBy(column).json(path)
 
 
-def append_new(df: DataFrame, target: DataFrame, path: str, keys: list[str]) -> None:
-    """Append the rows whose keys the target lacks; the first of equal new keys."""
-    df.dropDuplicates(keys).join(target.select(*keys).distinct(), keys, "left_anti").write.mode("append").parquet(path)
+def write_routed(df: DataFrame, path: str, routes: dict[str, str], other: str = "all", column: str = "type", seed: str = "42", keys: tuple[str, ...] = ()) -> DataFrame:
+    """JSON lines in a folder for each route, ``other`` for types without one, and all of them in
+    ``merged`` in the order of a seeded hash; returns (file, n) with the count of each."""
+    pairs = [F.lit(x) for kv in routes.items() for x in kv]
+    route = F.coalesce(F.create_map(*pairs)[F.col(column)], F.lit(other)) if pairs else F.lit(other)
+    routed = df.withColumn("file", route)
+    routed.write.partitionBy("file").json(f"{path}/by_file")
+    named = [F.col(k) for k in keys or df.columns]
+    df.orderBy(shuffle_key(seed, *named), *named).write.json(f"{path}/merged")
+    counts = routed.groupBy("file").agg(F.count("*").alias("n"))
+    return counts.unionByName(df.agg(F.count("*").alias("n")).select(F.lit("merged").alias("file"), "n"))
+
+
+def row_hash(columns: list[str]) -> Column:
+    """SHA-256 of a row's values in the order of their names; null differs from any text."""
+    parts = [F.concat(F.lit(c), F.when(F.col(f"`{c}`").isNull(), "\x01").otherwise(F.concat(F.lit("\x02"), F.col(f"`{c}`").cast("string")))) for c in sorted(columns)]
+    return F.sha2(F.concat_ws("\x00", *parts), 256)
+
+
+def append_new(df: DataFrame, target: DataFrame, path: str, keys: list[str], order: list[str] | None = None) -> None:
+    """Append the rows whose keys the target lacks; of equal new keys the first in ``order`` (default: of all columns)."""
+    first = first_per_key(df, [F.col(k) for k in keys], order or df.columns)
+    first.join(target.select(*keys).distinct(), keys, "left_anti").select(*df.columns).write.mode("append").parquet(path)
+
+
+def append_hashed(df: DataFrame, path: str) -> int:
+    """Append the rows that aren't in the JSON lines at a path, by hash of all their columns; returns how many."""
+    spark, columns = df.sparkSession, df.columns
+    new = df.withColumn("__hash", row_hash(columns)).dropDuplicates(["__hash"])  # equal hash, equal row
+    before = 0
+    if exists(spark, path):
+        held = spark.read.schema(df.schema).json(path)
+        before = held.count()
+        new = new.join(held.select(row_hash(columns).alias("__hash")).distinct(), "__hash", "left_anti")
+    new.select(*columns).write.mode("append").json(path)
+    return spark.read.text(path).count() - before
+
+
+def insert_valid(df: DataFrame, path: str, fits: Column) -> tuple[int, DataFrame]:
+    """Write the rows that fit, all or none of them; returns their number and the others, so that one bad row costs no batch."""
+    good = F.coalesce(fits, F.lit(False))
+    df.filter(good).write.mode("append").parquet(path)
+    return df.filter(good).count(), df.filter(~good)
+
+
+def csv_lines(df: DataFrame, header: list[str]) -> DataFrame:
+    """``df`` with exactly these columns, as text; what is missing or null is empty."""
+    kinds = dict(df.dtypes)
+    return df.select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) if c in kinds else F.lit("").alias(c) for c in header])
+
+
+def write_csv(df: DataFrame, path: str, header: list[str]) -> None:
+    """One file with a header; for reports, whose rows are few."""
+    csv_lines(df, header).coalesce(1).write.option("header", "true").option("emptyValue", "").csv(path)
+
+
+def united(parts: list[DataFrame], first: str) -> DataFrame:
+    """Rows of reports with different columns; all columns, ``first`` ahead of the others in order."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out.select(first, *sorted(c for c in out.columns if c != first))
+
+
+def predictions(df: DataFrame, instance: str, patch: str) -> DataFrame:
+    return df.select(F.col(instance).alias("instance_id"), F.coalesce(F.col(patch), F.lit("")).alias("model_patch"))
+
+
+def status(df: DataFrame, state: str = "status") -> DataFrame:
+    """One row of JSON: total, success and failed, and the tasks; batches are small."""
+    good = F.count_if(F.col(state) == "success")
+    rows = F.sort_array(F.collect_list(F.struct(*df.columns)))
+    summary = F.struct(F.count("*").alias("total"), good.alias("success"), (F.count("*") - good).alias("failed"))
+    return df.agg(summary.alias("summary"), rows.alias("tasks")).select(F.to_json(F.struct("summary", "tasks")).alias("status"))
 
 
 def markdown_rows(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -22,10 +106,48 @@ def markdown_rows(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
 
 
-def manifest(df: DataFrame, by: list[str]) -> DataFrame:
-    """One row: total and, for each column, a map of its values' counts."""
+def manifest(df: DataFrame, by: list[str], config: dict[str, str] | None = None, paths: dict[str, str] | None = None) -> DataFrame:
+    """One row: total and, for each column, a map of its values' counts; with ``config`` and ``paths``, these as maps."""
     counts = [df.groupBy(F.col(c).alias("k")).agg(F.count("*").alias("n")).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "n")))).alias(f"by_{c}")) for c in by]
     out = df.agg(F.count("*").alias("total"))
     for c in counts:
         out = out.crossJoin(F.broadcast(c))  # one row each
+    for name, values in (("config", config), ("paths", paths)):
+        if values is not None:
+            out = out.withColumn(name, F.create_map(*[F.lit(x) for kv in sorted(values.items()) for x in kv]))
     return out
+
+
+def buckets(df: DataFrame, bucket: str, text: str, parses: Column) -> DataFrame:
+    """A row of ``BUCKETS`` for each bucket, of its distinct texts; a token is four characters."""
+    raw = df.groupBy(F.col(bucket).alias("bucket")).agg(F.count("*").alias("raw_count"))
+    # Equal texts meet by digest, so that no long text is a shuffle key.
+    one = df.select(F.col(bucket).alias("bucket"), F.sha2(text, 256).alias("h"), F.length(text).alias("chars"), F.floor(F.length(text) / 4).alias("tokens"), parses.cast("double").alias("parses")).groupBy("bucket", "h").agg(*[F.max(c).alias(c) for c in ("chars", "tokens", "parses")])
+    marks = [(F.round(F.avg(u), 4).alias(f"{u}_mean"), *[F.round(F.percentile(u, F.lit(q)), 4).alias(f"{u}_p{int(q * 100)}") for q in (0.5, 0.9, 0.95)], F.max(u).cast("long").alias(f"{u}_max")) for u in ("chars", "tokens")]
+    told = one.groupBy("bucket").agg(F.count("*").alias("dedup_count"), F.round(F.avg("parses"), 6).alias("parse_rate"), *marks[0], *marks[1])
+    return told.join(raw, "bucket").withColumn("dedup_ratio", F.round(1 - F.col("dedup_count") / F.col("raw_count"), 6)).select(*BUCKETS)
+
+
+def analyse(df: DataFrame, bucket: str, text: str, parses: Column, path: str, config: dict[str, str], checks: list[str]) -> DataFrame:
+    """The table of buckets, sorted by name, as CSV at ``path``/buckets and in a JSON report with configuration and checks at ``path``/report."""
+    rows = buckets(df, bucket, text, parses)
+    write_csv(rows.orderBy("bucket"), f"{path}/buckets", list(BUCKETS))
+    report = rows.agg(F.sort_array(F.collect_list(F.struct(*BUCKETS))).alias("summaries"))
+    report = report.select(F.create_map(*[F.lit(x) for kv in sorted(config.items()) for x in kv]).alias("config"), "summaries", F.array(*map(F.lit, checks)).alias("checks"))
+    report.coalesce(1).write.json(f"{path}/report")
+    return rows
+
+
+def speed_row(df: DataFrame, tokens: str, seconds: str, memory: str) -> DataFrame:
+    """``df`` with tokens_per_sec and peak_memory_gb; no time, no speed."""
+    speed = F.when(F.col(seconds) > 0, F.col(tokens) / F.col(seconds)).otherwise(0.0)
+    return df.withColumn("tokens_per_sec", F.round(speed, 3)).withColumn("peak_memory_gb", F.round(F.col(memory) / float(1 << 30), 3))
+
+
+def drop_unusable(parts: dict[str, DataFrame | None], text: str = "text") -> dict[str, DataFrame]:
+    """The buckets that are there, have a text column and a row."""
+    return {n: d for n, d in parts.items() if d is not None and text in d.columns and not d.isEmpty()}
+
+
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("header", "true").option("emptyValue", "").option("nullValue", "\x00").csv(path)
