@@ -13,7 +13,7 @@ from tessera.functions import text as T
 from tessera.functions.text import cosine
 from tessera.operators import order as O
 from tessera.operators import search as S
-from tessera.plans import cleaning, coding, formatting, mixes, parsing, registers, reports, whole  # noqa: F401  (they register their queries)
+from tessera.plans import cleaning, coding, formatting, mixes, parsing, registers, reports, storing, whole  # noqa: F401  (they register their queries)
 from tessera.plans.base import QUERIES, SQL, U01, query, read, simple
 
 # --- projections, filters, scalars -------------------------------------------------------------

@@ -150,4 +150,5 @@ def drop_unusable(parts: dict[str, DataFrame | None], text: str = "text") -> dic
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("header", "true").option("emptyValue", "").option("nullValue", "\x00").csv(path)
+    """A table as text, empty where a cell is."""
+    return spark.read.option("header", "true").csv(path).na.fill("")
