@@ -7,39 +7,73 @@ never below 1e-6, smaller scores are better.
 from __future__ import annotations
 
 import re
+import unicodedata
+import uuid
 from dataclasses import dataclass
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources.scratch import scratch
+from tessera.sources.versions import Conflict, Versions  # noqa: F401
+
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
 
+def _folds() -> dict[str, str]:
+    """Letters that are a letter of ASCII with one mark, and that letter; marks by themselves become nothing."""
+    out = {}
+    for c in map(chr, range(0xC0, 0x1F00)):
+        parts = unicodedata.normalize("NFD", c)
+        if len(parts) == 2 and parts[0] < "\x80" and parts[0].isalpha() and unicodedata.combining(parts[1]):
+            out[c] = parts[0].lower()
+    return out | {chr(c): "" for c in range(0x300, 0x370)}
+
+
+FOLDS = _folds()
+_WITH = [c for c in FOLDS if FOLDS[c]] + [c for c in FOLDS if not FOLDS[c]]
+
+
+def folded(c: Column) -> Column:
+    """Lower-cased, without marks on Latin letters."""
+    return F.translate(F.lower(c), "".join(_WITH), "".join(FOLDS[x] for x in _WITH))
+
+
+def fold(text: str) -> str:
+    return "".join(FOLDS.get(c, c) for c in text.lower())
+
+
 def tokens(c: Column) -> Column:
-    return F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    return F.regexp_extract_all(folded(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def postings(docs: DataFrame, key: str, *fields: str) -> DataFrame:
-    """(key, field, pos, term); positions count within a field."""
-    parts = [docs.select(key, F.lit(f).alias("field"), F.posexplode(tokens(F.col(f))).alias("pos", "term")) for f in fields]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def postings(docs: DataFrame, key: str, *fields: str, kept=None) -> DataFrame:
+    """(key, field, pos, term); positions count within a field.  ``kept``: a condition on a term; others aren't exploded."""
+    parts = None
+    for f in fields:
+        placed = F.transform(tokens(F.coalesce(F.col(f), F.lit(""))), lambda term, pos: F.struct(pos.alias("pos"), term.alias("term")))
+        part = docs.select(key, F.lit(f).alias("field"), F.inline(F.filter(placed, lambda p: kept(p["term"])) if kept else placed))
+        parts = part if parts is None else parts.unionByName(part)
+    return parts
 
 
 def lengths(docs: DataFrame, key: str, *fields: str) -> DataFrame:
-    n = sum((F.coalesce(F.size(tokens(F.coalesce(F.col(f), F.lit("")))), F.lit(0)) for f in fields), F.lit(0))
+    n = sum((F.size(tokens(F.coalesce(F.col(f), F.lit("")))) for f in fields), F.lit(0))
     return docs.select(key, n.cast("double").alias("dl"))
 
 
 @dataclass(frozen=True)
 class Phrase:
+    """Words one after the other, the last a prefix if ``prefix``, at a field's beginning if ``first``; in
+    one of ``fields`` (None: any; with ``but``: in any other)."""
+
     words: tuple[str, ...]
-    field: str | None = None
+    fields: tuple[str, ...] | None = None
     prefix: bool = False
+    first: bool = False
+    but: bool = False
 
 
 @dataclass(frozen=True)
@@ -61,70 +95,122 @@ class SyntaxProblem(ValueError):
     pass
 
 
-def _near(item: str, field: str | None) -> Near:
-    inside, distance = re.fullmatch(r"NEAR\s*\((.*?)(?:,\s*(\d+)\s*)?\)", item, re.S).groups()
-    words = re.findall(r'"[^"]*"|\w+\*?', inside)
-    phrases = tuple(Phrase(tuple(re.findall(r"[^\W_]+", w.lower())), field, w.endswith("*")) for w in words)
-    if not phrases:
-        raise SyntaxProblem("NEAR of nothing")
-    return Near(phrases, int(distance or 10))
+def words_of(text: str) -> tuple[str, ...]:
+    return tuple(re.findall(r"[^\W_]+", fold(text)))
 
 
 def parse(query: str) -> object:
-    """AND (or nothing between), OR, binary NOT, parentheses, "phrases", prefix*, field:phrase, NEAR(a b, n).
-
-    NOT binds closest, then AND, then OR.
+    """AND (or nothing between), OR, binary NOT, parentheses, "phrases", prefix*, a + b, ^first, field: and
+    {fields}: and -field:, NEAR(a b, n).  NOT binds closest, then AND, then OR; what is none of these is refused.
     """
-    items = re.findall(r'"[^"]*"|NEAR\s*\((?:"[^"]*"|[^")])*\)|[()]|\w+:|\w+\*|\w+', query)
-    at = 0
-
-    def peek() -> str | None:
-        return items[at] if at < len(items) else None
-
-    def take() -> str:
+    items, end = [], 0
+    for m in re.finditer(r'"(?:[^"]|"")*"|\w+|[()+*:,{}^-]', query):
+        items.append(m.group())
+        if query[end : m.start()].strip():
+            break
+        end = m.end()
+    if query[end:].strip():
+        raise SyntaxProblem(f"near {query[end:].strip()[:20]!r}")
+    at, words = 0, ("AND", "OR", "NOT")
+
+    def peek(ahead: int = 0) -> str | None:
+        return items[at + ahead] if at + ahead < len(items) else None
+
+    def take(wanted: str | None = None) -> str:
         nonlocal at
+        item = peek()
+        if item is None or (wanted is not None and item != wanted):
+            raise SyntaxProblem(f"near {item!r}" + (f", lacks {wanted}" if wanted else ""))
         at += 1
-        return items[at - 1]
+        return item
+
+    def is_text(item: str | None) -> bool:
+        return item is not None and (item[0] == '"' or (item[0].isalnum() or item[0] == "_") and item not in words)
+
+    def text() -> str:
+        if not is_text(peek()):
+            raise SyntaxProblem(f"near {peek()!r}")
+        item = take()
+        return item[1:-1].replace('""', '"') if item[0] == '"' else item
+
+    def phrase(fields, but) -> Phrase:
+        first = peek() == "^" and bool(take())
+        parts, prefix = words_of(text()), False
+        while True:
+            if peek() == "*":
+                take()
+                prefix = True
+            if peek() != "+" or prefix:
+                return Phrase(parts, fields, prefix, first, but)
+            take()
+            parts += words_of(text())
 
-    def primary():
-        item = peek()
-        if item is None or item in (")", "AND", "OR", "NOT"):
-            raise SyntaxProblem(f"near {item!r}")
-        take()
-        if item == "(":
-            inner = any_of()
-            if peek() != ")":
-                raise SyntaxProblem("lacks )")
+    def columns():
+        """The fields that stand before a colon, if any do, and whether all others are meant."""
+        nonlocal at
+        was, but, names = at, False, ()
+        if peek() == "-":
+            take()
+            but = True
+        if peek() == "{":
+            take()
+            while peek() != "}":
+                names += (text(),)
+            take("}")
+        elif is_text(peek()):
+            names = (text(),)
+        if names and peek() == ":":
             take()
+            return names, but
+        if but:
+            raise SyntaxProblem("near '-'")
+        at = was
+        return None, False
+
+    def primary(fields=None, but=False):
+        own, own_but = columns()
+        if own:
+            fields, but = own, own_but
+        if peek() == "(":
+            take()
+            inner = any_of(fields, but)
+            take(")")
             return inner
-        field = None
-        if item.endswith(":"):
-            field = item[:-1]
-            item = take() if peek() else ""
-        if item.startswith("NEAR") and item.endswith(")"):
-            return _near(item, field)
-        if item.startswith('"'):
-            return Phrase(tuple(re.findall(r"[^\W_]+", item.lower())), field)
-        if item.endswith("*"):
-            return Phrase((item[:-1].lower(),), field, True)
-        return Phrase(tuple(re.findall(r"[^\W_]+", item.lower())), field)
-
-    def chain(below, words, kinds):
-        left = below()
-        while (item := peek()) is not None and (item in words or ("" in words and item not in (")", "OR", "AND", "NOT"))):
-            if item in words:
+        if peek() == "NEAR" and peek(1) == "(":
+            take()
+            take("(")
+            phrases = ()
+            while peek() not in (",", ")", None):
+                phrases += (phrase(fields, but),)
+            distance = 10
+            if peek() == ",":
+                take()
+                item = take()
+                if not item.isdigit():
+                    raise SyntaxProblem(f"near {item!r}")
+                distance = int(item)
+            take(")")
+            if not phrases:
+                raise SyntaxProblem("NEAR of nothing")
+            return Near(phrases, distance)
+        return phrase(fields, but)
+
+    def chain(below, names, kind, fields, but):
+        left = below(fields, but)
+        while (item := peek()) is not None and (item in names or ("" in names and item not in (")", "OR", "AND", "NOT"))):
+            if item in names:
                 take()
-            left = Op(kinds, left, below())
+            left = Op(kind, left, below(fields, but))
         return left
 
-    def but():
-        return chain(primary, ("NOT",), "NOT")
+    def but_of(fields, but):
+        return chain(primary, ("NOT",), "NOT", fields, but)
 
-    def all_of():
-        return chain(but, ("AND", ""), "AND")
+    def all_of(fields, but):
+        return chain(but_of, ("AND", ""), "AND", fields, but)
 
-    def any_of():
-        return chain(all_of, ("OR",), "OR")
+    def any_of(fields=None, but=False):
+        return chain(all_of, ("OR",), "OR", fields, but)
 
     tree = any_of()
     if at < len(items):
@@ -132,19 +218,42 @@ def parse(query: str) -> object:
     return tree
 
 
+def needed(tree) -> tuple[set[str], set[str]]:
+    """Words and prefixes of a query."""
+    if isinstance(tree, Op):
+        (a, b), (c, d) = needed(tree.left), needed(tree.right)
+        return a | c, b | d
+    phrases = tree.phrases if isinstance(tree, Near) else (tree,)
+    whole = {w for p in phrases for w in (p.words[:-1] if p.prefix else p.words)}
+    return whole, {p.words[-1] for p in phrases if p.prefix and p.words}
+
+
+def is_needed(tree):
+    """The condition on a term that some phrase of the query asks for."""
+    whole, begun = needed(tree)
+
+    def kept(term: Column) -> Column:
+        fits = term.isin(*sorted(whole)) if whole else F.lit(False)
+        for p in sorted(begun):
+            fits = fits | term.startswith(p)
+        return fits
+
+    return kept
+
+
 def phrase_starts(index: DataFrame, key: str, phrase: Phrase) -> DataFrame:
-    """(key, field, start) of each occurrence; one scan of its terms, joined by position."""
-    held = index if phrase.field is None else index.filter(F.col("field") == phrase.field)
-    if phrase.prefix:
-        return held.filter(F.col("term").startswith(phrase.words[0])).select(key, "field", F.col("pos").alias("start"))
-    starts = [held.filter(F.col("term") == w).select(key, "field", (F.col("pos") - i).alias("start"), F.lit(i).alias("i")) for i, w in enumerate(phrase.words)]
-    if len(starts) == 1:
-        return starts[0].drop("i")
-    every = starts[0]
-    for s in starts[1:]:
-        every = every.unionByName(s)
-    whole = every.groupBy(key, "field", "start").agg(F.count("*").alias("n"))
-    return whole.filter(F.col("n") == len(starts)).drop("n")
+    """(key, field, start) of each occurrence; its terms joined by position."""
+    held = index
+    if phrase.fields is not None:
+        held = held.filter(~F.col("field").isin(*phrase.fields) if phrase.but else F.col("field").isin(*phrase.fields))
+    n = len(phrase.words)
+    fits = [F.col("term").startswith(w) if phrase.prefix and i == n - 1 else F.col("term") == w for i, w in enumerate(phrase.words)]
+    # A term may stand at several places of the phrase.
+    places = F.array_compact(F.array(*[F.when(f, F.lit(i)) for i, f in enumerate(fits)])) if n else F.array().cast("array<int>")
+    starts = held.select(key, "field", "pos", F.explode(places).alias("i")).select(key, "field", (F.col("pos") - F.col("i")).alias("start"))
+    if n > 1:
+        starts = starts.groupBy(key, "field", "start").agg(F.count("*").alias("n")).filter(F.col("n") == n).drop("n")
+    return starts.filter("start = 0") if phrase.first else starts
 
 
 def phrase_counts(index: DataFrame, key: str, phrase: Phrase) -> DataFrame:
@@ -201,9 +310,28 @@ def _matching(index: DataFrame, key: str, tree) -> DataFrame:
 
 
 def search(docs: DataFrame, query: str, k: int = 10, key: str = "doc_id", fields: tuple[str, ...] = ("text",)) -> DataFrame:
-    """(key, score) of the k best matches, best first, ties to the smaller key."""
+    """(key, score) of the k best matches, best first, ties to the smaller key.
+
+    The texts are read once: the length of each and the places of the query's own words are
+    written to the shared folder, and the rest works on these.
+    """
     tree = parse(query)
-    index, size = postings(docs, key, *fields), lengths(docs, key, *fields)
+    spark, kept = docs.sparkSession, is_needed(tree)
+
+    def placed(i: int) -> Column:
+        return F.transform(F.col(f"t{i}"), lambda term, pos: F.struct(F.lit(fields[i]).alias("field"), pos.alias("pos"), term.alias("term")))
+
+    cut = docs.select(key, *[tokens(F.coalesce(F.col(f), F.lit(""))).alias(f"t{i}") for i, f in enumerate(fields)])
+    size = sum((F.size(f"t{i}") for i in range(len(fields))), F.lit(0)).cast("double")
+    hits = cut.select(key, size.alias("dl"), F.filter(F.concat(*map(placed, range(len(fields)))), lambda p: kept(p["term"])).alias("hits"))
+    path = scratch(spark, "hits")
+    hits.write.parquet(path)
+    hits = spark.read.schema(hits.schema).parquet(path)
+    return ranked(hits.select(key, F.inline("hits")), hits.select(key, "dl"), tree, k, key)
+
+
+def ranked(index: DataFrame, size: DataFrame, tree, k: int, key: str) -> DataFrame:
+    """(key, score) of the k best matches among postings and lengths."""
     stats = size.agg(F.count("*").cast("double").alias("n_docs"), F.avg("dl").alias("avgdl"))
     parts = None
     for p, near in dict.fromkeys(_phrases(tree)):
@@ -216,5 +344,80 @@ def search(docs: DataFrame, query: str, k: int = 10, key: str = "doc_id", fields
     idf = F.ln((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(idf <= 0, LEAST_IDF).otherwise(idf)
     one = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    ranked = parts.join(size, key).crossJoin(F.broadcast(stats)).groupBy(key).agg((-F.sum(one)).alias("score"))
-    return ranked.join(_matching(index, key, tree), key, "left_semi").orderBy("score", key).limit(k)
+    scores = parts.join(size, key).crossJoin(F.broadcast(stats)).groupBy(key).agg((-F.sum(one)).alias("score"))
+    return scores.join(_matching(index, key, tree), key, "left_semi").orderBy("score", key).limit(k)
+
+
+class Index:
+    """A stored index with upkeep, below ``path`` (default: a fresh folder in the shared one).
+
+    Each change writes tables of its own: postings (slot, key, field, pos, term; in folders by slot, a hash of the term, sorted
+    by term within a file, so that a search reads only its terms' slots), lengths, and keys that are gone.  A
+    numbered manifest names those that hold.  ``merge`` makes one table of each.
+    """
+
+    SLOTS = 64
+
+    def __init__(self, spark: SparkSession, path: str | None = None, key: str = "doc_id", fields: tuple[str, ...] = ("text",)):
+        self.spark, self.path, self.key, self.fields = spark, path or scratch(spark, "search"), key, fields
+        self.log = Versions(spark, f"{self.path}/manifests", "kind string, name string, seq int")
+        self.version = self.log.last()
+        self.tables = [tuple(r) for r in self.log.read(self.version).collect()]  # a few rows a change
+
+    def _write(self, kind: str, rows: DataFrame) -> tuple[str, str, int]:
+        name = f"{kind}-{uuid.uuid4().hex}"
+        writer = rows.write
+        if kind == "postings":
+            rows = rows.withColumn("slot", self._slot(F.col("term"))).repartition("slot").sortWithinPartitions("slot", "term")
+            writer = rows.write.partitionBy("slot")
+        writer.parquet(f"{self.path}/{name}")
+        return kind, name, self.version + 1
+
+    def _slot(self, term: Column) -> Column:
+        return F.pmod(F.xxhash64(term), F.lit(self.SLOTS)).cast("int")
+
+    def _all(self, kind: str) -> DataFrame:
+        """Rows whose key has not gone since."""
+        schema = {"postings": f"{self.key} long, field string, pos int, term string, slot int", "lengths": f"{self.key} long, dl double", "gone": f"{self.key} long"}[kind]
+        parts = [self.spark.read.schema(schema).parquet(f"{self.path}/{n}").withColumn("seq", F.lit(seq)) for k, n, seq in self.tables if k == kind]
+        rows = reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], schema + ", seq int")
+        if kind == "gone" or not any(k == "gone" for k, *_ in self.tables):
+            return rows
+        gone = self._all("gone").groupBy(self.key).agg(F.max("seq").alias("__gone"))
+        return rows.join(gone, self.key, "left").filter("__gone is null or __gone <= seq").drop("__gone")
+
+    def _commit(self, tables: list[tuple[str, str, int]]) -> Index:
+        self.log.commit(self.version + 1, self.spark.createDataFrame(tables, self.log.schema))
+        self.version, self.tables = self.version + 1, tables
+        return self
+
+    def put(self, docs: DataFrame) -> Index:
+        """Insert documents, in place of those with their keys."""
+        keys = docs.select(F.col(self.key).cast("long").alias(self.key))
+        rows = [self._write("postings", postings(docs, self.key, *self.fields)), self._write("lengths", lengths(docs, self.key, *self.fields))]
+        known = [self._write("gone", keys.distinct())] if self.version else []
+        return self._commit([*self.tables, *known, *rows])
+
+    def delete(self, keys: DataFrame) -> Index:
+        """Take out the documents whose keys the first column holds."""
+        ids = keys.select(F.col(keys.columns[0]).cast("long").alias(self.key)).distinct()
+        kind, name, seq = self._write("gone", ids)
+        return self._commit([*self.tables, (kind, name, seq)])
+
+    def merge(self) -> Index:
+        """One table of each kind, without what is gone."""
+        return self._commit([self._write("postings", self._all("postings").drop("seq", "slot")), self._write("lengths", self._all("lengths").drop("seq"))])
+
+    def search(self, query: str, k: int = 10) -> DataFrame:
+        tree = parse(query)
+        whole, begun = needed(tree)
+        index = self._all("postings")
+        if not begun:  # a prefix may be in any slot
+            slots = [r[0] for r in self.spark.createDataFrame([(w,) for w in sorted(whole)], "term string").select(self._slot(F.col("term"))).collect()]
+            index = index.filter(F.col("slot").isin(*slots))
+        return ranked(index.filter(is_needed(tree)(F.col("term"))).select(self.key, "field", "pos", "term"), self._all("lengths").select(self.key, "dl"), tree, k, self.key)
+
+    def ready(self, word: str = "the") -> bool:
+        """Whether a search runs through; it may find nothing."""
+        self.search(word, 1).collect()
+        return True

@@ -60,7 +60,7 @@ simple("t87_tail", "documents", {"tail": (lambda: F.right(F.col("text"), F.lit(5
 simple("e01_html_text", "pages", {"plain": (lambda: T.html_text(F.col("html")), r"trim(regexp_replace(regexp_replace(regexp_replace(html, '<(script|style)[^>]*>.*?</(script|style)>', ' ', 'gis'), '<[^>]*>', ' ', 'gs'), '\s+', ' ', 'g'))")}, None, "page_id")
 
 # --- search ------------------------------------------------------------------------------------
-_POST = r"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
+_POST = r"""WITH d AS (SELECT doc_id, regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+') AS w FROM documents),
 len AS (SELECT doc_id, len(coalesce(w, []))::DOUBLE AS dl FROM d), st AS (SELECT count(*)::DOUBLE AS n, avg(dl) AS a FROM len),
 p AS (SELECT doc_id, unnest(w) AS term, unnest(range(len(w))) AS pos FROM d)"""
 _RANK = "sum(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a)))"
@@ -80,6 +80,7 @@ def _bm25(tf: str, match: str) -> str:
 
 _TWO = "SELECT doc_id, term AS ph, count(*) AS tf FROM p WHERE term IN ('licensed', 'under') GROUP BY ALL"
 _searched("q04_bm25_or", "licensed OR under", _bm25(_TWO, "SELECT doc_id FROM tf"))
+SQL["w06_index_upkeep"] = SQL["w07_merged_index"] = SQL["q04_bm25_or"].replace("FROM documents)", "FROM documents WHERE doc_id % 7 <> 3)")
 _searched("q02_and", "licensed AND under", _bm25(_TWO, "SELECT doc_id FROM tf GROUP BY doc_id HAVING count(*) = 2"))
 _searched("q02_not", "licensed NOT mit", _bm25("SELECT doc_id, term AS ph, count(*) AS tf FROM p WHERE term = 'licensed' GROUP BY ALL", "SELECT doc_id FROM tf EXCEPT SELECT doc_id FROM p WHERE term = 'mit'"))
 _searched("q02_phrase", '"licensed under"', _bm25("SELECT a.doc_id, 'x' AS ph, count(*) AS tf FROM p a JOIN p b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 WHERE a.term = 'licensed' AND b.term = 'under' GROUP BY ALL", "SELECT doc_id FROM tf"))
@@ -90,7 +91,7 @@ df AS (SELECT term AS ph, count(DISTINCT doc_id)::DOUBLE AS df FROM q GROUP BY 1
 SELECT doc_id, round(-{_RANK}, 6) AS score FROM tf JOIN df USING (ph) JOIN len USING (doc_id), st GROUP BY doc_id ORDER BY -{_RANK}, doc_id LIMIT 10""")
 
 
-@query(r"SELECT doc_id, CAST(len(w) AS BIGINT) AS n, CAST(len(list_distinct(w)) AS BIGINT) AS n_distinct FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents)")
+@query(r"SELECT doc_id, CAST(len(w) AS BIGINT) AS n, CAST(len(list_distinct(w)) AS BIGINT) AS n_distinct FROM (SELECT doc_id, regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+') AS w FROM documents)")
 def q01_tokens(spark, sf_dir):
     w = S.tokens(F.col("text"))
     return read(spark, sf_dir, "documents").select("doc_id", F.size(w).cast("long").alias("n"), F.size(F.array_distinct(w)).cast("long").alias("n_distinct"))

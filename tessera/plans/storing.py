@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import order as O
-from tessera.operators.search import tokens
+from tessera.operators.search import Index, tokens
 from tessera.plans.base import SQL, query, read
 from tessera.plans.parsing import cat, pick, sql_pick
 from tessera.sources import scan, sinks
@@ -398,7 +398,7 @@ def x06_streamed_quota(spark, sf_dir):
     return spark.read.parquet(out).groupBy("lang").agg(F.count("*").alias("n"))
 
 
-_WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
+_WORDS = r"regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+')"
 
 
 @query(f"SELECT doc_id, CAST(i AS BIGINT) AS at, array_to_string(w[i * 64 + 1:i * 64 + 64], ' ') AS tokens FROM (SELECT doc_id, w, unnest(range(len(w) // 64)) AS i FROM (SELECT doc_id, {_WORDS} AS w FROM documents))")
@@ -428,3 +428,27 @@ def r17_quota_by_language(spark, sf_dir):
     """Texts of a fair length, shuffled, up to a quota a language."""
     d = docs(spark, sf_dir).filter(F.length("text").between(50, 100000))
     return O.first_n_per_group(d, ["lang"], 20, [T.shuffle_key("r17", F.col("doc_id")), "doc_id"]).select("doc_id", "text")
+
+
+# --- the stored index --------------------------------------------------------------------------
+def _upkept(spark, sf_dir, merged: bool):
+    """An index of the documents that has seen them come in two parts, one of them in another shape, change, and go."""
+    d = docs(spark, sf_dir).select("doc_id", "text")
+    index = Index(spark)
+    index.put(d.filter("doc_id % 2 = 0").withColumn("text", cat("licensed under ", F.col("text"))))
+    index.put(d.filter("doc_id % 2 = 1"))
+    index.put(d.filter("doc_id % 2 = 0"))
+    index.delete(d.filter("doc_id % 7 = 3").select("doc_id"))
+    if merged:
+        index.merge()
+    return index.search("licensed OR under").select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query()
+def w06_index_upkeep(spark, sf_dir):
+    return _upkept(spark, sf_dir, False)
+
+
+@query()
+def w07_merged_index(spark, sf_dir):
+    return _upkept(spark, sf_dir, True)

@@ -17,7 +17,49 @@ def test_ranks_like_the_embedded_engine(spark, query):
     assert {r.doc_id: round(r.score, 5) for r in got} == {i: round(s, 5) for i, s in want}
 
 
-@pytest.mark.parametrize("query", ["AND", "a AND", "(a", "NOT a", "", "NEAR()"])
+MARKED = [(1, "Café crème à Zürich"), (2, "cafe creme"), (3, "CAFÉ, naïve coöperation"), (4, "東京 タワー 東京"), (5, "e\u0301te\u0301 œuvre ångström Ångström"), (6, "ête ete ÉTÉ Straße strasse"), (7, "Ελλάδα ελλαδα привет Й й и")]
+
+
+@pytest.mark.parametrize("query", ["cafe", "café", "crème OR Zurich", "東京", "ete", "été NOT café", "ang*", '"cafe creme"', "Ελλάδα", "й", "стр* OR стра", "strasse", "^cafe", '"cafe" + creme', "{text} : naive", "-text : naive OR 東京", 'na"i"', '"na""ive" OR naive', "cooper*"])
+def test_marks_and_syntax_like_the_embedded_engine(spark, query):
+    con = sqlite3.connect(":memory:")
+    con.execute("CREATE VIRTUAL TABLE t USING fts5(text, tokenize = 'unicode61')")
+    con.executemany("INSERT INTO t(rowid, text) VALUES (?, ?)", MARKED)
+    want = con.execute("SELECT rowid, bm25(t) FROM t WHERE t MATCH ? ORDER BY 2, 1 LIMIT 10", (query,)).fetchall()
+    got = S.search(spark.createDataFrame(MARKED, "doc_id long, text string"), query).collect()
+    assert {r.doc_id: round(r.score, 5) for r in got} == {i: round(s, 5) for i, s in want}
+
+
+def test_letters_fold_like_the_embedded_engine():
+    con = sqlite3.connect(":memory:")
+    con.execute("CREATE VIRTUAL TABLE t USING fts5(text, tokenize = 'unicode61')")
+    con.execute("CREATE VIRTUAL TABLE v USING fts5vocab(t, instance)")
+    letters = [chr(c) for c in range(0xC0, 0x1F00) if chr(c).isalpha() and chr(c).lower() in S.FOLDS or 0xC0 <= c < 0x250 and chr(c).isalpha()]
+    con.executemany("INSERT INTO t(rowid, text) VALUES (?, ?)", [(ord(c), c) for c in letters])
+    told = dict(con.execute("SELECT doc, term FROM v"))
+    wrong = [c for c in letters if S.fold(c) != told.get(ord(c)) and len(c.lower()) == 1]
+    assert len(wrong) <= 0.03 * len(letters), wrong
+
+
+def test_stored_index_and_its_upkeep(spark):
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    index = S.Index(spark)
+    assert index.search("quick").collect() == []
+    index.put(frame(DOCS[:4])).put(frame([(5, "old words quick fox"), (6, "zebra")])).put(frame(DOCS[4:]))
+    for change in (lambda i: i, lambda i: i.merge(), lambda i: i.put(frame([(9, "quick")])).delete(frame([(9, "")]))):
+        change(index)
+        index = S.Index(spark, index.path)
+        for query in ("quick", "bro* NOT bear", '"brown fox"', "NEAR(quick fox, 1)"):
+            rows = lambda d: [(r.doc_id, round(r.score, 9)) for r in d.collect()]
+            assert rows(index.search(query)) == rows(S.search(frame(DOCS), query))
+    with pytest.raises(S.Conflict):
+        late = S.Index(spark, index.path)
+        index.merge()
+        late.put(frame([(10, "x")]))
+    assert index.ready()
+
+
+@pytest.mark.parametrize("query", ["AND", "a AND", "(a", "NOT a", "", "NEAR()", "-", "a - b", "a # b", "a.b", "(a))", "a +", "text:", "{a b}", '"a', "a & b", "*"])
 def test_bad_queries_are_refused(query):
     with pytest.raises(S.SyntaxProblem):
         S.parse(query)
