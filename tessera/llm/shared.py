@@ -2,37 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.scratch import scratch
+from tessera.sources.versions import Conflict, Versions  # noqa: F401
+
 #: The ASCII white space that separates words: space and \t \n \v \f \r.
 WHITE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see.
-
-    Taken from ``spark.checkpoint.dir``; a folder of our own is set only where
-    that setting is absent and all tasks run in the driver's process, as in local tests.
-    """
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not spark.sparkContext.master.split("[")[0] == "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        where = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where
-
-
-def scratch(spark: SparkSession, tag: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/tessera/{tag}-{uuid.uuid4().hex}"
-
-
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and read it again.
 
@@ -44,48 +24,9 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-class Conflict(Exception):
-    """Another writer has committed the version."""
-
-
-class Versions:
-    """Numbered manifests, small tables below ``path``, each committed by one writer only.
-
-    A manifest is written under a name of its own and renamed to its version, so readers
-    see a whole one or none, and a writer that dies leaves nothing that is read.
-    """
-
-    def __init__(self, spark: SparkSession, path: str, schema: str):
-        self.spark, self.path, self.schema = spark, path, schema
-
-    def place(self, name: str = ""):
-        """The file system and the path of ``name``; the driver lists and renames, no data passes through it."""
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
-        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
-
-    def last(self) -> int:
-        """The newest committed version; 0 before any."""
-        fs, top = self.place()
-        names = [s.getPath().getName() for s in fs.listStatus(top)] if fs.exists(top) else []
-        return max([int(n[2:]) for n in names if n.startswith("v=")], default=0)
-
-    def read(self, version: int) -> DataFrame:
-        if not version:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v={version}")
-
-    def commit(self, version: int, manifest: DataFrame) -> int:
-        own = f".{uuid.uuid4().hex}"
-        manifest.coalesce(1).write.parquet(f"{self.path}/{own}")
-        fs, to = self.place(f"v={version}")
-        if fs.exists(to) or not fs.rename(self.place(own)[1], to) or fs.exists(self.place(f"v={version}/{own}")[1]):
-            raise Conflict(version)
-        return version
-
-
 def sweep(spark: SparkSession) -> None:
     """Delete what operators have written below the shared folder; only once no result that reads it is needed."""
-    fs, top = Versions(spark, f"{shared_dir(spark)}/tessera", "").place()
+    fs, top = Versions(spark, scratch(spark, "x").rpartition("/")[0], "").place()
     fs.delete(top, True)
 
 
