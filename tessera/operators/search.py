@@ -356,7 +356,7 @@ class Index:
     numbered manifest names those that hold.  ``merge`` makes one table of each.
     """
 
-    SLOTS = 64
+    SLOTS = 16
 
     def __init__(self, spark: SparkSession, path: str | None = None, key: str = "doc_id", fields: tuple[str, ...] = ("text",)):
         self.spark, self.path, self.key, self.fields = spark, path or scratch(spark, "search"), key, fields
