@@ -16,6 +16,7 @@ BANNED_IMPORTS = ("pty", "subprocess", "shlex", "socket")
 BANNED_CALLS = ("eval", "exec", "__import__", "open")
 BANNED_ATTRIBUTES = ("system", "popen", "remove", "rmdir", "chmod", "chown", "fork", "rmtree")
 FUNCTIONS = T.ArrayType(T.StructType([T.StructField(n, k) for n, k in (("name", T.StringType()), ("qualname", T.StringType()), ("class_name", T.StringType()), ("start_line", T.IntegerType()), ("body_line", T.IntegerType()), ("end_line", T.IntegerType()), ("body_lines", T.IntegerType()), ("docstring", T.StringType()), ("doc_end", T.IntegerType()))]))
+DEFINITIONS = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("kind", "name", "signature", "decorators", "docstring")]))
 #: The lines of a function at which a completion may begin.
 CUTS = T.ArrayType(T.StructType([T.StructField("start_line", T.IntegerType()), T.StructField("lines", T.ArrayType(T.IntegerType()))]))
 
@@ -82,6 +83,25 @@ def functions_of(source: str, least: int = 5) -> list[dict]:
     return out
 
 
+def definitions_of(source: str) -> list[dict]:
+    """Top-level functions and classes: kind, name, signature as it would be written, decorators and docstring."""
+    try:
+        tree = ast.parse(source)
+    except (SyntaxError, ValueError, RecursionError):
+        return []
+    out = []
+    for node in tree.body:
+        if isinstance(node, ast.ClassDef):
+            kind, head = "class", f"class {node.name}" + (f"({', '.join(map(ast.unparse, node.bases))})" if node.bases else "")
+        elif isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
+            kind = "function"
+            head = ("async " if isinstance(node, ast.AsyncFunctionDef) else "") + f"def {node.name}({ast.unparse(node.args)})" + (f" -> {ast.unparse(node.returns)}" if node.returns else "")
+        else:
+            continue
+        out.append({"kind": kind, "name": node.name, "signature": head, "decorators": " ".join("@" + ast.unparse(d) for d in node.decorator_list), "docstring": ast.get_docstring(node)})
+    return out
+
+
 def cuts_of(source: str, least: int = 12) -> list[dict]:
     """For functions of ``least`` lines and two statements or more, where the statements from 30 to 80 % begin."""
     try:
@@ -189,6 +209,16 @@ def functions(source: pd.Series) -> pd.Series:
     return source.map(lambda x: functions_of(x or ""))
 
 
+@F.pandas_udf(DEFINITIONS)
+def definitions(source: pd.Series) -> pd.Series:
+    return source.map(lambda x: definitions_of(x or ""))
+
+
+@F.pandas_udf(T.StringType())
+def debug_prompt(trace: pd.Series, files: pd.Series) -> pd.Series:
+    return pd.Series([debug_prompt_of(t or "", dict(f or {})) for t, f in zip(trace, files, strict=True)])
+
+
 @F.pandas_udf(CUTS)
 def cuts(source: pd.Series) -> pd.Series:
     return source.map(lambda x: cuts_of(x or ""))

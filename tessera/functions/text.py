@@ -16,6 +16,21 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(BLANK))
 
 
+def readable(c: Column) -> Column:
+    """Bytes as text; what is no UTF-8 becomes ``?``."""
+    return F.replace(F.make_valid_utf8(c.cast("string")), F.lit("\ufffd"), F.lit("?"))
+
+
+def sanitised_query(c: Column) -> Column:
+    """Control characters and runs of white space are one space; none at the ends."""
+    return F.trim(F.regexp_replace(c, r"[\x00-\x1f\x7f\s]+", " "))
+
+
+def stamp(at: Column) -> Column:
+    """A time as it stands in names of runs."""
+    return F.date_format(at, "yyyyMMdd_HHmmss")
+
+
 def newlines(c: Column) -> Column:
     return F.regexp_replace(c, "\r\n?", "\n")
 
@@ -124,6 +139,13 @@ def language_of(ext: Column) -> Column:
     return F.coalesce(F.create_map(*pairs)[bare], bare)
 
 
+def label_of(key: Column, labels: dict[str, str]) -> Column:
+    """The label of a key; a key without one is shown in words."""
+    pairs = [F.lit(x) for kv in labels.items() for x in kv]
+    own = F.replace(key, F.lit("_"), F.lit(" "))
+    return F.coalesce(F.create_map(*pairs)[key], own) if pairs else own
+
+
 def path_depth(path: Column) -> Column:
     return F.size(F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/", -1)).cast("long")
 

@@ -23,6 +23,25 @@ def as_phrase(query: str) -> str:
     return f'"{query}"' if len(query) >= 2 and '"' not in query else query
 
 
+#: The collections that are searched for a language.
+PROVIDERS = {"zh": ("zhwiki", "zhwikisource"), "en": ("enwiki", "enwikisource")}
+
+
+def providers_of(language: Column) -> Column:
+    """The names of a language's collections, or of all, with commas between."""
+    every = F.lit(",".join(x for p in PROVIDERS.values() for x in p))
+    return F.coalesce(F.create_map(*[F.lit(x) for k, p in PROVIDERS.items() for x in (k, ",".join(p))])[language], every)
+
+
+def phrase_of(query: Column) -> Column:
+    """As ``as_phrase``, of a column."""
+    return F.when((F.length(query) >= 2) & ~F.contains(query, F.lit('"')), F.concat(F.lit('"'), query, F.lit('"'))).otherwise(query)
+
+
+def title_query(title: Column) -> Column:
+    return F.concat(F.lit("title:"), F.when(F.length(title) >= 2, F.concat(F.lit('"'), title, F.lit('"'))).otherwise(title))
+
+
 def snippet(words: list[str], n: int = 12) -> object:
     """Column function: the stretch of ``n`` tokens with most hits, hits in brackets, dots where text is left out.
 

@@ -1,7 +1,7 @@
 """Mixing of pools: quotas, shares, repeats.
 
 Rows are numbered in the order of a seeded hash, without one task holding a pool: the
-hash's first two digits are its slot, slots are numbered apart and moved by the sizes of
+hash's first bits are its slot, slots are numbered apart and moved by the sizes of
 the slots before.  Quotas are tables of a row a bucket, whose number is configured.
 """
 
@@ -13,12 +13,22 @@ from pyspark.sql import functions as F
 from tessera.functions.text import shuffle_key, unit
 
 
+#: Rows of a slot on average, about; a table of n rows is numbered in n / SLOT tasks.
+SLOT = 1 << 15
+
+
 def numbered(df: DataFrame, groups: list[str], seed: str, *keys: str, to: str = "at") -> DataFrame:
-    """``df`` with the place (from 0) of each row of a group in the order of its hash, then its keys."""
+    """``df`` with the place (from 0) of each row of a group in the order of its hash, then its keys.
+
+    A group's rows are dealt to slots by the first 32 bits of the hash, as many as the largest group needs.
+    """
+    sizes = df.groupBy(*groups).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    bits = min(32, max(0, (int(sizes) // SLOT).bit_length()))
     h = shuffle_key(seed, *[F.col(k) for k in keys])
-    rows = df.withColumn("__h", h).withColumn("__slot", F.substring("__h", 1, 2))
-    slots = rows.groupBy(*groups, "__slot").agg(F.count("*").alias("__n"))  # 256 a group
-    before = Window.partitionBy(*groups).orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.conv(F.substring("__h", 1, 8), 16, 10).cast("long")
+    rows = df.withColumn("__h", h).withColumn("__slot", F.shiftright(first, 32 - bits))
+    slots = rows.groupBy(*groups, "__slot").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy(*groups).orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)  # a row a slot
     base = slots.select(*[F.col(g).alias(f"__{g}") for g in groups], F.col("__slot").alias("__s"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
     same = F.col("__slot") == F.col("__s")
     for g in groups:
@@ -91,6 +101,16 @@ def with_replacement(df: DataFrame, bucket: str, weights: dict[str, float], n: i
     return wanted.join(numbered(df, [bucket], seed, *keys), [bucket, "at"]).drop("at")
 
 
+def filled_up(df: DataFrame, k: int, seed: str, *keys: str) -> DataFrame:
+    """The first ``k`` rows by hash; if there are fewer, all of them and as many drawn again as lack (column draw: -1, else the draw's number)."""
+    n = df.count()
+    if n >= k or not n:
+        return numbered(df, [], seed, *keys, to="__at").filter(F.col("__at") < k).drop("__at").withColumn("draw", F.lit(-1).cast("long"))
+    wanted = df.sparkSession.range(k - n).select(F.col("id").alias("draw"), F.floor(unit(seed + "i", F.col("id")) * n).alias("__at"))
+    again = numbered(df, [], seed, *keys, to="__at").join(wanted, "__at").drop("__at")
+    return df.withColumn("draw", F.lit(-1).cast("long")).unionByName(again.select(*df.columns, "draw"))
+
+
 def rotated(df: DataFrame, templates: list[str], seed: str, *keys: str, to: str = "template") -> DataFrame:
     """A template for each row, in turn by the row's place."""
     each = F.array(*[F.lit(t) for t in templates])

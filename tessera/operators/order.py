@@ -28,6 +28,24 @@ def sample_n(df: DataFrame, n: int, seed: str, *keys: str) -> DataFrame:
     return df.orderBy(shuffle_key(seed, *[F.col(k) for k in keys]), *keys).limit(n)
 
 
+def safe_slice(df: DataFrame, n: int, seed: str, *keys: str) -> DataFrame:
+    """The first ``n`` rows in seeded order; none if n is 0 or less."""
+    return sample_n(df, n, seed, *keys) if n > 0 else df.limit(0)
+
+
+def capped(df: DataFrame, n: int, *order: str) -> DataFrame:
+    """The first ``n`` rows in order; all if there are fewer."""
+    return df.orderBy(*order).limit(n)
+
+
+def union_all(parts: list[DataFrame]) -> DataFrame:
+    """Rows of all parts by the names of their columns; what a part lacks is null."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out
+
+
 def eval_size(n: int) -> int:
     return min(2000, max(200, n // 50))
 

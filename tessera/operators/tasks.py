@@ -128,3 +128,9 @@ def completion_pairs(files: DataFrame, seed: str = "5", suffix: int = 80, most:
     rows = rows.select("path", "start_line", F.concat(_text(_between(F.lit(1), F.col("cut") - 1)), F.lit("\n")).alias("prefix"), _text(_between(F.col("cut"), F.size("lines"))).alias("suffix"))
     rows = rows.filter(F.length(strip(F.col("suffix"))) >= suffix)
     return first_n_per_group(rows, ["path"], most, [shuffle_key(seed, F.col("path"), F.col("start_line")), "start_line"]).select("path", "prefix", "suffix")
+
+
+def completion_pairs_of(lists: DataFrame, key: str, codes: str, seed: str = "5", suffix: int = 80, most: int = 2) -> DataFrame:
+    """path (key and place in the list), prefix, suffix, of rows with arrays of files; choices hang on the place, not on how rows are batched."""
+    one = lists.select(key, F.posexplode(codes).alias("at", "content")).select(F.concat_ws("#", F.col(key).cast("string"), F.col("at").cast("string")).alias("path"), "content")
+    return completion_pairs(one, seed, suffix, most)

@@ -39,14 +39,14 @@ _STEPS = "[" + ", ".join(f"'{s}'" for s in K.STEPS) + "]"
 @query(f"""WITH c AS (SELECT lang AS n, count(*) AS k FROM documents WHERE lang IS NOT NULL GROUP BY 1),
 s AS (SELECT n, step FROM (SELECT n, unnest({_STEPS}) AS step FROM c)),
 plan AS (SELECT n, string_agg(step, ' -> ' ORDER BY sha1('7:' || n || ':' || step)) AS p FROM s GROUP BY n)
-SELECT n AS skill_name, 'I need help with general automation. Which skill should I use?' AS user, 'Use ' || n || '. It matches the request because texts in ' || n AS assistant, 'skill_routing_positive' AS type, '' AS neighbor_skill FROM c
-UNION ALL SELECT n, 'I want to run ' || o || ' to handle this task.', 'Do not use ' || n || ' for that request. ' || o || ' is a better match for this intent.', 'skill_routing_negative', o FROM (SELECT n, unnest(['de', 'fr']) AS o FROM c WHERE n = 'en')
-UNION ALL SELECT n, 'I need website translation and UI localization.', 'Do not use ' || n || '. This skill is focused on: texts in ' || n, 'skill_routing_negative', '' FROM c WHERE n <> 'en'
-UNION ALL SELECT n, 'Run ' || n || ' now. I only provide an empty payload.', 'Input validation failed. Missing required field: text. Provide all required inputs before execution.', 'skill_input_check', '' FROM c
-UNION ALL SELECT n, 'Plan how to use ' || n || ' for this request.', p, 'skill_planning', '' FROM plan
-UNION ALL SELECT n, 'Construct runtime arguments for ' || n || '.', '{{"text": "<text_value>"}}', 'skill_argument_construction', '' FROM c
-UNION ALL SELECT n, 'Summarize the result from ' || n || ' execution for end users.', n || ' completed successfully using ' || k || ' files. Return concise key findings and next actions.', 'skill_result_synthesis', '' FROM c
-UNION ALL SELECT n, n || ' failed during execution. What recovery should I apply?', 'Recovery strategy: inspect logs, correct inputs or dependencies, and retry run.py with validated payload. Failure mode: runtime_error.', 'skill_failure_recovery', '' FROM c""")
+SELECT n AS skill_name, 'Which skill can do general automation?' AS user, n || ' can. What it is for: texts in ' || n AS assistant, 'skill_routing_positive' AS type, '' AS neighbor_skill FROM c
+UNION ALL SELECT n, 'Please have ' || o || ' see to this.', 'Then ' || n || ' is the wrong one; take ' || o || '.', 'skill_routing_negative', o FROM (SELECT n, unnest(['de', 'fr']) AS o FROM c WHERE n = 'en')
+UNION ALL SELECT n, 'Please translate my whole website.', n || ' can''t do that. What it is for: texts in ' || n, 'skill_routing_negative', '' FROM c WHERE n <> 'en'
+UNION ALL SELECT n, 'Start ' || n || ' without any input.', n || ' needs text, which is missing. Give it first.', 'skill_input_check', '' FROM c
+UNION ALL SELECT n, 'In which steps would you use ' || n || '?', p, 'skill_planning', '' FROM plan
+UNION ALL SELECT n, 'Which arguments does ' || n || ' take?', '{{"text": "<text_value>"}}', 'skill_argument_construction', '' FROM c
+UNION ALL SELECT n, 'What came out of ' || n || '?', n || ' ran through, ' || k || ' files in all. The findings and what to do next follow.', 'skill_result_synthesis', '' FROM c
+UNION ALL SELECT n, n || ' has failed. What now?', 'It was runtime_error. Read its log, mend the input, then start run.py again.', 'skill_failure_recovery', '' FROM c""")
 def u13_behaviours(spark, sf_dir):
     """Each language is a skill; English has two near ones."""
     none = F.array().cast("array<string>")

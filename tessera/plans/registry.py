@@ -13,7 +13,7 @@ from tessera.functions import text as T
 from tessera.functions.text import cosine
 from tessera.operators import order as O
 from tessera.operators import search as S
-from tessera.plans import cleaning, coding, formatting, mixes, parsing, registers, reports, storing, whole  # noqa: F401  (they register their queries)
+from tessera.plans import cleaning, coding, formatting, mixes, parsing, registers, reports, rest, storing, whole  # noqa: F401  (they register their queries)
 from tessera.plans.base import QUERIES, SQL, U01, query, read, simple
 
 # --- projections, filters, scalars -------------------------------------------------------------
@@ -340,3 +340,5 @@ def x08_first_event(spark, sf_dir):
 @query("SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, count(*) AS n FROM lineitem GROUP BY 1, 2")
 def g01_line_summary(spark, sf_dir):
     return read(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.count("*").alias("n"))
+
+SQL["t43_streamed_fill_in"] = SQL["t42_fill_in_middle"]

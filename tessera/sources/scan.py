@@ -187,3 +187,11 @@ def report_lines(df: DataFrame, most: int = 400) -> DataFrame:
 def numbered_in_root(df: DataFrame, root: str, path: str, n: int) -> DataFrame:
     """The first ``n`` rows of each root, by path."""
     return df.withColumn("__rn", F.row_number().over(Window.partitionBy(root).orderBy(path))).filter(F.col("__rn") <= n).drop("__rn")
+
+
+def stored_indexes(spark: SparkSession, root: str, prefer: str | None = None) -> list[str]:
+    """Names of the search indexes below a root: the preferred one, then those with fts in their name, then the others."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in (fs.listStatus(at) if fs.exists(at) else [])]
+    return sorted((n for n in names if exists(spark, f"{root}/{n}/manifests")), key=lambda n: (n != prefer, "fts" not in n, n))
