@@ -18,8 +18,9 @@ is found through the ring, at any number of fingerprints.
 Copies are one fingerprint from the start.  Classes are found among distinct
 fingerprints by alternating large and small stars over stored tables.
 
-Null and empty texts have fingerprint zero and link like any other.  Repeated rows
-and ties change nothing.  Rows with a null doc_id keep their fingerprint and take
+Null and empty texts have fingerprint zero and link like any other; texts of any length are
+read whole, one at a time.  Repeated rows and ties change nothing.  Columns other than id and
+text are not looked at, so their names don't matter.  Rows with a null doc_id keep their fingerprint and take
 part in links, but never name a component (null if all of it is null).  An empty
 table gives an empty table.
 """

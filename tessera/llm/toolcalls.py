@@ -14,7 +14,7 @@ tells how many there are; a repeated identifier keeps all its calls, each linked
 in a cycle, or behind one or behind an unknown identifier, have null depth.  Null or
 malformed arguments are invalid and serialised as null.  A null identifier or conversation
 links to nothing and has null depth.  Empty tables give empty tables; columns other than the
-named ones are left out.  A schema with an unknown type is refused before anything runs.
+named ones are left out, whatever their names.  Texts of any length are kept whole.  A schema with an unknown type is refused before anything runs.
 Rows are per call, so a conversation of any length is never gathered in one task.
 
 Calls that need one other call form chains; a chain of n calls is ordered in log2(n) rounds of

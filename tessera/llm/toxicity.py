@@ -12,13 +12,14 @@ the highest scored passage of each toxic text against the highest and some rando
 passages of the others.  A text's score is that of its highest passage; the zero
 point is set between the classes on the texts trained with.
 
-Fitting reads at most ``FIT_TEXTS`` labelled texts of each class (``fit_texts``), the
-first in the order of a hash of their ids, to the driver; scoring reads every whole
-text.  Labels, language, source and id are no inputs of a score.
+Fitting reads at most ``FIT_TEXTS`` labelled texts of each class (``fit_texts``), and ``FIT_CHARS``
+characters in all (``fit_chars``), the first in the order of a hash of their ids, whole, to the
+driver; scoring reads every whole text.  Labels, language, source and id are no inputs of a score.
 
 Null and empty texts have the score of a text without any passage, below one half.
 Without labels of both classes there is no model, and every score is 0.  Repeated
-label rows of a text count once (toxic if any says so).  Columns with the names of
+label rows of a text count once (toxic if any says so), and of different texts of a labelled id
+one is learned from.  Columns with the names of
 the added ones are replaced.
 """
 
@@ -32,10 +33,12 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-FIT_TEXTS, PASSAGE, DIM, BUCKETS = 1500, 3, 8, 1 << 17
+from .shared import stored
+
+FIT_TEXTS, FIT_CHARS, PASSAGE, DIM, BUCKETS = 1500, 50_000_000, 3, 8, 1 << 17
 GRAMS = (3, 4, 5)
 #: Epochs of the first phase of training, and rounds of the second.
 WARM, ROUNDS = 8, 40
@@ -241,7 +244,7 @@ def _between(score: np.ndarray, label: np.ndarray) -> float:
     return float(s[0] - 1 if i == 0 else s[-1] + 1 if i == len(s) else (s[i - 1] + s[i]) / 2)
 
 
-def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", fit_texts: int = FIT_TEXTS) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", fit_texts: int = FIT_TEXTS, fit_chars: int = FIT_CHARS) -> Model | None:
     """Train on ``labels`` (doc_id, toxic) of ``docs``; leave out of ``labels`` what must not be seen."""
     held = labels.filter(F.col(toxic).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("__id")).agg(F.max(toxic).cast("int").alias("__toxic"))
     texts = docs.select(F.col(f"`{doc_id}`").alias("__id"), F.col(f"`{text}`").alias("__text"))
@@ -250,7 +253,13 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         # At most fit_texts ids, which the join may send everywhere.
         ids = held.filter(F.col("__toxic") == value).orderBy(F.xxhash64("__id"), "__id").limit(fit_texts)
         parts.append(texts.join(F.broadcast(ids), "__id"))
-    rows = parts[0].unionByName(parts[1]).orderBy(F.xxhash64("__id"), "__text").limit(2 * fit_texts).collect()
+    # Different texts of an id: the one of the least hash.
+    own = parts[0].unionByName(parts[1]).groupBy("__id", "__toxic").agg(F.min_by("__text", F.xxhash64("__text")).alias("__text"))
+    rows = stored(own.withColumn("__n", F.coalesce(F.length("__text"), F.lit(0))), "labelled")
+    # A running sum over at most 2 * fit_texts small rows; of each class an equal share of the characters.
+    before = F.sum("__n").over(Window.partitionBy("__toxic").orderBy(F.xxhash64("__id"), "__id"))
+    fits = rows.select("__id", "__toxic", "__n").withColumn("__before", before).filter(F.col("__before") <= fit_chars // 2).select("__id")
+    rows = rows.join(F.broadcast(fits), "__id").orderBy(F.xxhash64("__id"), "__id").collect()
     return train([r["__text"] for r in rows], [r["__toxic"] for r in rows])
 
 

@@ -457,6 +457,11 @@ def test_toxicity_generalises(spark):
     assert sum(got[i] == t for i, t in enumerate(test)) >= 95
     odd = toxicity.score(docs(spark, [None, "", " ", "bander stupidd kolling fames"]), model).orderBy("doc_id").collect()
     assert [r.predicted for r in odd[:3]] == [0, 0, 0] and odd[3].score > 0.5
+    labels = spark.createDataFrame([(i, int(t)) for i, t in enumerate(y)] + [(0, 0), (None, 1)], "doc_id long, toxic long")
+    known = docs(spark, [text(t) for t in y])
+    one, again = (toxicity.fit(d, labels) for d in (known, known.unionByName(known).repartition(5)))
+    assert np.allclose(one.weight, again.weight) and one.zero == again.zero
+    assert toxicity.fit(known, labels, fit_texts=0) is None and toxicity.fit(known, labels, fit_chars=10) is None
     assert toxicity.train(["a"], [1]) is None and toxicity.score(frame, None).agg(F.max("score")).first()[0] == 0
 
 
