@@ -38,6 +38,22 @@ def numbered(df: DataFrame, groups: list[str], seed: str, *keys: str, to: str =
     return out.select(*df.columns, (F.col("__base") + F.col("__in") - 1).alias(to))
 
 
+def running(df: DataFrame, group: str, order: str, value: Column, to: str) -> DataFrame:
+    """``df`` with the sum of ``value`` over the rows of its group that stand before it by ``order``, a whole number.
+
+    The order's range is cut into slots of about ``SLOT`` rows, which are summed up apart; a slot starts at what those before it hold.
+    """
+    n, low, high = df.agg(F.count(order), F.min(order), F.max(order)).first()
+    width = max(1, (high - low + 1) * SLOT // n) if n else 1
+    rows = df.withColumn("__v", value).withColumn("__slot", F.floor((F.col(order) - F.lit(low or 0)) / width))
+    slots = rows.groupBy(F.col(group).alias("__g"), F.col("__slot").alias("__s")).agg(F.sum("__v").alias("__n"))
+    before = Window.partitionBy("__g").orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)  # a row a slot
+    base = slots.select("__g", "__s", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    inside = F.sum("__v").over(Window.partitionBy(group, "__slot").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    out = rows.withColumn("__in", F.coalesce(inside, F.lit(0))).join(base, F.col(group).eqNullSafe(F.col("__g")) & F.col("__slot").eqNullSafe(F.col("__s")))
+    return out.select(*df.columns, (F.col("__base") + F.col("__in")).alias(to))
+
+
 def capped_target(n: int, ratio: float, least: int | None = None, most: int | None = None, most_first: bool = False) -> int:
     """``n`` times ratio within bounds; where these cross, the one applied last wins."""
     target = int(n * ratio)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tessera.functions import formats as X
 from tessera.functions import text as T
 from tessera.functions.text import cosine
+from tessera.operators import mix as M
 from tessera.operators import order as O
 from tessera.operators import search as S
 from tessera.plans import cleaning, coding, formatting, mixes, parsing, registers, reports, rest, storing, whole  # noqa: F401  (they register their queries)
@@ -315,8 +316,8 @@ def u18_interval_merge(spark, sf_dir):
 @query("SELECT vec_id, CAST(label AS BIGINT) AS label, CAST(floor((sum(64) OVER (PARTITION BY label ORDER BY vec_id ROWS UNBOUNDED PRECEDING) - 64) / 512) AS BIGINT) AS bin FROM embeddings")
 def u16_packing(spark, sf_dir):
     """Sequences of 64 tokens packed in order into bins of 512, bucket by bucket."""
-    w = Window.partitionBy("label").orderBy("vec_id").rowsBetween(Window.unboundedPreceding, 0)
-    return read(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("long").alias("label"), F.floor((F.sum(F.size("embedding")).over(w) - F.size("embedding")) / 512).alias("bin"))
+    e = read(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("long").alias("label"), F.size("embedding").alias("n"))
+    return M.running(e, "label", "vec_id", F.col("n"), "before").select("vec_id", "label", F.floor(F.col("before") / 512).alias("bin"))
 
 
 @query("SELECT conv_id, turn, role, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations) WHERE rn <= 2")

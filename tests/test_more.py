@@ -101,3 +101,12 @@ def test_numbering_in_many_slots(spark, monkeypatch):
 def test_rows_of_formats_without_columns(spark):
     rows = spark.createDataFrame([("t",)], "other string")
     assert X.problems(rows).count() == X.instructions(rows).count() == X.patches(rows).count() == X.plain_texts(rows).count() == 0
+
+
+def test_running_sums_in_many_slots(spark, monkeypatch):
+    monkeypatch.setattr(M, "SLOT", 8)
+    rows = spark.range(300).select((F.col("id") * 37 % 1009).alias("at"), F.when(F.col("id") % 4 > 0, F.col("id") % 4).alias("g"), (F.col("id") % 5).alias("v"))
+    held = rows.collect()
+    want = {r["at"]: sum(x.v for x in held if x.g == r.g and x["at"] < r["at"]) for r in held}
+    assert {r["at"]: r.before for r in M.running(rows, "g", "at", F.col("v"), "before").collect()} == want
+    assert M.running(rows.limit(0), "g", "at", F.col("v"), "before").count() == 0
