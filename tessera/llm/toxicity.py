@@ -40,8 +40,8 @@ from .shared import stored
 
 FIT_TEXTS, FIT_CHARS, PASSAGE, DIM, BUCKETS = 1500, 50_000_000, 3, 8, 1 << 17
 GRAMS = (3, 4, 5)
-#: Epochs of the first phase of training, and rounds of the second.
-WARM, ROUNDS = 8, 40
+#: Epochs of the first phase of training, passages of toxic texts drawn in each at most, and rounds of the second.
+WARM, WARM_PASSAGES, ROUNDS = 8, 32_000, 40
 #: Words whose weights a worker remembers, and characters scored at once.
 REMEMBERED, CHUNK = 200_000, 1 << 20
 STRIPPED = ".,;:!?\"'()[]{}<>|*#-_"
@@ -201,7 +201,7 @@ class _Trainer:
             self.step(first[c], last[c], label[c], weight[c], rate)
 
 
-def train(texts: list[str | None], labels: list[int], rounds: int = ROUNDS, warm: int = WARM) -> Model | None:
+def train(texts: list[str | None], labels: list[int], rounds: int = ROUNDS, warm: int = WARM, passages: int = WARM_PASSAGES) -> Model | None:
     """The model of labelled texts; None without both classes."""
     y = np.array(labels, np.int64)
     t = _Trainer(texts)
@@ -212,6 +212,7 @@ def train(texts: list[str | None], labels: list[int], rounds: int = ROUNDS, warm
     rng = np.random.default_rng(11)
     for _ in range(warm):
         pos, neg = np.flatnonzero(label == 1), np.flatnonzero(label == 0)
+        pos = rng.choice(pos, min(len(pos), passages), replace=False)
         neg = rng.choice(neg, min(len(neg), 2 * len(pos)), replace=False)
         t.epoch(np.concatenate([pos, neg]), label, first, last, 0.1)
     ends = np.flatnonzero(np.concatenate([text[1:] != text[:-1], [True]]))
