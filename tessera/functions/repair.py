@@ -220,6 +220,36 @@ def compressed(contents: list[str], tokens: int) -> list[str]:
     return out
 
 
+def untemplated(text: str | None) -> str | None:
+    """Wiki markup without its templates, however deep they stand in each other; braces that nothing closes stay."""
+    if text is None:
+        return None
+    kept, at = [], 0
+    for start, end in _outermost(text):
+        kept.append(text[at:start])
+        at = end
+    return " ".join([*kept, text[at:]])
+
+
+def _outermost(text: str) -> list[tuple[int, int]]:
+    """Start and end of the closed templates that stand in no other closed one."""
+    starts, spans = [], []
+    for m in re.finditer(r"\{\{|\}\}", text):
+        if m.group() == "{{":
+            starts.append(m.start())
+        elif starts:
+            start = starts.pop()
+            while spans and spans[-1][0] > start:
+                spans.pop()
+            spans.append((start, m.end()))
+    return spans
+
+
+@F.pandas_udf(StringType())
+def untemplated_column(texts: pd.Series) -> pd.Series:
+    return texts.map(untemplated)
+
+
 @F.pandas_udf(StringType())
 def json_column(texts: pd.Series) -> pd.Series:
     return texts.map(json_of)

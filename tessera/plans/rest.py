@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import code as C
+from tessera.functions import repair as R
 from tessera.functions import text as T
 from tessera.operators import federated as D
 from tessera.operators import mix as M
@@ -36,6 +37,24 @@ simple("q11_text_in_meta", "documents", {"clean_text": (lambda: F.substring("tex
 simple("q08_providers", "documents", {"providers": (lambda: D.providers_of(pick(3, F.col("lang"), L("zh"), L("both"))), sql_pick(3, "CASE lang WHEN 'en' THEN 'enwiki,enwikisource' WHEN 'zh' THEN 'zhwiki,zhwikisource' ELSE 'zhwiki,zhwikisource,enwiki,enwikisource' END", "'zhwiki,zhwikisource'", "'zhwiki,zhwikisource,enwiki,enwikisource'"))})
 simple("q07_title_query", "documents", {"query": (lambda: D.title_query(pick(3, F.col("source"), cat(F.col("lang"), " ", F.col("source")), F.substring("lang", 1, 1))), sql_pick(3, "'title:\"' || source || '\"'", "'title:\"' || lang || ' ' || source || '\"'", "'title:' || substr(lang, 1, 1)"))})
 
+_DEEP = "'{{a|{{b|{{c}}}}' || source || '}}' || lang || '{{open ' || text || '{{' || repeat('{{x|', CAST(doc_id % 12 AS INTEGER)) || repeat('}}', CAST(doc_id % 12 AS INTEGER)) || '}}'"
+_deep = lambda: cat("{{a|{{b|{{c}}}}", F.col("source"), "}}", F.col("lang"), "{{open ", F.col("text"), "{{", F.repeat(L("{{x|"), (F.col("doc_id") % 12).cast("int")), F.repeat(L("}}"), (F.col("doc_id") % 12).cast("int")), "}}")
+#: Templates within templates, deeper than the passes of the plain cleaner go; the one that nothing closes stays.
+simple("t17_parsed_templates", "documents", {"plain": (lambda: R.untemplated_column(_deep()), "' ' || lang || '{{open ' || text || ' '")}, (lambda: ~F.contains("text", L("{{")) & ~F.contains("text", L("}}")), "NOT contains(text, '{{') AND NOT contains(text, '}}')"))
+
+
+_C = len(R.CUT)
+
+
+@query(f"""WITH RECURSIVE r AS (SELECT doc_id, text, length(text) AS n, CAST(NULL AS BIGINT) AS k, length(source) // 4 + length(lang) // 4 AS rest FROM documents
+UNION ALL SELECT doc_id, text, 2 * CAST(floor(n * 0.45::DOUBLE) AS BIGINT) + {_C}, CAST(floor(n * 0.45::DOUBLE) AS BIGINT), rest FROM r WHERE rest + n // 4 > 300 AND n >= 400 AND 2 * CAST(floor(n * 0.45::DOUBLE) AS BIGINT) + {_C} < n),
+last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS rn FROM r) WHERE rn = 1)
+SELECT doc_id, CASE WHEN k IS NULL THEN text ELSE substr(text, 1, k) || replace('{R.CUT.strip()}', '', '') || right(text, k) END AS message FROM last""".replace("replace('", "chr(10) || '").replace("', '', '')", "' || chr(10)"))
+def t30_compressed_messages(spark, sf_dir):
+    """Three messages, of which only the last may be cut, until they fit 300 tokens."""
+    messages = R.compressed_column(300)(F.array("source", "lang", "text"))
+    return docs(spark, sf_dir).select("doc_id", messages.alias("m")).select("doc_id", F.element_at("m", 3).alias("message"))
+
 
 # --- search ------------------------------------------------------------------------------------
 _HITS = r"""WITH d AS (SELECT doc_id, lang, source, text, regexp_extract_all(strip_accents(lower(source || ' ' || text)), '[\p{L}\p{N}]+') AS w FROM documents),
