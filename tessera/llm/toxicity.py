@@ -216,20 +216,22 @@ def train(texts: list[str | None], labels: list[int], rounds: int = ROUNDS, warm
         neg = rng.choice(neg, min(len(neg), 2 * len(pos)), replace=False)
         t.epoch(np.concatenate([pos, neg]), label, first, last, 0.1)
     ends = np.flatnonzero(np.concatenate([text[1:] != text[:-1], [True]]))
+    begins = np.concatenate([[0], ends[:-1] + 1])
 
-    def nth_highest(n: int) -> np.ndarray:
-        """The n highest passages of each text."""
+    def highest(n: int) -> list[np.ndarray]:
+        """The highest passage of each text, the second highest and so on; a text with fewer gives its lowest again."""
         order = np.lexsort((t.logits(first, last), text))
-        return np.concatenate([np.minimum(order[np.maximum(ends - i, np.concatenate([[0], ends[:-1] + 1]))], len(text) - 1) for i in range(n)])
+        return [order[np.maximum(ends - i, begins)] for i in range(n)]
 
     for _ in range(rounds):
-        best = np.unique(nth_highest(2))
-        top = np.unique(nth_highest(1))
+        top, second = highest(2)
+        best = np.unique(np.concatenate([top, second]))
+        top = np.unique(top)
         random = rng.choice(np.flatnonzero(label == 0), min((label == 0).sum(), len(top)), replace=False)
         t.epoch(np.concatenate([top[label[top] == 1], best[label[best] == 0], random]), label, first, last, 0.1)
     model = t.model()
-    high = t.logits(first, last)[nth_highest(1)]
-    model.zero = _between(high, y[text[nth_highest(1)]])
+    (top,) = highest(1)
+    model.zero = _between(t.logits(first, last)[top], y[text[top]])
     return model
 
 
