@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, mixing, quality, sharding, simhash, substring, toolcalls, toxicity
+from . import ann, bpe, divergence, mixing, packing, periodic, quality, sharding, simhash, substring, toolcalls, toxicity
 from .lines import LineIndex
 from .shared import table
 
@@ -84,7 +84,32 @@ def op10_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_compression_bands, op3_permutation_index, op4_byte_bpe, op5_toxicity, op6_tool_call_linking, op7_size_tiered_compaction, op8_line_dedup, op9_entropy_balancing, op10_simhash_pigeonring)}
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
+def replanted(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): the texts of a tenth of the ids, by checksum, have words replaced from one place on by repeats of a stretch.
+
+    A null id has no checksum, so its text stays.
+    """
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = docs.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"))).alias("words"))
+    words = words.withColumn("n", F.size("words").cast("long")).withColumn("g", F.expr("h div 10"))
+    at = words.withColumn("a", F.expr("IF(n > 0, g % n, 0L)")).withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    again = F.expr("array_join(transform(sequence(0L, n - 1), i -> words[cast(if(i < a, i, a + (i - a) % p) as int)]), ' ')")
+    return at.select("doc_id", F.when((F.col("h") % 10 == 0) & (F.col("n") > 0), again).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.detect(replanted(table(spark, sf_dir, "documents")), digests=True)
+
+
+def op13_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_compression_bands, op3_permutation_index, op4_byte_bpe, op5_toxicity, op6_tool_call_linking, op7_size_tiered_compaction, op8_line_dedup, op9_entropy_balancing, op10_simhash_pigeonring, op11_source_divergence, op12_periodic_runs, op13_mixture_packing)}
 
 _OP1 = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
@@ -135,4 +160,44 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, s
 FROM told GROUP BY doc_id
 """
 
-SQL = {"op1_substring_dedup": _OP1, "op6_tool_call_linking": _OP6, "op7_size_tiered_compaction": _OP7, "op8_line_dedup": _OP8}
+_OP11 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+groups AS (SELECT DISTINCT lang, source FROM d),
+per_doc AS (SELECT r, lang, source, translate(term, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term, count(*) AS c
+  FROM (SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d) GROUP BY ALL),
+vocabulary AS (SELECT lang, term, CAST(sum(c) AS HUGEINT) AS c FROM per_doc GROUP BY 1, 2 HAVING count(*) >= 10),
+sizes AS (SELECT lang, count(*) AS v, sum(c) AS n FROM vocabulary GROUP BY 1),
+counts AS (SELECT p.lang, p.source, p.term, CAST(sum(p.c) AS HUGEINT) AS c FROM per_doc p JOIN vocabulary USING (lang, term) GROUP BY ALL),
+totals AS (SELECT lang, source, sum(c) AS n FROM counts GROUP BY 1, 2),
+dense AS (SELECT g.lang, g.source, v.term, coalesce(c.c, 0) AS c, 1 + 1000000000 * (coalesce(c.c, 0) + 2) // (coalesce(t.n, 0) + 2 * s.v) AS p, 1 + 1000000000 * (v.c + 2) // (s.n + 2 * s.v) AS q
+  FROM groups g JOIN vocabulary v ON v.lang = g.lang JOIN sizes s ON s.lang = g.lang LEFT JOIN totals t ON t.lang = g.lang AND t.source = g.source
+  LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = v.term),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM dense a JOIN dense b ON b.lang = a.lang AND b.term = a.term AND b.source <> a.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value
+  FROM groups a JOIN groups b ON b.lang = a.lang AND b.source <> a.source LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, CAST((p - q) * (p - q) // (p + q) AS BIGINT) AS value FROM dense WHERE c > 0 AND p > q),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
+_CRC = "xor(list_reduce([4294967295] || list_transform(string_split({}, ''), lambda c: ord(c)), lambda crc, b: list_reduce([xor(crc, b)] || [0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"
+_OP12 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, """ + _CRC.format("CAST(doc_id AS VARCHAR)") + r""" AS h FROM documents),
+g AS (SELECT *, len(w) AS n, h // 10 AS g FROM d),
+a AS (SELECT *, CASE WHEN n > 0 THEN g % n ELSE 0 END AS a FROM g),
+p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM a),
+words AS (SELECT r, doc_id, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) ELSE w END AS w FROM p),
+places AS (SELECT r, len(w) AS n, unnest(w) AS word, unnest(range(len(w))) AS i FROM words),
+agreeing AS (SELECT x.r, y.i - x.i AS q, x.i FROM places x JOIN places y ON y.r = x.r AND y.word = x.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+islands AS (SELECT r, q, min(i) AS start, count(*) + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM agreeing) GROUP BY r, q, island HAVING count(*) + q >= greatest(6, 4 * q)),
+runs AS (SELECT r, start, length, min(q) AS period FROM islands GROUP BY ALL),
+best AS (SELECT r, start, length, period, row_number() OVER (PARTITION BY r ORDER BY CAST(length AS DOUBLE) / period DESC, start, period) AS nth FROM runs),
+told AS (SELECT r, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM runs GROUP BY r),
+gone AS (SELECT DISTINCT r, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT p.r, string_agg(p.word, ' ' ORDER BY p.i) AS text FROM places p ANTI JOIN gone USING (r, i) GROUP BY p.r)
+SELECT w.doc_id, CAST(coalesce(t.n_runs, 0) AS BIGINT) AS n_runs, CAST(b.start AS BIGINT) AS start, CAST(b.length AS BIGINT) AS length, CAST(b.period AS BIGINT) AS period, CAST(1000 * b.length // b.period AS BIGINT) AS exponent_milli,
+  sha256(coalesce(t.lines, '')) AS runs_sha256, sha256(coalesce(k.text, '')) AS collapsed_sha256
+FROM words w LEFT JOIN told t ON t.r = w.r LEFT JOIN best b ON b.r = w.r AND b.nth = 1 LEFT JOIN kept k ON k.r = w.r
+"""
+
+SQL = {"op1_substring_dedup": _OP1, "op6_tool_call_linking": _OP6, "op7_size_tiered_compaction": _OP7, "op8_line_dedup": _OP8, "op11_source_divergence": _OP11, "op12_periodic_runs": _OP12}
