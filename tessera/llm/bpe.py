@@ -25,6 +25,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import ddl, placed, quoted
+
 #: Bytes are mapped to the code points from here on, none of which is white space.
 FIRST = 0x0100
 #: Pre-tokens that a worker remembers.
@@ -130,8 +132,8 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", i
     added = ["n_tokens long", "ids_sha256 string", "decoded_sha256 string"] if digests else [f"`{ids}` array<int>"] + ([f"`{decoded}` binary"] if decoded else [])
     names = [x.rsplit(" ", 1)[0].strip("`") for x in added]
     kept = [c for c in docs.columns if c not in names]
-    frame = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("__text"))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema if f.name != "__text"] + added)
+    frame = docs.select(*placed(docs, kept), F.col(quoted(text)).alias("text"))
+    schema = ", ".join(ddl(docs, kept) + added)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(ranks, pattern, model)
@@ -158,7 +160,7 @@ def decode(docs: DataFrame, vocabulary: str, ids: str = "ids", to: str = "decode
     """``docs`` with the bytes of its ids; null ids give null, an id without a token fails."""
     ranks = read_ranks(vocabulary)
     kept = [c for c in docs.columns if c != to]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != to] + [f"`{to}` binary"])
+    schema = ", ".join([*ddl(docs, kept), f"`{to}` binary"])
     at = kept.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,4 +172,4 @@ def decode(docs: DataFrame, vocabulary: str, ids: str = "ids", to: str = "decode
             values = [None if x is None else b"".join(tokens[i] for i in x) for x in ids.to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.binary())], names=[*kept, to])
 
-    return docs.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, schema)
+    return docs.select(*placed(docs, kept)).mapInArrow(run, schema)

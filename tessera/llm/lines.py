@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import LOWER, UPPER, WHITE, Versions, scratch, stored
+from .shared import LOWER, UPPER, WHITE, Versions, ddl, placed, quoted, scratch, stored
 
 MIN_CHARS, THRESHOLD = 20, 3
 #: Keys that a shard's filter holds on average, at most, and changes after which the tables are merged.
@@ -359,11 +359,11 @@ class LineIndex:
     def _clean(self, docs: DataFrame, lines: DataFrame, digests: bool) -> DataFrame:
         drop = self.dropped(lines).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("drop").alias("__drop"))
         columns = [self.doc_id] if digests else docs.columns
-        frame = docs.select(*[F.col(f"`{c}`") for c in columns], F.col(f"`{self.text}`").alias("__text"))
-        frame = frame.join(drop, (F.col(f"`{self.doc_id}`").cast("long") == F.col("__id")) & (F.xxhash64("__text") == F.col("__hash")), "left").drop("__id", "__hash")
+        frame = docs.select(*placed(docs, columns), F.col(quoted(self.text)).alias("text"), F.col(quoted(self.doc_id)).cast("long").alias("named"))
+        frame = frame.join(drop, (F.col("named") == F.col("__id")) & (F.xxhash64("text") == F.col("__hash")), "left").drop("__id", "__hash", "named")
         n = len(columns)
         place = None if digests else columns.index(self.text)
-        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields[:n])
+        kinds = ", ".join(ddl(docs, columns))
         schema = "doc_id long, n_lines long, n_dropped long, kept_sha256 string" if digests else kinds
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -66,6 +66,11 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, mo
     return per.select("source", "n_docs", "source_size", F.coalesce(F.least("cap", F.col("level") * F.col("weight")), F.col("cap")).alias("target"))
 
 
+def _total(c: Column) -> Column:
+    """The sum in decimals of six places, which is the same in whatever order tasks add up."""
+    return F.sum(c.cast("decimal(28,6)")).cast("double")
+
+
 def _sums(docs: DataFrame, state: DataFrame, mu: float, most: float) -> DataFrame:
     """``state`` (source, ..., lambda), a row per source, with this point's sums over its documents:
     words (taken), words_z, and of documents below the bound free, free_z and free_zz."""
@@ -73,7 +78,7 @@ def _sums(docs: DataFrame, state: DataFrame, mu: float, most: float) -> DataFram
     tilted = F.exp(F.col("lambda") + mu * F.col("z"))
     taken = F.col("size") * F.least(F.lit(float(most)), tilted)
     free = F.when(tilted < most, taken).otherwise(0.0)
-    per = rows.groupBy(F.col("source").alias("__source")).agg(*[F.sum(x).alias(n) for n, x in (("words", taken), ("words_z", taken * F.col("z")), ("free", free), ("free_z", free * F.col("z")), ("free_zz", free * F.col("z") * F.col("z")))])
+    per = rows.groupBy(F.col("source").alias("__source")).agg(*[_total(x).alias(n) for n, x in (("words", taken), ("words_z", taken * F.col("z")), ("free", free), ("free_z", free * F.col("z")), ("free_zz", free * F.col("z") * F.col("z")))])
     return stored(state.join(per, state.source.eqNullSafe(per["__source"])).drop("__source"), "newton")
 
 
@@ -94,8 +99,8 @@ def balance(docs: DataFrame, per: DataFrame, most: float = MOST, ridge: float =
     for _ in range(STEPS):
         sums = _sums(docs, state, mu, most)
         r = sums.agg(
-            F.sum("words").alias("words"), F.sum("words_z").alias("g"), F.max(F.when(open_, error)).alias("error"),
-            F.sum(F.when(open_, F.col("free_zz") - F.col("free_z") ** 2 / free)).alias("h"), F.sum(F.when(open_, F.col("free_z") * gap / free)).alias("gap"),
+            _total(F.col("words")).alias("words"), _total(F.col("words_z")).alias("g"), F.max(F.when(open_, error)).alias("error"),
+            _total(F.when(open_, F.col("free_zz") - F.col("free_z") ** 2 / free)).alias("h"), _total(F.when(open_, F.col("free_z") * gap / free)).alias("gap"),
         ).first()
         if not r.words or r.h is None:
             break
@@ -144,7 +149,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     x = (F.log1p(size) if feature is None else feature).cast("double")
     sizes = stored(docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{source}`").cast("string").alias("source"), size.alias("size"), x.alias("x"), *also), "sizes")
     told = F.col("size") * F.when(F.col("x").isNotNull(), 1)
-    r = sizes.agg(F.sum(told).alias("n"), F.sum(told * F.col("x")).alias("x"), F.sum(told * F.col("x") ** 2).alias("xx")).first()
+    r = sizes.agg(F.sum(told).alias("n"), _total(told * F.col("x")).alias("x"), _total(told * F.col("x") ** 2).alias("xx")).first()
     mean = r.x / r.n if r.n else 0.0
     spread = max(0.0, r.xx / r.n - mean * mean) ** 0.5 if r.n else 0.0
     z = (F.coalesce("x", F.lit(mean)) - mean) / spread if spread > 1e-9 * (1 + abs(mean)) else F.lit(0.0)

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import ddl, placed, quoted
+
 #: Upper length in bytes, lowest and highest ratio of a whole text of at most that length.
 WHOLE = ((200, 0.50, 1.10), (400, 0.50, 0.95), (800, 0.50, 0.88), (1600, 0.47, 0.80), (4096, 0.44, 0.72), (16384, 0.405, 0.66), (65536, 0.37, 0.62), (1 << 62, 0.30, 0.60))
 #: The same for a chunk.
@@ -95,8 +97,8 @@ def assess(docs: DataFrame, text: str = "text", bands: Bands = Bands()) -> DataF
     """
     names = [x.split()[0] for x in ADDED.split(", ")]
     kept = [c for c in docs.columns if c not in names]
-    frame = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("__text"))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema if f.name != "__text"] + [ADDED])
+    frame = docs.select(*placed(docs, kept), F.col(quoted(text)).alias("text"))
+    schema = ", ".join([*ddl(docs, kept), ADDED])
     kinds = [{"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}[x.split()[1]] for x in ADDED.split(", ")]
 
     def judge(value: str | None, compress) -> tuple:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ROW, keyed, one_of_equal, stored
+from .shared import keyed, one_of_equal, stored
 
 RADIUS, SEGMENTS, CHAIN = 2, 8, 3
 PAIRS_UP_TO = 16
@@ -191,11 +191,11 @@ def _rooted(prints: DataFrame, name: Column, pairs_up_to: int) -> DataFrame:
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pairs_up_to: int = PAIRS_UP_TO) -> DataFrame:
     """One row of each component, as it is: that of the smallest doc_id, a null one last;
     among different rows of that id, that of the least hash."""
-    rows = keyed(docs)
-    prints = stored(fingerprints(rows, doc_id, text, ROW), "fingerprints")
-    name = F.struct(F.isnull("doc_id").alias("unnamed"), "doc_id", *ROW)
-    kept = _rooted(prints, name, pairs_up_to).groupBy("root").agg(F.min("low").alias("low")).select(*[F.col(f"low.{c}").alias(c) for c in ROW])
-    return one_of_equal(rows.join(kept, list(ROW), "left_semi")).select(*docs.columns)
+    rows, row = keyed(docs)
+    prints = stored(fingerprints(rows, doc_id, text, tuple(row)), "fingerprints")
+    name = F.struct(F.isnull("doc_id").alias("unnamed"), "doc_id", *row)
+    kept = _rooted(prints, name, pairs_up_to).groupBy("root").agg(F.min("low").alias("low")).select(*[F.col(f"low.{c}").alias(c) for c in row])
+    return one_of_equal(rows.join(kept, row, "left_semi"), row).drop(*row)
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pairs_up_to: int = PAIRS_UP_TO) -> DataFrame:

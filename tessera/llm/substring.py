@@ -11,7 +11,7 @@ the corpus proves that none of its windows repeats, and is done.
 
 Extension.  Around each repeated seed lie at most 12 words before and 12 behind
 that a window of 20 words can take in.  Every window that picked the seed is an
-extension of it to the left and right; its 96-bit hash is posted and the earliest
+extension of it to the left and right; its 96-bit hash (of its words' XXH3) is posted and the earliest
 start of each hash found.  The windows that start later join to maximal repeats:
 runs of consecutive starts, each a repeat of 20 words or more.
 
@@ -36,6 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from xxhash import xxh3_128_digest
 
 from .shared import stored, words_count
 
@@ -43,28 +44,8 @@ LENGTH, GRAM = 20, 5
 #: Bytes of text hashed at once (a longer text is taken whole), and rows held before they are sent on.
 BLOCK_BYTES, HELD = 1 << 21, 1 << 20
 
-_RNG = np.random.default_rng(20)
-_TABLE = _RNG.integers(1 << 63, size=(2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = [np.uint64(int(x) | 5) for x in _RNG.integers(1 << 62, size=2)]
-_WHITE = np.zeros(256, bool)
-_WHITE[[9, 10, 11, 12, 13, 32]] = True
-_POWERS: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of a base and of its inverse modulo 2^64."""
-    size = max(BLOCK_BYTES, 1 << max(0, n - 1).bit_length())
-    if (which, size) not in _POWERS:
-        for old in [k for k in _POWERS if k[0] == which]:
-            del _POWERS[old]
-        inverse = np.uint64(pow(int(_BASE[which]), -1, 1 << 64))
-        both = []
-        for base in (_BASE[which], inverse):
-            steps = np.full(size + 1, base, np.uint64)
-            steps[0] = 1
-            both.append(np.multiply.accumulate(steps))
-        _POWERS[which, size] = both[0], both[1]
-    return _POWERS[which, size]
+#: Odd factors that tell the two halves of a run of words apart, one for each hash.
+_ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -73,44 +54,37 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and document numbers of the words in concatenated texts."""
-    if not len(data):
-        none = np.zeros(0, np.int64)
-        return none, none, none
-    ink = ~_WHITE[data]
-    edge = np.zeros(len(data) + 1, bool)
-    edge[offsets] = True
-    before = np.concatenate([[False], ink[:-1]]) & ~edge[:-1]
-    after = np.concatenate([ink[1:], [False]]) & ~edge[1:]
-    starts, ends = np.flatnonzero(ink & ~before), np.flatnonzero(ink & ~after) + 1
-    return starts, ends, np.searchsorted(offsets, starts, "right") - 1
-
-
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int) -> np.ndarray:
-    """64-bit hashes of the words, from prefix sums of a polynomial over the bytes."""
-    power, inverse = _powers(which, len(data))
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_TABLE[which][data] * power[: len(data)], out=sums[1:])
-    return _mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each word of concatenated texts, the halves of its XXH3, a column each; document numbers of the words."""
+    raw, words, sizes = data.tobytes(), [], []
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        own = raw[a:b].split()
+        words += own
+        sizes.append(len(own))
+    halves = np.frombuffer(b"".join(map(xxh3_128_digest, words)), "<u8").reshape(-1, 2)
+    return halves, np.repeat(np.arange(len(sizes)), sizes)
 
 
 def gram_hashes(words: np.ndarray, length: int, which: int) -> np.ndarray:
-    """Hashes of each run of ``length`` words."""
+    """Hashes of each run of ``length`` words.
+
+    Runs are built by doubling, and mixed at each step: sums of products alone would collide on words that are dealt like
+    the Thue-Morse sequence.
+    """
     n = len(words) - length + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    base, total, at = int(_BASE[which]), None, 0
+    odd, total, at = _ODD[which], None, 0
     block, size = words, 1
     for bit in range(length.bit_length()):
         if length >> bit & 1:
-            part = block[at : at + n] * np.uint64(pow(base, at, 1 << 64))
-            total = part if total is None else total + part
+            part = block[at : at + n]
+            total = part if total is None else _mix(total * odd + part)
             at += size
         if length >> (bit + 1):
-            block = block[:-size] + block[size:] * np.uint64(pow(base, size, 1 << 64))
+            block = _mix(block[:-size] * odd + block[size:])
             size *= 2
-    return _mix(total)
+    return total
 
 
 def picks(grams: np.ndarray, width: int) -> np.ndarray:
@@ -227,10 +201,10 @@ def repeated_seeds(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
         with np.errstate(over="ignore"):
             for batch in batches:
                 for at, to, data, offsets in _blocks(batch, 1):
-                    starts, ends, doc = word_bounds(data, offsets)
-                    if len(starts) < length:
+                    hashes, doc = word_hashes(data, offsets)
+                    if len(doc) < length:
                         continue
-                    grams = gram_hashes(word_hashes(data, starts, ends, 0), gram, 0)
+                    grams = gram_hashes(hashes[:, 0], gram, 0)
                     seeds = np.unique(picks(grams, width)[doc[: len(doc) - length + 1] == doc[length - 1 :]])
                     ids, place = _places(batch, at, to, doc)
                     yield from _gather(parts, (grams[seeds], np.zeros(len(seeds), np.uint32), ids[seeds], place[seeds]), True)
@@ -254,12 +228,12 @@ def later_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
         with np.errstate(over="ignore"):
             for batch in batches:
                 for at, to, data, offsets in _blocks(batch, 1):
-                    starts, ends, doc = word_bounds(data, offsets)
-                    if len(starts) < length:
+                    hashes, doc = word_hashes(data, offsets)
+                    if len(doc) < length:
                         continue
-                    first = word_hashes(data, starts, ends, 0)
+                    first = hashes[:, 0]
                     ids, place = _places(batch, at, to, doc)
-                    chosen = np.zeros(len(starts), bool)
+                    chosen = np.zeros(len(doc), bool)
                     begin = np.searchsorted(doc, np.arange(to - at))
                     column, base = batch.column(3).slice(at, to - at), batch.column(2).slice(at, to - at).to_numpy()
                     row = np.repeat(np.arange(to - at), column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -270,8 +244,7 @@ def later_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
                     windows = np.flatnonzero((doc[: len(doc) - length + 1] == doc[length - 1 :]) & chosen[picked])
                     if not len(windows):
                         continue
-                    second = word_hashes(data, starts, ends, 1)
-                    h1, h2 = gram_hashes(first, length, 0)[windows], (gram_hashes(second, length, 1)[windows] >> np.uint64(32)).astype(np.uint32)
+                    h1, h2 = gram_hashes(first, length, 0)[windows], (gram_hashes(hashes[:, 1], length, 1)[windows] >> np.uint64(32)).astype(np.uint32)
                     yield from _gather(parts, (h1, h2, ids[windows], place[windows]), False)
             yield from _gather(parts, (), False, end=True)
 

@@ -24,6 +24,7 @@ pointer jumping.  Only calls that need several take a round for each level of su
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -37,7 +38,12 @@ _TYPES = {"string": str, "integer": int, "number": (int, float), "boolean": bool
 
 def canonical(value) -> str:
     """Canonical JSON text of a value; infinities and NaN are refused."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    return whole(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False))
+
+
+def whole(text: str) -> str:
+    """Lone surrogates, which UTF-8 can't hold, written as JSON's escapes."""
+    return re.sub("[\ud800-\udfff]", lambda m: f"\\u{ord(m[0]):04x}", text)
 
 
 def problem(value, schema: dict, at: str = "$") -> str | None:
@@ -114,7 +120,7 @@ def check_calls(calls: DataFrame, schemas: dict[str, dict]) -> DataFrame:
         try:
             value = _parse(text)
             found = problem(value, schemas[name]) if name in schemas else f"unknown tool {name}"
-            return canonical(value), found is None, found, sorted(references(value))
+            return canonical(value), found is None, found and whole(found), sorted(map(whole, references(value)))
         except (TypeError, ValueError, RecursionError):
             return None, False, "not JSON", []
 

@@ -36,12 +36,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import ddl, placed, quoted, stored
 
 FIT_TEXTS, FIT_CHARS, PASSAGE, DIM, BUCKETS = 1500, 50_000_000, 3, 8, 1 << 17
 GRAMS = (3, 4, 5)
-#: Epochs of the first phase of training, passages of toxic texts drawn in each at most, and rounds of the second.
-WARM, WARM_PASSAGES, ROUNDS = 8, 32_000, 40
+#: Epochs of the first phase of training, and rounds of the second.
+WARM, ROUNDS = 8, 40
 #: Words whose weights a worker remembers, and characters scored at once.
 REMEMBERED, CHUNK = 200_000, 1 << 20
 STRIPPED = ".,;:!?\"'()[]{}<>|*#-_"
@@ -161,17 +161,21 @@ class _Trainer:
 
     def step(self, first: np.ndarray, last: np.ndarray, label: np.ndarray, weight: np.ndarray, rate: float) -> None:
         n_words = last - first
-        words = self.words[self._ranges(first, n_words)]
+        # Words that occur often in the batch are worked on once.
+        words, place = np.unique(self.words[self._ranges(first, n_words)], return_inverse=True)
         rows = self.rows[self._ranges(self.offset[words], self.length[words])]
-        n = np.add.reduceat(self.length[words], np.concatenate([[0], np.cumsum(n_words)[:-1]]))
-        at = np.concatenate([[0], np.cumsum(n)[:-1]])
-        mean = np.add.reduceat(self.table[rows], at) / n[:, None]
+        begin = np.concatenate([[0], np.cumsum(n_words)[:-1]])
+        n = np.add.reduceat(self.length[words][place], begin)
+        of_word = np.add.reduceat(self.table[rows], np.concatenate([[0], np.cumsum(self.length[words])[:-1]]))
+        mean = np.add.reduceat(of_word[place], begin) / n[:, None]
         logits = mean @ self.softmax + self.bias
         p = np.exp(logits - logits.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
         p[np.arange(len(label)), label] -= 1
         error = (p * weight[:, None] / len(label)).astype(np.float32)
-        back = np.repeat((error @ self.softmax.T / n[:, None]).astype(np.float32), n, axis=0)
+        back = np.repeat((error @ self.softmax.T / n[:, None]).astype(np.float32), n_words, axis=0)
+        back = np.add.reduceat(back[np.argsort(place, kind="stable")], np.concatenate([[0], np.cumsum(np.bincount(place))[:-1]]))
+        back = np.repeat(back, self.length[words], axis=0)
         order = np.argsort(rows, kind="stable")
         sorted_rows = rows[order]
         cut = np.flatnonzero(np.concatenate([[True], sorted_rows[1:] != sorted_rows[:-1]]))
@@ -201,7 +205,7 @@ class _Trainer:
             self.step(first[c], last[c], label[c], weight[c], rate)
 
 
-def train(texts: list[str | None], labels: list[int], rounds: int = ROUNDS, warm: int = WARM, passages: int = WARM_PASSAGES) -> Model | None:
+def train(texts: list[str | None], labels: list[int], rounds: int = ROUNDS, warm: int = WARM) -> Model | None:
     """The model of labelled texts; None without both classes."""
     y = np.array(labels, np.int64)
     t = _Trainer(texts)
@@ -212,7 +216,6 @@ def train(texts: list[str | None], labels: list[int], rounds: int = ROUNDS, warm
     rng = np.random.default_rng(11)
     for _ in range(warm):
         pos, neg = np.flatnonzero(label == 1), np.flatnonzero(label == 0)
-        pos = rng.choice(pos, min(len(pos), passages), replace=False)
         neg = rng.choice(neg, min(len(neg), 2 * len(pos)), replace=False)
         t.epoch(np.concatenate([pos, neg]), label, first, last, 0.1)
     ends = np.flatnonzero(np.concatenate([text[1:] != text[:-1], [True]]))
@@ -283,8 +286,8 @@ def _chunks(texts: list[str | None]) -> Iterator[list[str | None]]:
 def score(docs: DataFrame, model: Model | None, text: str = "text", to: str = "score", predicted: str = "predicted") -> DataFrame:
     """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 from 0.5 on)."""
     kept = [c for c in docs.columns if c not in (to, predicted)]
-    frame = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("__text"))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema if f.name != "__text"] + [f"`{to}` double", f"`{predicted}` int"])
+    frame = docs.select(*placed(docs, kept), F.col(quoted(text)).alias("text"))
+    schema = ", ".join([*ddl(docs, kept), f"`{to}` double", f"`{predicted}` int"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model) if model else None
