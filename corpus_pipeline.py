@@ -15,19 +15,20 @@ from pyspark.sql import functions as F
 from tessera.llm import bpe, mixing, simhash, toxicity
 from tessera.llm.lines import LineIndex
 from tessera.llm.queries import toxicity_model
-from tessera.llm.shared import ROW, keyed, one_of_equal, stored, table
+from tessera.llm.shared import free, keyed, one_of_equal, quoted, stored, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents predicted toxic go; the model never sees held-out labels."""
-    scored = toxicity.score(docs, toxicity_model(spark, sf_dir), to="__score", predicted="__predicted")
-    return scored.filter("__predicted = 0").select(*docs.columns)
+    score, predicted = free(docs, "score", "predicted")
+    scored = toxicity.score(docs, toxicity_model(spark, sf_dir), to=score, predicted=predicted)
+    return scored.filter(F.col(predicted) == 0).drop(score, predicted)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go; n_chars follows the text."""
     cleaned = LineIndex(spark).deduplicate(docs)
-    return cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    return cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*map(quoted, docs.columns))
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,9 +39,10 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row stands as often as the mix has copies of it; equal rows as often as of all of them."""
-    rows = keyed(docs)
-    copies = mixing.mix(rows, also=ROW).groupBy(*ROW).agg(F.sum("copies").alias("__copies")).filter("__copies > 0")
-    return one_of_equal(rows).join(copies, list(ROW)).withColumn("__copy", F.explode(F.expr("sequence(1L, __copies)"))).select(*docs.columns)
+    rows, row = keyed(docs)
+    copies, copy = free(rows, "copies", "copy")
+    times = mixing.mix(rows, also=tuple(row)).groupBy(*row).agg(F.sum("copies").alias(copies)).filter(F.col(copies) > 0)
+    return one_of_equal(rows, row).join(times, row).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), copies))).drop(*row, copies, copy)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
