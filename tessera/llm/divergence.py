@@ -129,7 +129,8 @@ class Audit:
     def vectors(self) -> DataFrame:
         """(lang, source, chunk, at, counts): a group's terms of a chunk, by their numbers there, and their counts."""
         terms = self.kept.select("lang", "term").distinct()
-        sizes = terms.groupBy("lang").agg(F.expr(f"greatest(1, count(*) div {self.chunk})").alias("chunks"))  # a row a class
+        # A row a class; written, so that its size is known and a large class needn't be dealt by its one key.
+        sizes = stored(terms.groupBy("lang").agg(F.expr(f"greatest(1, count(*) div {self.chunk})").alias("chunks")), "chunks")
         dealt = self.kept.join(sizes, "lang").withColumn("chunk", F.pmod(F.xxhash64("term"), F.col("chunks")))
         numbered = dealt.withColumn("at", F.dense_rank().over(Window.partitionBy("lang", "chunk").orderBy("term")) - 1)
         packed = F.array_sort(F.collect_list(F.struct("at", "count")))
