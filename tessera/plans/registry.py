@@ -14,8 +14,12 @@ from tessera.functions.text import cosine
 from tessera.operators import mix as M
 from tessera.operators import order as O
 from tessera.operators import search as S
+from tessera.operators.bins import fill, packed
+from tessera.operators.intervals import merged
+from tessera.operators.percentiles import percentiles
 from tessera.plans import cleaning, coding, formatting, mixes, parsing, registers, reports, rest, storing, whole  # noqa: F401  (they register their queries)
 from tessera.plans.base import QUERIES, SQL, U01, query, read, simple
+from tessera.sources.scratch import stored
 
 # --- projections, filters, scalars -------------------------------------------------------------
 simple("f01_namespace_in_set", "documents", {"lang": (lambda: F.col("lang"), "lang")}, (lambda: F.col("lang").isin("en", "de"), "lang IN ('en', 'de')"))
@@ -138,13 +142,15 @@ def m01_cosine_top_k(spark, sf_dir):
 # --- aggregation -------------------------------------------------------------------------------
 @query("SELECT lang, round(quantile_cont(n_chars, 0.5), 6) AS p50, round(quantile_cont(n_chars, 0.9), 6) AS p90, round(quantile_cont(n_chars, 0.95), 6) AS p95 FROM documents GROUP BY lang")
 def a01_percentiles(spark, sf_dir):
-    p = lambda x: F.round(F.percentile("n_chars", F.lit(x)), 6)
-    return read(spark, sf_dir, "documents").groupBy("lang").agg(p(0.5).alias("p50"), p(0.9).alias("p90"), p(0.95).alias("p95"))
+    told = percentiles(read(spark, sf_dir, "documents"), ["lang"], F.col("n_chars"), {"p50": 0.5, "p90": 0.9, "p95": 0.95})
+    return told.select("lang", *[F.round(c, 6).alias(c) for c in ("p50", "p90", "p95")])
 
 
-@query("SELECT event_type, round(coalesce(avg(value) FILTER (WHERE value > 1e12), 0), 6) AS mean FROM events GROUP BY 1")
+@query("SELECT event_type, CAST(user_id AS BIGINT) AS user_id, round(coalesce(avg(value) FILTER (WHERE value > 300), 0), 6) AS mean FROM events GROUP BY 1, 2")
 def a03_safe_mean(spark, sf_dir):
-    return read(spark, sf_dir, "events").groupBy("event_type").agg(F.round(F.coalesce(F.avg(F.when(F.col("value") > 1e12, F.col("value"))), F.lit(0.0)), 6).alias("mean"))
+    """Mean of the large values of each user and type; users without any have 0."""
+    large = F.avg(F.when(F.col("value") > 300, F.col("value")))
+    return read(spark, sf_dir, "events").groupBy("event_type", F.col("user_id").cast("long").alias("user_id")).agg(F.round(F.coalesce(large, F.lit(0.0)), 6).alias("mean"))
 
 
 @query("""WITH r AS (SELECT source, count(*) AS raw FROM documents GROUP BY 1), d AS (SELECT source, text FROM documents GROUP BY source, text)
@@ -155,8 +161,10 @@ def a04_bucket_profile(spark, sf_dir):
     raw = docs.groupBy("source").agg(F.count("*").alias("raw_count"))
     # Equal texts meet by digest, so that no long text is a shuffle key.
     one = docs.groupBy("source", F.sha2("text", 256).alias("h")).agg(F.max(F.length("text")).alias("n"))
-    agg = one.groupBy("source").agg(F.count("*").alias("dedup_count"), F.round(F.avg("n"), 4).alias("mean_chars"), F.round(F.percentile("n", F.lit(0.5)), 6).alias("p50"), F.round(F.percentile("n", F.lit(0.9)), 6).alias("p90"), F.max("n").cast("long").alias("max_chars"))
-    return agg.join(raw, "source").withColumn("dup_ratio", F.round(1 - F.col("dedup_count") / F.col("raw_count"), 6))
+    one = stored(one.select("source", "n"), "distinct")
+    agg = one.groupBy("source").agg(F.count("*").alias("dedup_count"), F.round(F.avg("n"), 4).alias("mean_chars"), F.max("n").cast("long").alias("max_chars"))
+    marks = percentiles(one, ["source"], F.col("n"), {"p50": 0.5, "p90": 0.9}).select("source", F.round("p50", 6).alias("p50"), F.round("p90", 6).alias("p90"))
+    return agg.join(marks, "source").join(raw, "source").withColumn("dup_ratio", F.round(1 - F.col("dedup_count") / F.col("raw_count"), 6))
 
 
 @query("""SELECT event_type, user_id % 4 AS prefill, count(*) AS n, round(avg((value > 5)::INT), 4) AS success_rate,
@@ -164,8 +172,12 @@ round(coalesce(quantile_cont(value, 0.5) FILTER (WHERE value > 5), 0), 4) AS p50
 def a05_speed_summary(spark, sf_dir):
     e = read(spark, sf_dir, "events").select("event_type", F.expr("user_id % 4").alias("prefill"), "value")
     fine = F.when(F.col("value") > 5, F.col("value"))
-    p = lambda x: F.round(F.coalesce(F.percentile(fine, F.lit(x)), F.lit(0.0)), 4)
-    return e.groupingSets([[F.col("event_type"), F.col("prefill")], [F.col("event_type")]], "event_type", "prefill").agg(F.count("*").alias("n"), F.round(F.avg((F.col("value") > 5).cast("int")), 4).alias("success_rate"), p(0.5).alias("p50"), p(0.95).alias("p95"), p(0.99).alias("p99"))
+    rates = e.groupingSets([[F.col("event_type"), F.col("prefill")], [F.col("event_type")]], "event_type", "prefill").agg(F.count("*").alias("n"), F.round(F.avg((F.col("value") > 5).cast("int")), 4).alias("success_rate"))
+    # Each row counts for its own group and for the one of all.
+    both = e.withColumn("value", fine).withColumn("prefill", F.explode(F.array("prefill", F.lit(None).cast(e.schema["prefill"].dataType))))
+    marks = percentiles(both, ["event_type", "prefill"], F.col("value"), {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+    marks = marks.select(F.col("event_type").alias("t"), F.col("prefill").alias("p"), *[F.round(F.coalesce(c, F.lit(0.0)), 4).alias(c) for c in ("p50", "p95", "p99")])
+    return rates.join(marks, F.col("event_type").eqNullSafe(F.col("t")) & F.col("prefill").eqNullSafe(F.col("p"))).drop("t", "p")
 
 
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY 1 ORDER BY 2 DESC")
@@ -281,7 +293,7 @@ def m21_mix_plan(spark, sf_dir):
 @query("SELECT doc_id, n_chars FROM documents WHERE n_chars <= (SELECT floor(quantile_cont(n_chars, 0.9)) FROM documents)")
 def f18_quantile_cut(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "n_chars")
-    cut = F.broadcast(docs.agg(F.floor(F.percentile("n_chars", F.lit(0.9))).alias("cut")))  # one row
+    cut = F.broadcast(percentiles(docs, [], F.col("n_chars"), {"p": 0.9}).select(F.floor("p").alias("cut")))  # one row
     return docs.join(cut).filter("n_chars <= cut").drop("cut")
 
 
@@ -307,17 +319,23 @@ def u17_sliding_windows(spark, sf_dir):
 (SELECT *, CASE WHEN s <= 1 + max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM (SELECT user_id, greatest(1, event_id - 50) AS s, event_id + 50 AS e FROM events))) GROUP BY user_id, g""")
 def u18_interval_merge(spark, sf_dir):
     """Ranges of 50 lines around each hit, joined where they overlap or touch."""
-    r = read(spark, sf_dir, "events").select("user_id", F.greatest(F.lit(1), F.col("event_id") - 50).alias("s"), (F.col("event_id") + 50).alias("e"))
-    w = Window.partitionBy("user_id").orderBy("s", "e")
-    new = F.when(F.col("s") <= 1 + F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1)), 0).otherwise(1)
-    return r.withColumn("new", new).withColumn("g", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy("user_id", "g").agg(F.min("s").alias("start"), F.max("e").alias("stop")).drop("g")
+    r = read(spark, sf_dir, "events").select("user_id", F.greatest(F.lit(1), F.col("event_id") - 50).alias("start"), (F.col("event_id") + 50).alias("stop"))
+    return merged(r, "user_id", "start", "stop")
 
 
-@query("SELECT vec_id, CAST(label AS BIGINT) AS label, CAST(floor((sum(64) OVER (PARTITION BY label ORDER BY vec_id ROWS UNBOUNDED PRECEDING) - 64) / 512) AS BIGINT) AS bin FROM embeddings")
+@query()
 def u16_packing(spark, sf_dir):
-    """Sequences of 64 tokens packed in order into bins of 512, bucket by bucket."""
-    e = read(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("long").alias("label"), F.size("embedding").alias("n"))
-    return M.running(e, "label", "vec_id", F.col("n"), "before").select("vec_id", "label", F.floor(F.col("before") / 512).alias("bin"))
+    """Texts of up to 2,048 tokens, a word one and a longer text cut there, packed whole into bins of 2,048 by best fit."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).alias("n"))
+    return packed(docs, F.col("n"), 2048, "pack", "doc_id").select("doc_id", "length", "bin")
+
+
+@query(r"""WITH n AS (SELECT least(2048, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))) AS n FROM documents)
+SELECT CAST(sum(n) AS BIGINT) AS tokens, true AS whole, true AS full FROM n WHERE n > 0""")
+def u16_packing_fill(spark, sf_dir):
+    """All tokens are in a bin, no bin is over its size, and bins are full to 95 % or more, the last one aside."""
+    told = fill(u16_packing(spark, sf_dir), 2048)
+    return told.select("tokens", (F.col("fullest") <= 2048).alias("whole"), (F.col("tokens") >= 0.95 * 2048 * (F.col("bins") - 1)).alias("full"))
 
 
 @query("SELECT conv_id, turn, role, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations) WHERE rn <= 2")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import federated
+from tessera.operators.percentiles import percentiles
 from tessera.plans.base import query, read
 
 
@@ -14,8 +15,8 @@ def events(spark, sf_dir):
 
 @query("SELECT event_type, round(quantile_cont(value, 0.05), 6) AS p5, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY 1")
 def a02_percentiles_in_per_cent(spark, sf_dir):
-    p = lambda pct: F.round(F.percentile("value", F.lit(pct / 100)), 6)
-    return events(spark, sf_dir).groupBy("event_type").agg(p(5).alias("p5"), p(99).alias("p99"))
+    told = percentiles(events(spark, sf_dir), ["event_type"], F.col("value"), {f"p{pct}": pct / 100 for pct in (5, 99)})
+    return told.select("event_type", F.round("p5", 6).alias("p5"), F.round("p99", 6).alias("p99"))
 
 
 @query("SELECT user_id % 4 AS prefill, count(*) AS n, round(coalesce(sum(event_id) FILTER (WHERE value > 5) / nullif(sum(value) FILTER (WHERE value > 5), 0), 0), 4) AS throughput FROM events GROUP BY GROUPING SETS ((user_id % 4), ())")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import shuffle_key
 from tessera.operators.order import first_per_key
-from tessera.sources.scratch import exists
+from tessera.operators.percentiles import percentiles
+from tessera.sources.scratch import exists, stored
 
 #: The columns of a table of buckets.
 BUCKETS = ("bucket", "raw_count", "dedup_count", "dedup_ratio", "parse_rate", *[f"{u}_{m}" for u in ("chars", "tokens") for m in ("mean", "p50", "p90", "p95", "max")])
@@ -122,9 +123,12 @@ def buckets(df: DataFrame, bucket: str, text: str, parses: Column) -> DataFrame:
     """A row of ``BUCKETS`` for each bucket, of its distinct texts; a token is four characters."""
     raw = df.groupBy(F.col(bucket).alias("bucket")).agg(F.count("*").alias("raw_count"))
     # Equal texts meet by digest, so that no long text is a shuffle key.
-    one = df.select(F.col(bucket).alias("bucket"), F.sha2(text, 256).alias("h"), F.length(text).alias("chars"), F.floor(F.length(text) / 4).alias("tokens"), parses.cast("double").alias("parses")).groupBy("bucket", "h").agg(*[F.max(c).alias(c) for c in ("chars", "tokens", "parses")])
-    marks = [(F.round(F.avg(u), 4).alias(f"{u}_mean"), *[F.round(F.percentile(u, F.lit(q)), 4).alias(f"{u}_p{int(q * 100)}") for q in (0.5, 0.9, 0.95)], F.max(u).cast("long").alias(f"{u}_max")) for u in ("chars", "tokens")]
-    told = one.groupBy("bucket").agg(F.count("*").alias("dedup_count"), F.round(F.avg("parses"), 6).alias("parse_rate"), *marks[0], *marks[1])
+    one = stored(df.select(F.col(bucket).alias("bucket"), F.sha2(text, 256).alias("h"), F.length(text).alias("chars"), F.floor(F.length(text) / 4).alias("tokens"), parses.cast("double").alias("parses")).groupBy("bucket", "h").agg(*[F.max(c).alias(c) for c in ("chars", "tokens", "parses")]), "distinct")
+    means = [m for u in ("chars", "tokens") for m in (F.round(F.avg(u), 4).alias(f"{u}_mean"), F.max(u).cast("long").alias(f"{u}_max"))]
+    told = one.groupBy("bucket").agg(F.count("*").alias("dedup_count"), F.round(F.avg("parses"), 6).alias("parse_rate"), *means)
+    for u in ("chars", "tokens"):
+        marks = percentiles(one, ["bucket"], F.col(u), {f"{u}_p{int(q * 100)}": q for q in (0.5, 0.9, 0.95)})
+        told = told.join(marks.select("bucket", *[F.round(f"{u}_p{q}", 4).alias(f"{u}_p{q}") for q in (50, 90, 95)]), "bucket")
     return told.join(raw, "bucket").withColumn("dedup_ratio", F.round(1 - F.col("dedup_count") / F.col("raw_count"), 6)).select(*BUCKETS)
 
 
