@@ -18,7 +18,7 @@ All but the stream's last, shorter stretch are full; that one is split into powe
 
 Encoding: the tokenizer's file is read on the driver and travels with the task.  If its pre-tokens
 end where byte-level ones do, each text is cut before a space that a non-space follows and around white
-space, where no pre-token crosses, and each distinct cut is encoded once by a worker.
+space, and behind words, where no pre-token crosses, and a worker encodes each distinct cut once.
 
 Null text counts as empty: one token, the end id.  A null source is a queue of its own.  Repeated rows, null and
 repeated doc_ids are documents of their own.  Texts of any length are encoded whole; a document's ids must fit in a task.
@@ -31,6 +31,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -44,12 +45,23 @@ from .shared import stored
 SIZE, WINDOW, END = 1024, 64, 0
 #: Rows of a slot on average, windows of a slot at least, and slots of windows at most, about.
 SLOT, SPAN, SPANS = 2048, 8, 1 << 16
-#: Cuts of texts that a worker remembers.
-REMEMBERED = 400_000
+#: Cuts of texts after which a worker turns to remembering new ones.
+REMEMBERED = 300_000
 
 #: The code points of Unicode's White_Space.
 _WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_CUTS = re.compile(f" ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
+#: Letters of whatever version of Unicode.
+_LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f"
+#: A word, if what follows is none of Unicode's further letters; else all up to the next white space; white space.
+_CUTS = re.compile(f" ?[{_LETTERS}]+(?=[\x00-@\\[-`{{-\x7f]|\\Z)| ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
+_WORD = re.compile(f" ?[{_LETTERS}]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter for which byte-level vocabularies write each byte: itself if it is printed, else one from 256 on, in turn."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
 class Encoder:
@@ -66,30 +78,43 @@ class Encoder:
         first = told.get("pre_tokenizer") or {}
         self.cuts = told.get("normalizer") is None and told.get("post_processor") is None and first.get("type") == "ByteLevel" and not first.get("add_prefix_space") and first.get("use_regex", True)
         self.known = _Known(self)
+        self.letters = _byte_letters()
+
+    def word(self, word: str) -> bytes:
+        """The ids of one pre-token."""
+        told = self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
+        return self.packed([t.id for t in told])
+
+    def packed(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, f"<u{self.width}").tobytes()
+        return self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def encode(self, text: str) -> bytes:
         if not self.cuts:
             return self.whole(text)
         known = self.known
         if len(known) > REMEMBERED:
-            known.clear()
+            known.turn()
         return b"".join(map(known.__getitem__, _CUTS.findall(text)))
 
 
 class _Known(dict):
+    """Ids of each cut.  When it is full its cuts become the older ones, of which those met again come back."""
+
     def __init__(self, encoder: Encoder):
         super().__init__()
-        self.encoder = encoder
+        self.encoder, self.older = encoder, {}
+
+    def turn(self) -> None:
+        self.older = dict(self)
+        self.clear()
 
     def __missing__(self, cut: str) -> bytes:
-        # A mark after a letter is a pre-token of its own.
-        if len(cut) > 1 and cut[-1] in ".,;:!?" and cut[-2] < "\u0250" and cut[-2].isalpha():
-            ids = self[cut[:-1]] + self[cut[-1]]
-        else:
-            ids = self.encoder.whole(cut)
+        ids = self.older.get(cut)
+        if ids is None:
+            ids = self.encoder.word(cut) if _WORD.fullmatch(cut) else self.encoder.whole(cut)
         self[cut] = ids
         return ids
 
