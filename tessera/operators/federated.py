@@ -1,10 +1,9 @@
-"""Search over several collections at once, title discovery, snippets."""
+"""Search over several collections at once, and title discovery."""
 
 from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,56 +41,18 @@ def title_query(title: Column) -> Column:
     return F.concat(F.lit("title:"), F.when(F.length(title) >= 2, F.concat(F.lit('"'), title, F.lit('"'))).otherwise(title))
 
 
-def snippet(words: list[str], n: int = 12) -> object:
-    """Column function: the stretch of ``n`` tokens with most hits, hits in brackets, dots where text is left out.
-
-    Arrow-batched; meant for the few rows of a result, not for a collection.
-    """
-    wanted = {w.lower() for w in words}
-
-    def one(text: str | None) -> str:
-        spots = [(m.start(), m.end()) for m in re.finditer(r"[^\W_]+", text or "")]
-        if not spots:
-            return text or ""
-        hit = [text[a:b].lower() in wanted for a, b in spots]
-        most, best, inside = -1, 0, sum(hit[: n - 1])
-        for i in range(max(1, len(spots) - n + 1)):
-            inside += sum(hit[i + n - 1 : i + n])
-            if inside > most:
-                most, best = inside, i
-            inside -= hit[i]
-        chosen = range(best, min(best + n, len(spots)))
-        out, at = [], 0 if best == 0 else spots[best][0]
-        for i in chosen:
-            a, b = spots[i]
-            out += [text[at:a], f"[{text[a:b]}]" if hit[i] else text[a:b]]
-            at = b
-        return ("" if best == 0 else "…") + "".join(out) + (text[at:] if chosen[-1] == len(spots) - 1 else "…")
-
-    @F.pandas_udf("string")
-    def made(texts: pd.Series) -> pd.Series:
-        return texts.map(one)
-
-    return made
-
-
-def query_words(query: str) -> list[str]:
-    return [w for p, _ in S._phrases(S.parse(query)) for w in p.words]
-
-
 def hits(docs: DataFrame, query: str, k: int = 10, with_text: bool = False, tokens: int = 24, most_text: int = 4000) -> DataFrame:
     """(rank, doc_id, score, project, title, url, snippet[, text]) of the k best documents; columns of ``docs``: doc_id, project, title, text, url."""
     query = sanitised(query)
     if not query:
         found = docs.limit(0).select("doc_id", F.lit(0.0).alias("score"))
-        words = []
     else:
         k = max(1, min(50, k))
-        found, words = S.search(docs, query, k, "doc_id", FIELDS), query_words(query)
+        found = S.search(docs, query, k, "doc_id", FIELDS)
     rows = docs.join(F.broadcast(found), "doc_id")  # at most 50 rows
     ranked = rows.groupBy().agg(F.array_sort(F.collect_list(F.struct("score", "doc_id", "project", "title", "url", "text"))).alias("r")).select(F.posexplode("r").alias("i", "r")).select((F.col("i") + 1).alias("rank"), "r.*")
-    text = F.nullif(snippet(words, tokens)(F.col("text")), F.lit(""))
-    out = ranked.withColumn("snippet", F.coalesce(text, F.substring("text", 1, 320)))
+    shown = S.with_snippets(ranked, query, "text", tokens, FIELDS) if query else ranked.withColumn("snippet", F.lit(""))
+    out = shown.withColumn("snippet", F.coalesce(F.nullif("snippet", F.lit("")), F.substring("text", 1, 320)))
     return out.withColumn("text", F.substring("text", 1, most_text)) if with_text else out.drop("text")
 
 

@@ -1,4 +1,4 @@
-"""Full-text search: tokens, postings, BM25, and a MATCH query language.
+"""Full-text search: tokens, BM25, snippets, and a MATCH query language.
 
 BM25 is that of the common embedded full-text engine: k1 = 1.2, b = 0.75, an idf that is
 never below 1e-6, smaller scores are better.
@@ -6,18 +6,17 @@ never below 1e-6, smaller scores are better.
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
-import uuid
 from dataclasses import dataclass
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from tessera.sources.scratch import scratch
-from tessera.sources.versions import Conflict, Versions  # noqa: F401
+from tessera.sources.scratch import stored
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
@@ -36,6 +35,12 @@ FOLDS = _folds()
 _WITH = [c for c in FOLDS if FOLDS[c]] + [c for c in FOLDS if not FOLDS[c]]
 
 
+#: What a token is before it is folded: letters and digits, with any marks.
+TOKEN = r"[\u0300-\u036f]*[\p{L}\p{N}][\p{L}\p{N}\u0300-\u036f]*"
+#: A hit's place is its field's number times this, and its position.
+FIELD = 1 << 32
+
+
 def folded(c: Column) -> Column:
     """Lower-cased, without marks on Latin letters."""
     return F.translate(F.lower(c), "".join(_WITH), "".join(FOLDS[x] for x in _WITH))
@@ -49,19 +54,25 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(folded(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def postings(docs: DataFrame, key: str, *fields: str, kept=None) -> DataFrame:
-    """(key, field, pos, term); positions count within a field.  ``kept``: a condition on a term; others aren't exploded."""
-    parts = None
-    for f in fields:
-        placed = F.transform(tokens(F.coalesce(F.col(f), F.lit(""))), lambda term, pos: F.struct(pos.alias("pos"), term.alias("term")))
-        part = docs.select(key, F.lit(f).alias("field"), F.inline(F.filter(placed, lambda p: kept(p["term"])) if kept else placed))
-        parts = part if parts is None else parts.unionByName(part)
-    return parts
+def cut(docs: DataFrame, key: str, fields: tuple[str, ...]) -> DataFrame:
+    """(key, dl, t0, t1, ...): the length of each document and the tokens of its fields."""
+    each = [tokens(F.coalesce(F.col(f), F.lit(""))).alias(f"t{i}") for i, f in enumerate(fields)]
+    size = sum((F.size(f"t{i}") for i in range(len(fields))), F.lit(0)).cast("double")
+    return docs.select(key, *each).select(key, size.alias("dl"), *[f"t{i}" for i in range(len(fields))])
+
+
+def placed(fields: list[Column]) -> Column:
+    """(at, term) of each token of fields."""
+
+    def of(i: int) -> Column:
+        return F.transform(fields[i], lambda term, pos: F.struct((F.lit(i * FIELD) + pos).alias("at"), term.alias("term")))
 
+    return F.concat(*map(of, range(len(fields))))
 
-def lengths(docs: DataFrame, key: str, *fields: str) -> DataFrame:
-    n = sum((F.size(tokens(F.coalesce(F.col(f), F.lit("")))) for f in fields), F.lit(0))
-    return docs.select(key, n.cast("double").alias("dl"))
+
+def cut_fields(n: int) -> list[Column]:
+    """The token columns of ``cut``."""
+    return [F.col(f"t{i}") for i in range(n)]
 
 
 @dataclass(frozen=True)
@@ -241,56 +252,39 @@ def is_needed(tree):
     return kept
 
 
-def phrase_starts(index: DataFrame, key: str, phrase: Phrase) -> DataFrame:
-    """(key, field, start) of each occurrence; its terms joined by position."""
-    held = index
-    if phrase.fields is not None:
-        held = held.filter(~F.col("field").isin(*phrase.fields) if phrase.but else F.col("field").isin(*phrase.fields))
+def starts(hits: Column, phrase: Phrase, fields: tuple[str, ...]) -> Column:
+    """Places at which a phrase starts, among (at, term) of a document."""
+    allowed = [i for i, f in enumerate(fields) if phrase.fields is None or (f in phrase.fields) != phrase.but]
+    if not phrase.words or not allowed:
+        return F.array().cast("array<bigint>")
+    held = hits if len(allowed) == len(fields) else F.filter(hits, lambda h: F.floor(h["at"] / FIELD).isin(*allowed))
     n = len(phrase.words)
-    fits = [F.col("term").startswith(w) if phrase.prefix and i == n - 1 else F.col("term") == w for i, w in enumerate(phrase.words)]
-    # A term may stand at several places of the phrase.
-    places = F.array_compact(F.array(*[F.when(f, F.lit(i)) for i, f in enumerate(fits)])) if n else F.array().cast("array<int>")
-    starts = held.select(key, "field", "pos", F.explode(places).alias("i")).select(key, "field", (F.col("pos") - F.col("i")).alias("start"))
-    if n > 1:
-        starts = starts.groupBy(key, "field", "start").agg(F.count("*").alias("n")).filter(F.col("n") == n).drop("n")
-    return starts.filter("start = 0") if phrase.first else starts
-
-
-def phrase_counts(index: DataFrame, key: str, phrase: Phrase) -> DataFrame:
-    """(key, tf): how often a phrase occurs."""
-    return phrase_starts(index, key, phrase).groupBy(key).agg(F.count("*").alias("tf"))
 
+    def of(i: int) -> Column:
+        word = phrase.words[i]
+        fits = (lambda h: h["term"].startswith(word)) if phrase.prefix and i == n - 1 else (lambda h: h["term"] == word)
+        return F.transform(F.filter(held, fits), lambda h: h["at"] - i)
 
-def near_counts(index: DataFrame, key: str, near: Near) -> DataFrame:
-    """(key, i, tf): how often the i-th phrase occurs near all others; keys without a match have no row.
-
-    The starts of one text are gathered in arrays, no longer than the text.
-    """
-    every = None
-    for i, p in enumerate(near.phrases):
-        part = phrase_starts(index, key, p).withColumn("i", F.lit(i))
-        every = part if every is None else every.unionByName(part)
-    kinds = range(len(near.phrases))
-    held = every.groupBy(key, "field").agg(F.array_sort(F.collect_set("start")).alias("all"), *[F.collect_list(F.when(F.col("i") == i, F.col("start"))).alias(f"s{i}") for i in kinds])
+    found = reduce(F.array_intersect, map(of, range(n)))
+    return F.filter(found, lambda s: s % FIELD == 0) if phrase.first else found
 
-    def reaches(i: int, start: Column, last: Column) -> Column:
-        return start.between(last - len(near.phrases[i].words) - near.distance, last)
 
-    def one_reaches(i: int, last: Column) -> Column:
-        return F.exists(f"s{i}", lambda start: reaches(i, start, last))
+def _reaches(phrase: Phrase, distance: int, start: Column, last: Column) -> Column:
+    return start.between(last - len(phrase.words) - distance, last)
 
-    def n_reaching(i: int) -> Column:
-        return F.size(F.filter(f"s{i}", lambda start: F.exists("last", lambda last: reaches(i, start, last))))
 
-    def complete(last: Column) -> Column:
-        return reduce(and_, [one_reaches(i, last) for i in kinds])
-
-    held = held.withColumn("last", F.filter("all", complete)).filter(F.size("last") > 0)
-    counts = F.array(*[n_reaching(i) for i in kinds])
-    return held.select(key, F.posexplode(counts).alias("i", "n")).groupBy(key, "i").agg(F.sum("n").alias("tf"))
+def _parts(tree) -> tuple[list[Phrase], list[Near]]:
+    """All phrases and groups of a query, each once."""
+    if isinstance(tree, Phrase):
+        return [tree], []
+    if isinstance(tree, Near):
+        return list(dict.fromkeys(tree.phrases)), [tree]
+    (a, b), (c, d) = _parts(tree.left), _parts(tree.right)
+    return list(dict.fromkeys(a + c)), list(dict.fromkeys(b + d))
 
 
 def _phrases(tree) -> list[tuple[Phrase, Near | None]]:
+    """What is scored: all but the right of NOT."""
     if isinstance(tree, Phrase):
         return [(tree, None)]
     if isinstance(tree, Near):
@@ -298,126 +292,121 @@ def _phrases(tree) -> list[tuple[Phrase, Near | None]]:
     return _phrases(tree.left) + ([] if tree.kind == "NOT" else _phrases(tree.right))
 
 
-def _matching(index: DataFrame, key: str, tree) -> DataFrame:
-    if isinstance(tree, Phrase):
-        return phrase_counts(index, key, tree).select(key)
-    if isinstance(tree, Near):
-        return near_counts(index, key, tree).select(key).distinct()
-    left, right = _matching(index, key, tree.left), _matching(index, key, tree.right)
-    if tree.kind == "OR":
-        return left.unionByName(right).distinct()
-    return left.join(right, key, "left_semi" if tree.kind == "AND" else "left_anti")
+def scored_parts(tree) -> list[tuple[Phrase, Near | None]]:
+    return list(dict.fromkeys(_phrases(tree)))
+
+
+def holds(tree, there) -> Column:
+    """The query as a condition; ``there`` gives that of a phrase or a group."""
+    if not isinstance(tree, Op):
+        return there(tree)
+    left, right = holds(tree.left, there), holds(tree.right, there)
+    return left | right if tree.kind == "OR" else left & (right if tree.kind == "AND" else ~right)
+
+
+def evaluated(rows: DataFrame, key: str, tree, fields: tuple[str, ...]) -> DataFrame:
+    """(key, dl, matched, n, tf) of (key, dl, hits): whether a document matches, how often it has each scored phrase,
+    and how often as the query wants it (near others).
+
+    All of a document is in its row, so nothing is joined; its hits must fit in a task.
+    """
+    phrases, nears = _parts(tree)
+    s = {p: F.col(f"s{i}") for i, p in enumerate(phrases)}
+    last = {n: F.col(f"l{i}") for i, n in enumerate(nears)}
+    rows = rows.select(key, "dl", *[starts(F.col("hits"), p, fields).alias(f"s{i}") for i, p in enumerate(phrases)])
+
+    def lasts(near: Near) -> Column:
+        """Starts of phrases at which every phrase of the group has one near enough before."""
+        every = F.array_distinct(F.concat(*[s[p] for p in near.phrases]))
+        reached = lambda p, x: F.exists(s[p], lambda y: _reaches(p, near.distance, y, x))
+        return F.filter(every, lambda x: reduce(and_, [reached(p, x) for p in near.phrases]))
+
+    rows = rows.select("*", *[lasts(n).alias(f"l{i}") for i, n in enumerate(nears)])
+
+    def times(phrase: Phrase, near: Near | None) -> Column:
+        if near is None:
+            return F.size(s[phrase])
+        return F.size(F.filter(s[phrase], lambda y: F.exists(last[near], lambda x: _reaches(phrase, near.distance, y, x))))
+
+    pairs = scored_parts(tree)
+    matched = holds(tree, lambda x: F.size(last[x] if isinstance(x, Near) else s[x]) > 0)
+    return rows.select(key, "dl", matched.alias("matched"), F.array(*[F.size(s[p]) for p, _ in pairs]).alias("n"), F.array(*[times(*x) for x in pairs]).alias("tf"))
+
+
+def idf(n_docs: float, df: float) -> float:
+    got = math.log((n_docs - df + 0.5) / (df + 0.5))
+    return LEAST_IDF if got <= 0 else got
+
+
+def gain(tf: Column, dl: Column, avgdl: float) -> Column:
+    """What a phrase's occurrences in a document of the length are worth, before its idf."""
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.lit(avgdl)))
+
+
+def best(rows: DataFrame, key: str, idfs: list[float], avgdl: float, k: int) -> DataFrame:
+    """(key, score) of the k best of ``evaluated``, best first, ties to the smaller key."""
+    score = sum((F.lit(w) * gain(F.col("tf")[i], F.col("dl"), avgdl) for i, w in enumerate(idfs)), F.lit(0.0))
+    return rows.filter("matched").select(key, (-score).alias("score")).orderBy("score", key).limit(k)
+
+
+def counted(rows: DataFrame, key: str, tree, n_docs: float | None = None, avgdl: float | None = None) -> tuple[DataFrame, list[float], float]:
+    """The matching rows of ``evaluated``, written, the idf of each scored phrase (which is as rare as it is anywhere) and the mean length.
+
+    One pass: the counts are observed while rows are written.  ``n_docs`` and ``avgdl``: if rows aren't all documents.
+    """
+    told = Observation()
+    sums = [F.count(F.lit(1)).alias("n_docs"), F.sum("dl").alias("dl")]
+    sums += [F.count_if(F.col("n")[i] > 0).alias(f"df{i}") for i in range(len(scored_parts(tree)))]
+    kept = stored(rows.observe(told, *sums).filter("matched"), "hits")
+    got = told.get
+    n_docs = float(got["n_docs"] or 0) if n_docs is None else n_docs
+    if avgdl is None:
+        avgdl = (got["dl"] or 0.0) / n_docs if n_docs else 0.0
+    return kept, [idf(n_docs, got[f"df{i}"] or 0) for i in range(len(scored_parts(tree)))], avgdl or 1.0
 
 
 def search(docs: DataFrame, query: str, k: int = 10, key: str = "doc_id", fields: tuple[str, ...] = ("text",)) -> DataFrame:
     """(key, score) of the k best matches, best first, ties to the smaller key.
 
-    The texts are read once: the length of each and the places of the query's own words are
-    written to the shared folder, and the rest works on these.
+    The texts are read once; what matches is written with its counts, and ranked.
     """
     tree = parse(query)
-    spark, kept = docs.sparkSession, is_needed(tree)
+    kept = is_needed(tree)
+    rows = cut(docs, key, fields).select(key, "dl", F.filter(placed(cut_fields(len(fields))), lambda h: kept(h["term"])).alias("hits"))
+    matching, idfs, avgdl = counted(evaluated(rows, key, tree, fields), key, tree)
+    return best(matching, key, idfs, avgdl, k)
 
-    def placed(i: int) -> Column:
-        return F.transform(F.col(f"t{i}"), lambda term, pos: F.struct(F.lit(fields[i]).alias("field"), pos.alias("pos"), term.alias("term")))
 
-    cut = docs.select(key, *[tokens(F.coalesce(F.col(f), F.lit(""))).alias(f"t{i}") for i, f in enumerate(fields)])
-    size = sum((F.size(f"t{i}") for i in range(len(fields))), F.lit(0)).cast("double")
-    hits = cut.select(key, size.alias("dl"), F.filter(F.concat(*map(placed, range(len(fields)))), lambda p: kept(p["term"])).alias("hits"))
-    path = scratch(spark, "hits")
-    hits.write.parquet(path)
-    hits = spark.read.schema(hits.schema).parquet(path)
-    return ranked(hits.select(key, F.inline("hits")), hits.select(key, "dl"), tree, k, key)
-
-
-def ranked(index: DataFrame, size: DataFrame, tree, k: int, key: str) -> DataFrame:
-    """(key, score) of the k best matches among postings and lengths."""
-    stats = size.agg(F.count("*").cast("double").alias("n_docs"), F.avg("dl").alias("avgdl"))
-    parts = None
-    for p, near in dict.fromkeys(_phrases(tree)):
-        tf = phrase_counts(index, key, p)
-        df = tf.agg(F.count("*").cast("double").alias("df"))  # a phrase is as rare as it is anywhere
-        if near:
-            tf = near_counts(index, key, near).filter(F.col("i") == near.phrases.index(p)).select(key, "tf")
-        scored = tf.crossJoin(F.broadcast(df)).select(key, "tf", "df")  # one row
-        parts = scored if parts is None else parts.unionByName(scored)
-    idf = F.ln((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    idf = F.when(idf <= 0, LEAST_IDF).otherwise(idf)
-    one = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scores = parts.join(size, key).crossJoin(F.broadcast(stats)).groupBy(key).agg((-F.sum(one)).alias("score"))
-    return scores.join(_matching(index, key, tree), key, "left_semi").orderBy("score", key).limit(k)
-
-
-class Index:
-    """A stored index with upkeep, below ``path`` (default: a fresh folder in the shared one).
-
-    Each change writes tables of its own: postings (slot, key, field, pos, term; in folders by slot, a hash of the term, sorted
-    by term within a file, so that a search reads only its terms' slots), lengths, and keys that are gone.  A
-    numbered manifest names those that hold.  ``merge`` makes one table of each.
-    """
+def marks(hits: Column, tree, fields: tuple[str, ...], field: str) -> Column:
+    """Positions in ``field`` of the tokens that belong to an occurrence of a scored phrase."""
+    base = fields.index(field) * FIELD
+    spread = lambda p: F.flatten(F.transform(starts(hits, p, fields), lambda s: F.sequence(s, s + (len(p.words) - 1))))
+    of = [spread(p) for p in dict.fromkeys(p for p, _ in _phrases(tree)) if p.words]
+    every = F.array_distinct(F.concat(*of)) if of else F.array().cast("array<bigint>")
+    return F.transform(F.filter(every, lambda a: a.between(base, base + FIELD - 1)), lambda a: (a - base).cast("int"))
+
+
+def snippet(text: Column, marked: Column, n: int = 12) -> Column:
+    """The stretch of ``n`` tokens with most marked ones (the first of several), these in brackets, dots where text is left out.
 
-    SLOTS = 16
-
-    def __init__(self, spark: SparkSession, path: str | None = None, key: str = "doc_id", fields: tuple[str, ...] = ("text",)):
-        self.spark, self.path, self.key, self.fields = spark, path or scratch(spark, "search"), key, fields
-        self.log = Versions(spark, f"{self.path}/manifests", "kind string, name string, seq int")
-        self.version = self.log.last()
-        self.tables = [tuple(r) for r in self.log.read(self.version).collect()]  # a few rows a change
-
-    def _write(self, kind: str, rows: DataFrame) -> tuple[str, str, int]:
-        name = f"{kind}-{uuid.uuid4().hex}"
-        writer = rows.write
-        if kind == "postings":
-            rows = rows.withColumn("slot", self._slot(F.col("term"))).repartition("slot").sortWithinPartitions("slot", "term")
-            writer = rows.write.partitionBy("slot")
-        writer.parquet(f"{self.path}/{name}")
-        return kind, name, self.version + 1
-
-    def _slot(self, term: Column) -> Column:
-        return F.pmod(F.xxhash64(term), F.lit(self.SLOTS)).cast("int")
-
-    def _all(self, kind: str) -> DataFrame:
-        """Rows whose key has not gone since."""
-        schema = {"postings": f"{self.key} long, field string, pos int, term string, slot int", "lengths": f"{self.key} long, dl double", "gone": f"{self.key} long"}[kind]
-        parts = [self.spark.read.schema(schema).parquet(f"{self.path}/{n}").withColumn("seq", F.lit(seq)) for k, n, seq in self.tables if k == kind]
-        rows = reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], schema + ", seq int")
-        if kind == "gone" or not any(k == "gone" for k, *_ in self.tables):
-            return rows
-        gone = self._all("gone").groupBy(self.key).agg(F.max("seq").alias("__gone"))
-        return rows.join(gone, self.key, "left").filter("__gone is null or __gone <= seq").drop("__gone")
-
-    def _commit(self, tables: list[tuple[str, str, int]]) -> Index:
-        self.log.commit(self.version + 1, self.spark.createDataFrame(tables, self.log.schema))
-        self.version, self.tables = self.version + 1, tables
-        return self
-
-    def put(self, docs: DataFrame) -> Index:
-        """Insert documents, in place of those with their keys."""
-        keys = docs.select(F.col(self.key).cast("long").alias(self.key))
-        rows = [self._write("postings", postings(docs, self.key, *self.fields)), self._write("lengths", lengths(docs, self.key, *self.fields))]
-        known = [self._write("gone", keys.distinct())] if self.version else []
-        return self._commit([*self.tables, *known, *rows])
-
-    def delete(self, keys: DataFrame) -> Index:
-        """Take out the documents whose keys the first column holds."""
-        ids = keys.select(F.col(keys.columns[0]).cast("long").alias(self.key)).distinct()
-        kind, name, seq = self._write("gone", ids)
-        return self._commit([*self.tables, (kind, name, seq)])
-
-    def merge(self) -> Index:
-        """One table of each kind, without what is gone."""
-        return self._commit([self._write("postings", self._all("postings").drop("seq", "slot")), self._write("lengths", self._all("lengths").drop("seq"))])
-
-    def search(self, query: str, k: int = 10) -> DataFrame:
-        tree = parse(query)
-        whole, begun = needed(tree)
-        index = self._all("postings")
-        if not begun:  # a prefix may be in any slot
-            slots = [r[0] for r in self.spark.createDataFrame([(w,) for w in sorted(whole)], "term string").select(self._slot(F.col("term"))).collect()]
-            index = index.filter(F.col("slot").isin(*slots))
-        return ranked(index.filter(is_needed(tree)(F.col("term"))).select(self.key, "field", "pos", "term"), self._all("lengths").select(self.key, "dl"), tree, k, self.key)
-
-    def ready(self, word: str = "the") -> bool:
-        """Whether a search runs through; it may find nothing."""
-        self.search(word, 1).collect()
-        return True
+    A stretch that can't be moved left without losing a mark ends with one, so only those are compared.
+    """
+    text = F.coalesce(text, F.lit(""))
+    words, gaps = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), F.split(text, TOKEN, -1)
+    from_ = F.array_distinct(F.concat(F.array(F.lit(0)), F.transform(marked, lambda m: F.greatest(F.lit(0), m - (n - 1)))))
+    ranked = F.transform(from_, lambda b: F.struct((-F.size(F.filter(marked, lambda m: m.between(b, b + (n - 1))))).alias("few"), b.alias("begin")))
+    begin = F.array_min(ranked)["begin"]
+    size = F.size(words)
+    end = F.least(begin + (n - 1), size - 1)
+    shown = F.transform(F.sequence(begin, end), lambda i: F.concat(F.when(F.array_contains(marked, i), F.concat(F.lit("["), words[i], F.lit("]"))).otherwise(words[i]), F.when(i < end, gaps[i + 1]).otherwise("")))
+    whole = F.concat(F.when(begin == 0, gaps[0]).otherwise("…"), F.array_join(shown, ""), F.when(end == size - 1, F.element_at(gaps, -1)).otherwise("…"))
+    return F.when(size == 0, text).otherwise(whole)
+
+
+def with_snippets(rows: DataFrame, query: str, field: str = "text", n: int = 12, fields: tuple[str, ...] = ("text",), to: str = "snippet") -> DataFrame:
+    """``rows`` of a result with the snippet of a field."""
+    tree = parse(query)
+    kept = is_needed(tree)
+    hits = placed([tokens(F.coalesce(F.col(f), F.lit(""))) for f in fields])
+    found = rows.withColumn("__marks", marks(F.filter(hits, lambda h: kept(h["term"])), tree, fields, field))
+    return found.withColumn(to, snippet(F.col(field), F.col("__marks"), n)).drop("__marks")

@@ -12,7 +12,7 @@ from tessera.operators import mix as M
 from tessera.operators import order as O
 from tessera.operators import skills as K
 from tessera.operators import tasks
-from tessera.operators.search import Index
+from tessera.operators.index import Index
 from tessera.plans.base import SQL, U01, query, read, simple
 from tessera.plans.coding import _OUTLINE, _S, _SNIPPET, FILES, files
 from tessera.plans.parsing import WHITE, cat, pick, sql_pick

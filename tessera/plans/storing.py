@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import order as O
-from tessera.operators.search import Index, tokens
+from tessera.operators.index import Index
+from tessera.operators.search import tokens
 from tessera.plans.base import SQL, query, read
 from tessera.plans.parsing import cat, pick, sql_pick
 from tessera.sources import scan, sinks

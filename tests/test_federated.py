@@ -2,6 +2,7 @@
 
 from tessera.operators import federated as X
 from tessera.operators import mix as M
+from tessera.operators import search as S
 
 SCHEMA = "doc_id long, project string, title string, text string, url string"
 
@@ -28,8 +29,8 @@ def test_hits_and_titles(spark):
 
 
 def test_snippet(spark):
-    frame = spark.createDataFrame([("a b c d e f hit g hit h i j k l m",), ("",), (None,), ("hit.",)], "t string")
-    got = [r[0] for r in frame.select(X.snippet(["hit"], 4)("t")).collect()]
+    frame = spark.createDataFrame([("a b c d e f hit g hit h i j k l m",), ("",), (None,), ("hit.",)], "text string")
+    got = [r.snippet for r in S.with_snippets(frame, "hit", n=4).collect()]
     assert got == ["…f [hit] g [hit]…", "", "", "[hit]."]
 
 
