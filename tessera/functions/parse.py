@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessera.functions.text import answer_reward, strip
+from tessera.functions.text import answer_reward, gsm_answer, strip
 
 #: Marks of a reasoning answer.
 THOUGHT, THOUGHT_END, SOLUTION, SOLUTION_END = "<start_working_out>", "<end_working_out>", "<SOLUTION>", "</SOLUTION>"
@@ -60,6 +60,18 @@ def chatml(turns: Column) -> Column:
     return F.array_join(F.transform(turns, one), "\n")
 
 
+#: What the system says in a chat about a problem.
+TUTOR = "You teach mathematics. Work the problem out one step at a time; a short check in Python is welcome."
+
+
+def problem_chat(question: Column, answer: Column, system: str = TUTOR) -> Column:
+    """A chat of system, question and worked answer, without the line of the final result; null if question or answer is blank."""
+    question, answer = strip(question), strip(answer)
+    body = strip(gsm_answer(answer))
+    turns = F.array(*[F.struct(F.lit(role).alias("role"), c.alias("content")) for role, c in (("system", F.lit(system)), ("user", question), ("assistant", body))])
+    return F.when((question != "") & (answer != ""), chatml(turns))
+
+
 def reasoning_row(thoughts: Column, answer: Column) -> Column:
     plain = strip(F.regexp_replace(thoughts, "</?think>", ""))
     return F.concat(F.lit(THOUGHT), plain, F.lit(THOUGHT_END + SOLUTION), answer, F.lit(SOLUTION_END))

@@ -172,13 +172,17 @@ def shuffle_key(seed: str, *keys: Column) -> Column:
     return F.sha1(F.concat_ws(":", F.lit(seed), *[k.cast("string") for k in keys]).cast("binary"))
 
 
-def fill_in_middle(c: Column, seed: str, key: Column, rate: float = 0.5, least: int = 32) -> Column:
-    """Text with its middle moved behind sentinels at ``rate``, else as it is; short text stays."""
+def fill_in_middle(c: Column, seed: str, key: Column, rate: float = 0.5, least: int = 32, end: str = "", short: str = "stays") -> Column:
+    """Text with its middle moved behind sentinels at ``rate``, else as it is, and ``end`` behind either.
+
+    A text of under ``least`` characters ``stays`` as it is (with the end) or is ``dropped``: null.
+    """
     n = F.length(c)
     size = F.greatest(F.lit(1), F.least(F.floor(n * (0.1 + 0.2 * unit(seed + "m", key))).cast("int"), n - 1))
     start = F.floor(unit(seed + "s", key) * (n - size + 1)).cast("int")
     moved = F.concat(F.lit("<|fim_prefix|>"), F.substring(c, F.lit(1), start), F.lit("<|fim_suffix|>"), F.substring(c, start + size + 1, n), F.lit("<|fim_middle|>"), F.substring(c, start + 1, size))
-    return F.when((unit(seed + "r", key) < rate) & (n >= least), moved).otherwise(c)
+    out = F.concat(F.when((unit(seed + "r", key) < rate) & (n >= least), moved).otherwise(c), F.lit(end))
+    return F.when(n >= least, out) if short == "dropped" else out
 
 
 def html_text(c: Column) -> Column:

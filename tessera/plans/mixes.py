@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import parse as P
 from tessera.functions import text as T
 from tessera.operators import mix as M
 from tessera.operators import order as O
+from tessera.operators.patterns import first_of, matches
 from tessera.plans.base import U01, query, read
 
 _ORDER = "ORDER BY sha1('{}:' || doc_id), doc_id"
@@ -144,17 +146,33 @@ def j07_nearest_labels(spark, sf_dir):
 _STACKS = {"web": ["http", "html"], "law": ["licen", "court"], "code": ["def ", "import "]}
 
 
+_TRIGGERS = [(t, k) for k, ts in _STACKS.items() for t in ts]
+
+
 @query("SELECT doc_id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN {' OR '.join(f'contains(lower(text), {chr(39)}{t}{chr(39)})' for t in ts)} THEN '{k}' END" for k, ts in _STACKS.items()) + "], lambda x: x IS NOT NULL), ',') AS stacks FROM documents")
 def j09_trigger_lists(spark, sf_dir):
-    low = F.lower("text")
-    tags = [F.when(F.exists(F.array(*[F.lit(t) for t in ts]), lambda t: F.contains(low, t)), k) for k, ts in _STACKS.items()]
-    return docs(spark, sf_dir, F.array_join(F.array_compact(F.array(*tags)), ",").alias("stacks"))
+    triggers = spark.createDataFrame(_TRIGGERS, "pattern string, stack string")
+    d = docs(spark, sf_dir, F.lower("text").alias("low"))
+    found = matches(d, "doc_id", "low", triggers, "pattern").join(triggers, "pattern")
+    stacks = found.groupBy("doc_id").agg(F.collect_set("stack").alias("s"))  # as many as there are stacks
+    order = F.array(*[F.lit(k) for k in _STACKS])
+    return d.join(stacks, "doc_id", "left").select("doc_id", F.coalesce(F.array_join(F.array_intersect(order, "s"), ","), F.lit("")).alias("stacks"))
+
+
+_DIR = "'/clones/' || CASE WHEN doc_id % 4 = 0 THEN 'own' ELSE lang || '__' || source END || '/part' || (doc_id % 7)"
 
 
-@query("SELECT page_id, CASE WHEN contains(url, '/de/') THEN 'german' WHEN contains(url, 'example') THEN 'sample' ELSE 'local' END AS tag FROM pages")
+@query(f"""WITH u AS (SELECT lang || '__' || source AS slug, 'https://github.com/' || lang || '/' || source AS url, row_number() OVER (ORDER BY sha1(source || lang), lang, source) AS place FROM (SELECT DISTINCT lang, source FROM documents)),
+d AS (SELECT doc_id, {_DIR} AS dir FROM documents)
+SELECT doc_id, coalesce('github:' || min_by(url, place), 'local:' || dir) AS tag FROM d LEFT JOIN u ON contains(dir, slug) GROUP BY doc_id, dir""")
 def j11_source_tag(spark, sf_dir):
-    u = F.col("url")
-    return read(spark, sf_dir, "pages").select("page_id", F.when(F.contains(u, F.lit("/de/")), "german").when(F.contains(u, F.lit("example")), "sample").otherwise("local").alias("tag"))
+    """The first address of the list whose owner__name stands in the folder; a folder without one is local."""
+    d = read(spark, sf_dir, "documents")
+    urls = d.select("lang", "source").distinct().select(F.concat(F.lit("https://github.com/"), "lang", F.lit("/"), "source").alias("url"), F.sha1(F.concat("source", "lang")).alias("at"))
+    urls = urls.select("url", P.repo_slug(F.col("url")).alias("slug"), F.row_number().over(Window.orderBy("at", "url")).alias("place"))
+    folder = F.concat(F.lit("/clones/"), F.when(F.col("doc_id") % 4 == 0, "own").otherwise(F.concat("lang", F.lit("__"), "source")), F.lit("/part"), (F.col("doc_id") % 7).cast("string"))
+    rows = first_of(d.select("doc_id", folder.alias("dir")), "doc_id", "dir", urls, "slug", "url", "place")
+    return rows.select("doc_id", F.coalesce(F.concat(F.lit("github:"), "url"), F.concat(F.lit("local:"), "dir")).alias("tag"))
 
 
 # --- dedup and sets ----------------------------------------------------------------------------

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import parse as P
 from tessera.functions import text as T
+from tessera.operators.tokens import token_rows
 from tessera.plans.base import U01, query, read, simple
 
 TEXT, L = F.col, F.lit
@@ -132,7 +133,30 @@ simple("f19_exact_length", "documents", {"last": (lambda: F.element_at(F.slice(F
 simple("f22_file_glob", "pages", {"url": (lambda: F.col("url"), "url")}, (lambda: F.lower(F.substring_index("url", "/", -1)).rlike("1.*2"), "regexp_matches(lower(list_extract(string_split(url, '/'), -1)), '1.*2')"), "page_id")
 _ids = lambda: F.transform(F.sequence(L(0), (F.col("vec_id") % 9 + 4).cast("int")), lambda i: i % 5)
 _IDS = "list_transform(range(0, vec_id % 9 + 5), lambda i: i % 5)"
-simple("u14_ids_and_labels", "embeddings", {"n": (lambda: F.size(F.slice(_ids(), 1, 8)).cast("long"), "CAST(least(8, vec_id % 9 + 5) AS BIGINT)")}, None, "vec_id")
+
+
+#: The most ids of a text.
+_MOST = 512
+
+
+@query(f"""WITH b AS (SELECT doc_id, hex(encode(text)) AS h, least({_MOST}, strlen(text)) AS n FROM documents),
+i AS (SELECT doc_id, list_transform(range(n), lambda i: CAST('0x' || substr(h, CAST(2 * i + 1 AS INTEGER), 2) AS INTEGER)) AS ids FROM b)
+SELECT doc_id, CAST(len(ids) AS BIGINT) AS n, array_to_string(ids[1:40], ',') AS head, CAST(list_sum(ids) AS BIGINT) AS total, true AS same FROM i""")
+def u14_ids_and_labels(spark, sf_dir):
+    """Rows of a tokenizer whose ids are the bytes, cut at {_MOST}; labels are the ids."""
+    rows = token_rows(read(spark, sf_dir, "documents").select("doc_id", "text"), "text", None, _MOST)
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n"), F.array_join(F.slice("ids", 1, 40), ",").alias("head"), F.aggregate("ids", F.lit(0).cast("long"), lambda s, x: s + x).alias("total"), (F.col("ids") == F.col("labels")).alias("same"))
+
+
+@query()
+def u14_token_rows(spark, sf_dir):
+    """The same with a vocabulary's file."""
+    import public_tokenizers
+
+    rows = token_rows(read(spark, sf_dir, "documents").select("doc_id", "text"), "text", public_tokenizers.path("word_bpe_49k.json"), _MOST)
+    return rows.select("doc_id", "ids", "labels")
+
+
 simple("u15_masked_labels", "embeddings", {"labels": (lambda: F.array_join(P.masked_labels(_ids(), F.array(L(1), L(2))), ","), f"array_to_string(list_transform({_IDS}, lambda x, i: CASE WHEN i <= (CASE WHEN vec_id % 9 = 8 THEN 13 WHEN vec_id % 9 >= 3 THEN 8 ELSE 3 END) THEN -100 ELSE x END), ',')")}, None, "vec_id")
 simple("u28_shifted_targets", "embeddings", {"targets": (lambda: F.array_join(P.shifted_targets(_ids()), ","), f"array_to_string(list_concat(list_concat({_IDS}, {_IDS})[2:], [-100]), ',')")}, None, "vec_id")
 simple("u31_padded", "embeddings", {"ids": (lambda: F.array_join(P.padded(_ids(), 8, 0), ","), f"array_to_string(list_concat({_IDS}, [0, 0, 0, 0, 0, 0, 0, 0])[1:8], ',')")}, None, "vec_id")

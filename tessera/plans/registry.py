@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from tessera.functions import formats as X
 from tessera.functions import text as T
 from tessera.functions.text import cosine
-from tessera.operators import mix as M
+from tessera.operators import federated
 from tessera.operators import order as O
 from tessera.operators import search as S
 from tessera.operators.bins import fill, packed
+from tessera.operators.index import Index
 from tessera.operators.intervals import merged
 from tessera.operators.percentiles import percentiles
 from tessera.plans import cleaning, coding, formatting, mixes, parsing, registers, reports, rest, storing, whole  # noqa: F401  (they register their queries)
@@ -52,7 +53,9 @@ simple("t39_first_present", "documents", {"value": (lambda: T.first_present(F.nu
 simple("t40_first_not_blank", "documents", {"value": (lambda: T.first_not_blank(F.when(F.col("doc_id") % 3 == 0, " \n").when(F.col("doc_id") % 3 == 1, F.lit(None)).otherwise(F.col("source")), F.col("text")), "CASE WHEN doc_id % 3 = 2 AND length(trim(source)) > 0 THEN source ELSE text END")}, (lambda: F.length(T.strip(F.col("text"))) > 0, "length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) > 0"))
 _MID = "greatest(1, least(CAST(floor(length(text) * (0.1::DOUBLE + 0.2::DOUBLE * " + U01.format("'7m:' || doc_id") + ")) AS BIGINT), length(text) - 1))"
 _START = f"CAST(floor({U01.format(chr(39) + '7s:' + chr(39) + ' || doc_id')} * (length(text) - {_MID} + 1)) AS BIGINT)"
-simple("t42_fill_in_middle", "documents", {"fim": (lambda: T.fill_in_middle(F.col("text"), "7", F.col("doc_id")), f"CASE WHEN {U01.format(chr(39) + '7r:' + chr(39) + ' || doc_id')} < 0.5 AND length(text) >= 32 THEN '<|fim_prefix|>' || substr(text, 1, {_START}) || '<|fim_suffix|>' || substr(text, {_START} + {_MID} + 1) || '<|fim_middle|>' || substr(text, {_START} + 1, {_MID}) ELSE text END")})
+_FIM = f"CASE WHEN {U01.format(chr(39) + '7r:' + chr(39) + ' || doc_id')} < 0.5 AND length(text) >= 32 THEN '<|fim_prefix|>' || substr(text, 1, {_START}) || '<|fim_suffix|>' || substr(text, {_START} + {_MID} + 1) || '<|fim_middle|>' || substr(text, {_START} + 1, {_MID}) ELSE text END"
+simple("t42_fill_in_middle", "documents", {"fim": (lambda: T.fill_in_middle(F.col("text"), "7", F.col("doc_id"), end="<|endoftext|>", short="dropped"), _FIM + " || '<|endoftext|>'")}, (lambda: F.length("text") >= 32, "length(text) >= 32"))
+SQL["t43_streamed_fill_in"] = f"SELECT doc_id, {_FIM} AS fim FROM documents"
 simple("t54_tag_counts", "pages", {"n_p": (lambda: F.regexp_count("html", F.lit("<p>")).cast("long"), "CAST(len(string_split(html, '<p>')) - 1 AS BIGINT)"), "n_a": (lambda: F.regexp_count("html", F.lit("<a ")).cast("long"), "CAST(len(string_split(html, '<a ')) - 1 AS BIGINT)")}, None, "page_id")
 simple("t57_digits", "pages", {"digits": (lambda: T.digits(F.col("url")), "regexp_replace(url, '[^0-9]', '', 'g')")}, None, "page_id")
 simple("t63_payload_key", "events", {"k": (lambda: F.get_json_object("props", "$.k").try_cast("long"), "TRY_CAST(json_extract_string(props, '$.k') AS BIGINT)")}, None, "event_id")
@@ -96,6 +99,75 @@ df AS (SELECT term AS ph, count(DISTINCT doc_id)::DOUBLE AS df FROM q GROUP BY 1
 SELECT doc_id, round(-{_RANK}, 6) AS score FROM tf JOIN df USING (ph) JOIN len USING (doc_id), st GROUP BY doc_id ORDER BY -{_RANK}, doc_id LIMIT 10""")
 
 
+# The same searches on a stored index, which is built first.
+def _stored(spark, sf_dir):
+    return Index(spark).put(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query(SQL["q04_bm25_or"])
+def q04_stored_top_k(spark, sf_dir):
+    return _stored(spark, sf_dir).search("licensed OR under").select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query(SQL["q02_prefix"])
+def q02_stored_prefix(spark, sf_dir):
+    return _stored(spark, sf_dir).search("licens*").select("doc_id", F.round("score", 6).alias("score"))
+
+
+_SHOWN = "list_filter(range(len(w)), lambda i: starts_with(w[i + 1], 'licens') OR w[i + 1] = 'the')"
+_Q06 = _bm25("SELECT doc_id, CASE WHEN term = 'the' THEN 'the' ELSE 'x' END AS ph, count(*) AS tf FROM p WHERE term = 'the' OR starts_with(term, 'licens') GROUP BY ALL", "SELECT doc_id FROM tf")
+
+
+@query(rf"""WITH best AS ({_Q06}),
+t AS (SELECT doc_id, regexp_extract_all(text, '[\p{{L}}\p{{N}}]+') AS raw, string_split_regex(text, '[\p{{L}}\p{{N}}]+') AS gap, regexp_extract_all(strip_accents(lower(text)), '[\p{{L}}\p{{N}}]+') AS w FROM documents JOIN best USING (doc_id)),
+m AS (SELECT *, {_SHOWN} AS marks FROM t),
+b AS (SELECT *, list_sort(list_transform([0::BIGINT] || list_transform(marks, lambda x: greatest(0::BIGINT, x - 11)), lambda b: {{'few': -len(list_filter(marks, lambda x: x BETWEEN b AND b + 11)), 'b': b}}))[1].b AS b FROM m),
+e AS (SELECT *, least(b + 11, len(raw) - 1) AS e FROM b)
+SELECT doc_id, CASE WHEN b = 0 THEN gap[1] ELSE '…' END || array_to_string(list_transform(range(b, e + 1), lambda i: CASE WHEN list_contains(marks, i) THEN '[' || raw[i + 1] || ']' ELSE raw[i + 1] END || CASE WHEN i < e THEN gap[i + 2] ELSE '' END), '')
+  || CASE WHEN e = len(raw) - 1 THEN gap[len(gap)] ELSE '…' END AS snippet FROM e""")
+def q06_snippets(spark, sf_dir):
+    """Snippets of the ten best, from the places that the index holds."""
+    d = read(spark, sf_dir, "documents").select("doc_id", "text")
+    index, text = _stored(spark, sf_dir), "licens* OR the"
+    return index.snippets(index.search(text), d, text).select("doc_id", "snippet")
+
+
+_ASKED = ("licensed", "der", "les", "los")
+#: Place, kind, collection and language of the searches; works are looked for by title.
+_SOUGHT = [(0, "explain", "enwiki", "en"), (1, "explain", "dewiki", "de"), (2, "book", "frsource", "fr"), (3, "book", "essource", "es"), (4, "primary_text", "frsource", "fr"), (5, "primary_text", "essource", "es")]
+
+
+def _sought(place: int, kind: str, provider: str, lang: str) -> str:
+    """The five best of a collection; a title's phrase is one term, which a title has once."""
+    fits = f"term IN {_ASKED}" if kind != "book" else "false"
+    tf = f"SELECT doc_id, term AS ph, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM c WHERE lang = '{lang}') WHERE {fits} GROUP BY ALL"
+    if kind == "book":
+        tf = f"SELECT doc_id, 'title' AS ph, 1 AS tf FROM c WHERE lang = '{lang}' AND contains(' ' || array_to_string(tw, ' ') || ' ', ' {' or '.join(_ASKED)} ')"
+    return f"""SELECT {place} AS place, '{kind}' AS kind, '{provider}' AS provider, row_number() OVER (ORDER BY score, doc_id) AS rank, doc_id, score FROM (
+    WITH tf AS ({tf}), df AS (SELECT ph, count(*)::DOUBLE AS df FROM tf GROUP BY ph), st AS (SELECT count(*)::DOUBLE AS n, avg(len(w))::DOUBLE AS a FROM c WHERE lang = '{lang}')
+    SELECT doc_id, -{_RANK} AS score FROM tf JOIN df USING (ph) JOIN (SELECT doc_id, len(w)::DOUBLE AS dl FROM c) USING (doc_id), st GROUP BY doc_id ORDER BY score, doc_id LIMIT 5)"""
+
+
+@query(rf"""WITH c AS (SELECT *, regexp_extract_all(strip_accents(lower(title)), '[\p{{L}}\p{{N}}]+') AS tw, list_concat(tw, xw) AS w FROM (SELECT doc_id, lang, text, string_split(text, chr(10))[1] AS title, regexp_extract_all(strip_accents(lower(text)), '[\p{{L}}\p{{N}}]+') AS xw FROM documents)),
+hits AS ({" UNION ALL ".join(f"({_sought(*s)})" for s in _SOUGHT)}),
+t AS (SELECT h.*, c.lang, c.title, c.text, c.xw AS w, regexp_extract_all(c.text, '[\p{{L}}\p{{N}}]+') AS raw, string_split_regex(c.text, '[\p{{L}}\p{{N}}]+') AS gap FROM hits h JOIN c USING (doc_id)),
+m AS (SELECT *, CASE WHEN kind = 'book' THEN [] ELSE list_filter(range(len(w)), lambda i: list_contains({list(_ASKED)}, w[i + 1])) END AS marks FROM t),
+b AS (SELECT *, list_sort(list_transform([0::BIGINT] || list_transform(marks, lambda x: greatest(0::BIGINT, x - 11)), lambda b: {{'few': -len(list_filter(marks, lambda x: x BETWEEN b AND b + 11)), 'b': b}}))[1].b AS b FROM m),
+e AS (SELECT *, least(b + 11, len(raw) - 1) AS e FROM b),
+shown AS (SELECT *, CASE WHEN len(raw) = 0 THEN text ELSE CASE WHEN b = 0 THEN gap[1] ELSE '…' END || array_to_string(list_transform(range(b, e + 1), lambda i: CASE WHEN list_contains(marks, i) THEN '[' || raw[i + 1] || ']' ELSE raw[i + 1] END || CASE WHEN i < e THEN gap[i + 2] ELSE '' END), '')
+  || CASE WHEN e = len(raw) - 1 THEN gap[len(gap)] ELSE '…' END END AS snippet FROM e),
+firsts AS (SELECT *, row_number() OVER (PARTITION BY provider || chr(1) || title ORDER BY place, rank, CAST(doc_id AS VARCHAR)) AS nth FROM shown)
+SELECT CAST(place AS INTEGER) AS place, kind, provider, CAST(rank AS BIGINT) AS rank, CAST(doc_id AS VARCHAR) AS id, round(score, 6) AS score, lang AS project, title, '' AS url, snippet FROM firsts WHERE nth = 1
+UNION ALL SELECT 6, 'image', 'commons', 1, NULL, NULL, 'commons', '(image search is not available: {" OR ".join(_ASKED)})', '', ''""")
+def q09_federated_search(spark, sf_dir):
+    """Explaining texts in English and German, works and primary texts in French and Spanish: every document lies in a collection."""
+    d = read(spark, sf_dir, "documents")
+    pool = d.select("doc_id", F.col("lang").alias("project"), F.substring_index("text", "\n", 1).alias("title"), "text", F.lit("").alias("url"))
+    part = {lang: pool.filter(F.col("project") == lang) for lang in ("en", "de", "fr", "es")}
+    found = federated.search({"enwiki": part["en"], "dewiki": part["de"]}, {"frsource": part["fr"], "essource": part["es"]}, " OR ".join(_ASKED))
+    return found.withColumn("score", F.round("score", 6))
+
+
 @query(r"SELECT doc_id, CAST(len(w) AS BIGINT) AS n, CAST(len(list_distinct(w)) AS BIGINT) AS n_distinct FROM (SELECT doc_id, regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+') AS w FROM documents)")
 def q01_tokens(spark, sf_dir):
     w = S.tokens(F.col("text"))
@@ -360,4 +432,3 @@ def x08_first_event(spark, sf_dir):
 def g01_line_summary(spark, sf_dir):
     return read(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.count("*").alias("n"))
 
-SQL["t43_streamed_fill_in"] = SQL["t42_fill_in_middle"]

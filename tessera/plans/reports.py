@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import federated
 from tessera.operators.percentiles import percentiles
 from tessera.plans.base import query, read
 
@@ -113,11 +112,3 @@ def a27_summary_comparison(spark, sf_dir):
     side = lambda i: F.avg(F.when(F.col("user_id") % 2 == i, F.col("value")))
     out = events(spark, sf_dir).groupBy(F.col("event_type").alias("task")).agg(side(0).alias("b"), side(1).alias("t"))
     return out.select("task", F.round("b", 6).alias("base"), F.round("t", 6).alias("tuned"), F.round(F.col("t") - F.col("b"), 6).alias("gain"))
-
-
-@query()
-def q09_federated_search(spark, sf_dir):
-    d = read(spark, sf_dir, "documents")
-    pool = d.select("doc_id", F.col("lang").alias("project"), F.substring_index("text", "\n", 1).alias("title"), "text", F.lit("").alias("url"))
-    part = {lang: pool.filter(F.col("project") == lang) for lang in ("en", "de", "fr")}
-    return federated.search({"enwiki": part["en"], "dewiki": part["de"]}, {"frsource": part["fr"]}, "licensed OR der OR les")

@@ -13,6 +13,7 @@ from tessera.operators import order as O
 from tessera.operators import skills as K
 from tessera.operators import tasks
 from tessera.operators.index import Index
+from tessera.operators.patterns import relevant
 from tessera.plans.base import SQL, U01, query, read, simple
 from tessera.plans.coding import _OUTLINE, _S, _SNIPPET, FILES, files
 from tessera.plans.parsing import WHITE, cat, pick, sql_pick
@@ -153,7 +154,7 @@ def _scored(hit: int, most: int, least: int, k: int) -> str:
 def _relevant(spark, sf_dir, **limits):
     register = spark.createDataFrame([("licence", "licensed terms", "Terms under which texts are licensed"), ("web", "web page", "a page, page by page; how"), ("en", "en", "nothing that fits the query"), ("src1", "src1", "nothing that fits the query")], "skill string, pattern string, insight string")
     asked = docs(spark, sf_dir).select(F.col("doc_id").alias("query_id"), F.concat(L("how to "), "lang", L(" query a web page under the licensed terms of "), "source").alias("query"))
-    return K.relevant(register, asked, **limits).select("query_id", "skill", F.col("score").cast("long").alias("score"), F.col("rank").cast("long").alias("rank"))
+    return relevant(register, asked, **limits).select("query_id", "skill", F.col("score").cast("long").alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query(_scored(5, 5, 2, 6))

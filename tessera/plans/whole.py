@@ -20,6 +20,9 @@ simple("t11_strip_quotes", "documents", {"plain": (lambda: F.regexp_replace(cat(
 simple("t35_file_header", "documents", {"cpt": (lambda: cat("# File: ", F.col("source"), "\n# Language: ", F.col("lang"), "\n\n", WHOLE()), "'# File: ' || source || chr(10) || '# Language: ' || lang || chr(10) || chr(10) || text")})
 simple("t36_completion_prompt", "documents", {"prompt": (lambda: cat("Complete the following code:\n\n", WHOLE()), "'Complete the following code:' || chr(10) || chr(10) || text")})
 simple("t46_final_answer_cut", "documents", {"body": (lambda: T.gsm_answer(cat(WHOLE(), "\n#### 42")), r"regexp_replace(text || chr(10) || '#### 42', '(?m)\s*####.*$', '', 'g')")})
+_PARTS = f"trim(string_split(text, chr(10))[1], {WHITE})", f"trim(trim(text, {WHITE}) || chr(10) || '#### ' || doc_id, {WHITE})"
+_CHAT = "'<|im_start|>system' || chr(10) || '" + P.TUTOR + "<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10) || " + _PARTS[0] + " || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) || " + rf"trim(regexp_replace({_PARTS[1]}, '(?m)\s*####.*$', '', 'g'), {WHITE}) || '<|im_end|>'"
+simple("t46_problem_chat", "documents", {"chat": (lambda: P.problem_chat(F.substring_index("text", "\n", 1), cat(T.strip(WHOLE()), "\n#### ", F.col("doc_id").cast("string"))), f"CASE WHEN {_PARTS[0]} <> '' THEN {_CHAT} END")})
 simple("t79_file_name", "documents", {"name": (lambda: F.regexp_replace(WHOLE(), r"[^A-Za-z0-9._-]+", "_"), "regexp_replace(text, '[^A-Za-z0-9._-]+', '_', 'g')")})
 simple("t52_reasoning_row", "documents", {"row": (lambda: P.reasoning_row(cat("<think> ", WHOLE(), "</think>\n"), F.col("lang")), f"'{P.THOUGHT}' || trim(regexp_replace('<think> ' || text || '</think>' || chr(10), '</?think>', '', 'g'), {WHITE}) || '{P.THOUGHT_END}{P.SOLUTION}' || lang || '{P.SOLUTION_END}'")})
 
