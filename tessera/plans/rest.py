@@ -19,6 +19,7 @@ from tessera.plans.coding import _OUTLINE, _S, _SNIPPET, FILES, files
 from tessera.plans.parsing import WHITE, cat, pick, sql_pick
 from tessera.plans.storing import docs
 from tessera.sources import scan
+from tessera.sources.keyed import KeyedTable
 from tessera.sources.scratch import scratch
 from tessera.streaming import ingest
 
@@ -124,10 +125,10 @@ def d07_unique_key(spark, sf_dir):
     d = docs(spark, sf_dir).select("doc_id", F.col("lang").alias("project"), (F.col("doc_id") % 16).alias("ns"), F.col("source").alias("title"))
     bounds = d.agg(F.min("doc_id"), F.max("doc_id")).first()
     third = F.floor((F.col("doc_id") - bounds[0]) * 3 / (bounds[1] - bounds[0] + 1))
-    held = O.first_per_key(d.filter(third == 0), [F.col(k) for k in keys], ["doc_id"])
-    for i in (1, 2):
-        held = held.unionByName(O.upsert_first(held, d.filter(third == i), keys, ["doc_id"]))
-    return held.agg(F.count("*").alias("rows"), F.count_distinct(*keys).alias("keys"), F.sum("doc_id").alias("ids"))
+    table = KeyedTable(spark, scratch(spark, "keyed"), d.schema, keys)
+    for i in range(3):
+        table.insert_first(d.filter(third == i), ["doc_id"])
+    return table.read().agg(F.count("*").alias("rows"), F.count_distinct(*keys).alias("keys"), F.sum("doc_id").alias("ids"))
 
 
 _FEW = "(SELECT doc_id, row_number() OVER (ORDER BY sha1('m9:' || doc_id), doc_id) - 1 AS place, count(*) OVER () AS n FROM documents WHERE lang = 'de')"

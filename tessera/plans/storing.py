@@ -10,9 +10,10 @@ from tessera.operators.index import Index
 from tessera.operators.search import tokens
 from tessera.plans.base import SQL, query, read
 from tessera.plans.parsing import cat, pick, sql_pick
-from tessera.sources import scan, sinks
+from tessera.sources import batches, scan, sinks
+from tessera.sources.keyed import KeyedTable
 from tessera.sources.scratch import scratch
-from tessera.streaming import ingest
+from tessera.streaming import ingest, stateful
 
 L = F.lit
 _ID = lambda: F.col("doc_id").cast("string")
@@ -78,13 +79,15 @@ def r12_input_kinds(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.col("source").alias("item"), scan.item_kind(item).alias("kind"))
 
 
-def _lines(spark, sf_dir):
-    """The documents as JSON lines, with blank, broken and other lines between."""
+def _line():
+    """A document as a line of JSON, or in its place a blank, broken or other line."""
     row = F.to_json(F.struct("doc_id", "text", "lang"))
-    broken = F.substring(row, 1, 12)
-    line = pick(5, row, row, broken, L("  "), cat("[", _ID(), "]"))
+    return pick(5, row, row, F.substring(row, 1, 12), L("  "), cat("[", _ID(), "]"))
+
+
+def _lines(spark, sf_dir):
     path = scratch(spark, "lines")
-    docs(spark, sf_dir).select(line).write.text(path)
+    docs(spark, sf_dir).select(_line()).write.text(path)
     return path
 
 
@@ -94,9 +97,12 @@ def r15_json_objects(spark, sf_dir):
     return rows.select("doc_id", F.md5("text").alias("digest"), "lang")
 
 
-@query("SELECT substr('{\"doc_id\":' || doc_id || ',\"text\":', 1, 12) AS bad FROM documents WHERE doc_id % 5 = 2")
+@query("SELECT substr('{\"doc_id\":' || doc_id || ',\"text\":', 1, 12) AS bad, row_number() OVER (ORDER BY doc_id) * 5 - 2 AS line FROM documents WHERE doc_id % 5 = 2")
 def r14_json_faults(spark, sf_dir):
-    return scan.json_line_faults(spark, _lines(spark, sf_dir)).select(F.col("text").alias("bad"))
+    """One file of all lines, in the order of the ids, read in splits."""
+    path = scratch(spark, "lines")
+    docs(spark, sf_dir).orderBy("doc_id").select(_line()).coalesce(1).write.text(path)
+    return scan.json_line_faults(spark, path).select(F.col("text").alias("bad"), "line")
 
 
 def _hub(spark, sf_dir) -> str:
@@ -123,7 +129,7 @@ def r19_first_dataset(spark, sf_dir):
 @query("SELECT * FROM (SELECT doc_id, source FROM documents WHERE lang = 'en' AND doc_id % 2 = 0 ORDER BY doc_id LIMIT 7) UNION ALL SELECT * FROM (SELECT doc_id, source FROM documents WHERE lang = 'en' AND doc_id % 2 = 1 ORDER BY doc_id LIMIT 7)")
 def r20_split_slices(spark, sf_dir):
     """The first seven of each split: that is the operator."""
-    return scan.dataset(spark, _hub(spark, sf_dir), "web:en", ("train", "test"), 7, ("doc_id",)).select("doc_id", "source")
+    return scan.dataset(spark, _hub(spark, sf_dir), "web:en", ("train", "test"), 7).select("doc_id", "source")
 
 
 @query("SELECT doc_id, lang, length(text) AS n FROM documents")
@@ -241,20 +247,42 @@ def w03_manifest(spark, sf_dir):
     return back.select("total", flat("by_lang").alias("by_lang"), flat("config").alias("config"))
 
 
+def _long_only():
+    """Writes a row; a text that is too short can't be written."""
+
+    def encode(row: dict) -> str:
+        if len(row["text"] or "") < 100:
+            raise ValueError("too short")
+        return batches.as_json(row)
+
+    return encode
+
+
+@query("SELECT count(*) AS n, count(DISTINCT doc_id) AS ids FROM documents WHERE length(text) < 100")
+def w04_left_out_rows(spark, sf_dir):
+    """What couldn't be written, row by row; the others of its batches stand."""
+    path = scratch(spark, "valid")
+    batches.insert(docs(spark, sf_dir).select("doc_id", "text"), path, _long_only(), batch=64)
+    ids = F.regexp_extract("row", r"'doc_id': (\d+)", 1)
+    return batches.quarantine(spark, path).filter("error = 'ValueError: too short'").agg(F.count("*").alias("n"), F.count_distinct(ids).alias("ids"))
+
+
 @query("SELECT doc_id, (SELECT count(*) FROM documents WHERE length(text) >= 100) AS inserted FROM documents WHERE length(text) >= 100")
 def w04_valid_rows(spark, sf_dir):
     path = scratch(spark, "valid")
-    n, bad = sinks.insert_valid(docs(spark, sf_dir), path, F.length("text") >= 100)
-    held = spark.read.parquet(path)
-    return held.join(bad.select("doc_id"), "doc_id", "left_anti").select("doc_id", L(n).cast("long").alias("inserted"))
+    batches.insert(docs(spark, sf_dir).select("doc_id", "text"), path, _long_only())
+    told = F.broadcast(batches.manifests(spark, path).agg(F.sum("rows").alias("inserted")))  # one row
+    return batches.rows(spark, path, "doc_id long").join(told)
 
 
 @query("SELECT doc_id, source, lang FROM (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id % 2, doc_id) AS rn FROM documents) WHERE rn = 1")
 def w05_upsert_first(spark, sf_dir):
     """Even ids are there first; then the odd ones come, and those whose key is known are left out."""
     d = docs(spark, sf_dir).select("doc_id", "source", "lang")
-    held = O.first_per_key(d.filter("doc_id % 2 = 0"), [F.col("source"), F.col("lang")], ["doc_id"])
-    return held.unionByName(O.upsert_first(held, d.filter("doc_id % 2 = 1"), ["source", "lang"], ["doc_id"]))
+    table = KeyedTable(spark, scratch(spark, "keyed"), d.schema, ["source", "lang"])
+    for rest in (0, 1):
+        table.insert_first(d.filter(F.col("doc_id") % 2 == rest), ["doc_id"])
+    return table.read()
 
 
 @query("SELECT DISTINCT source, lang, text FROM documents")
@@ -395,10 +423,24 @@ def x06_streamed_quota(spark, sf_dir):
     source, schema = _arrivals(spark, sf_dir)
     out, mark = scratch(spark, "out"), scratch(spark, "mark")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(source)
-    ingest.first_of_each(stream, "lang", "doc_id", 9, out, mark).awaitTermination()
+    stateful.quota(stream, "lang", "doc_id", 9, out, mark, each=docs(spark, sf_dir).select("lang").distinct().count()).awaitTermination()
     return spark.read.parquet(out).groupBy("lang").agg(F.count("*").alias("n"))
 
 
+@query("SELECT lang, count(*) AS n, true AS numbered, true AS moved FROM documents GROUP BY 1")
+def x05_shuffle_buffer(spark, sf_dir):
+    """A buffer of 50 rows a language: each row leaves it once, in another order than it came in; a last file empties it."""
+    source, out = scratch(spark, "arrivals"), scratch(spark, "out")
+    d = docs(spark, sf_dir).select("doc_id", "lang", L(False).alias("end"))
+    d.repartitionByRange(3, "doc_id").write.parquet(f"{source}/f=1")
+    d.groupBy("lang").agg(F.max("doc_id").alias("doc_id")).select((F.col("doc_id") + 1).alias("doc_id"), "lang", L(True).alias("end")).coalesce(1).write.parquet(f"{source}/f=2")
+    stream = spark.readStream.schema("doc_id long, lang string, end boolean").option("maxFilesPerTrigger", 1).parquet(f"{source}/*")
+    stateful.shuffled(stream, "lang", "doc_id", 50, "x5").writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch(spark, "mark")).trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema("doc_id long, lang string, at long").parquet(out)
+    numbered = (F.min("at") == 0) & (F.max("at") == F.count("*") - 1) & (F.count_distinct("at") == F.count("*")) & (F.count_distinct("doc_id") == F.count("*"))
+    return rows.groupBy("lang").agg(F.count("*").alias("n"), numbered.alias("numbered"), (F.corr("at", "doc_id") < 1).alias("moved"))
+
+
 _WORDS = r"regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+')"
 
 

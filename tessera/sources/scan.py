@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import LANGUAGES, minified, newlines, strip
-from tessera.sources.scratch import exists
+from tessera.sources.scratch import exists, stored
 
 #: What a source-tree scan takes and leaves out.
 EXTENSIONS = tuple(LANGUAGES)
@@ -104,10 +104,56 @@ def json_lines(spark: SparkSession, path: str, schema: str, objects: bool = Fals
     return lines.select(F.from_json("value", f"{schema}, _bad STRING", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r")).select("r.*").filter("_bad is null").drop("_bad")
 
 
+def numbered_lines(spark: SparkSession, path: str | list[str], where: Column | None = None) -> DataFrame:
+    """(file, line, text) of text files (also compressed ones that can be split), lines numbered from 1; only those for which ``where``, a condition on ``text``, holds.
+
+    Files are read in splits, twice: first the lines of each split are counted, then a line's number is what the file's splits before hold and its place in its own.
+    Rows of a split are numbered as they are read, so both passes must plan the same splits: the session's settings mustn't change between them.
+    """
+    meta = [F.col(f"_metadata.{c}").alias(c) for c in ("file_path", "file_block_start")]
+    lines = spark.read.text(path).select(F.col("value").alias("text"), *meta).withColumn("id", F.monotonically_increasing_id())
+    splits = lines.groupBy("file_path", "file_block_start").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("file_path").orderBy("file_block_start").rowsBetween(Window.unboundedPreceding, -1))  # a row a split
+    base = stored(splits.select("file_path", "file_block_start", "first", F.coalesce(before, F.lit(0)).alias("base")), "splits")
+    kept = lines if where is None else lines.filter(where)
+    return kept.join(base, ["file_path", "file_block_start"]).select(F.col("file_path").alias("file"), (F.col("base") + F.col("id") - F.col("first") + 1).alias("line"), "text")
+
+
 def json_line_faults(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line, text) of the malformed lines, numbered from 1; a file must fit a task."""
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n", -1)).alias("at", "text"))
-    return files.filter((F.trim("text") != "") & F.try_parse_json("text").isNull()).select("file", (F.col("at") + 1).alias("line"), "text")
+    """(file, line, text) of the malformed lines, numbered from 1."""
+    return numbered_lines(spark, path, (F.trim("text") != "") & F.try_parse_json("text").isNull())
+
+
+def _names(spark: SparkSession, path: str) -> list[str]:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return sorted(s.getPath().toString() for s in at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at) if not s.getPath().getName().startswith(("_", ".")))
+
+
+def first_rows(spark: SparkSession, path: str, n: int) -> DataFrame:
+    """The first ``n`` rows of a folder of Parquet or JSON lines, in the order of the files' names and within a file.
+
+    Parquet: the footers tell how many rows a file has, and of the files that are needed only the rows up to the last one pass.
+    JSON lines: files are counted, from the first on and twice as many each time, until they hold enough.
+    """
+    names = _names(spark, path)
+    if not any(x.endswith(".parquet") for x in names):
+        few = 1
+        while few < len(names) and spark.read.text(names[:few]).filter("trim(value) <> ''").count() < n:
+            few *= 2
+        schema = spark.read.json(names[:few]).schema
+        lines = numbered_lines(spark, names[:few], F.trim("text") != "")
+        order = Window.orderBy("file", "line")  # of the lines that are needed
+        first = lines.orderBy("file", "line").limit(n).withColumn("at", F.row_number().over(order))
+        return first.select(F.from_json("text", schema).alias("r")).select("r.*")
+    rows = spark.read.parquet(path)
+    sizes = rows.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a file
+    needed = {r.file: n - r.before for r in sizes.withColumn("before", before).filter(F.col("before") < n).collect()}
+    if not needed:
+        return rows.limit(0)
+    at, last = F.col("_metadata.row_index"), max(needed, key=lambda f: -needed[f])
+    kept = spark.read.schema(rows.schema).parquet(*needed)
+    return kept.filter((F.col("_metadata.file_path") != last) | (at < needed[last]))
 
 
 def dataset(spark: SparkSession, root: str, name: str, splits: tuple[str, ...] = ("train",), first: int | None = None, order: tuple[str, ...] = ()) -> DataFrame:
@@ -123,7 +169,7 @@ def dataset(spark: SparkSession, root: str, name: str, splits: tuple[str, ...] =
         names = [s.getPath().getName() for s in at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)]
         rows = spark.read.parquet(path) if any(n.endswith(".parquet") for n in names) else spark.read.json(path)
         if first is not None:
-            rows = (rows.orderBy(*order) if order else rows).limit(first)
+            rows = rows.orderBy(*order).limit(first) if order else first_rows(spark, path, first)
         out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
     return out
 

@@ -62,13 +62,6 @@ def append_hashed(df: DataFrame, path: str) -> int:
     return spark.read.text(path).count() - before
 
 
-def insert_valid(df: DataFrame, path: str, fits: Column) -> tuple[int, DataFrame]:
-    """Write the rows that fit, all or none of them; returns their number and the others, so that one bad row costs no batch."""
-    good = F.coalesce(fits, F.lit(False))
-    df.filter(good).write.mode("append").parquet(path)
-    return df.filter(good).count(), df.filter(~good)
-
-
 def csv_lines(df: DataFrame, header: list[str]) -> DataFrame:
     """``df`` with exactly these columns, as text; what is missing or null is empty."""
     kinds = dict(df.dtypes)
@@ -76,8 +69,8 @@ def csv_lines(df: DataFrame, header: list[str]) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, header: list[str]) -> None:
-    """One file with a header; for reports, whose rows are few."""
-    csv_lines(df, header).coalesce(1).write.option("header", "true").option("emptyValue", "").csv(path)
+    """Files with a header, as many as the rows have partitions."""
+    csv_lines(df, header).write.option("header", "true").option("emptyValue", "").csv(path)
 
 
 def united(parts: list[DataFrame], first: str) -> DataFrame:
@@ -92,8 +85,14 @@ def predictions(df: DataFrame, instance: str, patch: str) -> DataFrame:
     return df.select(F.col(instance).alias("instance_id"), F.coalesce(F.col(patch), F.lit("")).alias("model_patch"))
 
 
+#: Tasks that a status may list.
+LISTED = 100_000
+
+
 def status(df: DataFrame, state: str = "status") -> DataFrame:
-    """One row of JSON: total, success and failed, and the tasks; batches are small."""
+    """One row of JSON: total, success and failed, and the tasks, which are refused beyond ``LISTED``."""
+    if (n := df.count()) > LISTED:
+        raise ValueError(f"a status lists {LISTED} tasks at most, not {n}")
     good = F.count_if(F.col(state) == "success")
     rows = F.sort_array(F.collect_list(F.struct(*df.columns)))
     summary = F.struct(F.count("*").alias("total"), good.alias("success"), (F.count("*") - good).alias("failed"))

@@ -1,36 +1,31 @@
-"""Streaming: exactly-once ingest of a file stream, token windows, quotas, progress."""
+"""Streaming: exactly-once ingest of a file stream, token windows, progress."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tessera.operators.order import first_per_key
+from tessera.sources.keyed import BUCKETS, KeyedTable
 from tessera.sources.scratch import exists
 
 
-def ingest(stream: DataFrame, path: str, checkpoint: str, keys: list[str], order: list[str]) -> StreamingQuery:
+def ingest(stream: DataFrame, path: str, checkpoint: str, keys: list[str], order: list[str], buckets: int = BUCKETS) -> StreamingQuery:
     """Append rows whose keys the table lacks; the first writer of a key wins.
 
-    A batch writes its own folder and overwrites it when it is run again, and looks for
-    known keys in the other folders only, so a restart repeats nothing and loses nothing.
-    Each batch leaves a row of counts (batch, seen, selected, inserted) at ``path``_progress.
+    The table is kept in buckets of its keys, so a batch is dealt to them and the table isn't dealt at all.  A batch that is run again finds its
+    own keys there and adds nothing, so a restart repeats nothing and loses nothing.
+    Each batch leaves a row of counts (batch, seen, selected, inserted) at ``path``_progress, the first time that it is through.
     """
+    table = KeyedTable(stream.sparkSession, path, stream.schema, keys, buckets)
 
     def commit(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        batch = batch.persist()  # counted and written
-        rows = first_per_key(batch, [F.col(k) for k in keys], order)
-        chosen = rows
-        if exists(spark, path):
-            known = spark.read.schema(f"{batch.schema.simpleString()[7:-1].replace(':', ' ')}, batch long").parquet(path).filter(F.col("batch") != number)
-            rows = rows.join(known.select(*keys).distinct(), keys, "left_anti").select(*batch.columns)
-        rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
-        inserted = spark.read.schema(batch.schema).parquet(f"{path}/batch={number}").agg(F.count("*").alias("inserted"))
-        counts = batch.agg(F.count("*").alias("seen")).join(chosen.agg(F.count("*").alias("selected"))).join(inserted)  # a row each
-        counts.coalesce(1).write.mode("overwrite").parquet(f"{path}_progress/batch={number}")
-        batch.unpersist()
+        told = Observation()
+        seen = batch.observe(told, F.count(F.lit(1)).alias("seen"))
+        selected, inserted = table.insert_first(seen, order)
+        counts = batch.sparkSession.createDataFrame([(told.get["seen"], selected, inserted)], "seen long, selected long, inserted long")
+        if not exists(batch.sparkSession, f"{path}_progress/batch={number}/_SUCCESS"):
+            counts.coalesce(1).write.mode("overwrite").parquet(f"{path}_progress/batch={number}")
 
     return stream.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -50,26 +45,6 @@ def token_windows(stream: DataFrame, tokens: Column, length: int, *keys: str) ->
     return stream.withColumn("__t", tokens.cast("array<string>")).select(*keys, F.posexplode(runs).alias("at", "tokens"))
 
 
-def first_of_each(stream: DataFrame, key: str, order: str, n: int, path: str, checkpoint: str) -> StreamingQuery:
-    """The first ``n`` rows of each key in order of arrival, then ``order``; a key whose quota is full takes no more.
-
-    State is the table itself: a batch counts what the others have written of each key.
-    """
-
-    def commit(batch: DataFrame, number: int) -> None:
-        from pyspark.sql import Window
-
-        spark = batch.sparkSession
-        ranked = batch.withColumn("__rn", F.row_number().over(Window.partitionBy(key).orderBy(order))).filter(F.col("__rn") <= n)
-        if exists(spark, path):
-            held = spark.read.schema(f"{batch.schema.simpleString()[7:-1].replace(':', ' ')}, batch long").parquet(path).filter(F.col("batch") != number)
-            full = held.groupBy(key).agg(F.count("*").alias("__held"))
-            ranked = ranked.join(full, key, "left").filter(F.col("__rn") + F.coalesce("__held", F.lit(0)) <= n)
-        ranked.select(*batch.columns).write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    return stream.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 def progress(spark: SparkSession, path: str) -> DataFrame:
     """(batch, seen, selected, inserted) of the batches of ``ingest``."""
     return spark.read.schema("seen long, selected long, inserted long, batch long").parquet(f"{path}_progress")

@@ -9,7 +9,7 @@ from tessera.functions import repair as R
 from tessera.operators import mix as M
 from tessera.operators import order as O
 from tessera.sources import scan, sinks
-from tessera.streaming import ingest
+from tessera.streaming import ingest, stateful
 
 
 def test_violations_by_import_call_and_attribute():
@@ -71,14 +71,13 @@ def test_appends_keep_the_first(spark, tmp_path):
     sinks.append_new(rows, rows.filter("k = 2"), f"{tmp_path}/new", ["k"], ["v"])
     assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/new").collect()), key=str) == [(1, "a"), (3, None)]
     assert [sinks.append_hashed(rows.unionByName(rows), f"{tmp_path}/hashed") for _ in range(2)] == [4, 0]
-    assert sinks.insert_valid(rows, f"{tmp_path}/valid", F.col("v") > "a")[0] == 2
 
 
 def test_quota_of_a_stream(spark, tmp_path):
     source, out = f"{tmp_path}/in", f"{tmp_path}/out"
     for part in ([("a", 1), ("a", 2), ("b", 1)], [("a", 0), ("b", 5), ("b", 4)]):
         spark.createDataFrame(part, "k string, n int").coalesce(1).write.mode("append").parquet(source)
-        ingest.first_of_each(spark.readStream.schema("k string, n int").parquet(source), "k", "n", 2, out, f"{tmp_path}/mark").awaitTermination()
+        stateful.quota(spark.readStream.schema("k string, n int").parquet(source), "k", "n", 2, out, f"{tmp_path}/mark").awaitTermination()
     assert sorted((r.k, r.n) for r in spark.read.parquet(out).collect()) == [("a", 1), ("a", 2), ("b", 1), ("b", 4)]
 
 

@@ -1,5 +1,7 @@
 import bz2
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import code
@@ -52,3 +54,42 @@ def test_python_source(spark):
     assert [r.p for r in rows] == [True, True, False]
     assert [r.v for r in rows] == [[], ["call eval"], ["syntax error"]]
     assert [(f.qualname, f.body_lines) for f in rows[0].f] == [("A.f", 5)]
+
+
+@pytest.fixture
+def small_splits(spark):
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    yield
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def lines_of(n, seed=1):
+    rng = random.Random(seed)
+    return [rng.choice(['{"a": %d}' % i, "", "{broken", "x" * rng.randint(0, 300)]) for i in range(n)]
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_lines_of_one_large_file_are_numbered_in_many_tasks(spark, tmp_path, small_splits, packed):
+    one, two = lines_of(900), lines_of(70, 2)
+    if packed:  # many streams one after the other
+        (tmp_path / "a.txt.bz2").write_bytes(b"".join(bz2.compress(("\n".join(one[i : i + 90]) + "\n").encode()) for i in range(0, 900, 90)))
+    else:
+        (tmp_path / "a.txt").write_text("\n".join(one))
+    (tmp_path / "b.txt").write_text("\n".join(two) + "\n")
+    got = scan.numbered_lines(spark, str(tmp_path))
+    assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > (2 if packed else 8)
+    assert sorted((r.file.rsplit("/", 1)[1][0], r.line, r.text) for r in got.collect()) == [("a", i, t) for i, t in enumerate(one, 1)] + [("b", i, t) for i, t in enumerate(two, 1)]
+    bad = scan.json_line_faults(spark, str(tmp_path))
+    fits = lambda t: t == "" or t.startswith('{"a"')
+    assert sorted((r.file.rsplit("/", 1)[1][0], r.line) for r in bad.collect()) == [("a", i) for i, t in enumerate(one, 1) if not fits(t)] + [("b", i) for i, t in enumerate(two, 1) if not fits(t)]
+
+
+@pytest.mark.parametrize("kind", ["parquet", "json"])
+def test_a_slice_reads_the_files_that_it_needs(spark, tmp_path, kind):
+    frame = spark.range(1000).select("id", F.concat(F.lit("t"), "id").alias("t"))
+    getattr(frame.repartitionByRange(20, "id").sortWithinPartitions("id").write, kind)(f"{tmp_path}/d")
+    for n in (0, 1, 60, 77, 5000):
+        got = scan.first_rows(spark, f"{tmp_path}/d", n)
+        assert sorted((r.id, r.t) for r in got.collect()) == [(i, f"t{i}") for i in range(min(n, 1000))]
+    assert len(scan.first_rows(spark, f"{tmp_path}/d", 77).inputFiles()) <= 4
