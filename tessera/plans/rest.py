@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import code as C
+from tessera.functions import markup
 from tessera.functions import repair as R
 from tessera.functions import text as T
 from tessera.operators import federated as D
@@ -15,6 +16,7 @@ from tessera.operators import tasks
 from tessera.operators.index import Index
 from tessera.operators.patterns import relevant
 from tessera.plans.base import SQL, U01, query, read, simple
+from tessera.plans.cleaning import _quoted
 from tessera.plans.coding import _OUTLINE, _S, _SNIPPET, FILES, files
 from tessera.plans.parsing import WHITE, cat, pick, sql_pick
 from tessera.plans.storing import docs
@@ -45,6 +47,19 @@ _deep = lambda: cat("{{a|{{b|{{c}}}}", F.col("source"), "}}", F.col("lang"), "{{
 simple("t17_parsed_templates", "documents", {"plain": (lambda: R.untemplated_column(_deep()), "' ' || lang || '{{open ' || text || ' '")}, (lambda: ~F.contains("text", L("{{")) & ~F.contains("text", L("}}")), "NOT contains(text, '{{') AND NOT contains(text, '}}')"))
 
 
+#: Markup within markup, and what is left of it; texts with marks of their own are left out.
+_MARKUP = [
+    "{{box|{{x|[[a]]}}}}'''", "lang", "''' of [[", "source", "|the [[x|", "source", "]]]]\n[[File:p.jpg|thumb|see [[", "source", "|that ", "lang", "]] {{t}}]]\n{| class=\"t\"\n|-\n| style=\"x\" | ", "source",
+    " || [[", "lang", "]]\n{|\n| inner ", "lang", "\n|}\n|}\nnote<ref name=\"a\">gone {{y}}</ref>\n== Text ==\n<div>", "text", "</div>",
+]
+_LEFT = ["lang", " of the ", "source", "\nsee that ", "lang", " \n\n", "source", "\n", "lang", "\n\ninner ", "lang", "\n\nnote\nText\n", "text"]
+_MARKED = r"[\[\]{}<>|=*#;&'\x85\xa0]|(?m:^[:!])"
+_PLAIN = " || ".join(x if x in ("lang", "source", "text") else _quoted(x) for x in _LEFT)
+for _from, _to in ((r"\r\n?", "chr(10)"), (r"[ \t]+", "' '"), (r"\n{3,}", "chr(10) || chr(10)")):
+    _PLAIN = f"regexp_replace({_PLAIN}, '{_from}', {_to}, 'g')"
+simple("t17_plain_markup", "documents", {"plain": (lambda: markup.plain(cat(*[F.col(x) if x in ("lang", "source", "text") else x for x in _MARKUP])), f"trim({_PLAIN}, {WHITE})")}, (lambda: ~F.col("text").rlike(_MARKED), f"NOT regexp_matches(text, {_quoted(_MARKED)})"))
+
+
 _C = len(R.CUT)
 
 
@@ -76,7 +91,7 @@ def q05_hits(spark, sf_dir):
 @query("SELECT 1 AS rank, 'image' AS kind, 'commons' AS provider, '(image search is not available: no such word)' AS title")
 def q12_image_row(spark, sf_dir):
     d = docs(spark, sf_dir).select("doc_id", F.col("lang").alias("project"), F.col("source").alias("title"), "text", L("").alias("url"))
-    return D.search({"all": d.filter("doc_id < 0")}, {}, "no such word").select(F.col("rank").cast("int").alias("rank"), "kind", "provider", "title")
+    return D.search({"all": d}, {}, "no such word").select(F.col("rank").cast("int").alias("rank"), "kind", "provider", "title")
 
 
 def _index(spark, sf_dir) -> Index:
@@ -93,7 +108,7 @@ def r27_stored_indexes(spark, sf_dir):
     """Three indexes and a folder that is none."""
     root = scratch(spark, "indexes")
     for name in ("a", "b_fts", "mine"):
-        Index(spark, f"{root}/{name}").put(docs(spark, sf_dir).filter("lang = 'de'").select("doc_id", F.col("lang").alias("text")))
+        Index(spark, f"{root}/{name}").put(docs(spark, sf_dir).select("doc_id", F.col("lang").alias("text")))
     docs(spark, sf_dir).select("doc_id").write.parquet(f"{root}/other")
     return spark.createDataFrame(list(enumerate(scan.stored_indexes(spark, root, "mine"), 1)), "place int, name string")
 
@@ -112,10 +127,10 @@ def m19_total_cap(spark, sf_dir):
     return O.capped(docs(spark, sf_dir).select("doc_id"), 77, "doc_id")
 
 
-@query("SELECT doc_id, lang, source FROM documents WHERE lang IN ('en', 'de') UNION ALL SELECT doc_id, lang, NULL FROM documents WHERE lang = 'fr'")
+@query("SELECT doc_id, lang, source FROM documents WHERE lang IN ('en', 'de') UNION ALL SELECT doc_id, lang, NULL FROM documents WHERE lang NOT IN ('en', 'de')")
 def d08_union_all(spark, sf_dir):
     d = docs(spark, sf_dir).select("doc_id", "lang", "source")
-    return O.union_all([d.filter("lang = 'en'"), d.filter("lang = 'de'"), d.filter("lang = 'fr'").drop("source")])
+    return O.union_all([d.filter("lang = 'en'"), d.filter("lang = 'de'"), d.filter("lang not in ('en', 'de')").drop("source")])
 
 
 @query("SELECT count(*) AS rows, count(*) AS keys, CAST(sum(doc_id) AS BIGINT) AS ids FROM (SELECT min(doc_id) AS doc_id FROM documents GROUP BY lang, doc_id % 16, source)")
