@@ -6,15 +6,17 @@ fit the driver and the tasks.  Each vector is represented by the order of its
 part holds for each pivot an inverted file of the vectors that have it in their prefix, and at
 which place.  A query reads the files of its own prefix only and adds up the footrule
 distance to each vector (displacements of the pivots in both prefixes, a missing pivot
-standing behind the last).  The nearest ``RERANK`` vectors of the part by footrule, ties to
+standing behind the last).  The nearest vectors of the part by footrule, ties to
 the smaller id, are scored by exact cosine in double precision, and each part gives its best.
+How many are scored is fitted when the index is built: ``FIT_QUERIES`` vectors of each of the first ``FIT_PARTS`` parts are asked
+against their own part, and as many are scored as bring in ``FOUND`` of their true neighbours there, ``RERANK`` at least; ``rerank`` tells how many.
 
 Every row is indexed.  The given queries go to all parts in blocks, so a task holds
 one block and one part.  Equal vectors are one entry, which carries the smallest ids of
 its copies, as many as a query may need; thousands of copies cost one candidate.
 What the footrule ranks behind the reranked ones is given up; that is what the index
-approximates.  Recall depends on ``RERANK`` over ``PART``, the prefix and the pivots, not on
-the number of rows; the tests measure it against brute force (``exact``).
+approximates.  A part's best are no nearer than those of all, so the share found there is not above that of all parts, and
+doesn't hang on the number of rows; the tests measure it against brute force (``exact``).
 
 Null, zero and non-finite vectors and vectors of another length than most pivots take
 no part; nor do rows with a null id.  Repeated rows count once; rows of one id with different
@@ -25,6 +27,8 @@ matter.  An empty table gives an empty table.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -33,8 +37,8 @@ from pyspark.sql import functions as F
 from .shared import stored
 
 PIVOTS, PREFIX, RERANK, PART = 512, 64, 256, 4096
-#: Queries of a block.
-BLOCK = 4096
+#: Queries of a block; queries and parts by which the share is fitted, and the neighbours that it is to bring in.
+BLOCK, FIT_QUERIES, FIT_PARTS, FOUND = 4096, 64, 2, 0.95
 
 #: A packed part or block: ids of its rows (copies' ids of each), vectors over their norms, and the
 #: files (of a part: by pivot, their ends, rows and places) or the prefixes (of a block).
@@ -93,7 +97,7 @@ class Files:
 class PermutationIndex:
     """``index``, the stored parts, and what a search needs besides."""
 
-    def __init__(self, vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", k: int = 5, pivots: int = PIVOTS, prefix: int = PREFIX, rerank: int = RERANK):
+    def __init__(self, vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", k: int = 5, pivots: int = PIVOTS, prefix: int = PREFIX, rerank: int | None = None):
         spark = vectors.sparkSession
         self.spark, self.k = spark, k
         classes = stored(_classes(usable(vectors, vec_id, vector), k + 1), "vectors")
@@ -102,9 +106,34 @@ class PermutationIndex:
         self.dim = max((len(r.vector) for r in chosen), key=[len(r.vector) for r in chosen].count, default=0)
         self.pivot = _unit(np.array([r.vector for r in chosen if len(r.vector) == self.dim])) if chosen else np.zeros((0, 1))
         self.pivots = len(self.pivot)
-        self.prefix, self.rerank = min(prefix, self.pivots), rerank
+        self.prefix = min(prefix, self.pivots)
         self.parts = n // PART + 1
         self.index = stored(self._packed(classes, self.parts, True), "index") if n else None
+        #: Vectors of a part that are scored for a query.
+        self.rerank = rerank if rerank is not None else max(RERANK, self._fitted()) if n else RERANK
+
+    def _fitted(self) -> int:
+        """The footrule rank within their part that ``FOUND`` of the nearest neighbours of a few vectors don't exceed."""
+        pivot, length, dim, k = self.pivot, self.prefix, self.dim, self.k
+
+        def ranks(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in parts:
+                for p in frame.itertuples():
+                    unit = np.frombuffer(p.unit).reshape(-1, dim)
+                    files = Files(len(unit), length, np.frombuffer(p.start, np.int64), np.frombuffer(p.row, np.int32), np.frombuffer(p.place, np.int32))
+                    asked = np.unique(np.linspace(0, len(unit) - 1, FIT_QUERIES).astype(int))
+                    out = []
+                    for own, prefix in zip(asked.tolist(), prefixes(unit[asked], pivot, length), strict=True):
+                        score = unit @ unit[own]
+                        score[own] = -np.inf
+                        best = np.argsort(-score, kind="stable")[: min(k, len(unit) - 1)]
+                        far = files.footrule(prefix) * len(unit) + np.arange(len(unit))
+                        out += (np.searchsorted(np.sort(far), far[best]) + 1).tolist()
+                    yield pd.DataFrame({"rank": np.array(out, np.int64)})
+
+        few = self.index.filter(F.col("number") < FIT_PARTS).mapInPandas(ranks, "rank long")
+        told = sorted(r["rank"] for r in few.collect())  # FIT_PARTS * FIT_QUERIES * k at most
+        return told[min(len(told) - 1, int(FOUND * len(told)))] if told else 0
 
     def _packed(self, rows: DataFrame, number: int, files: bool) -> DataFrame:
         """(id, copies, vector) dealt by hash into ``number`` parts or blocks, each packed into a row."""

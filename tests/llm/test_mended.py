@@ -4,11 +4,12 @@ import json
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import bpe, mixing, quality, shared, simhash, substring, toolcalls, toxicity
+from tessera.llm import ann, bpe, mixing, quality, shared, simhash, substring, toolcalls, toxicity
 from tessera.llm.lines import LineIndex
 
 from test_operators import SCHEMA, VOCABULARY, docs
@@ -107,3 +108,21 @@ def test_one_of_equal_rows(spark):
     maps = frame.select(F.when(F.col("b").isNull(), F.create_map(F.lit("p"), F.lit(1), F.lit("q"), F.lit(2))).otherwise(F.create_map(F.lit("q"), F.lit(2), F.lit("p"), F.lit(1))).alias("m"))
     rows, row = shared.keyed(maps)
     assert shared.one_of_equal(rows, row).count() == 1
+
+
+@pytest.mark.parametrize("dim", [64, 128, 300])
+def test_full_parts_are_searched_well_enough_in_any_dimension(spark, dim):
+    """Random vectors, the hardest there are: the share that is scored follows from a sample of the index."""
+    rng = np.random.default_rng(dim)
+    m = rng.normal(size=(4095, dim)).astype(np.float32)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id long, embedding array<float>")
+    index, queries = ann.PermutationIndex(frame), frame.filter("vec_id % 50 = 0")
+    assert index.parts == 1 and ann.RERANK <= index.rerank < 4095
+    assert ann.recall(index.search(queries), index.search(queries, exact=True)) >= 0.9
+    print(dim, index.rerank)
+
+
+def test_fitting_small_and_empty_indexes(spark):
+    frame = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(3)], "vec_id long, embedding array<double>")
+    assert ann.PermutationIndex(frame).rerank == ann.RERANK
+    assert ann.PermutationIndex(frame.limit(1)).rerank == ann.RERANK and ann.PermutationIndex(frame.limit(0)).rerank == ann.RERANK
