@@ -86,13 +86,13 @@ def percentiles(df: DataFrame, groups: list[str], value: Column, ps: dict[str, f
     """A row a group: ``groups``, n (values) and, for each name of ``ps``, the percentile of its share (0 to 1), interpolated."""
     named = [f"g{i}" for i in range(len(groups))]
     rows = df.select(*[F.col(g).alias(n) for g, n in zip(groups, named, strict=True)], value.cast("double").alias("v"))
-    sizes = stored(rows.groupBy(*named).agg(F.count("v").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"), F.kll_sketch_agg_double("v").alias("sketch")), "sizes")
     back = [F.col(n).alias(g) for g, n in zip(groups, named, strict=True)]
-    large = sizes.filter(F.col("n") > held)
     few = lambda d: d.groupBy(*named).agg(F.count("v").alias("n"), *[F.percentile("v", F.lit(p)).alias(name) for name, p in ps.items()])
-    if large.isEmpty():
+    if (rows.groupBy(*named).agg(F.count("v").alias("n")).agg(F.max("n")).first()[0] or 0) <= held:
         return few(rows).select(*back, "n", *ps)
     rows = stored(rows, "values")
+    sizes = stored(rows.groupBy(*named).agg(F.count("v").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"), F.kll_sketch_agg_double("v").alias("sketch")), "sizes")
+    large = sizes.filter(F.col("n") > held)
     at = {name: F.lit(float(p)) * (F.col("n") - 1) for name, p in ps.items()}
     ranks = F.array_distinct(F.array(*[f(x).cast("long") for x in at.values() for f in (F.floor, F.ceil)]))
     state = large.select(*named, F.explode(ranks).alias("rank"), F.lit(0).cast("long").alias("below"), F.col("n").alias("inside"), "low", "high", "sketch")

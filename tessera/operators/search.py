@@ -11,7 +11,7 @@ import re
 import unicodedata
 from dataclasses import dataclass
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
@@ -372,7 +372,13 @@ def search(docs: DataFrame, query: str, k: int = 10, key: str = "doc_id", fields
     """
     tree = parse(query)
     kept = is_needed(tree)
-    rows = cut(docs, key, fields).select(key, "dl", F.filter(placed(cut_fields(len(fields))), lambda h: kept(h["term"])).alias("hits"))
+    each = cut_fields(len(fields))
+    hits = F.filter(placed(each), lambda h: kept(h["term"]))
+    whole, begun = needed(tree)
+    if whole and not begun:  # places are made only where a word stands at all
+        words = F.array(*map(F.lit, sorted(whole)))
+        hits = F.when(reduce(or_, [F.arrays_overlap(t, words) for t in each]), hits).otherwise(F.array().cast("array<struct<at:bigint,term:string>>"))
+    rows = cut(docs, key, fields).select(key, "dl", hits.alias("hits"))
     matching, idfs, avgdl = counted(evaluated(rows, key, tree, fields), key, tree)
     return best(matching, key, idfs, avgdl, k)
 
