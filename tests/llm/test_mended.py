@@ -126,3 +126,23 @@ def test_fitting_small_and_empty_indexes(spark):
     frame = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(3)], "vec_id long, embedding array<double>")
     assert ann.PermutationIndex(frame).rerank == ann.RERANK
     assert ann.PermutationIndex(frame.limit(1)).rerank == ann.RERANK and ann.PermutationIndex(frame.limit(0)).rerank == ann.RERANK
+
+
+def test_scores_worked_out_a_second_way(spark):
+    """The given tables' labels train the model; each score is then the highest mean of table rows over three words, by plain sums."""
+    from tessera.llm import queries
+
+    folder = "/root/testdata/sf0.001"
+    model = queries.toxicity_model(spark, folder)
+    texts = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").limit(60).collect() + spark.createDataFrame([(-1, None), (-2, " \n"), (-3, "one"), (-4, "a b c d")], "doc_id long, text string").collect()
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r.doc_id: (r.score, r.predicted) for r in toxicity.score(frame, model).collect()}
+    for doc_id, text in texts:
+        words = (text or "").lower().split()
+        logits = []
+        for at in range(0, len(words), toxicity.PASSAGE):
+            rows = [x for w in words[at : at + toxicity.PASSAGE] for x in toxicity.features(w)]
+            logits.append(sum(model.weight[i] for i in rows) / len(rows) + model.bias)
+        want = 1 / (1 + np.exp(-(max(logits, default=model.bias) - model.zero)))
+        want = want if words else min(0.49, want)
+        assert got[doc_id][0] == pytest.approx(want, abs=1e-9) and got[doc_id][1] == int(got[doc_id][0] >= 0.5)
