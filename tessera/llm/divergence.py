@@ -38,7 +38,7 @@ from .shared import stored
 
 LEAST, SCALE, ADDED = 10, 10**9, 2
 #: Groups of a block, terms of a chunk on average, and (group, term) entries that a counting task holds at most, about.
-BLOCK, CHUNK, HELD = 8, 1 << 14, 1 << 18
+BLOCK, CHUNK, HELD = 8, 1 << 11, 1 << 18
 TOP = 10
 
 #: Bytes of terms: A-Z lower-cased, a-z, and all from 0x80 on; every other one is a space.
