@@ -93,3 +93,82 @@ def test_outline_and_errors(spark):
     assert ">>   17 |" in prompt and "x.py" not in prompt.split("Outline")[1]
     got = files(spark).select(C.outline("content").alias("o"), C.error_context("content", "path").alias("e")).collect()
     assert len(got) == 5
+
+
+ODD = '''"""A module.
+
+def not_a_function(): in its text
+"""
+from functools import (
+    lru_cache,
+    wraps,
+)
+
+
+def outer(a,
+          b=(1,
+             2)):
+    # a comment before the first statement
+    text = """def inner():
+    not code
+"""
+
+    @wraps(a)
+    def inner(*args):
+        return a(*args)
+
+    return inner, text
+
+
+@lru_cache(
+    maxsize=None,
+)
+async def fetch(url: str, *, tries: int = 3) -> "bytes":
+    \'\'\'Fetch the address again and again until it
+    answers, at most as often as told.\'\'\'
+    for i in range(tries):
+        if url:
+            return b"" + \\
+                b"x"
+    async def again():
+        return await fetch(url)
+    return await again()
+
+
+class Tabs(dict):
+\t@staticmethod
+\tdef many(x):
+\t\t"""One line of nine words that tells what happens."""
+\t\ty = x
+\t\tz = [
+\t\t\ty,
+\t\t]
+\t\tif z:
+\t\t\treturn z
+\t\treturn None
+'''
+
+
+def test_tasks_of_odd_grammar(spark):
+    """Decorated, nested, async and tabbed functions, signatures and strings over several lines."""
+    files_ = spark.createDataFrame([("odd.py", "s", ODD)], "path string, source string, content string")
+    found = {f["qualname"]: f for f in C.functions_of(ODD)}
+    assert set(found) == {"outer", "fetch", "Tabs.many"}
+    lines = ODD.split("\n")
+    whole = {n: "\n".join(lines[f["start_line"] - 1 : f["end_line"]]) for n, f in found.items()}
+    assert whole["fetch"].startswith("@lru_cache(\n    maxsize") and whole["Tabs.many"].startswith("\t@staticmethod")
+    rows = K.skeletons(files_, 9).collect()
+    assert sorted(bodies(rows)) == sorted(whole.values())
+    for r in K.partial_files(files_, 20).collect():
+        shown = r.user.split("```python\n", 1)[1].split("\n```", 1)[0]
+        assert "raise NotImplementedError" in shown and ast.parse(shown) and len(C.functions_of(shown, 1)) >= 2
+    assert {r.assistant.split("\n")[1].split()[0] for r in K.docstrings(files_, 9).collect()} == {"Fetch", "One"}
+    for r, bare in zip(rows := K.docstrings(files_, 9).collect(), [r.user.split("```python\n", 1)[1].rsplit("\n```", 1)[0] for r in rows], strict=True):
+        assert "nine words" not in bare and "again and again" not in bare
+    cut = K.completions(files_, 9).collect()
+    for r in cut:
+        head = r.user.split("```python\n", 1)[1].rsplit("\n```", 1)[0]
+        assert head + "\n" + r.assistant.split("```python\n", 1)[1].rsplit("\n```", 1)[0] in set(whole.values())
+    assert [d["name"] for d in C.definitions_of(ODD)] == ["outer", "fetch", "Tabs"]
+    assert "async def fetch(url: str, *, tries: int=3) -> 'bytes'" == C.definitions_of(ODD)[1]["signature"]
+    assert C.violations_of(ODD) == [] and C.valid_code_text_of("```python\n" + ODD + "```")
