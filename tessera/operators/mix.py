@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import shuffle_key, unit
+from tessera.sources.scratch import stored
 
 
 #: Rows of a slot on average, about; a table of n rows is numbered in n / SLOT tasks.
@@ -39,18 +40,19 @@ def numbered(df: DataFrame, groups: list[str], seed: str, *keys: str, to: str =
 
 
 def running(df: DataFrame, group: str, order: str, value: Column, to: str) -> DataFrame:
-    """``df`` with the sum of ``value`` over the rows of its group that stand before it by ``order``, a whole number.
+    """``df`` with the sum of ``value`` over the rows of its group that stand before it by ``order``.
 
-    The order's range is cut into slots of about ``SLOT`` rows, which are summed up apart; a slot starts at what those before it hold.
+    Rows are dealt by ranges of (group, order) into slots of about ``SLOT`` rows, however unevenly the order's values lie, which are summed up
+    apart; a slot starts at what those before it hold.  Equal places of a group are summed in no particular order.
     """
-    n, low, high = df.agg(F.count(order), F.min(order), F.max(order)).first()
-    width = max(1, (high - low + 1) * SLOT // n) if n else 1
-    rows = df.withColumn("__v", value).withColumn("__slot", F.floor((F.col(order) - F.lit(low or 0)) / width))
+    parts = max(1, df.count() // SLOT + 1)
+    # Written, since the ranges' bounds come from a sample and must not change.
+    rows = stored(df.withColumn("__v", value).repartitionByRange(parts, group, order).withColumn("__slot", F.spark_partition_id()), "slots")
     slots = rows.groupBy(F.col(group).alias("__g"), F.col("__slot").alias("__s")).agg(F.sum("__v").alias("__n"))
     before = Window.partitionBy("__g").orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)  # a row a slot
     base = slots.select("__g", "__s", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
     inside = F.sum("__v").over(Window.partitionBy(group, "__slot").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
-    out = rows.withColumn("__in", F.coalesce(inside, F.lit(0))).join(base, F.col(group).eqNullSafe(F.col("__g")) & F.col("__slot").eqNullSafe(F.col("__s")))
+    out = rows.withColumn("__in", F.coalesce(inside, F.lit(0))).join(base, F.col(group).eqNullSafe(F.col("__g")) & (F.col("__slot") == F.col("__s")))
     return out.select(*df.columns, (F.col("__base") + F.col("__in")).alias(to))
 
 

@@ -68,9 +68,8 @@ def r04_configured_projects(spark, sf_dir):
 
 @query("SELECT DISTINCT lang || 'wiki' AS project, '/d/' || lang || 'wiki/' || lang || 'wiki-latest-pages-articles.xml.bz2' AS dump, '/i/' || lang || 'wiki_fts' AS index FROM documents")
 def r05_projects_by_name(spark, sf_dir):
-    names = sorted(r[0] + "wiki" for r in docs(spark, sf_dir).select("lang").distinct().collect())
-    made = scan.projects_of(names, "/d", "/i", {n: "https://x" for n in names})
-    return spark.createDataFrame([(p.project, p.dump, p.index) for p in made], "project string, dump string, index string")
+    names = docs(spark, sf_dir).select(cat(F.col("lang"), "wiki").alias("project")).distinct()
+    return names.select("project", scan.places_of(F.col("project"), "/d", "/i").alias("at")).select("project", "at.*")
 
 
 @query("SELECT doc_id, source AS item, CASE doc_id % 4 WHEN 0 THEN 'blob' WHEN 1 THEN 'tree' WHEN 2 THEN 'raw' ELSE 'path' END AS kind FROM documents")
@@ -196,12 +195,17 @@ def r28_repositories(spark, sf_dir):
     return scan.repositories(spark, path)
 
 
-#: The tables' columns, as the report has them.
-@query("""SELECT 'labels' AS "table", CAST(i AS BIGINT) AS position, c AS "column", t AS type FROM (SELECT unnest([0, 1, 2]) AS i, unnest(['doc_id', 'quality', 'toxic']) AS c, unnest(['bigint', 'bigint', 'bigint']) AS t) UNION ALL SELECT 'none', 0, 'missing', '' """)
+_COLUMNS = {"documents": {"doc_id": "bigint", "lang": "string", "source": "string", "text": "string"}, "labels": {"doc_id": "bigint", "quality": "bigint", "toxic": "bigint"}}
+_NAMED = "nullif(source, 'src1')"
+_COUNTED = " UNION ALL ".join(f"SELECT '{t}' AS \"table\", {i} AS position, '{c}' AS \"column\", '{k}' AS type, count(*) AS n_rows, count({c if c != 'source' else _NAMED}) AS n_filled FROM {t}" for t, cs in _COLUMNS.items() for i, (c, k) in enumerate(cs.items()))
+
+
+@query(f"SELECT \"table\", CAST(position AS BIGINT) AS position, \"column\", type, n_rows, n_filled FROM ({_COUNTED}) UNION ALL SELECT 'none', 0, 'missing', '', NULL, NULL")
 def r26_schema_report(spark, sf_dir):
-    table = read(spark, sf_dir, "labels")
-    rows, missing = scan.schema_report({"labels": table.select(*[F.col(c).cast("long").alias(c) for c in table.columns])}, ("labels", "none"))
-    return spark.createDataFrame([(t, i, c, k) for t, i, c, k in rows] + [(t, 0, "missing", "") for t in missing], "table string, position long, column string, type string")
+    """Columns of two tables and of one that isn't there, with the rows that fill them; one source is made null."""
+    tables = {t: read(spark, sf_dir, t).select(*[F.col(c).cast(k).alias(c) for c, k in cs.items()]) for t, cs in _COLUMNS.items()}
+    tables["documents"] = tables["documents"].withColumn("source", F.nullif("source", L("src1")))
+    return scan.schema_report(spark, tables, ("labels", "none"))
 
 
 @query("""SELECT 't.' || source || ': ' || CASE WHEN length(text) > 400 THEN substr(text, 1, 400) || '...' ELSE text END AS line FROM documents""")

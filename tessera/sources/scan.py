@@ -52,6 +52,12 @@ def projects_of(names: list[str], dumps: str, indexes: str, base_urls: dict[str,
     return [project_of({"project": n, "dump_path": f"{dumps}/{n}/{n}-latest-pages-articles.xml.bz2", "db_path": f"{indexes}/{n}_fts", "namespaces": spaces}, base_urls) for n in names]
 
 
+def places_of(name: Column, dumps: str, indexes: str) -> Column:
+    """Dump and index of projects by name alone, as ``projects_of`` has them."""
+    dump = F.concat(F.lit(f"{dumps}/"), name, F.lit("/"), name, F.lit("-latest-pages-articles.xml.bz2"))
+    return F.struct(dump.alias("dump"), F.concat(F.lit(f"{indexes}/"), name, F.lit("_fts")).alias("index"))
+
+
 def configured(spark: SparkSession, path: str) -> DataFrame:
     """The projects of JSON files, as they are given: (project, dump_path, db_path, base_url, namespaces, mode)."""
     item = "struct<project: string, dump_path: string, db_path: string, base_url: string, namespaces: array<int>, mode: string>"
@@ -218,10 +224,15 @@ def skills(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def schema_report(tables: dict[str, DataFrame], expected: tuple[str, ...] = ()) -> tuple[list[tuple], list[str]]:
-    """(table, position, column, type) of each column, and the expected tables that are missing."""
-    rows = [(t, i, f.name, f.dataType.simpleString()) for t, df in sorted(tables.items()) for i, f in enumerate(df.schema)]
-    return rows, [t for t in expected if t not in tables]
+def schema_report(spark: SparkSession, tables: dict[str, DataFrame], expected: tuple[str, ...] = ()) -> DataFrame:
+    """(table, position, column, type, n_rows, n_filled) of each column, each table read once; an expected table that isn't there has one row, of column ``missing``."""
+    kinds = "table string, position long, column string, type string, n_rows long, n_filled long"
+    out = spark.createDataFrame([(t, 0, "missing", "", None, None) for t in expected if t not in tables], kinds)
+    for t, df in sorted(tables.items()):
+        counts = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(df.columns)])
+        told = [F.struct(F.lit(t).alias("table"), F.lit(i).cast("long").alias("position"), F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("type"), F.col("n").alias("n_rows"), F.col(f"n{i}").alias("n_filled")) for i, f in enumerate(df.schema)]
+        out = out.unionAll(counts.select(F.inline(F.array(*told))))
+    return out
 
 
 def report_lines(df: DataFrame, most: int = 400) -> DataFrame:
