@@ -17,8 +17,15 @@ DUMP = "title STRING, ns STRING, revision ARRAY<STRUCT<timestamp: STRING, text:
 
 
 def wiki_pages(spark: SparkSession, path: str) -> DataFrame:
-    """(title, ns, ts, wikitext) of a dump, plain or compressed; the last revision counts, a bad ns is -1."""
-    raw = spark.read.format("xml").option("rowTag", "page").option("ignoreSurroundingSpaces", "false").schema(DUMP).load(path)
+    """(title, ns, ts, wikitext) of a dump, plain or compressed; the last revision counts, a bad ns is -1.
+
+    A record ends with its page, so a large dump is read in splits, also one of many bz2 streams; each page is parsed by itself.  The end of
+    a page can't stand in a text, where it is escaped.
+    """
+    ends = spark.read.option("lineSep", "</page>").text(path)
+    pages = ends.select(F.regexp_extract("value", r"(?s)(<page[\s>].*)", 1).alias("page")).filter("page <> ''")
+    options = {"ignoreSurroundingSpaces": "false", "rowTag": "page"}
+    raw = pages.select(F.from_xml(F.concat("page", F.lit("</page>")), DUMP, options).alias("p")).select("p.*")
     last = F.element_at("revision", -1)
     return raw.select(F.trim("title").alias("title"), F.coalesce(F.trim("ns").try_cast("int"), F.lit(-1)).alias("ns"), F.trim(last["timestamp"]).alias("ts"), F.coalesce(last["text"]["_VALUE"], F.lit("")).alias("wikitext"))
 

@@ -97,8 +97,7 @@ def rows(d):
     return [(r.doc_id, round(r.score, 9)) for r in d.collect()]
 
 
-@pytest.mark.parametrize("query", QUERIES)
-@pytest.mark.parametrize("k", [1, 10])
+@pytest.mark.parametrize("query, k", [(q, 10) for q in QUERIES] + [("fox", 1), ("the OR fox", 1), ("the NOT of", 1)])
 def test_pruned_search_equals_full_scoring(large, query, k):
     frame, index = large
     assert rows(index.search(query, k)) == rows(S.search(frame, query, k))

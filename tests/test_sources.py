@@ -93,3 +93,19 @@ def test_a_slice_reads_the_files_that_it_needs(spark, tmp_path, kind):
         got = scan.first_rows(spark, f"{tmp_path}/d", n)
         assert sorted((r.id, r.t) for r in got.collect()) == [(i, f"t{i}") for i in range(min(n, 1000))]
     assert len(scan.first_rows(spark, f"{tmp_path}/d", 77).inputFiles()) <= 4
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_a_large_dump_is_read_in_splits(spark, tmp_path, small_splits, packed):
+    rng = random.Random(5)
+    pages = [(f"T {i} &amp; co", i % 3, "é唐 &lt;/page&gt; text\n" * rng.randint(0, 9)) for i in range(300)]
+    one = lambda p: f"  <page>\n<title>{p[0]}</title><ns>{p[1]}</ns><id>7</id><revision><timestamp>t</timestamp><text xml:space=\"preserve\">{p[2]}</text></revision></page>\n"
+    head, rest = "<mediawiki><siteinfo><sitename>x</sitename></siteinfo>\n", [one(p) for p in pages]
+    if packed:
+        streams = [head] + ["".join(rest[i : i + 20]) for i in range(0, 300, 20)] + ["</mediawiki>"]
+        (tmp_path / "d.xml.bz2").write_bytes(b"".join(bz2.compress(s.encode()) for s in streams))
+    else:
+        (tmp_path / "d.xml").write_text(head + "".join(rest) + "</mediawiki>\n")
+    got = scan.wiki_pages(spark, str(tmp_path))
+    assert got.rdd.getNumPartitions() > (1 if packed else 8)
+    assert sorted((r.title, r.ns, r.wikitext) for r in got.collect()) == sorted((t.replace("&amp;", "&"), n, x.replace("&lt;", "<").replace("&gt;", ">")) for t, n, x in pages)
