@@ -39,3 +39,11 @@ def test_long_passkey_contexts_are_laid_out_in_blocks(spark):
     n, tokens = 800, 500_000
     context = P.passkey_context(F.lit(tokens) + F.col("id"), F.col("id"), F.col("id") / n)
     assert seconds(spark.range(n).select(F.octet_length(context))) < 0.5 + 6 * seconds(made(spark, n, tokens))
+
+
+def test_size_of_a_prefill_is_not_counted_letter_by_letter(spark, tmp_path):
+    n, tokens = 800, 500_000
+    spark.range(n).select(F.col("id").alias("event_id"), (F.col("id") + tokens).alias("user_id")).write.parquet(f"{tmp_path}/events.parquet")
+    query = registry.QUERIES["t59_prefill"](spark, str(tmp_path))
+    assert [r.n for r in query.orderBy("event_id").limit(3).collect()] == [12 * -(-(tokens + i + 1) * 4 // 12) for i in range(3)]
+    assert seconds(query) < 0.3 + 3 * seconds(made(spark, n, tokens))
