@@ -85,18 +85,11 @@ def predictions(df: DataFrame, instance: str, patch: str) -> DataFrame:
     return df.select(F.col(instance).alias("instance_id"), F.coalesce(F.col(patch), F.lit("")).alias("model_patch"))
 
 
-#: Tasks that a status may list.
-LISTED = 100_000
-
-
-def status(df: DataFrame, state: str = "status") -> DataFrame:
-    """One row of JSON: total, success and failed, and the tasks, which are refused beyond ``LISTED``."""
-    if (n := df.count()) > LISTED:
-        raise ValueError(f"a status lists {LISTED} tasks at most, not {n}")
+def write_status(df: DataFrame, path: str, state: str = "status") -> None:
+    """A row of JSON with total, success and failed at ``path``/summary, and the tasks in order, a line each in as many files as they take, at ``path``/tasks."""
     good = F.count_if(F.col(state) == "success")
-    rows = F.sort_array(F.collect_list(F.struct(*df.columns)))
-    summary = F.struct(F.count("*").alias("total"), good.alias("success"), (F.count("*") - good).alias("failed"))
-    return df.agg(summary.alias("summary"), rows.alias("tasks")).select(F.to_json(F.struct("summary", "tasks")).alias("status"))
+    df.agg(F.count("*").alias("total"), good.alias("success"), (F.count("*") - good).alias("failed")).write.json(f"{path}/summary")
+    df.orderBy(*df.columns).write.json(f"{path}/tasks")
 
 
 def markdown_rows(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -47,3 +47,10 @@ def test_size_of_a_prefill_is_not_counted_letter_by_letter(spark, tmp_path):
     query = registry.QUERIES["t59_prefill"](spark, str(tmp_path))
     assert [r.n for r in query.orderBy("event_id").limit(3).collect()] == [12 * -(-(tokens + i + 1) * 4 // 12) for i in range(3)]
     assert seconds(query) < 0.3 + 3 * seconds(made(spark, n, tokens))
+
+
+def test_status_lists_any_number_of_tasks(spark, tmp_path):
+    n = 100_003
+    spark.range(n).select(F.col("id").alias("doc_id"), (F.col("id") % 3).cast("int").alias("quality")).write.parquet(f"{tmp_path}/labels.parquet")
+    got = registry.QUERIES["w20_status"](spark, str(tmp_path)).first()
+    assert tuple(got) == (n, n // 3, n - n // 3, n)
