@@ -114,11 +114,19 @@ def j02_test_pairs(spark, sf_dir):
 
 
 def resolved(raw, known):
-    """raw: (raw); known: (path).  Exact, else the only path that ends in it, else the only one of its base name."""
-    base = lambda c: F.substring_index(c, "/", -1)
-    met = raw.select("raw").distinct().withColumn("b", base("raw")).join(known.select("path").distinct().withColumn("b", base("path")), "b", "left")
-    ends = F.endswith(F.col("path"), F.concat(F.lit("/"), F.col("raw")))
-    got = met.groupBy("raw").agg(F.max(F.when(F.col("path") == F.col("raw"), F.col("path"))).alias("e"), F.count_if(ends).alias("n_s"), F.max(F.when(ends, F.col("path"))).alias("s"), F.count("path").alias("n_b"), F.max("path").alias("p"))
+    """raw: (raw); known: (path).  Exact, else the only path that ends in it, else the only one of its base name.
+
+    Paths are counted by base name and by their last parts, as many as some raw path has; so no raw path meets all paths of its base name.
+    """
+    deep = lambda c: F.size(F.split(c, "/", -1))
+    ask = raw.select("raw").distinct().withColumn("b", F.substring_index("raw", "/", -1))
+    sizes = F.broadcast(ask.filter("raw is not null").select(deep("raw").alias("parts")).distinct())  # a few numbers
+    paths = known.select("path").filter("path is not null").distinct()
+    bases = paths.groupBy(F.substring_index("path", "/", -1).alias("b")).agg(F.count("*").alias("n_b"), F.max("path").alias("p"))
+    tails = paths.withColumn("deep", deep("path")).join(sizes, F.col("deep") >= F.col("parts"))
+    longer = F.col("deep") > F.col("parts")  # else the path is the tail itself
+    ends = tails.groupBy(F.call_function("substring_index", "path", F.lit("/"), -F.col("parts")).alias("raw")).agg(F.max(F.when(~longer, F.col("path"))).alias("e"), F.count_if(longer).alias("n_s"), F.max(F.when(longer, F.col("path"))).alias("s"))
+    got = ask.join(bases, "b", "left").join(ends, "raw", "left")
     return got.select("raw", F.coalesce("e", F.when(F.col("n_s") == 1, F.col("s")), F.when(F.col("n_b") == 1, F.col("p"))).alias("path"))
 
 

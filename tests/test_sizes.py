@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import parse as P
-from tessera.plans import registry
+from tessera.plans import mixes, registry
 
 
 def seconds(df):
@@ -69,3 +69,28 @@ def test_slices_of_splits_go_by_id_however_documents_lie(spark, tmp_path):
         spark.conf.unset("spark.sql.files.openCostInBytes")
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert sorted(r.doc_id for r in got) == list(range(14))
+
+
+PATHS = ["a/b/c.py", "b/c.py", "c.py", "x/c.py", "x//c.py", "d.py", "lib/d.py", "/d.py", "only/e.py", "tail/", "other/tail/", "q", "u/v/w", "u2/v/w", None, ""]
+
+
+def test_paths_are_resolved_as_by_all_pairs(spark):
+    raws = [*PATHS, "v/w", "w", "zz", "e.py", "no/e.py", "/c.py", "//c.py", "tail", "d.py/", "/"]
+    got = mixes.resolved(spark.createDataFrame([(r,) for r in raws], "raw string"), spark.createDataFrame([(p,) for p in PATHS], "path string")).collect()
+
+    def one(raw):
+        if raw is None:
+            return None
+        known = [p for p in PATHS if p is not None and p.rsplit("/", 1)[-1] == raw.rsplit("/", 1)[-1]]
+        ends = [p for p in known if p.endswith("/" + raw)]
+        return raw if raw in known else ends[0] if len(ends) == 1 else known[0] if len(known) == 1 else None
+
+    assert {r.raw: r.path for r in got} == {r: one(r) for r in raws} and len(got) == len(set(raws))
+
+
+def test_paths_of_one_base_name_are_not_paired(spark, tmp_path):
+    """3,000 index pages in folders of their own: all pairs would be nine millions."""
+    spark.range(3000).select(F.concat(F.lit("http://h/"), "id", F.lit("/index.html")).alias("url")).write.parquet(f"{tmp_path}/pages.parquet")
+    query = registry.QUERIES["t81_resolved_paths"](spark, str(tmp_path))
+    assert query.filter("path = 'http://h/' || raw").count() == 3000
+    assert "EndsWith" not in query._jdf.queryExecution().optimizedPlan().toString()
