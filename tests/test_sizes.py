@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import parse as P
 from tessera.plans import mixes, registry
+from tessera.sources import sinks
 
 
 def seconds(df):
@@ -94,3 +95,20 @@ def test_paths_of_one_base_name_are_not_paired(spark, tmp_path):
     query = registry.QUERIES["t81_resolved_paths"](spark, str(tmp_path))
     assert query.filter("path = 'http://h/' || raw").count() == 3000
     assert "EndsWith" not in query._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_tree_of_many_small_files_is_written_without_a_job_for_each(spark, tmp_path):
+    """As many files as rows, each written once and where it stays."""
+    n = 4000
+    spark.range(n).select(F.col("id").alias("doc_id"), F.lit("words\nof a text").alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(15).cast("long").alias("n_chars")).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    start = time.monotonic()
+    got = registry.QUERIES["r08_tidy_tree"](spark, str(tmp_path))
+    assert time.monotonic() - start < 12
+    assert sorted(r.doc_id for r in got.collect()) == [i for i in range(n) if i % 5]
+
+
+def test_files_are_written_as_they_are(spark, tmp_path):
+    rows = [("a.txt", b"\x00\xff"), ("b/c/d.txt", b""), ("b/é.txt", "é\r\n".encode())]
+    assert sinks.write_files(spark.createDataFrame(rows, "path string, content binary"), f"file://{tmp_path}/t") == 3
+    assert sinks.write_files(spark.createDataFrame(rows, "path string, content binary"), f"{tmp_path}/t") == 3
+    assert [(tmp_path / "t" / p).read_bytes() for p, _ in rows] == [c for _, c in rows]
