@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import parse as P
+from tessera.operators import index, search
 from tessera.plans import mixes, registry
 from tessera.sources import sinks
 
@@ -112,3 +113,21 @@ def test_files_are_written_as_they_are(spark, tmp_path):
     assert sinks.write_files(spark.createDataFrame(rows, "path string, content binary"), f"file://{tmp_path}/t") == 3
     assert sinks.write_files(spark.createDataFrame(rows, "path string, content binary"), f"{tmp_path}/t") == 3
     assert [(tmp_path / "t" / p).read_bytes() for p, _ in rows] == [c for _, c in rows]
+
+
+def test_index_deals_documents_of_a_term_and_not_its_places(spark, monkeypatch):
+    """A term a hundred times in a text is one row of a part, and texts of a window are one; batches of a few tokens give the same."""
+    texts = [(i, " ".join(["ab", f"c{i % 3}"] * 100), "Ab x") for i in range(40)] + [(40, "", None)]
+    frame = spark.createDataFrame(texts, "doc_id long, text string, title string").coalesce(1)
+    got = {}
+    for most in (1_000_000, 7):
+        monkeypatch.setattr(index, "GROUPED", most)
+        built = index.Index(spark, fields=("text", "title")).put(frame)
+        got[most] = sorted(map(repr, built._read("blocks").drop("seq").collect())), sorted(map(repr, built._read("lengths").drop("seq").collect()))
+    assert got[7] == got[1_000_000]
+    cut = search.cut(frame, "doc_id", ("text", "title")).select("doc_id", "dl", F.lit(0).cast("long").alias("window"), "t0", "t1")
+    monkeypatch.setattr(index, "GROUPED", 1_000_000)
+    parts = cut.mapInArrow(index._parts_of("doc_id"), built._schema("parts")).collect()
+    assert sorted(r.term or "" for r in parts) == ["", "ab", "c0", "c1", "c2", "x"]
+    ab = {d.doc_id: d for r in parts if r.term == "ab" for d in r.docs}
+    assert len(ab) == 40 and ab[7].dl == 202 and ab[7].ats == [*range(0, 200, 2), search.FIELD]
