@@ -1,5 +1,7 @@
 """What once held only for small inputs."""
 
+import pathlib
+import random
 import time
 
 import pytest
@@ -131,3 +133,15 @@ def test_index_deals_documents_of_a_term_and_not_its_places(spark, monkeypatch):
     assert sorted(r.term or "" for r in parts) == ["", "ab", "c0", "c1", "c2", "x"]
     ab = {d.doc_id: d for r in parts if r.term == "ab" for d in r.docs}
     assert len(ab) == 40 and ab[7].dl == 202 and ab[7].ats == [*range(0, 200, 2), search.FIELD]
+
+
+def test_snippets_of_one_search_write_no_index(spark, tmp_path):
+    """What the search writes follows its hits and not the tokens of all texts; the ten best have their snippets."""
+    rng = random.Random(3)
+    texts = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(2000)) + (" licensed Under the Café" if i % 20 == 0 else "")) for i in range(300)]
+    spark.createDataFrame([*texts, (None, "the")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    shared = pathlib.Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    there = set(shared.rglob("*.parquet"))
+    got = registry.QUERIES["q06_snippets"](spark, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in got) == list(range(0, 200, 20)) and all(r.snippet.endswith(" [licensed] Under [the]…") for r in got)
+    assert sum(p.stat().st_size for p in set(shared.rglob("*.parquet")) - there) < 0.1 * sum(len(t) for _, t in texts)
