@@ -44,6 +44,8 @@ GRAMS = (3, 4, 5)
 WARM, ROUNDS = 8, 40
 #: Words whose weights a worker remembers, and characters scored at once.
 REMEMBERED, CHUNK = 200_000, 1 << 20
+#: Words whose n-grams are hashed at once.
+SLICE = 1 << 15
 STRIPPED = ".,;:!?\"'()[]{}<>|*#-_"
 
 
@@ -60,6 +62,61 @@ def features(word: str) -> list[int]:
     return out
 
 
+def _crc_table() -> np.ndarray:
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        table = np.where(table & 1, table >> 1 ^ np.uint32(0xEDB88320), table >> 1)
+    return table
+
+
+_CRC = _crc_table()
+
+
+def bags(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """``features`` of many words one after the other, and how many each word has.
+
+    All n-grams of a slice of words are hashed at once: that of n characters at a place goes on from that of n - 1.
+    """
+    rows, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    for at in range(0, len(words), SLICE):
+        marked = [f"<{w.strip(STRIPPED)}>" for w in words[at : at + SLICE]]
+        size = np.fromiter(map(len, marked), np.int64, len(marked))
+        points = np.frombuffer("".join(marked).encode("utf-32-le"), np.uint32)
+        # Of each character its bytes in UTF-8, by the number of bytes that are left after each.
+        tail = np.searchsorted([0x80, 0x800, 0x10000], points, "right")
+        lead = np.array([0, 0xC0, 0xE0, 0xF0], np.uint32)[tail] | points >> (6 * tail).astype(np.uint32)
+        longer = [np.flatnonzero(tail >= left) for left in (1, 2, 3)]
+        start, end = np.cumsum(size) - size, np.repeat(np.cumsum(size), size)
+        place = np.arange(len(points))
+        gone = place - np.repeat(start, size)  # characters of the word before this one
+        grams = [np.maximum(size - n + 1, 0) for n in GRAMS]
+        n_rows = 1 + sum(grams)
+        first = np.cumsum(n_rows) - n_rows
+        out = np.empty(int(n_rows.sum()), np.int32)
+        out[first] = np.fromiter((crc32(w.encode()) % BUCKETS for w in marked), np.int32, len(marked))
+        state, base = np.full(len(points), 0xFFFFFFFF, np.uint32), first + 1
+        for n in range(1, max(GRAMS) + 1):
+            live = len(points) - n + 1  # places that n characters follow, be they of one word or not
+            if live <= 0:
+                break
+            state = state[:live]
+            state = _CRC[(state ^ lead[n - 1 :]) & 0xFF] ^ state >> np.uint32(8)
+            for left in (3, 2, 1):
+                on = longer[left - 1] - (n - 1)
+                on = on[on >= 0]
+                if len(on):
+                    # A character with ``tail`` bytes behind its lead: those with as many left go on by one byte.
+                    byte = points[on + n - 1] >> np.uint32(6 * (left - 1)) & 0x3F | 0x80
+                    state[on] = _CRC[(state[on] ^ byte) & 0xFF] ^ state[on] >> np.uint32(8)
+            if n in GRAMS:
+                whole = np.flatnonzero(place[:live] + n <= end[:live])
+                out[np.repeat(base, size)[whole] + gone[whole]] = (state[whole] ^ np.uint32(0xFFFFFFFF)) % BUCKETS
+                base = base + grams[GRAMS.index(n)]
+        rows.append(out)
+        counts.append(n_rows)
+    return np.concatenate(rows), np.concatenate(counts)
+
+
 @dataclass
 class Model:
     """``weight``: each table row's part of the logit; ``bias``: the softmax's; ``zero``: the logit at which a text's score is one half."""
@@ -77,7 +134,7 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model = model
-        self.known = _Known(model.weight.tolist())
+        self.known = _Known(model.weight)
 
     def logit(self, text: str | None) -> float:
         return float(self.logits([text])[0])
@@ -93,6 +150,7 @@ class Scorer:
         full = np.flatnonzero(count)
         if len(full):
             word = np.fromiter(map(known.__getitem__, chain.from_iterable(split)), np.int64, int(count.sum()))
+            known.learn()
             passages = -(-count[full] // PASSAGE)
             begin = np.cumsum(count[full]) - count[full]
             first = np.cumsum(passages) - passages
@@ -103,24 +161,29 @@ class Scorer:
 
 
 class _Known(dict):
-    """Number of each word; ``total`` and ``rows`` hold the sum of its table rows' weights and how many they are."""
+    """Number of each word; ``total`` and ``rows`` hold the sum of its table rows' weights and how many they are, once it is learned."""
 
-    def __init__(self, weights: list[float]):
+    def __init__(self, weights: np.ndarray):
         super().__init__()
-        self.weights, self.total, self.rows = weights, array("d"), array("d")
+        self.weights, self.total, self.rows, self.fresh = weights, array("d"), array("d"), []
 
     def forget(self) -> None:
         self.clear()
-        self.total, self.rows = array("d"), array("d")
+        self.total, self.rows, self.fresh = array("d"), array("d"), []
 
     def __missing__(self, word: str) -> int:
-        rows = features(word)
-        weights = self.weights
-        self.total.append(sum([weights[i] for i in rows]))
-        self.rows.append(len(rows))
+        self.fresh.append(word)
         got = self[word] = len(self)
         return got
 
+    def learn(self) -> None:
+        """Totals of the words met since, in slices."""
+        for at in range(0, len(self.fresh), SLICE):
+            rows, n = bags(self.fresh[at : at + SLICE])
+            self.total.frombytes(np.add.reduceat(self.weights[rows], np.cumsum(n) - n).astype(np.float64).tobytes())
+            self.rows.frombytes(n.astype(np.float64).tobytes())
+        self.fresh = []
+
 
 class _Trainer:
     """Averaged embeddings and softmax with Adagrad; passages are ranges of words."""
@@ -128,17 +191,13 @@ class _Trainer:
     def __init__(self, texts: list[str | None], seed: int = 7):
         rng = np.random.default_rng(seed)
         number: dict[str, int] = {}
-        words, rows, length, self.start = array("i"), array("i"), array("i"), [0]
+        words, self.start = array("i"), [0]
         for t in texts:
             words.extend([number.setdefault(w, len(number)) for w in split_words(t)])
             self.start.append(len(words))
-        for w in number:
-            bag = features(w)
-            rows.extend(bag)
-            length.append(len(bag))
+        self.words = np.frombuffer(words, np.int32)
+        self.rows, self.length = bags(list(number))
         del number
-        self.words, self.rows = np.frombuffer(words, np.int32), np.frombuffer(rows, np.int32)
-        self.length = np.array(length, np.int64)
         self.offset = np.concatenate([[0], np.cumsum(self.length)])
         self.table = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
         self.softmax = rng.normal(0, 0.1, (DIM, 2)).astype(np.float32)

@@ -2,6 +2,7 @@
 
 import json
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -146,3 +147,28 @@ def test_scores_worked_out_a_second_way(spark):
         want = 1 / (1 + np.exp(-(max(logits, default=model.bias) - model.zero)))
         want = want if words else min(0.49, want)
         assert got[doc_id][0] == pytest.approx(want, abs=1e-9) and got[doc_id][1] == int(got[doc_id][0] >= 0.5)
+
+
+@pytest.mark.parametrize("together", [1 << 15, 7, 1])
+def test_bags_of_words_are_their_features(monkeypatch, together):
+    """n-grams hashed together, of characters of one to four bytes, are those of each word by itself."""
+    rng = random.Random(5)
+    words = ["", "a", "--", "é", "東京", "a😀é", "x" * 300] + ["".join(chr(rng.choice([97, 98, 0x7F, 0x80, 0x7FF, 0x800, 0xFFFF, 0x10000, 0x10FFFF, 46])) for _ in range(rng.randrange(12))) for _ in range(400)]
+    monkeypatch.setattr(toxicity, "SLICE", together)
+    rows, n = toxicity.bags(words)
+    each = [toxicity.features(w) for w in words]
+    assert n.tolist() == list(map(len, each)) and rows.tolist() == [i for bag in each for i in bag]
+    assert [x.tolist() for x in toxicity.bags([])] == [[], []]
+
+
+def test_scoring_new_words_costs_less_than_their_features():
+    words = [f"word{i * 7919 % 10**6}ly" for i in range(60_000)]
+    model = toxicity.Model(np.random.default_rng(1).normal(0, 1, toxicity.BUCKETS), 0.1, 0.0)
+
+    def seconds(run):
+        start = time.process_time()
+        run()
+        return time.process_time() - start
+
+    alone = min(seconds(lambda: [toxicity.features(w) for w in words]) for _ in range(2))
+    assert min(seconds(lambda: toxicity.Scorer(model).logit(" ".join(words))) for _ in range(2)) < 0.6 * alone
