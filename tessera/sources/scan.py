@@ -7,8 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import LANGUAGES, minified, newlines, strip
-from tessera.sources.scratch import exists, stored
+from tessera.functions.text import LANGUAGES, minified, strip
+from tessera.sources.scratch import exists, located, scratch, stored
 
 #: What a source-tree scan takes and leaves out.
 EXTENSIONS = tuple(LANGUAGES)
@@ -72,24 +72,94 @@ def configured(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.inline("projects"))
 
 
+#: Folders that a task lists; files and bytes that a task reads; bytes that it holds at a time.
+FOLDERS, FILES, BYTES, HELD = 128, 4000, 1 << 25, 1 << 22
+
+
+def _walked(spark: SparkSession, place, top: str) -> DataFrame:
+    """(path, length) of the files below a folder, paths from there on; ignored folders and links to folders aren't entered.
+
+    Tasks list the folders, a level of the tree at a time, and write what they find: no name passes through the driver.
+    """
+
+    def listed(batches):
+        import os
+
+        import pyarrow as pa
+        from pyarrow import fs
+
+        local = isinstance(place, fs.LocalFileSystem)
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                paths, lengths = [], []
+                for x in place.get_file_info(fs.FileSelector(f"{top}{folder}")):
+                    if x.type == fs.FileType.File or x.type == fs.FileType.Directory and not (local and os.path.islink(x.path)):
+                        paths.append(f"{folder}/{x.base_name}")
+                        lengths.append(x.size)  # a folder has none
+                yield pa.record_batch([pa.array(paths, pa.string()), pa.array(lengths, pa.int64())], ["path", "length"])
+
+    schema, at, depth = "path string, length long", scratch(spark, "listed"), 0
+    level = spark.createDataFrame([("",)], "path string")
+    while True:
+        level.mapInArrow(listed, schema).write.parquet(f"{at}/{depth}")
+        level = spark.read.schema(schema).parquet(f"{at}/{depth}").filter(F.col("length").isNull() & ~F.substring_index("path", "/", -1).isin(*IGNORED)).select("path")
+        depth += 1
+        if not (n := level.count()):
+            return spark.read.schema(schema).parquet(*[f"{at}/{i}" for i in range(depth)]).filter("length is not null")
+        level = level.repartition(-(-n // FOLDERS), "path")
+
+
+def _texts(files: DataFrame, known, root: str, lenient: bool, tidy: bool) -> DataFrame:
+    """(path, content) of files, as text: of those below a folder that pyarrow ``known``, which are opened here, or of (path, content) as bytes."""
+
+    def put(batches):
+        import pyarrow as pa
+
+        def batch_of(rows):
+            return pa.record_batch([pa.array(c, pa.string()) for c in ([r[0] for r in rows], [r[1] for r in rows])], ["path", "content"])
+
+        def opened(path):
+            with place.open_input_stream(f"{top}{path}", compression=None) as f:
+                return f.read()
+
+        place, top = known or (None, "")
+        for batch in batches:
+            paths, rows, held = batch.column(0).to_pylist(), [], 0
+            for path, content in zip(paths, map(opened, paths) if known else (x.as_py() for x in batch.column(1)), strict=True):
+                try:
+                    text = content.decode("utf-8", "ignore" if lenient else "strict")
+                except UnicodeDecodeError:
+                    continue
+                rows.append((f"{root}{path}" if known else path, text.replace("\r\n", "\n").replace("\r", "\n") if tidy else text))
+                held += len(content)
+                if held >= HELD:
+                    yield batch_of(rows)
+                    rows, held = [], 0
+            yield batch_of(rows)
+
+    return files.mapInArrow(put, "path string, content string")
+
+
 def source_tree(spark: SparkSession, root: str, least: int = 100, most: int = 512 * 1024, per_root: int | None = None, lenient: bool = False, tidy: bool = False) -> DataFrame:
     """(path, language, content) of text files below a root.
 
     Names and sizes are settled by the listing, before a file is read.  ``per_root``: the first so many paths;
     ``lenient``: bytes that are no UTF-8 are left out, else their file is; ``tidy``: line ends made
-    one, minified files left out.
+    one, minified files left out.  Where pyarrow knows the file system, tasks list the folders and read many files each;
+    on others Spark's reader does it, whose driver holds the names, and which passes over names that begin with a dot or a low line.
     """
-    suffixes = "*.{" + ",".join(x for e in EXTENSIONS for x in dict.fromkeys((e, e.upper()))) + "}"
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", suffixes).load(root).filter(F.col("length").between(least, most))
-    below = F.split(F.regexp_replace("path", r"^[a-z]+:/*", ""), "/")
-    files = files.filter(~F.arrays_overlap(F.slice(below, 1, F.size(below) - 1), F.array(*map(F.lit, IGNORED))))
-    ext = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    text = F.col("content").cast("string")
-    if lenient:
-        text = F.replace(F.make_valid_utf8(text), F.lit("�"), F.lit(""))
+    whole, known = located(spark, root)
+    ext = F.lower(F.regexp_extract("path", r"[^/]\.([^./]+)$", 1))
+    fits = ext.isin(*EXTENSIONS) & F.col("length").between(least, most)
+    if known:
+        files = _walked(spark, *known).filter(fits)
+        n, size = files.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+        files = files.select("path").repartition(max(1, -(-n // FILES), -(-size // BYTES)), "path")
     else:
-        files = files.filter(F.is_valid_utf8(text))
-    rows = files.select("path", ext.alias("language"), (newlines(text) if tidy else text).alias("content")).filter(F.length(strip(F.col("content"))) > 0)
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).filter(fits)
+        below = F.split(F.substr("path", F.lit(len(whole) + 1)), "/")
+        files = files.filter(~F.arrays_overlap(F.slice(below, 1, F.size(below) - 1), F.array(*map(F.lit, IGNORED)))).select("path", "content")
+    rows = _texts(files, known, whole, lenient, tidy).select("path", ext.alias("language"), "content").filter(F.length(strip(F.col("content"))) > 0)
     if tidy:
         rows = rows.filter(~minified(F.col("content"), F.col("language")))
     if per_root is not None:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import parse as P
 from tessera.operators import index, search
 from tessera.plans import mixes, registry
-from tessera.sources import sinks
+from tessera.sources import scan, sinks
 
 
 def seconds(df):
@@ -110,6 +110,56 @@ def test_a_tree_of_many_small_files_is_written_without_a_job_for_each(spark, tmp
     assert sorted(r.doc_id for r in got.collect()) == [i for i in range(n) if i % 5]
 
 
+def test_a_tree_is_read_by_few_tasks_and_listed_by_none_of_the_driver(spark, tmp_path):
+    """Spark's own reader takes 32 files a task at most, or fewer, and lists them on the driver."""
+    for i in range(2000):
+        (tmp_path / f"t/{i % 40}").mkdir(parents=True, exist_ok=True)
+        (tmp_path / f"t/{i % 40}/{i}.py").write_text(f"x = {i}\n")
+    got = scan.source_tree(spark, f"{tmp_path}/t", 1, lenient=True, tidy=True)
+    assert got.rdd.getNumPartitions() == 1 and "BatchScan" not in (plan := got._jdf.queryExecution().executedPlan().toString()) and "binaryFile" not in plan
+    assert sorted(int(r.content[4:]) for r in got.collect()) == list(range(2000))
+
+
+def test_a_tree_is_dealt_by_number_and_size(spark, tmp_path, monkeypatch):
+    """In parts of few files, few bytes and few folders the same rows come out."""
+    for i in range(60):
+        (tmp_path / f"{i % 7}/{i % 3}").mkdir(parents=True, exist_ok=True)
+        (tmp_path / f"{i % 7}/{i % 3}/{i}.py").write_text(f"x = {i}\n" * 10)
+    rows = lambda: sorted(map(tuple, scan.source_tree(spark, str(tmp_path), 1).collect()))
+    want = rows()
+    assert len(want) == 60 and all(r[0].startswith(f"file:{tmp_path}/") for r in want)
+    for name, few in (("FILES", 7), ("BYTES", 100), ("HELD", 80), ("FOLDERS", 2)):
+        monkeypatch.setattr(scan, name, few)
+        assert rows() == want
+
+
+def test_a_tree_has_all_its_names(spark, tmp_path):
+    """Names with a dot or a low line ahead, odd letters, suffixes in any case; the root's own place is no reason to leave it out, links to folders aren't entered."""
+    root = tmp_path / "build/a b%20é"
+    for name, data in {"__init__.py": b"a", ".hidden/.x.js": b"b", "_p/é %41.Py": b"c", "r.py": "d\ufffd\r".encode() + b"\xff\r\n", "venv/e.py": b"e", "s/dist/f.py": b"f", ".py": b"g", "n.bin": b"h"}.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(data)
+    (root / "s/up").symlink_to(root)
+    (root / "s/gone.py").symlink_to(root / "nowhere")
+    got = scan.source_tree(spark, str(root), 1, lenient=True, tidy=True).collect()
+    assert {r.path.removeprefix(f"file:{root}/"): (r.language, r.content) for r in got} == {"__init__.py": ("py", "a"), ".hidden/.x.js": ("js", "b"), "_p/é %41.Py": ("py", "c"), "r.py": ("py", "d\ufffd\n\n")}
+    (tmp_path / "empty").mkdir()
+    assert scan.source_tree(spark, f"{tmp_path}/empty").count() == 0
+    with pytest.raises(FileNotFoundError):
+        scan.source_tree(spark, f"{tmp_path}/none")
+
+
+def test_a_tree_on_a_file_system_of_spark_alone(spark, tmp_path):
+    for name, data in {"a.py": b"x\r\n", "dist/b.py": b"y", "c.py": b"\xff", "d/e.js": b"\xc3\xa9"}.items():
+        (tmp_path / "build" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "build" / name).write_bytes(data)
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.trees.link./build", f"file://{tmp_path}/build")
+    rows = lambda root, **more: sorted((r.path.removeprefix(root), r.content) for r in scan.source_tree(spark, root, 1, **more).collect())
+    for more in ({}, {"lenient": True, "tidy": True}):
+        assert rows("viewfs://trees/build", **more) == rows(f"file:{tmp_path}/build", **more)
+    assert rows("viewfs://trees/build") == [("/a.py", "x\r\n"), ("/d/e.js", "é")]
+
+
 def test_files_are_written_as_they_are(spark, tmp_path):
     rows = [("a.txt", b"\x00\xff"), ("b/c/d.txt", b""), ("b/é.txt", "é\r\n".encode())]
     assert sinks.write_files(spark.createDataFrame(rows, "path string, content binary"), f"file://{tmp_path}/t") == 3
